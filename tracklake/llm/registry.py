@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklake.llm.classifier import op7_quality
 from tracklake.llm.decontaminate import op1_benchmark
 from tracklake.llm.lengths import op5_token_counts
+from tracklake.llm.lines import op8_line_dedup
 from tracklake.llm.pieces import op4_pieces
+from tracklake.llm.rules import op2_quality_rules
+from tracklake.llm.secrets import op6_secrets
 from tracklake.llm.simhash import op3_simhash
 from tracklake.llm.substring import op9_substring_dedup
 from tracklake.llm.suffixes import op10_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark": op1_benchmark,
+    "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_pieces": op4_pieces,
     "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
+    "op7_quality": op7_quality,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
