@@ -375,3 +375,540 @@ def a25(s, d):
     lk = X.links(s, d)
     splits = lk.join(lk.groupBy("parent").count().where("count = 2"), "parent", "left_semi")
     return R.tracking_summary(X.cells(s, d), splits, lk.where("false"))
+
+
+# --- windows -------------------------------------------------------------------
+
+
+@query("w1_sequential_ids", f"WITH {_NUMBERED} SELECT src, id FROM numbered")
+def w1(s, d):
+    return K.assign_ids(X.nodes(s, d))
+
+
+_SHOWN = """shown(track) AS (SELECT track FROM spans WHERE first <= 12 AND last >= 12 UNION SELECT s.parent FROM shown JOIN spans s ON s.track = shown.track WHERE s.parent IN (SELECT track FROM spans))"""
+
+
+@query("w2_trail_segments", f"""WITH {_SPANS}, {_SHOWN}, past AS (SELECT id, t, parent_id, track FROM cp WHERE t <= 12 AND z IS NOT NULL), st AS (SELECT *, lag(id) OVER w AS from_id, row_number() OVER w AS k FROM past WHERE track IN (SELECT track FROM shown) WINDOW w AS (PARTITION BY track ORDER BY t, id))
+SELECT track, from_id, id AS to_id, t FROM st WHERE k > 1 AND t >= 6 UNION ALL SELECT st.track, st.parent_id, st.id, st.t FROM st JOIN past p ON p.id = st.parent_id WHERE k = 1 AND p.track <> st.track AND st.t >= 6""")
+def w2(s, d):
+    c = staged(G.with_parent(X.cells(s, d), X.links(s, d)), "cells")
+    return G.trail_segments(c, G.shown_tracks(G.track_spans(c), 12), 12, 6)
+
+
+@query("w3_track_heads", "SELECT track, src, t FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, src) AS k FROM nodes) WHERE k = 1")
+def w3(s, d):
+    return G.track_heads(X.nodes(s, d)).select("track", "src", "t")
+
+
+
+
+@query("w4_parent_tracks", """WITH hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, src) AS k FROM nodes) WHERE k = 1), act AS (SELECT hd.track, coalesce(p.track, -1) AS actual FROM hd LEFT JOIN nodes p ON p.src = hd.parent_src),
+od AS (SELECT n.track, CASE WHEN n.src % 370 = 3 THEN 7 ELSE a.actual END AS declared FROM nodes n JOIN act a ON a.track = n.track)
+SELECT od.track, string_agg(DISTINCT CAST(declared AS VARCHAR), ',' ORDER BY CAST(declared AS VARCHAR)) AS declared, any_value(actual) AS actual FROM od JOIN act ON act.track = od.track GROUP BY od.track HAVING count(DISTINCT declared) > 1 OR min(declared) <> any_value(actual)""")
+def w4(s, d):
+    n = staged(X.nodes(s, d), "nodes")
+    up = G.track_heads(n).select("track", F.col("parent_src").alias("p")).join(n.select(F.col("src").alias("p"), F.col("track").alias("up")), "p", "left").select("track", "up")
+    odd = n.drop("parent_track").join(up, "track").withColumn("parent_track", F.when(F.col("src") % 370 == 3, 7).otherwise(F.col("up"))).drop("up")
+    return G.check_parent_tracks(odd).select("track", F.array_join(F.array_sort(F.transform("declared", lambda x: x.cast("string"))), ",").alias("declared"), "actual")
+
+
+@query("w5_fresh_ids", "SELECT head, 9999 + row_number() OVER (ORDER BY head) AS track_id FROM (SELECT DISTINCT head FROM chains)")
+def w5(s, d):
+    return G.fresh_track_ids(G.chains(X.base(s, d), X.links(s, d)), 10000)
+
+
+@query("w6_merge_runs", "WITH v AS (SELECT DISTINCT t, z, y, x FROM voxels), i AS (SELECT *, x - row_number() OVER (PARTITION BY t, z, y ORDER BY x) AS g FROM v) SELECT t, z, y, min(x) AS x0, max(x) AS x1 FROM i GROUP BY t, z, y, g")
+def w6(s, d):
+    r = X.runs(s, d).select("t", "z", "y", "x0", "x1")
+    return L.merge_runs(r.unionByName(r.where("x0 % 2 = 0")), ("t", "z", "y"))
+
+
+@query("w7_runs", "SELECT t, z, y, x0, x1, label FROM runs")
+def w7(s, d):
+    return L.to_runs(X.voxels(s, d))
+
+
+@query("w7_explode_runs", "SELECT t, z, y, x, label FROM voxels")
+def w7b(s, d):
+    return L.explode_runs(X.runs(s, d)).select("t", "z", "y", "x", "label")
+
+
+@query("w8_trail_alpha", "SELECT id, CASE WHEN 20 - t <= 0 THEN 0.9 WHEN 20 - t >= 8 THEN 0.1 ELSE 0.9 - (0.9 - 0.1) * (20 - t) / 8 END AS alpha FROM base WHERE t BETWEEN 12 AND 20")
+def w8(s, d):
+    return R.trail_window(X.base(s, d), 20, 8).select("id", S.trail_alpha(F.col("t"), 20, 8, 0.9, 0.1).alias("alpha"))
+
+
+# --- sorts, limits, sets -------------------------------------------------------------
+
+
+@query("k1_review_queue", "SELECT parent, child, confidence, reviewed FROM links ORDER BY reviewed, confidence ASC NULLS LAST, parent, child LIMIT 50")
+def k1(s, d):
+    return R.review_queue(X.links(s, d), 50)
+
+
+@query("k2_edit_history", "SELECT e.seq, e.domain, coalesce(json_extract_string(op, '$.scope'), json_extract_string(op, '$.kind')) AS scope, e.undone, e.domain <> 'mask' OR e.seq IN (SELECT seq FROM blobs) AS undoable FROM (SELECT * FROM edits WHERE NOT pending ORDER BY seq DESC LIMIT 100) e")
+def k2(s, d):
+    return R.edit_history(X.edits(s, d), X.blobs(s, d))
+
+
+@query("k3_undo_redo", "SELECT max(seq) FILTER (NOT pending AND NOT undone) AS undo_seq, min(seq) FILTER (NOT pending AND undone) AS redo_seq FROM edits")
+def k3(s, d):
+    return R.undo_redo(X.edits(s, d))
+
+
+_ALL_RULES = """f AS (SELECT 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM stg_links WHERE side = 'children' AND child NOT IN (SELECT id FROM stg_cells)
+UNION ALL SELECT 'dangling_parent', child, 'names missing cell ' || parent FROM stg_links WHERE side = 'parent' AND parent NOT IN (SELECT id FROM stg_cells)
+UNION ALL SELECT DISTINCT 'not_forward', l.parent, 'child ' || l.child || ' on frame ' || c.t || ' parent on ' || p.t FROM stg_links l JOIN stg_cells p ON p.id = l.parent JOIN stg_cells c ON c.id = l.child WHERE c.t <= p.t
+UNION ALL SELECT 'sides_disagree', a.parent, 'with child ' || a.child FROM stg_links a JOIN stg_links b ON a.parent = b.parent AND a.child = b.child WHERE a.side = 'children' AND b.side = 'parent' AND a.confidence IS DISTINCT FROM b.confidence
+UNION ALL SELECT 'many_children', parent, count(DISTINCT child) || ' children' FROM stg_links GROUP BY parent HAVING count(DISTINCT child) > 2
+UNION ALL SELECT 'many_parents', child, count(DISTINCT parent) || ' parents' FROM stg_links GROUP BY child HAVING count(DISTINCT parent) > 1
+UNION ALL SELECT 'link_confidence', parent, 'link to ' || child FROM (SELECT DISTINCT parent, child, confidence FROM stg_links) WHERE confidence < 0 OR confidence > 1
+UNION ALL SELECT 'detection_confidence', id, 'out of range' FROM stg_cells WHERE confidence < 0 OR confidence > 1
+UNION ALL SELECT 'track_ceiling', id, 'track ' || track_id FROM stg_cells WHERE track_id > 16777215
+UNION ALL SELECT 'no_mask', id, 'label ' || coalesce(seg_id, id) || ' on frame ' || t FROM stg_cells c WHERE NOT EXISTS (SELECT 1 FROM mask_labels m WHERE m.t = c.t AND m.label = coalesce(c.seg_id, c.id)))"""
+
+
+@query("k4_offender_cap", f"WITH {_ALL_RULES} SELECT rule, cell_id, message, k FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY cell_id, message) AS k FROM f) WHERE k <= 2")
+def k4(s, d):
+    return R.cap(R.validate_staged(X.stg_cells(s, d), X.stg_links(s, d), X.mask_labels(s, d)), 2)
+
+
+@query("k5_prune_blobs", "SELECT seq, chunk_key, existed, before FROM blobs WHERE seq IN (SELECT seq FROM edits WHERE domain = 'mask' ORDER BY seq DESC LIMIT 50)")
+def k5(s, d):
+    return R.prune_blobs(X.edits(s, d), X.blobs(s, d))
+
+
+def _levels(s, d):
+    """A pyramid of each customer's image, sizes by key."""
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("dataset"))
+    lv = c.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    side = {a: F.expr(f"(512 + dataset % {m} * 64) div cast(pow(2, level) as bigint)") for a, m in (("y", 7), ("x", 11))}
+    return lv.withColumns({"z": 4 + F.col("dataset") % 64, **side, "item_bytes": F.lit(2).cast("long"), "cz": F.when(F.col("dataset") % 3 == 0, 1).otherwise(16).cast("long"), "cy": F.lit(256).cast("long"), "cx": (64 + F.col("dataset") % 5 * 64)})
+
+
+_LEVELS = "lv AS (SELECT c_custkey AS dataset, level, 4 + c_custkey % 64 AS z, (512 + c_custkey % 7 * 64) // CAST(pow(2, level) AS BIGINT) AS y, (512 + c_custkey % 11 * 64) // CAST(pow(2, level) AS BIGINT) AS x, 2 AS item_bytes, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 16 END AS cz, 256 AS cy, 64 + c_custkey % 5 * 64 AS cx FROM customer, (SELECT unnest(range(0, 4)) AS level))"
+
+
+@query("k6_level_choice", f"WITH {_LEVELS} SELECT dataset, coalesce(min(level) FILTER (z * y * x * 2 <= 8000000), max(level)) AS level FROM lv GROUP BY dataset")
+def k6(s, d):
+    return R.choose_level(_levels(s, d), 8000000)
+
+
+@query("k7_pending", "SELECT seq, domain FROM edits WHERE pending ORDER BY seq")
+def k7(s, d):
+    return R.pending_edits(X.edits(s, d)).select("seq", "domain")
+
+
+@query("u1_max_label", "SELECT greatest((SELECT max(id) FROM base), (SELECT max(label) FROM mask_labels)) AS max_id")
+def u1(s, d):
+    return R.max_label_id(X.base(s, d), X.mask_labels(s, d))
+
+
+@query("u2_ids_in_use", "SELECT id FROM base WHERE id BETWEEN 100 AND 400 UNION SELECT label FROM mask_labels WHERE label BETWEEN 100 AND 400")
+def u2(s, d):
+    return R.ids_in_use(X.base(s, d), X.mask_labels(s, d), 100, 400)
+
+
+_STAMPS = """stm AS (SELECT id AS stroke, t, z + 0.5 AS cz, y + 0.5 AS cy, x + 0.5 + k * 1.25 AS cx, 1 + user_id % 4 AS r FROM base, (SELECT unnest(range(0, 2)) AS k) WHERE n = 1),
+sv AS (SELECT DISTINCT stroke, t, z, y, x FROM stm, (SELECT unnest(range(0, 8)) AS z), (SELECT unnest(range(-6, 8)) AS dy), (SELECT unnest(range(-6, 8)) AS dx), LATERAL (SELECT CAST(floor(cy) AS BIGINT) + dy AS y, CAST(floor(cx) AS BIGINT) + dx AS x)
+WHERE y BETWEEN 0 AND 511 AND x BETWEEN 0 AND 511 AND ((z + 0.5 - cz) / (r * 1.0 / 2.0)) * ((z + 0.5 - cz) / (r * 1.0 / 2.0)) + ((y + 0.5 - cy) / r) * ((y + 0.5 - cy) / r) + ((x + 0.5 - cx) / r) * ((x + 0.5 - cx) / r) <= 1.0)"""
+
+
+def _stamps(s, d):
+    b = X.base(s, d).where("n = 1").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return b.select(F.col("id").alias("stroke"), "t", (F.col("z") + 0.5).alias("cz"), (F.col("y") + 0.5).alias("cy"), (F.col("x") + 0.5 + F.col("k") * 1.25).alias("cx"), (1 + F.col("user_id") % 4).cast("double").alias("r"))
+
+
+_AS_RUNS = "SELECT stroke, t, z, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY stroke, t, z, y ORDER BY x) AS g FROM sv) GROUP BY stroke, t, z, y, g"
+
+
+@query("u3_voxel_union", f"WITH {_STAMPS}, b AS (SELECT DISTINCT t, z, y, x FROM sv UNION SELECT t, z, y, x FROM voxels) SELECT t, z, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY t, z, y ORDER BY x) AS g FROM b) GROUP BY t, z, y, g")
+def u3(s, d):
+    cols = ["t", "z", "y", "x0", "x1"]
+    return L.union_sets(L.stamp_runs(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0)).select(cols), X.runs(s, d).select(cols), keys=("t", "z", "y"))
+
+
+@query("u4_label_edit", "SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_concat(coalesce(labels, []), ['new', 'a']), lambda x: x <> 'treated'))), ',') AS labels FROM cells")
+def u4(s, d):
+    return X.cells(s, d, False).select("id", F.array_join(G.edit_labels(F.col("labels"), F.array(F.lit("new"), F.lit("a")), F.array(F.lit("treated"))), ",").alias("labels"))
+
+
+@query("u5_vocabulary_merge", """WITH st AS (SELECT DISTINCT event_type AS name, CASE WHEN event_type < 'd' THEN '#010203' END AS color FROM events), nw AS (SELECT trim(name) AS name, min(CASE WHEN regexp_full_match(color, '#[0-9a-fA-F]{6}') THEN lower(color) END) AS color FROM (SELECT ' ' || event_type || ' ' AS name, '#AABB' || lpad(CAST(user_id % 5 AS VARCHAR), 2, '0') AS color FROM events UNION ALL SELECT '  ', '#000000' UNION ALL SELECT 'extra', 'red') WHERE trim(name) <> '' GROUP BY 1)
+SELECT coalesce(st.name, nw.name) AS name, coalesce(st.color, nw.color) AS color FROM st FULL JOIN nw ON nw.name = st.name""")
+def u5(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    stored = e.select(F.col("event_type").alias("name"), F.when(F.col("event_type") < "d", "#010203").alias("color")).distinct()
+    new = e.select(F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("name"), F.concat(F.lit("#AABB"), F.lpad((F.col("user_id") % 5).cast("string"), 2, "0")).alias("color"))
+    more = s.createDataFrame([("  ", "#000000"), ("extra", "red")], "name string, color string")
+    return R.merge_definitions(stored, new.unionByName(more))
+
+
+_AFTER = "aft AS (SELECT parent, child, confidence, reviewed FROM links WHERE child % 8 <> 0 UNION ALL SELECT a.id, b.id, NULL, true FROM base a JOIN base b ON b.id = a.id + 700 AND b.t > a.t WHERE b.id NOT IN (SELECT child FROM links) AND a.id NOT IN (SELECT parent FROM links))"
+
+
+def _after(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    free_parent = b.select("id", "t").join(lk.select(F.col("parent").alias("id")), "id", "left_anti")
+    free_child = b.select(F.col("id").alias("child"), F.col("t").alias("ct")).join(lk.select("child"), "child", "left_anti")
+    new = free_parent.withColumn("child", F.col("id") + 700).join(free_child, "child").where("ct > t")
+    return lk.where("child % 8 <> 0").unionByName(new.select(F.col("id").alias("parent"), "child", F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("reviewed")))
+
+
+@query("u6_link_delta", f"WITH {_AFTER} SELECT parent, child, confidence, 'added' AS change FROM aft WHERE (parent, child) NOT IN (SELECT (parent, child) FROM links) UNION ALL SELECT parent, child, confidence, 'removed' FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM aft)")
+def u6(s, d):
+    return G.diff_links(X.links(s, d), _after(s, d)).select("parent", "child", "confidence", "change")
+
+
+@query("u7_incident_links", "SELECT parent, child FROM links WHERE parent IN (SELECT id FROM base WHERE user_id % 3 = 0 AND n < 5) OR child IN (SELECT id FROM base WHERE user_id % 3 = 0 AND n < 5)")
+def u7(s, d):
+    return G.chain_links(X.links(s, d), X.base(s, d).where("user_id % 3 = 0 AND n < 5")).select("parent", "child")
+
+
+# --- graph -------------------------------------------------------------------------
+
+
+@query("g1_chains", "SELECT id, head, pos, count(*) OVER (PARTITION BY head) AS length FROM chains")
+def g1(s, d):
+    return G.chains(X.base(s, d), X.links(s, d))
+
+
+@query("g2_lineage", "SELECT r.id, r.root, r.depth, l.parent FROM roots r LEFT JOIN links l ON l.child = r.id WHERE r.root IN (SELECT root FROM roots WHERE id % 20 = 0)")
+def g2(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    members, links = G.lineage(b, lk, b.where("id % 20 = 0"))
+    return members.join(links.select(F.col("child").alias("id"), "parent"), "id", "left").select("id", "root", "depth", "parent")
+
+
+_PROPOSALS = "pr AS (SELECT row_number() OVER (ORDER BY b.id) AS seq, CASE WHEN b.id % 6 = 0 THEN b.id + 1000000 ELSE b.id END AS parent, CASE WHEN b.id % 6 = 1 THEN coalesce((SELECT min(child) FROM links WHERE parent = b.id), b.id + 1) WHEN b.id % 6 = 2 THEN greatest(b.id - 1, 1) WHEN b.id % 6 = 3 THEN coalesce((SELECT min(id) FROM base x WHERE x.id NOT IN (SELECT child FROM links) AND x.id > b.id), 1) ELSE b.id + 30 END AS child FROM base b)"
+
+
+@query("g3_validate_links", f"""WITH {_PROPOSALS}, q AS (SELECT pr.*, p.t AS pt, c.t AS ct, coalesce((SELECT min(parent) FROM links l WHERE l.child = pr.child), first_value(pr.parent) OVER (PARTITION BY pr.child ORDER BY pr.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS taken,
+coalesce((SELECT n FROM kids k WHERE k.parent = pr.parent), 0) + count(*) OVER (PARTITION BY pr.parent ORDER BY pr.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS num FROM pr LEFT JOIN base p ON p.id = pr.parent LEFT JOIN base c ON c.id = pr.child)
+SELECT seq, parent, child, CASE WHEN pt IS NULL OR ct IS NULL THEN 'unknown_cell' WHEN ct <= pt THEN 'not_forward' WHEN taken = parent THEN 'duplicate' WHEN taken IS NOT NULL THEN 'has_parent' WHEN num >= 2 THEN 'two_children' WHEN ct - pt > 5 THEN 'gap' END AS reason FROM q""")
+def g3(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    first = lk.groupBy(F.col("parent").alias("id")).agg(F.min("child").alias("first"))
+    free = b.select("id").join(lk.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("free"), F.lit(1).alias("isfree"))
+    nxt = b.select("id").join(free, F.col("id") == F.col("free"), "left")
+    nxt = nxt.withColumn("next_free", F.first("free", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(1, Window.unboundedFollowing)))
+    m, i = F.col("id") % 6, F.col("id")
+    child = F.when(m == 1, F.coalesce("first", i + 1)).when(m == 2, F.greatest(i - 1, F.lit(1))).when(m == 3, F.coalesce("next_free", F.lit(1))).otherwise(i + 30)
+    pr = nxt.select("id", "next_free").join(first, "id", "left").select("id", F.when(m == 0, i + 1000000).otherwise(i).alias("parent"), child.alias("child"))
+    return G.validate_links(G.number_rows(pr, ["id"], "seq").select("seq", "parent", "child"), b, lk, 5)
+
+
+def _remat(chain_sql: str, seeds: str) -> str:
+    """Identity rule over the link set ``aft``, for ``seeds`` of ids."""
+    return f"""{chain_sql}, akids AS (SELECT parent, count(*) AS n FROM aft GROUP BY parent),
+ach(id, head) AS (SELECT b.id, b.id FROM base b LEFT JOIN aft l ON l.child = b.id LEFT JOIN akids k ON k.parent = l.parent WHERE l.parent IS NULL OR k.n > 1 UNION ALL SELECT l.child, c.head FROM ach c JOIN akids k ON k.parent = c.id AND k.n = 1 JOIN aft l ON l.parent = c.id),
+seeds AS ({seeds}), tou AS (SELECT DISTINCT head FROM ach WHERE id IN (SELECT id FROM seeds)),
+hd AS (SELECT head, CASE WHEN head IN (SELECT id FROM chains WHERE pos = 0) THEN (SELECT track_id FROM cells WHERE id = head) END AS kept FROM tou),
+ids AS (SELECT head, coalesce(kept, 19999 + row_number() OVER (PARTITION BY kept IS NULL ORDER BY head)) AS new FROM hd)
+SELECT a.id, c.track_id AS old, i.new FROM ach a JOIN ids i ON i.head = a.head JOIN cells c ON c.id = a.id"""
+
+
+_CHANGED = "(SELECT parent, child FROM aft EXCEPT SELECT parent, child FROM links) UNION ALL (SELECT parent, child FROM links EXCEPT SELECT parent, child FROM aft)"
+_SEEDS = f"WITH ch AS ({_CHANGED}) SELECT parent AS id FROM ch UNION SELECT child FROM ch UNION SELECT child FROM aft WHERE parent IN (SELECT parent FROM ch)"
+
+
+@query("g4_rematerialize", "WITH " + _remat(_AFTER, _SEEDS))
+def g4(s, d):
+    c = staged(X.cells(s, d), "cells")
+    return G.rematerialize(c, X.links(s, d), staged(_after(s, d), "after"), 20000)
+
+
+_LINKED = """pr AS (SELECT arg_max(a.id, a.t) AS parent, b.id AS child FROM base b JOIN base a ON a.user_id = b.user_id - 1 AND a.t < b.t WHERE b.id NOT IN (SELECT child FROM links) GROUP BY b.id),
+aft AS (SELECT parent, child FROM links UNION ALL SELECT parent, child FROM pr WHERE parent IN (SELECT parent FROM kids WHERE n = 1))"""
+
+
+@query("g5_link", "WITH " + _remat(_LINKED, _SEEDS))
+def g5(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    roots = b.select(F.col("id").alias("child"), (F.col("user_id") - 1).alias("user_id"), F.col("t").alias("ct")).join(lk.select("child"), "child", "left_anti")
+    near = b.join(roots, "user_id").where("t < ct").groupBy("child").agg(F.max_by("id", "t").alias("parent"))
+    single = lk.groupBy("parent").count().where("count = 1").select("parent")
+    new = near.join(single, "parent", "left_semi").select(F.col("child").alias("seq"), "parent", "child")
+    return G.graph_link(staged(X.cells(s, d), "cells"), lk, new, 20000)[1]
+
+
+@query("g6_cut", "WITH " + _remat("aft AS (SELECT parent, child FROM links WHERE child % 8 <> 0)", _SEEDS))
+def g6(s, d):
+    lk = X.links(s, d)
+    return G.graph_cut(staged(X.cells(s, d), "cells"), lk, lk.where("child % 8 = 0"), 20000)[1]
+
+
+@query("g7_unlink", "WITH " + _remat("mine AS (SELECT id FROM chains WHERE head IN (SELECT head FROM chains WHERE id % 30 = 0)), gone AS (SELECT parent, child FROM links WHERE parent IN (SELECT id FROM mine) OR child IN (SELECT id FROM mine)), aft AS (SELECT parent, child FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM gone))", "SELECT parent AS id FROM gone UNION SELECT child FROM gone UNION SELECT child FROM aft WHERE parent IN (SELECT parent FROM gone) UNION SELECT id FROM mine"))
+def g7(s, d):
+    c = staged(X.cells(s, d), "cells")
+    return G.graph_unlink(c, X.links(s, d), c.where("id % 30 = 0"), 20000)[1]
+
+
+@query("g8_set_labels", "WITH m AS (SELECT c.id, list_sort(coalesce(track_labels, [])) AS before FROM cells c JOIN chains h ON h.id = c.id WHERE h.head IN (SELECT head FROM chains WHERE id % 12 = 0)), a AS (SELECT id, before, list_sort(list_distinct(list_filter(list_concat(before, ['late']), lambda x: x <> 'cell type 1'))) AS after FROM m) SELECT id, array_to_string(before, ',') AS before, array_to_string(after, ',') AS after FROM a WHERE before <> after")
+def g8(s, d):
+    c = X.cells(s, d, False)
+    out = G.set_labels(c, X.links(s, d), c.where("id % 12 = 0"), "track", ["late"], ["cell type 1"])
+    return out.select("id", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
+@query("g9_strip_label", "SELECT id, array_to_string(list_filter(coalesce(labels, []), lambda x: x <> 'treated'), ',') AS labels, array_to_string(coalesce(track_labels, []), ',') AS track_labels FROM cells WHERE list_contains(labels, 'treated')")
+def g9(s, d):
+    return G.strip_label(X.cells(s, d, False), "treated").select("id", F.array_join("labels", ",").alias("labels"), F.array_join("track_labels", ",").alias("track_labels"))
+
+
+@query("g10_apply_delta", f"WITH {_AFTER} SELECT parent, child, 0 AS track_id FROM aft UNION ALL SELECT id, -1, CASE WHEN id % 10 = 0 THEN user_id ELSE track_id END FROM cells WHERE track_id IS NOT NULL OR id % 10 = 0")
+def g10(s, d):
+    c, lk = staged(X.cells(s, d), "cells"), X.links(s, d)
+    change = G.diff_links(lk, _after(s, d))
+    moves = c.where("id % 10 = 0").select("id", F.col("track_id").alias("old"), F.col("user_id").alias("new"))
+    once = G.apply_delta(lk, moves, c, change, False)
+    back = G.apply_delta(staged(once[0], "links"), moves, staged(once[1], "cells"), change, True)
+    again = G.apply_delta(staged(back[0], "links"), moves, staged(back[1], "cells"), change, False)
+    return again[0].select("parent", "child", F.lit(0).cast("long").alias("track_id")).unionByName(again[1].where("track_id IS NOT NULL").select(F.col("id").alias("parent"), F.lit(-1).cast("long").alias("child"), "track_id"))
+
+
+@query("g11_lineage_rows", "SELECT c.id, c.t, CASE WHEN l.child IS NOT NULL THEN l.confidence ELSE c.detection_confidence END AS confidence, coalesce(k.n >= 2, false) AS division, c.id % 9 = 0 AS selected FROM cells c LEFT JOIN links l ON l.child = c.id LEFT JOIN kids k ON k.parent = c.id")
+def g11(s, d):
+    c = X.cells(s, d, False)
+    return G.lineage_rows(c, X.links(s, d), c.where("id % 9 = 0"))
+
+
+@query("g12_lineage_layout")
+def g12(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    return G.lineage_layout(b.select("id", "t").join(G.tree_roots(b, lk), "id"), lk)
+
+
+@query("g13_shown_tracks", f"WITH {_SPANS}, {_SHOWN} SELECT track FROM shown")
+def g13(s, d):
+    return G.shown_tracks(G.track_spans(G.with_parent(X.cells(s, d), X.links(s, d))), 12)
+
+
+@query("g14_division_edges", "WITH c AS (SELECT id, t, coalesce(track_id, id) AS track FROM cells WHERE z IS NOT NULL) SELECT l.parent, l.child, b.track, b.t FROM links l JOIN c a ON a.id = l.parent JOIN c b ON b.id = l.child WHERE a.track <> b.track AND b.t BETWEEN 10 AND 20")
+def g14(s, d):
+    return G.division_edges(X.cells(s, d), X.links(s, d), 20, 10)
+
+
+@query("g15_track_identity", "WITH c AS (SELECT id, CASE WHEN id % 25 = 0 THEN 1 ELSE track_id END AS track_id FROM cells) SELECT track_id, count(DISTINCT head) AS chains FROM c JOIN chains h ON h.id = c.id WHERE track_id IS NOT NULL GROUP BY track_id HAVING count(DISTINCT head) > 1")
+def g15(s, d):
+    c = X.cells(s, d).withColumn("track_id", F.when(F.col("id") % 25 == 0, 1).otherwise(F.col("track_id")))
+    return G.check_track_identity(c, X.links(s, d))
+
+
+# --- arrays and voxels -----------------------------------------------------------------
+
+
+@query("v1_layout", f"""WITH {_LEVELS}, g AS (SELECT *, greatest(1, CAST(ceil(z / cz) AS BIGINT)) AS gz, greatest(1, CAST(ceil(y / cy) AS BIGINT)) AS gy, greatest(1, CAST(ceil(x / cx) AS BIGINT)) AS gx, cz * cy * cx * item_bytes AS cb FROM lv),
+v AS (SELECT dataset, level, 'xy' AS view, y * x * item_bytes AS bytes_needed, gy * gx AS chunks_decoded, 1 AS column_chunks, cb FROM g UNION ALL SELECT dataset, level, 'xz', z * x * item_bytes, gz * gx, gz, cb FROM g UNION ALL SELECT dataset, level, 'yz', z * y * item_bytes, gz * gy, gz, cb FROM g)
+SELECT dataset, level, view, bytes_needed, chunks_decoded, column_chunks, CASE WHEN bytes_needed = 0 THEN 0.0 ELSE chunks_decoded * cb / bytes_needed END AS amplification, CASE WHEN view = 'xy' THEN chunks_decoded * cb / bytes_needed > 4 ELSE column_chunks > 8 END AS hostile FROM v""")
+def v1(s, d):
+    return A.analyze_layout(_levels(s, d))
+
+
+@query("v2_level_factors", f"WITH {_LEVELS}, k AS (SELECT *, CASE WHEN dataset % 2 = 0 THEN 0.5 * pow(2, level) END AS sc FROM lv) SELECT a.dataset, a.level, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.z / a.z END AS fz, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.y / a.y END AS fy, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.x / a.x END AS fx FROM k a JOIN k b ON b.dataset = a.dataset AND b.level = 0")
+def v2(s, d):
+    scale = F.when(F.col("dataset") % 2 == 0, F.pow(F.lit(2.0), "level") * 0.5)
+    return A.level_factors(_levels(s, d).withColumns({f"scale_{a}": scale for a in "zyx"}))
+
+
+_STORES = "stores AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN ['t', 'c', 'z', 'y', 'x'] WHEN 1 THEN ['time', ' Y', 'x'] WHEN 2 THEN ['y', 't', 'x'] END AS names, CASE c_custkey % 5 WHEN 0 THEN [1, 2, 3, 4, 5 + c_custkey] WHEN 1 THEN [7, 8, c_custkey] WHEN 2 THEN [1, 2, 3] WHEN 3 THEN [4, 5] ELSE [2, 3, 4, c_custkey] END AS shape FROM customer)"
+
+
+@query("v3_axes", f"""WITH {_STORES}, a AS (SELECT id, shape, coalesce(array_to_string(list_transform(names, lambda x: lower(trim(x))[1]), ''), CASE len(shape) WHEN 2 THEN 'yx' WHEN 3 THEN 'zyx' WHEN 4 THEN 'tzyx' WHEN 5 THEN 'tczyx' END) AS axes FROM stores), b AS (SELECT *, regexp_full_match(axes, 't?c?z?yx') AND length(axes) = len(shape) AS ok FROM a)
+SELECT id, axes, ok, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 't'), 0)], 1) END AS t, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 'c'), 0)], 1) END AS c, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 'z'), 0)], 1) END AS z, CASE WHEN ok THEN shape[strpos(axes, 'y')] END AS y, CASE WHEN ok THEN shape[strpos(axes, 'x')] END AS x FROM b""")
+def v3(s, d):
+    k = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    m, i = F.col("id") % 5, F.col("id")
+
+    def longs(*xs):
+        return F.array(*[x.cast("long") if not isinstance(x, int) else F.lit(x).cast("long") for x in xs])
+
+    names = F.when(m == 0, F.array(*map(F.lit, "tczyx"))).when(m == 1, F.array(F.lit("time"), F.lit(" Y"), F.lit("x"))).when(m == 2, F.array(F.lit("y"), F.lit("t"), F.lit("x")))
+    shape = F.when(m == 0, longs(1, 2, 3, 4, 5 + i)).when(m == 1, longs(7, 8, i)).when(m == 2, longs(1, 2, 3)).when(m == 3, longs(4, 5)).otherwise(longs(2, 3, 4, i))
+    return A.resolve_axes(k.select("id", names.alias("names"), shape.alias("shape"))).select("id", "axes", "ok", *"tczyx")
+
+
+@query("v4_planes", "SELECT c, y AS row, x AS col, value, 'z' AS axis FROM image WHERE t = 1 AND z = 2 UNION ALL SELECT c, z, x, value, 'y' FROM image WHERE t = 1 AND y = 5 UNION ALL SELECT c, z, y, value, 'x' FROM image WHERE t = 1 AND x = 9")
+def v4(s, d):
+    v = X.image(s, d)
+    parts = [A.ortho_plane(v, a, 1, i, [0, 1]).withColumn("axis", F.lit(a)) for a, i in (("z", 2), ("y", 5), ("x", 9))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("v4_planes_of_chunks", "SELECT t, c, y AS row, x AS col, value FROM image WHERE z = 2")
+def v4b(s, d):
+    return A.chunk_plane(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), "z", 2, 4)
+
+
+@query("v5_volume", "SELECT z, y, x, value FROM image WHERE t = 2 AND c = 1")
+def v5(s, d):
+    levels = s.range(1).select(F.lit(4).alias("z"), F.lit(33).alias("y"), F.lit(33).alias("x"), F.lit(2).alias("item_bytes"))
+    return A.volume(X.image(s, d), levels, 2, 1)
+
+
+_POINTS = "pts AS (SELECT c_custkey AS id, c_custkey % 5 AS t, c_custkey % 3 AS c, c_custkey % 4 AS z, c_custkey % 35 AS y, c_custkey % 31 AS x FROM customer)"
+
+
+@query("v6_samples", f"WITH {_POINTS}, b AS (SELECT *, CASE WHEN t > 3 THEN 't' WHEN c > 1 THEN 'c' WHEN y > 32 THEN 'y' END AS bad_axis FROM pts) SELECT b.id, CASE WHEN bad_axis IS NULL THEN coalesce(i.value, 0) END AS value, bad_axis FROM b LEFT JOIN image i USING (t, c, z, y, x)")
+def v6(s, d):
+    k = F.col("c_custkey")
+    points = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), (k % 5).alias("t"), (k % 3).alias("c"), (k % 4).alias("z"), (k % 35).alias("y"), (k % 31).alias("x"))
+    return A.sample_points(X.image(s, d), points, {"t": 4, "c": 2, "z": 4, "y": 33, "x": 33})
+
+
+@query("v7_rechunk", "SELECT t, c, z, y, x, value FROM image")
+def v7(s, d):
+    return A.chunk_voxels(A.rechunk(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), (3, 20, 40), (4, 33, 33)))
+
+
+@query("v8_proxy", "SELECT t, c, 4 AS nz, 33 AS ny, 33 AS nx, count(*) * 2 AS bytes FROM image GROUP BY t, c")
+def v8(s, d):
+    return A.build_proxy(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), (4, 33, 33)).select("t", "c", "nz", "ny", "nx", F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("v9_stamps", f"WITH {_STAMPS} {_AS_RUNS}")
+def v9(s, d):
+    return L.merge_runs(L.stamp_runs(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0)), ("stroke", "t", "z", "y"))
+
+
+@query("v10_strokes", f"WITH {_STAMPS} {_AS_RUNS}")
+def v10(s, d):
+    return L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0))
+
+
+_EDITED = f"""{_STAMPS}, km AS (SELECT sv.*, CASE stroke % 3 WHEN 0 THEN 'paint' WHEN 1 THEN 'erase' ELSE 'scoped' END AS mode FROM sv),
+un AS (SELECT t, z, y, x, label FROM voxels UNION ALL SELECT t, z, y, x, 0 FROM km), ol AS (SELECT t, z, y, x, max(label) AS old FROM un GROUP BY ALL),
+ks AS (SELECT t, z, y, x, list(struct_pack(s := stroke, m := mode) ORDER BY stroke) AS ops FROM km GROUP BY ALL),
+nv AS (SELECT ol.t, ol.z, ol.y, ol.x, old, list_reduce(list_concat([struct_pack(s := old, m := 'old')], coalesce(ops, [])), lambda a, e: CASE WHEN e.m = 'paint' THEN struct_pack(s := e.s + 500000, m := 'v') WHEN e.m = 'erase' OR a.s = e.s THEN struct_pack(s := CAST(0 AS BIGINT), m := 'v') ELSE a END).s AS new FROM ol LEFT JOIN ks USING (t, z, y, x))"""
+
+
+def _strokes(s, d):
+    r = L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0))
+    m = F.col("stroke") % 3
+    return r.select("t", "z", "y", "x0", "x1", F.col("stroke").alias("seq"), F.when(m == 0, "paint").when(m == 1, "erase").otherwise("scoped").alias("mode"), (F.col("stroke") + 500000).alias("label"), F.col("stroke").alias("only"))
+
+
+@query("v11_apply_strokes", f"WITH {_EDITED} SELECT t, z, y, x, new AS label FROM nv WHERE new <> 0")
+def v11(s, d):
+    return L.explode_runs(L.apply_strokes(X.runs(s, d), _strokes(s, d))[0]).select("t", "z", "y", "x", "label")
+
+
+_STROKE_DELTAS = "sd AS (SELECT t, label, CAST(sum(n) AS BIGINT) AS area, CAST(sum(n * z) AS BIGINT) AS sum_z, CAST(sum(n * y) AS BIGINT) AS sum_y, CAST(sum(n * x) AS BIGINT) AS sum_x FROM (SELECT t, z, y, x, old AS label, -1 AS n FROM nv WHERE old <> new UNION ALL SELECT t, z, y, x, new, 1 FROM nv WHERE old <> new) WHERE label <> 0 GROUP BY t, label)"
+
+
+@query("v11_stroke_deltas", f"WITH {_EDITED}, {_STROKE_DELTAS} SELECT t, label, area, sum_z, sum_y, sum_x FROM sd")
+def v11b(s, d):
+    return L.change_deltas(L.apply_strokes(X.runs(s, d), _strokes(s, d))[1])
+
+
+@query("v12_clear_label", "WITH w AS (SELECT min(label) AS label FROM voxels WHERE t = 2), b AS (SELECT min(x) AS x0, max(y) AS y1 FROM voxels WHERE label = (SELECT label FROM w)) SELECT t, z, y, x, label FROM voxels WHERE t = 2 AND NOT (label = (SELECT label FROM w) AND y <= (SELECT y1 FROM b) AND x BETWEEN (SELECT x0 + 1 FROM b) AND (SELECT x0 + 2 FROM b))")
+def v12(s, d):
+    r = X.runs(s, d).where("t = 2")
+    w = r.agg(F.min("label")).first()[0] or 0
+    b = r.where(F.col("label") == w).agg(F.min("x0").alias("x0"), F.max("y").alias("y1")).first()
+    x0, y1 = b.x0 or 0, b.y1 or 0
+    return L.explode_runs(L.clear_label(r, 2, w, (0, 7, 0, y1, x0 + 1, x0 + 2))).select("t", "z", "y", "x", "label")
+
+
+@query("v13_affected_chunks", "SELECT DISTINCT t, z // 4 AS gz, y // 128 AS gy, x // 128 AS gx FROM voxels")
+def v13(s, d):
+    return L.affected_chunks(X.runs(s, d), (4, 128, 128))
+
+
+@query("v14_coarse", "SELECT t, z // 2 AS z, y // 2 AS y, x // 4 AS x, label FROM voxels WHERE z % 2 = 0 AND y % 2 = 0 AND x % 4 = 0")
+def v14(s, d):
+    return L.explode_runs(L.regenerate_coarse(X.runs(s, d), (2, 2, 4))).select("t", "z", "y", "x", "label")
+
+
+@query("v15_label_pyramid", "SELECT v.t, a.i AS z, b.i AS y, c.i AS x, label FROM voxels v JOIN (SELECT i, i * 8 // 5 AS s FROM range(0, 5) r(i)) a ON a.s = z JOIN (SELECT i, i * 512 // 200 AS s FROM range(0, 200) r(i)) b ON b.s = y JOIN (SELECT i, i * 512 // 300 AS s FROM range(0, 300) r(i)) c ON c.s = x")
+def v15(s, d):
+    return L.explode_runs(L.label_pyramid(X.runs(s, d), (8, 512, 512), (5, 200, 300))).select("t", "z", "y", "x", "label")
+
+
+@query("v16_restore", "WITH ck AS (SELECT DISTINCT chunk_key, 'now ' || chunk_key AS data FROM blobs), sn AS (SELECT chunk_key, arg_min(existed, seq) AS existed, arg_min(before, seq) AS data FROM blobs WHERE seq % 7 = 0 GROUP BY chunk_key) SELECT chunk_key, data FROM ck WHERE chunk_key NOT IN (SELECT chunk_key FROM sn) UNION ALL SELECT chunk_key, data FROM sn WHERE existed")
+def v16(s, d):
+    b = X.blobs(s, d)
+    chunks = b.select("chunk_key", F.concat(F.lit("now "), "chunk_key").alias("data")).distinct()
+    snaps = b.where("seq % 7 = 0").groupBy("chunk_key").agg(F.min_by("existed", "seq").alias("existed"), F.min_by("before", "seq").alias("data"))
+    return E.restore_chunks(chunks, snaps)
+
+
+@query("v17_outline", """WITH p AS (SELECT t, y, x, label FROM voxels WHERE z = 4 AND label % 2 = 0), st AS (SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0),
+n AS (SELECT p.t, p.y AS oy, p.x AS ox, p.label AS owner, p.y + dy AS y, p.x + dx AS x FROM p, st WHERE p.y + dy BETWEEN 0 AND 511 AND p.x + dx BETWEEN 0 AND 511),
+o AS (SELECT n.*, q.label FROM n LEFT JOIN p q ON q.t = n.t AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
+SELECT t, y, x, min(owner) AS owner FROM (SELECT t, oy AS y, ox AS x, owner FROM o UNION ALL SELECT t, y, x, owner FROM o WHERE label IS NULL) GROUP BY t, y, x""")
+def v17(s, d):
+    plane = X.voxels(s, d).where("z = 4 AND label % 2 = 0").select("t", "y", "x", "label")
+    return L.label_outline(plane, (512, 512))
+
+
+@query("v18_level_shapes", f"WITH RECURSIVE im AS (SELECT c_custkey AS dataset, 2 AS t, 1 AS c, 4 AS z, 200 + c_custkey % 3000 AS y, 300 + c_custkey % 2000 AS x FROM customer), lvl AS (SELECT *, 0 AS level FROM im UNION ALL SELECT dataset, t, c, z, y // 2, x // 2, level + 1 FROM lvl WHERE least(y, x) > 256) SELECT dataset, level, z, y, x, t * c * z * y * x * 2 AS bytes FROM lvl")
+def v18(s, d):
+    k = F.col("c_custkey")
+    return A.level_shapes(s.read.parquet(f"{d}/customer.parquet").select(k.alias("dataset"), F.lit(2).cast("long").alias("t"), F.lit(1).cast("long").alias("c"), F.lit(4).cast("long").alias("z"), (200 + k % 3000).alias("y"), (300 + k % 2000).alias("x")))
+
+
+@query("v18_image_pyramid", "WITH a AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM image WHERE y < 32 AND x < 32 GROUP BY ALL), b AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM a GROUP BY ALL) SELECT t, c, z, y, x, value, 0 AS level FROM image UNION ALL SELECT *, 1 FROM a UNION ALL SELECT *, 2 FROM b")
+def v18b(s, d):
+    return A.build_pyramid(X.image(s, d), 33, 33, 8)
+
+
+@query("v19_window_gamma", "SELECT t, c, z, y, x, CAST(round(1000000 * pow(least(1.0, greatest(0.0, (value - 1000) / (40000 - 1000))), 0.8)) AS BIGINT) AS shade FROM image WHERE y = 3")
+def v19(s, d):
+    return X.image(s, d).where("y = 3").select("t", "c", "z", "y", "x", F.round(1000000 * S.window_gamma(F.col("value"), 1000, 40000, 0.8)).cast("long").alias("shade"))
+
+
+@query("v20_world", "SELECT id, z * (2.0 / 0.5 * 1.5) AS wz, y * (0.5 / 0.5 * 1.0) AS wy, x * 1.0 AS wx FROM cells")
+def v20(s, d):
+    return A.to_world(X.cells(s, d, False), (2.0, 0.5, 0.5), (1.5, 1.0, 1.0)).select("id", "wz", "wy", "wx")
+
+
+@query("v21_voxel_size", "WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 0.5 END AS e, c_custkey % 7 AS n, CASE c_custkey % 3 WHEN 0 THEN 'nm' WHEN 1 THEN ' MM ' END AS unit FROM customer) SELECT id, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / nullif(n, 0), 1.0) AS size_z, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / 8, 1.0) AS size_y, 1.0 AS size_x FROM i")
+def v21(s, d):
+    k = F.col("c_custkey")
+    e = F.when(k % 4 != 0, k * F.lit(0.5))
+    info = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), e.alias("ext_z"), (k % 7).alias("n_z"), e.alias("ext_y"), F.lit(8).alias("n_y"), F.lit(None).cast("double").alias("ext_x"), F.lit(5).alias("n_x"), F.when(k % 3 == 0, "nm").when(k % 3 == 1, " MM ").alias("unit"))
+    return A.voxel_size_um(info).select("id", "size_z", "size_y", "size_x")
+
+
+@query("v22_contract", f"WITH {_LEVELS} SELECT dataset, level, CASE WHEN dataset % 6 = 0 AND level = 3 THEN 'missing level' WHEN level = 4 THEN 'extra level' WHEN dataset % 6 = 1 THEN 'dtype' WHEN dataset % 6 = 2 AND level = 1 THEN 'axes' WHEN dataset % 6 = 3 THEN 'channels' ELSE 'extent' END AS reason FROM (SELECT dataset, level FROM lv UNION ALL SELECT dataset, 4 FROM lv WHERE level = 0 AND dataset % 6 = 5) WHERE (dataset % 6 = 0 AND level = 3) OR level = 4 OR dataset % 6 = 1 OR (dataset % 6 = 2 AND level = 1) OR dataset % 6 = 3 OR (dataset % 6 = 4 AND level = 2)")
+def v22(s, d):
+    image = _levels(s, d).select("dataset", "level", F.lit(30).alias("t"), F.lit(2).alias("c"), "z", "y", "x")
+    m = F.col("dataset") % 6
+    own = image.where(~((m == 0) & (F.col("level") == 3)))
+    own = own.unionByName(image.where((F.col("level") == 0) & (m == 5)).withColumn("level", F.lit(4).cast("long")))
+    own = own.withColumns({"dtype": F.when(m == 1, "u16").otherwise("u32"), "axes": F.when((m == 2) & (F.col("level") == 1), "tzcyx").otherwise("tczyx"), "c": F.when(m == 3, 2).otherwise(1), "y": F.when((m == 4) & (F.col("level") == 2), F.col("y") + 1).otherwise(F.col("y"))})
+    return A.check_contract(own, image)
+
+
+@query("v23_set_digest")
+def v23(s, d):
+    return L.set_digest(L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0)), ("stroke",))
+
+
+@query("v24_segment", "SELECT t, c, z, y, x, CASE WHEN value > 32768 THEN 1 ELSE 0 END AS value FROM image")
+def v24(s, d):
+    chunks = A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33))
+    return A.chunk_voxels(A.segment(chunks, lambda a: (a > 32768).astype("uint32")))
+
+
+@query("v25_thin_stamps")
+def v25(s, d):
+    points = X.base(s, d).select("user_id", F.col("n").cast("long").alias("seq"), *[F.col(a).cast("double").alias(a) for a in "zyx"])
+    return L.thin_stamps(points, "user_id", 4.0, (2.0, 1.0, 1.0), 10)
+
+
+@query("v26_plane_spans", "WITH c AS (SELECT t, label, z // 2 AS z, y // 2 AS y, x // 2 AS x FROM voxels WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0), i AS (SELECT *, x - row_number() OVER (PARTITION BY t, label, z, y ORDER BY x) AS g FROM c WHERE z = 2) SELECT t, label, y AS row, min(x) AS a0, max(x) AS a1, 'z' AS axis FROM i GROUP BY t, label, y, g UNION ALL SELECT t, label, z, y, y, 'x' FROM c WHERE x = 100")
+def v26(s, d):
+    r = X.runs(s, d)
+    return L.plane_spans(r, "z", 2, (2, 2, 2)).withColumn("axis", F.lit("z")).unionByName(L.plane_spans(r, "x", 100, (2, 2, 2)).withColumn("axis", F.lit("x")))
+
+
+@query("s11_narrow_dtype", "SELECT t, CASE WHEN max(label) * 30 < 65536 THEN 'u16' ELSE 'u32' END AS dtype FROM voxels GROUP BY t")
+def s11(s, d):
+    return L.narrow_dtype(X.runs(s, d).withColumn("label", F.col("label") * 30))
+
+
+@query("s3_staging_duplicates", "WITH c AS (SELECT id FROM stg_cells UNION ALL SELECT id FROM stg_cells WHERE id % 60 = 0), l AS (SELECT parent, child, side FROM stg_links UNION ALL SELECT parent, child, side FROM stg_links WHERE child % 40 = 0) SELECT 'cell' AS kind, id, NULL AS other, count(*) AS n FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'link on ' || side, parent, child, count(*) FROM l GROUP BY parent, child, side HAVING count(*) > 1")
+def s3(s, d):
+    c, lk = X.stg_cells(s, d), X.stg_links(s, d)
+    return R.staging_duplicates(c.unionByName(c.where("id % 60 = 0")), lk.unionByName(lk.where("child % 40 = 0")))
