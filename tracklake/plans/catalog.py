@@ -862,7 +862,7 @@ def v20(s, d):
     return A.to_world(X.cells(s, d, False), (2.0, 0.5, 0.5), (1.5, 1.0, 1.0)).select("id", "wz", "wy", "wx")
 
 
-@query("v21_voxel_size", "WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 0.5 END AS e, c_custkey % 7 AS n, CASE c_custkey % 3 WHEN 0 THEN 'nm' WHEN 1 THEN ' MM ' END AS unit FROM customer) SELECT id, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / nullif(n, 0), 1.0) AS size_z, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / 8, 1.0) AS size_y, 1.0 AS size_x FROM i")
+@query("v21_voxel_size", "WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 0.5 END AS e, c_custkey % 7 AS n, CASE c_custkey % 3 WHEN 0 THEN 'nm' WHEN 1 THEN ' MM ' END AS unit FROM customer) SELECT id, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / nullif(n, 0), 1.0) AS size_z, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / 8, 1.0) AS size_y, CAST(1.0 AS DOUBLE) AS size_x FROM i")
 def v21(s, d):
     k = F.col("c_custkey")
     e = F.when(k % 4 != 0, k * F.lit(0.5))
@@ -912,3 +912,272 @@ def s11(s, d):
 def s3(s, d):
     c, lk = X.stg_cells(s, d), X.stg_links(s, d)
     return R.staging_duplicates(c.unionByName(c.where("id % 60 = 0")), lk.unionByName(lk.where("child % 40 = 0")))
+
+
+# --- incremental statistics ------------------------------------------------------------
+
+_EXT = "ext AS (SELECT t, label, area, CAST(sum_z AS BIGINT) AS sum_z, CAST(sum_y AS BIGINT) AS sum_y, CAST(sum_x AS BIGINT) AS sum_x, z0, z1, y0, y1, x0, x1 FROM inventory)"
+_DLT = "dt AS (SELECT t, label, -area + CASE WHEN label % 2 = 0 THEN 5 ELSE 0 END - CASE WHEN label % 26 = 1 THEN 9 ELSE 0 END AS area, -sum_z AS sum_z, -sum_y AS sum_y, -sum_x AS sum_x, z0 - 1 AS z0, z1 AS z1, y0 AS y0, y1 + 2 AS y1, x0 AS x0, x1 AS x1 FROM ext WHERE label % 3 = 1)"
+
+
+def _extent(s, d):
+    return L.label_inventory(X.runs(s, d)).select(*E.KEY, "area", *E.SUMS, *E.BOX)
+
+
+def _extent_deltas(ext):
+    area = -F.col("area") + F.when(F.col("label") % 2 == 0, 5).otherwise(0) - F.when(F.col("label") % 26 == 1, 9).otherwise(0)
+    return ext.where("label % 3 = 1").select(*E.KEY, area.alias("area"), *[(-F.col(c)).alias(c) for c in E.SUMS], (F.col("z0") - 1).alias("z0"), "z1", "y0", (F.col("y1") + 2).alias("y1"), "x0", "x1")
+
+
+_FOLDED = "fo AS (SELECT t, label, CAST(sum(area) AS BIGINT) AS area, CAST(CASE WHEN sum(area) = 0 THEN 0 ELSE sum(sum_z) END AS BIGINT) AS sum_z, CAST(CASE WHEN sum(area) = 0 THEN 0 ELSE sum(sum_y) END AS BIGINT) AS sum_y, CAST(CASE WHEN sum(area) = 0 THEN 0 ELSE sum(sum_x) END AS BIGINT) AS sum_x, min(z0) AS z0, max(z1) AS z1, min(y0) AS y0, max(y1) AS y1, min(x0) AS x0, max(x1) AS x1, sum(area) < 0 AS error FROM (SELECT * FROM ext UNION ALL SELECT * FROM dt) GROUP BY t, label)"
+
+
+@query("e1_fold_extents", f"WITH {_EXT}, {_DLT}, {_FOLDED} SELECT * FROM fo")
+def e1(s, d):
+    ext = _extent(s, d)
+    return E.fold_extents(ext, _extent_deltas(ext))
+
+
+@query("e2_ensure_extent", f"WITH {_EXT} SELECT t, label, CASE WHEN label % 2 = 0 THEN -1 ELSE area END AS area, sum_z, sum_y, sum_x, z0, z1, y0, y1, x0, x1 FROM ext WHERE label % 2 = 0 OR label % 3 = 0")
+def e2(s, d):
+    ext = _extent(s, d)
+    have = ext.where("label % 2 = 0").withColumn("area", F.lit(-1).cast("long"))
+    return E.ensure_extent(have, X.runs(s, d), ext.where("label % 3 = 0 OR label % 2 = 0").select(*E.KEY))
+
+
+@query("e3_before_edit", f"WITH {_EDITED}, {_STROKE_DELTAS}, sc AS (SELECT t, new AS label, count(*) AS area, CAST(sum(z) AS BIGINT) AS sum_z, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x FROM nv WHERE new <> 0 GROUP BY t, new), b AS (SELECT sc.t, sc.label, sc.area - coalesce(sd.area, 0) AS area, sc.sum_z - coalesce(sd.sum_z, 0) AS sum_z, sc.sum_y - coalesce(sd.sum_y, 0) AS sum_y, sc.sum_x - coalesce(sd.sum_x, 0) AS sum_x FROM sc LEFT JOIN sd ON sd.t = sc.t AND sd.label = sc.label) SELECT * FROM b")
+def e3(s, d):
+    after, changes = L.apply_strokes(X.runs(s, d), _strokes(s, d))
+    return E.before_edit(L.label_inventory(after), L.change_deltas(changes))
+
+
+@query("e4_upsert_cells", f"WITH {_EXT}, c AS (SELECT id, t, z, y, x, area, state FROM cells WHERE id % 3 <> 0), e AS (SELECT * FROM ext WHERE label % 2 = 0) SELECT coalesce(c.id, e.label) AS id, coalesce(c.t, e.t) AS t, coalesce(e.sum_z / e.area, c.z) AS z, coalesce(e.sum_y / e.area, c.y) AS y, coalesce(e.sum_x / e.area, c.x) AS x, coalesce(e.area, c.area) AS area, c.state FROM c FULL JOIN e ON e.label = c.id")
+def e4(s, d):
+    c = X.cells(s, d, False).where("id % 3 <> 0").select("id", "t", "z", "y", "x", "area", "state")
+    return E.upsert_cells(c, _extent(s, d).where("label % 2 = 0"))
+
+
+@query("e5_remove_cells", "SELECT 'cell' AS kind, id AS a, t AS b FROM base WHERE id % 9 <> 0 UNION ALL SELECT 'link', parent, child FROM links WHERE parent % 9 <> 0 AND child % 9 <> 0 UNION ALL SELECT 'mask', t, label FROM mask_labels WHERE label % 9 <> 0 UNION ALL SELECT 'lost_cell', id, t FROM base WHERE id % 9 = 0 UNION ALL SELECT 'lost_link', parent, child FROM links WHERE parent % 9 = 0 OR child % 9 = 0")
+def e5(s, d):
+    b = X.base(s, d)
+    out = E.remove_cells(b, X.links(s, d), X.mask_labels(s, d), b.where("id % 9 = 0"))
+    parts = [out["cells"].select(F.lit("cell"), "id", "t"), out["links"].select(F.lit("link"), "parent", "child"), out["mask_labels"].select(F.lit("mask"), "t", "label"), out["lost_cells"].select(F.lit("lost_cell"), "id", "t"), out["lost_links"].select(F.lit("lost_link"), "parent", "child")]
+    all_rows = parts[0]
+    for p in parts[1:]:
+        all_rows = all_rows.union(p)
+    return all_rows.toDF("kind", "a", "b")
+
+
+@query("e6_restore_cells", "SELECT 'cell' AS kind, id AS a, t AS b FROM base UNION ALL SELECT 'link', parent, child FROM links")
+def e6(s, d):
+    b, lk = X.base(s, d), X.links(s, d)
+    out = E.remove_cells(b, lk, X.mask_labels(s, d), b.where("id % 9 = 0"))
+    cells, links = E.restore_cells(out["cells"], out["links"], out["lost_cells"], out["lost_links"])
+    return cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b")).union(links.select(F.lit("link"), "parent", "child"))
+
+
+@query("e7_import_upsert", """WITH c AS (SELECT id, t, z, y, x, area, detection_confidence, state, src_id - 1 AS src_id, reviewed FROM cells WHERE id % 3 <> 0), f AS (SELECT id, t + 1 AS t, CASE WHEN id % 4 = 0 THEN NULL ELSE z + 0.5 END AS z, state FROM cells WHERE id % 2 = 0)
+SELECT coalesce(c.id, f.id) AS id, coalesce(f.t, c.t) AS t, coalesce(f.z, c.z) AS z, c.y, c.area, CASE WHEN f.id IS NOT NULL THEN 'file' ELSE c.state END AS state, CASE WHEN f.id IS NOT NULL THEN f.id ELSE c.src_id END AS src_id, coalesce(c.reviewed, false) AS reviewed FROM c FULL JOIN f ON f.id = c.id""")
+def e7(s, d):
+    c = X.cells(s, d, False).withColumn("track_id", F.lit(None).cast("long"))
+    have = c.where("id % 3 <> 0").withColumn("src_id", F.col("src_id") - 1)
+    file = c.where("id % 2 = 0").withColumns({"t": F.col("t") + 1, "z": F.when(F.col("id") % 4 != 0, F.col("z") + 0.5), "y": F.lit(None).cast("double"), "x": F.lit(None).cast("double"), "state": F.lit("file")})
+    return E.materialize(file, have).select("id", "t", "z", "y", "area", "state", "src_id", "reviewed")
+
+
+@query("e8_negate", f"WITH {_EXT}, {_DLT} SELECT t, label, -area AS area, -sum_z AS sum_z, -sum_y AS sum_y, -sum_x AS sum_x, CAST(NULL AS BIGINT) AS z0 FROM dt")
+def e8(s, d):
+    return E.negate(_extent_deltas(_extent(s, d))).select(*E.KEY, "area", *E.SUMS, "z0")
+
+
+@query("e9_frame_conflict", f"WITH {_EXT} SELECT e.label, e.t + 1 AS t, b.t AS lives_at FROM ext e JOIN base b ON b.id = e.label WHERE e.label % 4 = 0")
+def e9(s, d):
+    moved = _extent(s, d).withColumn("t", F.when(F.col("label") % 4 == 0, F.col("t") + 1).otherwise(F.col("t")))
+    return E.check_frame(X.base(s, d), moved)
+
+
+@query("e10_reserve_ids", "SELECT greatest((SELECT max(id) FROM base), (SELECT max(label) FROM mask_labels)) + 1 AS first, greatest((SELECT max(id) FROM base), (SELECT max(label) FROM mask_labels)) + 64 AS last, greatest((SELECT max(id) FROM base), (SELECT max(label) FROM mask_labels)) + 64 <= 16777215 AS ok")
+def e10(s, d):
+    return R.reserve_ids(X.base(s, d), X.mask_labels(s, d), 0, 64)
+
+
+@query("e11_import_gate", "SELECT (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM edits WHERE domain = 'graph') AS graph_edits, (SELECT count(*) FROM links) > 0 OR (SELECT count(*) FROM edits WHERE domain = 'graph') > 0 AS blocked")
+def e11(s, d):
+    return E.import_blocker(X.links(s, d), X.edits(s, d))
+
+
+@query("e12_validate_staged", f"WITH {_ALL_RULES} SELECT rule, cell_id, message FROM f")
+def e12(s, d):
+    return R.validate_staged(X.stg_cells(s, d), X.stg_links(s, d), X.mask_labels(s, d))
+
+
+# --- journal ---------------------------------------------------------------------------
+
+
+@query("l1_record", "SELECT seq, domain FROM edits WHERE NOT undone UNION ALL SELECT (SELECT max(seq) FROM edits) + 1, 'graph' UNION ALL SELECT -count(*), 'snapshots' FROM blobs WHERE seq IN (SELECT seq FROM edits WHERE NOT undone)")
+def l1(s, d):
+    e = X.edits(s, d)
+    op = e.limit(1).withColumns({"seq": F.lit(1).cast("long"), "domain": F.lit("graph"), "undone": F.lit(False), "pending": F.lit(False)})
+    edits, blobs = E.record(e, X.blobs(s, d), op)
+    return edits.select("seq", "domain").unionByName(blobs.agg((-F.count("*")).alias("seq")).withColumn("domain", F.lit("snapshots")))
+
+
+_LIVE = "lw AS (SELECT w.* FROM (SELECT o_orderkey AS seq, o_custkey AS cell, o_orderkey % 1000 AS track, o_orderkey % 30 AS t FROM orders) w JOIN edits e ON e.seq = w.seq WHERE NOT undone AND NOT pending)"
+
+
+@query("l2_replay", f"WITH {_LIVE} SELECT cell AS id, arg_max(track, seq) AS track_id FROM lw GROUP BY cell")
+def l2(s, d):
+    w = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 1000).alias("track_id"))
+    return E.replay_last(X.edits(s, d), w, "id", "track_id")
+
+
+@query("l2_replay_extents", f"WITH {_EXT}, dz AS (SELECT ext.*, label AS seq FROM ext WHERE label IN (SELECT seq FROM edits WHERE NOT undone AND NOT pending)) SELECT ext.t, ext.label, ext.area + coalesce(dz.area, 0) AS area, ext.sum_z + coalesce(dz.sum_z, 0) AS sum_z FROM ext LEFT JOIN dz ON dz.label = ext.label AND dz.t = ext.t")
+def l2b(s, d):
+    ext = _extent(s, d)
+    return E.replay_extents(ext, X.edits(s, d), ext.withColumn("seq", F.col("label"))).select("t", "label", "area", "sum_z")
+
+
+@query("l3_recover", "WITH ck AS (SELECT DISTINCT chunk_key, 'now ' || chunk_key AS data FROM blobs), sn AS (SELECT chunk_key, arg_min(existed, seq) AS existed, arg_min(before, seq) AS data FROM blobs WHERE seq IN (SELECT seq FROM edits WHERE pending) GROUP BY chunk_key) SELECT chunk_key, data FROM ck WHERE chunk_key NOT IN (SELECT chunk_key FROM sn) UNION ALL SELECT chunk_key, data FROM sn WHERE existed")
+def l3(s, d):
+    b = X.blobs(s, d)
+    return E.recover(X.edits(s, d), b.select("chunk_key", F.concat(F.lit("now "), "chunk_key").alias("data")).distinct(), b)
+
+
+@query("l4_journal_marks", "SELECT seq, CASE WHEN seq % 4 = 0 THEN true ELSE undone END AS undone FROM edits WHERE seq % 5 <> 0")
+def l4(s, d):
+    e = X.edits(s, d)
+    marked = E.mark_undone(e, e.where("seq % 4 = 0"), True)
+    return E.delete_edits(marked, X.blobs(s, d), e.where("seq % 5 = 0"))[0].select("seq", "undone")
+
+
+@query("l5_versions", "SELECT counter, count(*) AS version FROM (SELECT CASE WHEN domain = 'mask' THEN 'labels' ELSE domain END AS counter FROM edits WHERE NOT pending UNION ALL SELECT 'graph' FROM edits WHERE NOT pending AND domain = 'mask' AND seq % 6 = 0) GROUP BY counter")
+def l5(s, d):
+    return E.versions(X.edits(s, d).withColumn("touches_cells", F.col("seq") % 6 == 0))
+
+
+# --- scalar functions --------------------------------------------------------------------
+
+
+def _customer(s, d):
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
+
+
+def _pick(values: list, key: str = "id"):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values: list) -> str:
+    listed = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{listed}])[c_custkey % {len(values)} + 1]"
+
+
+_AXES = ["t", "Time", " channel ", "CH", "depth", "z", "Y", "x", "q", ""]
+
+
+@query("f1_axis_slot", f"SELECT c_custkey AS id, CASE lower(trim({_pick_sql(_AXES)})) WHEN 't' THEN 0 WHEN 'time' THEN 0 WHEN 'c' THEN 1 WHEN 'channel' THEN 1 WHEN 'ch' THEN 1 WHEN 'z' THEN 2 WHEN 'depth' THEN 2 WHEN 'y' THEN 3 WHEN 'x' THEN 4 END AS slot FROM customer")
+def f1(s, d):
+    return _customer(s, d).select("id", S.axis_slot(_pick(_AXES)).alias("slot"))
+
+
+_UNITS = ["nm", " Millimetre", "CM", "m", "angstrom", "um", "parsec"]
+
+
+@query("f2_unit_factor", f"SELECT c_custkey AS id, CAST(CASE lower(trim({_pick_sql(_UNITS)})) WHEN 'nm' THEN 1e-3 WHEN 'millimetre' THEN 1e3 WHEN 'cm' THEN 1e4 WHEN 'm' THEN 1e6 WHEN 'angstrom' THEN 1e-4 ELSE 1 END AS DOUBLE) AS factor FROM customer")
+def f2(s, d):
+    return _customer(s, d).select("id", S.unit_micrometres(_pick(_UNITS)).alias("factor"))
+
+
+@query("f3_scale_product", "SELECT c_custkey AS id, c_custkey * CAST(1.5 AS DOUBLE) AS a, c_custkey * CAST(0.25 AS DOUBLE) AS b FROM customer")
+def f3(s, d):
+    inner, outer = F.array(F.col("id") * F.lit(0.5), F.col("id") * F.lit(0.25)), F.array(F.lit(3.0))
+    scale = S.combine_scales(inner, outer)
+    return _customer(s, d).select("id", scale[0].alias("a"), scale[1].alias("b"))
+
+
+@query("f4_channel_defaults", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'GFP' ELSE 'Channel ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'AB12CD' ELSE (['00FF00', 'FF00FF', '00FFFF', 'FFFF00', 'FF0000', '0000FF'])[c_custkey % 6 + 1] END AS color FROM customer")
+def f4(s, d):
+    return _customer(s, d).select("id", S.channel_name(F.when(F.col("id") % 3 == 0, "GFP"), F.col("id")).alias("name"), S.channel_color(F.when(F.col("id") % 4 == 0, "#ab12cd"), F.col("id")).alias("color"))
+
+
+_NAMES = [" a ", "", "  ", "ESI", "cell type 1 "]
+
+
+@query("f5_label_name", f"SELECT c_custkey AS id, nullif(trim({_pick_sql(_NAMES)}), '') AS name FROM customer")
+def f5(s, d):
+    return _customer(s, d).select("id", S.label_name(_pick(_NAMES)).alias("name"))
+
+
+_COLORS = ["#AABBCC", "#abc", "red", "#00ff7F", "#12345g"]
+
+
+@query("f6_label_color", f"SELECT c_custkey AS id, CASE WHEN regexp_full_match({_pick_sql(_COLORS)}, '#[0-9a-fA-F]{{6}}') THEN lower({_pick_sql(_COLORS)}) END AS color FROM customer")
+def f6(s, d):
+    return _customer(s, d).select("id", S.label_color(_pick(_COLORS)).alias("color"))
+
+
+_LABEL_JSON = ['["a","b"]', "[]", None, '["x y"]']
+
+
+@query("f7_label_json", "SELECT c_custkey AS id, (['a|b', '', '', 'x y'])[c_custkey % 4 + 1] AS names, (['[\"a\",\"b\"]', NULL, NULL, '[\"x y\"]'])[c_custkey % 4 + 1] AS text FROM customer")
+def f7(s, d):
+    names = S.labels_of_json(_pick(_LABEL_JSON))
+    return _customer(s, d).select("id", F.array_join(names, "|").alias("names"), S.json_of_labels(names).alias("text"))
+
+
+@query("f8_op_scope", "SELECT seq, coalesce(json_extract_string(op, '$.scope'), json_extract_string(op, '$.kind')) AS scope FROM edits")
+def f8(s, d):
+    return X.edits(s, d).select("seq", S.op_scope(F.col("op")).alias("scope"))
+
+
+@query("f9_signed_labels", "SELECT c_custkey AS id, '+a, +n' || c_custkey || ', −b' AS text FROM customer")
+def f9(s, d):
+    return _customer(s, d).select("id", S.signed_labels(F.array(F.lit("a"), F.concat(F.lit("n"), "id")), F.array(F.lit("b"))).alias("text"))
+
+
+@query("f10_snapshot_name", "WITH b AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS stem FROM orders), k AS (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS k FROM b) SELECT id, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END AS name FROM k")
+def f10(s, d):
+    stem = F.regexp_replace(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "[^0-9A-Za-z]", "")
+    out = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), stem.alias("stem"))
+    k = F.row_number().over(Window.partitionBy("stem").orderBy("id"))
+    return out.withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", "k")).alias("name"))
+
+
+@query("f11_palette_index", "SELECT id, (least(id * 5000, 16777215) - 1) % 1024 AS slot FROM base")
+def f11(s, d):
+    return X.base(s, d).select("id", S.palette_index(F.col("id") * 5000).alias("slot"))
+
+
+@query("f12_default_color", "SELECT DISTINCT event_type AS name, list_reduce(list_concat([0::BIGINT], list_transform(string_split(event_type, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS slot FROM events")
+def f12(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name")).distinct().select("name", S.default_label_color(F.col("name")).alias("slot"))
+
+
+@query("f13_color_hex", "SELECT c_custkey AS id, printf('%02X%02X%02X', CAST(round_even(least(1.0, c_custkey % 11 / 10.0) * 255, 0) AS BIGINT), CAST(round_even(least(1.0, c_custkey % 7 / 4.0) * 255, 0) AS BIGINT), 0) AS color FROM customer")
+def f13(s, d):
+    text = F.concat_ws(" ", F.col("id") % 11 / F.lit(10.0), F.col("id") % 7 / F.lit(4.0), F.lit("-0.5"))
+    return _customer(s, d).select("id", S.color_hex(text).alias("color"))
+
+
+_STAMPS_TEXT = ["2024-01-02 03:04:05", "yesterday", "2024-13-01 00:00:00", "2023-12-31 23:59:59"]
+
+
+@query("f14_timestamp", f"SELECT c_custkey AS id, strftime(try_strptime({_pick_sql(_STAMPS_TEXT)}, '%Y-%m-%d %H:%M:%S'), '%Y/%m/%d %H:%M') AS at FROM customer")
+def f14(s, d):
+    return _customer(s, d).select("id", F.date_format(S.parse_timestamp(_pick(_STAMPS_TEXT)), "yyyy/MM/dd HH:mm").alias("at"))
+
+
+@query("f15_chunk_key", "SELECT c_custkey AS id, '2/c/' || c_custkey || '/0/1/' || c_custkey % 7 || '/3' AS key, c_custkey AS t, c_custkey % 7 AS gy FROM customer")
+def f15(s, d):
+    key = S.chunk_key(F.lit(2), F.lit("c"), F.col("id"), F.lit(1), F.col("id") % 7, F.lit(3))
+    return _customer(s, d).select("id", key.alias("key")).select("id", "key", S.chunk_key_parts(F.col("key")).alias("p")).select("id", "key", "p.t", "p.gy")
+
+
+@query("f16_grid", f"WITH {_LEVELS} SELECT dataset, level, greatest(1, CAST(ceil(x / cx) AS BIGINT)) AS n, least(cx, x - (greatest(1, CAST(ceil(x / cx) AS BIGINT)) - 1) * cx) AS last FROM lv")
+def f16(s, d):
+    n = S.grid_size(F.col("x"), F.col("cx"))
+    return _levels(s, d).select("dataset", "level", n.alias("n"), S.clipped(F.col("x"), F.col("cx"), n - 1).alias("last"))
+
+
+@query("f17_ratio", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 1.0 ELSE c_custkey / (c_custkey % 5 * CAST(0.5 AS DOUBLE)) END AS r FROM customer")
+def f17(s, d):
+    return _customer(s, d).select("id", S.ratio(F.col("id").cast("double"), F.col("id") % 5 * F.lit(0.5)).alias("r"))

@@ -45,7 +45,7 @@ CTES: dict[str, str] = {
         CASE WHEN child % 97 = 4 THEN 0.125 ELSE confidence END, 'parent' FROM links WHERE child % 2 = 0""",
     "nodes": """SELECT b.id * 10 + 3 AS src, c.head AS track, b.t, CAST(b.z AS DOUBLE) AS z, CAST(b.y AS DOUBLE) AS y, CAST(b.x AS DOUBLE) AS x, l.parent * 10 + 3 AS parent_src, pc.head AS parent_track
         FROM base b JOIN chains c ON c.id = b.id LEFT JOIN links l ON l.child = b.id LEFT JOIN chains pc ON pc.id = l.parent""",
-    "image": """SELECT t, c, z, y, x, (z * 7919 + y * 31 + x * 17 + t * 13 + c * 101 + seed) % 65536 AS value FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(0, 33)) AS y), (SELECT unnest(range(0, 33)) AS x),
+    "image": """SELECT t, c, z, y, x, CAST((z * 7919 + y * 31 + x * 17 + t * 13 + c * 101 + seed) % 65536 AS BIGINT) AS value FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(0, 33)) AS y), (SELECT unnest(range(0, 33)) AS x),
         (SELECT t, sum(id) % 65536 AS seed FROM base WHERE t < 4 GROUP BY t)""",
     "edits": """SELECT o_orderkey AS seq, o_orderdate AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'mask' ELSE 'graph' END AS domain, o_orderstatus = 'F' AS undone, o_orderkey % 13 = 0 AS pending,
         CASE o_orderkey % 3 WHEN 0 THEN '{"kind":"link","scope":"track","cell":' || o_custkey || '}' WHEN 1 THEN '{"kind":"stroke","label":' || o_custkey || '}' ELSE '{"kind":"cut","cell":' || o_custkey || '}' END AS op FROM orders""",
