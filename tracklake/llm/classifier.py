@@ -143,16 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> np.ndarray:
     return out
 
 
+def _scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    doc, slot, value = features(data, offsets, int(len(weights)).bit_length() - 1)
+    return 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights[slot] * value, len(offsets) - 1), -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, row key, score): probability of label 1, a sparse dot product for each whole text; an empty or null text is scored by the bias alone."""
-    bits = int(len(weights)).bit_length() - 1
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def run(batches: Batches) -> Batches:
         for rows, data, offsets in blocks(batches):
-            doc, slot, value = features(data, offsets, bits)
-            total = np.bincount(doc, model.value[slot] * value, len(rows))
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), KEY: rows.column(KEY), "score": pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))})
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), KEY: rows.column(KEY), "score": pa.array(_scores(data, offsets, model.value))})
 
     return keyed_texts(docs).mapInArrow(run, f"doc_id long, {KEY} long, score double")
 
@@ -165,10 +167,14 @@ def classify(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts."""
-    bad = classify(docs, labels, p).where("predicted = 0").select(F.col(KEY).alias("tl_bad")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("tl_key", key).join(bad, F.col("tl_key") == F.col("tl_bad"), "left_anti").drop("tl_key")
+    """The rows of ``docs``, all columns, that the classifier accepts; decided where the row is, without an exchange."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
+
+    def run(batches: Batches) -> Batches:
+        for rows, data, offsets in blocks(batches):
+            yield rows.filter(pa.array(_scores(data, offsets, model.value) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

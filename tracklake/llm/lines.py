@@ -71,7 +71,7 @@ def drop_repeated_lines(docs: DataFrame, divisor: int = 4) -> DataFrame:
     """``docs`` with repeated chunks cut from text, n_chars kept true; documents left without a word go only if they lost lines."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     gone = repeated_chunks(docs, divisor).groupBy(KEY).agg(F.collect_list(F.struct("start", "size")).alias("gone")).withColumnRenamed(KEY, "tl_gone")
-    both = docs.withColumn("tl_key", key).join(gone, F.col("tl_key") == F.col("tl_gone"), "left")
+    both = docs.withColumn("tl_key", key).join(gone.hint("merge"), F.col("tl_key") == F.col("tl_gone"), "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~_inside(i)), "\n"))
     cut = both.withColumn("text", text)
     if "n_chars" in docs.columns:

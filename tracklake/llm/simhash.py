@@ -155,7 +155,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> D
     """The rows of ``docs``, all columns, with one document of each component (its smallest doc_id; rows that repeat that doc_id and text stay one)."""
     keep = near_duplicates(docs, shingle, limit).where("doc_id = component_id OR component_id IS NULL").select(F.col(KEY).alias("tl_keep")).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("tl_key", key).dropDuplicates(["tl_key"]).join(keep, F.col("tl_key") == F.col("tl_keep"), "left_semi").drop("tl_key")
+    # by merge at every size: the kept keys grow with the corpus and are never broadcast
+    return docs.withColumn("tl_key", key).dropDuplicates(["tl_key"]).join(keep.hint("merge"), F.col("tl_key") == F.col("tl_keep"), "left_semi").drop("tl_key")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
