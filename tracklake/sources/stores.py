@@ -21,9 +21,34 @@ _OMERO = "STRUCT<channels: ARRAY<STRUCT<label: STRING, color: STRING, window: ST
 _DTYPES = {"|u1": "u8", "<u2": "u16", "<u4": "u32", "uint8": "u8", "uint16": "u16", "uint32": "u32"}
 
 
+def _hidden_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(value, path) of .zattrs and .zarray, which Spark's readers skip as hidden files.
+
+    The walk visits groups and arrays, never the chunks below an array: a few small
+    files for each image.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, open_folders = [], [top]
+    while open_folders:
+        here = list(system.listStatus(open_folders.pop()))
+        names = {x.getPath().getName() for x in here}
+        for x in here:
+            name = x.getPath().getName()
+            if name in (".zattrs", ".zarray"):
+                stream = system.open(x.getPath())
+                found.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), x.getPath().toString()))
+                stream.close()
+            elif x.isDirectory() and ".zarray" not in names and name != "c":
+                open_folders.append(x.getPath())
+    return spark.createDataFrame(found, "value string, path string")
+
+
 def _metadata(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "{zarr.json,.zattrs,.zarray}").text(root)
-    return files.select("value", F.col("_metadata.file_path").alias("path")).select("value", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "zarr.json").text(root)
+    both = files.select("value", F.col("_metadata.file_path").alias("path")).unionByName(_hidden_metadata(spark, root))
+    return both.select("value", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
 
 
 def catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +87,7 @@ def read_chunks(spark: SparkSession, levels: DataFrame, layer: str = "image") ->
     Bytes are raw, gzip or zstd.  A chunk that is not stored holds zeros and has no row.
     """
     info = levels.where(F.size("shape") == 5).select("array", "level", "shape", "chunks", "dtype")
-    roots = [r.folder for r in levels.select("folder").distinct().limit(100_000).collect()]
+    roots = [r.folder for r in levels.select("folder").distinct().collect()]  # one path for each image
     if not roots:
         return spark.createDataFrame([], CHUNKS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).where(~F.col("path").rlike(r"(zarr\.json|\.zattrs|\.zarray|\.zgroup)$"))
