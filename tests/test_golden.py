@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import numpy as np
 import pytest
@@ -198,6 +199,7 @@ def test_rejected_files_are_not_published(spark, tmp_path):
 def test_late_edits_are_dropped_by_the_watermark(spark, tmp_path):
     for i, days in enumerate((["2024-01-20"], ["2024-01-21"], ["2024-01-01", "2024-01-22"])):  # a watermark counts from the batch after next
         (tmp_path / f"{i}.json").write_text("".join(json.dumps({"domain": "mask", "ts": f"{d}T00:00:00"}) + "\n" for d in days))
+        os.utime(tmp_path / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)
     stream = spark.readStream.schema("domain string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     out = T.run_available(T.edit_activity(stream, "7 days"), mode="update")
     assert out.where("start < '2024-01-10'").count() == 0 and out.count() >= 1
