@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 4) -> DataFrame:
     gone = repeated_chunks(docs, divisor).groupBy("doc_id", KEY).agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col(KEY).alias("gone_key"), "gone")
     texts = keyed_texts(docs)
-    both = texts.join(gone, (texts.doc_id == gone.gone_doc) & (texts[KEY] == gone.gone_key), "left").drop("gone_doc", "gone_key")
+    # by merge at every size: what was removed grows with the corpus and is never broadcast
+    both = texts.join(gone.hint("merge"), (texts.doc_id == gone.gone_doc) & (texts[KEY] == gone.gone_key), "left").drop("gone_doc", "gone_key")
     lines = both.withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~_inside(i)), "\n"))
     removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["size"]), F.lit(0).cast("long"))
