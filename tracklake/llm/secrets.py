@@ -63,11 +63,12 @@ def battery(token: str) -> tuple[float, float, float, float]:
     of runs above and below the median code, so strong a correlation of neighbours
     in a random string.  p_text: chance that a string with the letters of ordinary
     text would spread so evenly (a noncentral chi-squared, so it sharpens with length).
+    Numbers, and tokens without a digit (joined words, paths, names), are never random.
     """
     name, letters = infer_encoding(token)
     body = token.rstrip("=")
     n, k = len(body), len(letters)
-    if name in ("decimal", "other") or n < 16:
+    if name in ("decimal", "other") or n < 16 or not any(c in _DIGITS for c in body):
         return 1.0, 0.0, 0.0, 0.0
     place = {c: i for i, c in enumerate(letters)}
     codes = np.array([place[c] for c in body])
@@ -104,8 +105,6 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     found = []
     for m in _CANDIDATE.finditer(text):
         token = m.group()
-        if token.islower() and token.isalpha():
-            continue  # one unbroken lower-case word has no digit, case or symbol to carry a key
         p_text, *random = battery(token)
         if min(random) >= 0.001:
             step = min(_P_GRID - 1, int(-20 * math.log10(max(p_text, 1e-19))))
