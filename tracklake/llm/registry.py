@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-#: SQL states these two on whole tables; the others need a hash, a tokenizer, byte offsets or a fitted model that SQL
+#: SQL states these on whole tables; the others need a hash, a tokenizer, byte offsets or a fitted model that SQL
 #: lacks, or are far too slow there, and are tested against brute force, round trips or held-out rows.
 ORACLES: dict[str, str] = {
     "op1_benchmark": r"""
@@ -55,4 +55,14 @@ marked AS (SELECT words.*, max(hit.j) OVER (PARTITION BY words.doc_id ORDER BY w
 runs AS (SELECT *, CASE WHEN gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) THEN 1 ELSE 0 END AS opens FROM marked),
 kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS text, sum(opens) AS n_spans FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+p AS (SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n, unnest(range(0, CAST(length(hx) // 2 AS BIGINT))) AS i FROM d),
+win AS (SELECT p.doc_id, p.i, md5(substr(hx, CAST(2 * i + 1 AS BIGINT), 200)) AS h FROM p JOIN d USING (doc_id) WHERE i + 100 <= n),
+hit AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+marked AS (SELECT p.doc_id, p.i, max(hit.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN hit ON hit.doc_id = p.doc_id AND hit.i = p.i),
+edge AS (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM marked),
+runs AS (SELECT doc_id, i, gone, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM edge WHERE was IS NULL OR was <> gone),
+kept AS (SELECT doc_id, sum(coalesce(nxt, length(hx) // 2) - i) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans, string_agg(substr(hx, CAST(2 * i + 1 AS BIGINT), CAST(2 * (coalesce(nxt, length(hx) // 2) - i) AS BIGINT)), '' ORDER BY i) FILTER (NOT gone) AS hx FROM runs JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.hx, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }
