@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.arrowtext import SPACED, Rolling, blocks, winnow, word_spans
-from tracklake.llm.common import KEY, KeyFilter, key_filter, keyed_texts, release, signed, staged
+from tracklake.llm.common import KEY, KeyFilter, discard, key_filter, keyed_texts, release, signed, staged
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -84,6 +84,7 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     grams = staged(texts.mapInArrow(count_grams, "digit long, n int").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "grams")
     release(spark)
     tied = spark.sparkContext.broadcast(key_filter(grams, "digit"))
+    discard(grams)
 
     def list_anchors(batches: Batches) -> Batches:
         for rows, roll, at, doc, digit, first, last in spec.anchors(batches, tied.value):
@@ -101,13 +102,17 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     )
     release(spark)
 
-    varied = classes.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1").select("digit")
-    firsts = staged(classes.join(varied, "digit", "left_semi").select(F.col("digit").bitwiseXOR(F.col("around")).bitwiseXOR(F.col("least")).alias("first")), "firsts")
-    release(spark)
+    # the first members of grams with several surroundings: both filters may let more through, and every window
+    # they then emit is a true one, so no join is needed (and a gram with very many surroundings meets no one task)
+    varied = staged(classes.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1").select("digit"), "varied")
+    varied_digits = spark.sparkContext.broadcast(key_filter(varied, "digit"))
+    firsts = staged(classes.select(F.col("digit").bitwiseXOR(F.col("around")).bitwiseXOR(F.col("least")).alias("first")), "firsts")
     edge = spark.sparkContext.broadcast(key_filter(firsts, "first"))
+    discard(members, classes, varied, firsts)
+    release(spark)
 
     def edge_windows(batches: Batches, keep: KeyFilter | None) -> Iterator[tuple]:
-        for rows, roll, at, doc, digit, first, last in spec.anchors(batches, tied.value):
+        for rows, roll, at, doc, digit, first, last in spec.anchors(batches, varied_digits.value):
             ids, _, keys = _ids(rows)
             hit = edge.value.test(digit ^ roll.of(first, last + spec.window) ^ ids[doc].view(np.uint64))
             doc, first, last = doc[hit], first[hit], last[hit]
@@ -145,6 +150,7 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     # an anchor owns fewer windows than one window is long, so its first and last covered start cover all between
     edges = found.groupBy("doc_id", KEY, "anchor").agg(F.min("start").alias("start"), (F.max("start") + spec.window).alias("stop"))
     edges = staged(edges.select("doc_id", KEY, "start", "stop"), "edges")
+    discard(again)
     release(spark)
     return settled.unionByName(edges)
 
