@@ -16,8 +16,8 @@ from tracklake.schemas import MAX_LABEL_ID
 def pointer_double(pointers: DataFrame, limit: int = 40) -> DataFrame:
     """(id, top, hops) from (id, up): follow ``up`` until it points at itself.
 
-    Each round halves the way left and is cut off in the shared folder.  Only ids
-    that still move are joined again.  More than ``limit`` rounds mean a cycle.
+    Each round doubles the steps taken and is cut off in the shared folder.
+    More than ``limit`` rounds mean a cycle.
     """
     done = None
     moving = pointers.select("id", F.col("up").alias("top"), F.when(F.col("up") == F.col("id"), 0).otherwise(1).alias("hops"))
