@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> np.ndarray:
     marks = labels.select(F.col("doc_id").cast("long").alias("label_doc"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL AND label_doc IS NOT NULL").distinct()
     marks = marks.where(F.crc32(F.col("label_doc").cast("string")) % 3 != 1).orderBy(F.xxhash64("label_doc"), "quality").limit(p.max_rows)
     texts = keyed_texts(docs)
-    rows = texts.join(marks, texts.doc_id == marks.label_doc).select("text", "quality", F.pmod(F.col(KEY), F.lit(p.shards)).cast("int").alias("shard"))
+    # max_rows bounds this side, so it is broadcast at every size and the texts stay where they are
+    rows = texts.join(F.broadcast(marks), texts.doc_id == marks.label_doc).select("text", "quality", F.pmod(F.col(KEY), F.lit(p.shards)).cast("int").alias("shard"))
 
     def fit(batches: Batches) -> Batches:
         by: dict[int, list] = {}
