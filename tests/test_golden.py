@@ -222,3 +222,8 @@ def test_layout_centres_parents(seeded):
     cells, links = seeded
     members = cells.join(G.tree_roots(cells, links), "id")
     assert rows(G.lineage_layout(members, links).select("id", "col", "row"), "id") == [(1, 0.5, 0), (2, 0.5, 1), (3, 0.5, 2), (4, 0.0, 3), (5, 1.0, 3), (6, 0.0, 4), (7, 0.0, 0)]
+
+
+def test_shown_tracks_end_on_degenerate_cycles(spark):
+    spans = spark.createDataFrame([(1, 0, 1, 2), (2, 0, 1, 3), (3, 0, 1, 1), (4, 5, 9, 3), (5, 5, 9, None), (6, 0, 2, None)], "track long, first long, last long, parent long")
+    assert rows(G.shown_tracks(spans, 6), "track") == [(1,), (2,), (3,), (4,), (5,)]

@@ -257,12 +257,14 @@ def shown_tracks(spans: DataFrame, t: int) -> DataFrame:
     have = spans.select("track").distinct()
     up = spans.where("parent IS NOT NULL AND parent <> track").select("track", "parent").join(have.withColumnRenamed("track", "parent"), "parent", "left_semi")
     shown = staged(spans.where((F.col("first") <= t) & (F.col("last") >= t)).select("track").distinct(), "shown")
-    up = staged(up, "shown-up")
-    while not up.isEmpty():
-        more = staged(shown.union(shown.join(up, "track").select(F.col("parent").alias("track"))).distinct(), "shown")
+    up, size = staged(up, "shown-up"), shown.count()
+    while True:
+        shown = staged(shown.union(shown.join(up, "track").select(F.col("parent").alias("track"))).distinct(), "shown")
+        # a round that adds nothing has closed the set under parents; this also ends on degenerate cycles
+        if (now := shown.count()) == size:
+            return shown
+        size = now
         up = staged(up.join(up.select(F.col("track").alias("parent"), F.col("parent").alias("next")), "parent").select("track", F.col("next").alias("parent")).where("track <> parent"), "shown-up")
-        shown = more
-    return shown
 
 
 def division_edges(cells: DataFrame, links: DataFrame, t: int, trail: int) -> DataFrame:
