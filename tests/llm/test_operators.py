@@ -282,3 +282,44 @@ def test_kept_digest_is_of_the_kept_text(spark, odd_frame):
     for r in substring.dedup_substrings(odd_frame).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
     assert KEY == "tl_row_key"
+
+
+def _without_repeats(docs):
+    """Passages of two or more lines grown line by line from every byte-equal pair that stands in an earlier place."""
+    split = {d: t.split("\n") for d, t in docs}
+    first, out = {}, {}
+    for d in sorted(split):
+        x, gone = split[d], set()
+        for i in range(len(x) - 1):
+            if (x[i] + x[i + 1]).strip(" \t\n\x0b\x0c\r"):
+                e, j = first.setdefault((x[i], x[i + 1]), (d, i))
+                if (e, j) != (d, i):
+                    y, a, b = split[e], 0, 2
+                    while i > a and j > a and x[i - a - 1] == y[j - a - 1]:
+                        a += 1
+                    while i + b < len(x) and j + b < len(y) and x[i + b] == y[j + b]:
+                        b += 1
+                    gone |= set(range(i - a, i + b))
+        out[d] = (len(gone), "\n".join(v for i, v in enumerate(x) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_every_repeated_passage_of_lines_goes(spark, monkeypatch, broadcast_rows):
+    rng, docs = random.Random(7), []
+    shared = [["shared %d line %d" % (p, i) for i in range(2 + p % 5)] for p in range(40)]
+    for d in range(150):
+        body = ["own %d line %d" % (d, i) for i in range(rng.randrange(6))]
+        for p in rng.sample(shared, 2):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = ["own %d before %d" % (d, at), *p, "own %d after %d" % (d, at)]
+        docs.append((d, "\n".join(body)))
+    docs += [(200 + k, docs[k][1]) for k in range(30)]
+    docs += [(300, "\n\nhead\n\n\n\nnext\n\n\n"), (301, "\n\nhead\n\n\n\nnext\n\n\n"), (302, "a b\nc d\na b\nc d\na b\nc d"), (303, "once\nonly once"), (304, "\n\n\n"), (305, "\n\n\n")]
+    monkeypatch.setattr(lines.repeated_windows, "__defaults__", (broadcast_rows,))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.dedup_lines(frame).collect()}
+    assert out == _without_repeats(docs)
+    assert all(out[200 + k][1] == "" for k in range(30)) and out[301] == (10, "") and out[302][1] == "a b\nc d" and out[305][0] == 0
+    left = {r.doc_id: r.text for r in lines.drop_repeated_lines(frame).collect()}
+    assert left == {d: out[d][1] for d, t in docs if out[d][0] == 0 or out[d][1].strip()}

@@ -1,83 +1,130 @@
-"""Line dedup: content-defined chunks of lines, repeated chunks removed; DataFrame functions only."""
+"""Line dedup: repeated passages of two or more lines are removed; DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import KEY, keyed_texts, read, release, staged
+from tracklake.llm.common import KEY, discard, keyed_texts, read, release, staged
 
 
-def _chunks(texts: DataFrame, divisor: int) -> DataFrame:
-    """(doc_id, row key, start, size, body): the multi-line chunks of each text.
+_WORD = r"[^\x20\x09-\x0D]"
 
-    The rolling hash of a line covers it and the line before; a chunk ends where
-    that hash is 0 modulo ``divisor`` and at the end of the text.  Boundaries
-    depend on two lines only, so text put in before a passage does not move the
-    boundaries inside it.
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """doc_id, row key, lines and ``wins``, an array of (start, size, h): the windows of each text.
+
+    A window is two neighbouring lines of which one has a character other than
+    white space, or, where blank lines would else lie outside all of these, two such
+    lines (or one and an end of the text) with the blank lines between.  All windows
+    of a text are taken, so every repeated passage of two or more lines is the union
+    of repeated windows, whatever stands around it.
     """
-    hashed = texts.select("doc_id", KEY, F.split("text", "\n").alias("lines")).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     n = F.size("lines")
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(F.xxhash64(F.get("hashes", i - 2), F.get("hashes", i - 1)), F.lit(divisor)) == 0))
-    cut = hashed.select("doc_id", KEY, "lines", ends.alias("ends"))
-    spans = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get("ends", k - 1), F.lit(0)).alias("start"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("size")))
-    bodies = F.transform(F.filter(spans, lambda s: s.size > 1), lambda s: F.struct(s.start.alias("start"), s.size.alias("size"), F.array_join(F.slice("lines", s.start + 1, s.size), "\n").alias("body")))
-    out = cut.select("doc_id", KEY, F.explode(bodies).alias("c")).select("doc_id", KEY, "c.start", "c.size", "c.body")
-    return out.where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    lined = texts.select("doc_id", KEY, F.split("text", "\n").alias("lines"))
+    lined = lined.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("full", F.transform("lines", lambda x: x.rlike(_WORD)))
+    pairs = F.filter(
+        F.transform("hashes", lambda h, i: F.struct(i.alias("start"), F.lit(2).alias("size"), F.xxhash64(h, F.get("hashes", i + 1)).alias("h"), ((i + 1 < n) & (F.get("full", i) | F.coalesce(F.get("full", i + 1), F.lit(False)))).alias("ok"))),
+        lambda w: w.ok,
+    )
+    lined = lined.withColumn("at", F.filter(F.transform("full", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
+    last = F.size("at")
+    gaps = F.transform(F.concat(F.array(F.lit(0)), "at"), lambda s, k: F.struct(s.alias("start"), (F.when(k < last, F.get("at", k)).otherwise(n - 1) - s + 1).alias("size"), ((k == 0) | (k == last)).alias("edge")))
+    gaps = F.filter(gaps, lambda w: (last > 0) & (w["size"] > F.when(w.edge, 2).otherwise(4)))
+    gaps = F.transform(gaps, lambda w: F.struct(w.start.alias("start"), w["size"].alias("size"), F.xxhash64(_body(w)).alias("h"), F.lit(True).alias("ok")))
+    wins = F.transform(F.concat(pairs, gaps), lambda w: F.struct(w.start.alias("start"), w["size"].alias("size"), w.h.alias("h")))
+    return lined.select("doc_id", KEY, "lines", wins.alias("wins"))
+
+
+def _body(w: Column) -> Column:
+    return F.array_join(F.slice("lines", w.start + 1, w["size"]), "\n")
+
+
+def _bodies(windows: DataFrame) -> DataFrame:
+    """(doc_id, row key, start, size, h, body), one row for each window."""
+    full = F.transform("wins", lambda w: F.struct(w.start.alias("start"), w["size"].alias("size"), w.h.alias("h"), _body(w).alias("body")))
+    return windows.select("doc_id", KEY, F.explode(full).alias("w")).select("doc_id", KEY, "w.*")
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, row key, start, size): chunks whose bytes stand in an earlier place too (smaller doc_id, or further up in the same text).
+def repeated_windows(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, row key, start, size): windows whose bytes stand in an earlier place too (smaller doc_id, or further up in the same text).
 
-    Hashes are counted first, without text; only chunks with a repeated hash carry
+    Hashes are counted first, without text; only windows with a repeated hash carry
     their text on, where grouping by the text itself compares the bytes.  The
     repeated hashes are broadcast only up to ``broadcast_rows`` of them (a few MB);
-    beyond that they are joined by a shuffle.
+    beyond that the windows meet them by a shuffle, without text, and fetch their
+    text by document.  The first place of each group is taken out by place, so a
+    passage that is everywhere is no key of a join.
     """
-    chunks = _chunks(keyed_texts(docs).where("doc_id IS NOT NULL"), divisor).withColumn("h", F.xxhash64("body"))
-    again = staged(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
+    windows = _windows(keyed_texts(docs).where("doc_id IS NOT NULL"))
+    # explode an expression: for a bare column Spark puts a filter on its size first, with the whole computation written into each lambda
+    bare = windows.select("doc_id", KEY, F.explode(F.transform("wins", lambda w: F.struct(w.start.alias("start"), w["size"].alias("size"), w.h.alias("h")))).alias("w")).select("doc_id", KEY, "w.*")
+    again = staged(bare.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-hashes")
     release(docs.sparkSession)
-    few = again.count() <= broadcast_rows
-    seen = staged(chunks.join(F.broadcast(again) if few else again, "h", "left_semi"), "line-chunks")
-    first = seen.groupBy("h", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", KEY, "start")).alias("first")).where("n > 1").drop("n")
-    here = F.struct("doc_id", KEY, "start")
-    out = staged(seen.join(first, ["h", "body"]).where(here != F.col("first")).select("doc_id", KEY, "start", "size").distinct(), "line-repeats")
+    if again.count() <= broadcast_rows:
+        found = _bodies(windows).join(F.broadcast(again), "h", "left_semi")
+    else:
+        wanted = bare.join(again, "h", "left_semi").groupBy("doc_id", KEY).agg(F.collect_set(F.struct("start", "size", "h")).alias("wins"))
+        found = _bodies(windows.drop("wins").join(wanted.hint("merge"), ["doc_id", KEY]))
+    seen = staged(found.select("doc_id", KEY, "start", "size", "h", "body"), "line-windows")
+    place = ["doc_id", KEY, "start", "size"]
+    first = seen.groupBy("h", "body").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
+    out = staged(seen.select(*place).distinct().join(first.hint("merge"), place, "left_anti"), "line-repeats")
+    discard(again, seen)
     release(docs.sparkSession)
     return out
 
 
-def _inside(i: Column) -> Column:
-    return F.exists("gone", lambda g: (i >= g.start) & (i < g.start + g["size"]))
+def _gone(docs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``gone``, an array of (start, end): the runs of lines that repeated windows cover, in order and apart."""
+    windows = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    grouped = repeated_windows(docs).groupBy(*keys).agg(windows.alias("wins"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(runs: Column, w: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.struct(last.start.alias("start"), F.greatest(last.end, w.end).alias("end"))
+        return F.when((F.size(runs) > 0) & (w.start <= last.end), F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(w)))
+
+    return grouped.select(*keys, F.aggregate("wins", none, add).alias("gone"))
+
+
+def _kept() -> Column:
+    """The text without the runs in ``gone``: the stretches between them, joined."""
+    n = F.size("lines")
+    stretches = F.transform(F.concat(F.transform("gone", lambda g: g.start), F.array(n)), lambda stop, k: F.struct(F.when(k > 0, F.get("gone", k - 1).end).otherwise(0).alias("start"), stop.alias("stop")))
+    return F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice("lines", s.start + 1, s.stop - s.start))), "\n")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row key, n_lines, n_removed, n_chunks, kept_text for each document.
 
-    Every occurrence of a multi-line chunk but its first is removed with its line
-    ends; single lines and chunks of white space stay.  An empty or null text has
-    one empty line.  Rows that repeat a doc_id and text are one place, so both stay.
+    Every occurrence of a passage of two or more lines but its first is removed with
+    its line ends; n_chunks counts the runs of lines that go.  Single lines and lines
+    of white space alone stay, and so does the earliest place of each line.  An empty
+    or null text has one empty line.  Rows that repeat a doc_id and text are one
+    place, so both stay.
     """
-    gone = repeated_chunks(docs, divisor).groupBy("doc_id", KEY).agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col(KEY).alias("gone_key"), "gone")
+    gone = _gone(docs, "doc_id", KEY).select(F.col("doc_id").alias("gone_doc"), F.col(KEY).alias("gone_key"), "gone")
     texts = keyed_texts(docs)
     # by merge at every size: what was removed grows with the corpus and is never broadcast
     both = texts.join(gone.hint("merge"), (texts.doc_id == gone.gone_doc) & (texts[KEY] == gone.gone_key), "left").drop("gone_doc", "gone_key")
     lines = both.withColumn("lines", F.split("text", "\n"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~_inside(i)), "\n"))
-    removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["size"]), F.lit(0).cast("long"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept())
+    removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g.end - g.start), F.lit(0).cast("long"))
     return lines.select("doc_id", KEY, F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_chunks"), kept.alias("kept_text"))
 
 
-def drop_repeated_lines(docs: DataFrame, divisor: int = 4) -> DataFrame:
-    """``docs`` with repeated chunks cut from text, n_chars kept true; documents left without a word go only if they lost lines."""
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut from text, n_chars kept true; documents left without a word go only if they lost lines."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    gone = repeated_chunks(docs, divisor).groupBy(KEY).agg(F.collect_list(F.struct("start", "size")).alias("gone")).withColumnRenamed(KEY, "tl_gone")
-    both = docs.withColumn("tl_key", key).join(gone.hint("merge"), F.col("tl_key") == F.col("tl_gone"), "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~_inside(i)), "\n"))
+    gone = _gone(docs, KEY).withColumnRenamed(KEY, "tl_gone")
+    both = docs.withColumn("tl_key", key).join(gone.hint("merge"), F.col("tl_key") == F.col("tl_gone"), "left").withColumn("lines", F.split("text", "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept())
     cut = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return cut.where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return cut.where(F.col("gone").isNull() | F.col("text").rlike(_WORD)).select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
