@@ -323,3 +323,12 @@ def test_every_repeated_passage_of_lines_goes(spark, monkeypatch, broadcast_rows
     assert all(out[200 + k][1] == "" for k in range(30)) and out[301] == (10, "") and out[302][1] == "a b\nc d" and out[305][0] == 0
     left = {r.doc_id: r.text for r in lines.drop_repeated_lines(frame).collect()}
     assert left == {d: out[d][1] for d, t in docs if out[d][0] == 0 or out[d][1].strip()}
+
+
+def test_secrets_written_as_name_and_value(spark):
+    rng = random.Random(3)
+    value = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(4)]
+    docs = [(1, f"export AWS_SECRET_ACCESS_KEY={value[0]}\n"), (2, f"https://store.example/object?name=report&sig={value[1]}&v=2"), (3, f"sig={value[2]}== end"), (4, f"plain {value[3]} here"), (5, "path=some/long/folder/of/files1/readme")]
+    out = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    start = {d: t.index(value[d - 1]) for d, t in docs[:4]}
+    assert out == {d: f"random:{start[d]}:{start[d] + 40 + 2 * (d == 3)}" for d in start} | {5: ""}

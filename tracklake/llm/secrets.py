@@ -20,7 +20,8 @@ _KEY_WORD = r"[pPsStTaA](?:(?<=[pP])[aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD])|(?
 _ASSIGN = re.compile(_KEY_WORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# '=' only as padding at the end, so that the value of name=value is a token of its own
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 KINDS = ("assign", "access", "hex", "random")
 
 #: Letter frequencies of English text in per cent, a to z.
