@@ -6,9 +6,12 @@ log2(depth) self joins, for all trees of all movies at once.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators.skew import join_to_one
 from tracklake.plans.staging import staged
 from tracklake.schemas import MAX_LABEL_ID
 
@@ -16,22 +19,23 @@ from tracklake.schemas import MAX_LABEL_ID
 def pointer_double(pointers: DataFrame, limit: int = 40) -> DataFrame:
     """(id, top, hops) from (id, up): follow ``up`` until it points at itself.
 
-    Each round doubles the steps taken and is cut off in the shared folder.
-    More than ``limit`` rounds mean a cycle.
+    Each round doubles the steps of the rows that still move and is cut off in the
+    shared folder; a row whose top is a root is final and is not joined again.
+    Late in the run many rows meet on one top, so hot tops are split.  More than
+    ``limit`` rounds mean a cycle.
     """
-    done = None
-    moving = pointers.select("id", F.col("up").alias("top"), F.when(F.col("up") == F.col("id"), 0).otherwise(1).alias("hops"))
-    table = staged(moving, "pointers")
+    root = F.col("up") == F.col("id")
+    table = staged(pointers.select("id", F.col("up").alias("top"), F.when(root, 0).otherwise(1).alias("hops"), root.alias("final")), "pointers")
+    finals, moving = [table.where("final")], table.where("NOT final")
     for _ in range(limit):
-        up = table.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("hops").alias("more"))
-        table2 = staged(table.join(up, "top").select("id", F.col("next").alias("top"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("next") != F.col("top")).alias("moved")), "pointers")
-        if table2.where("moved").isEmpty():
-            done = table2.drop("moved")
-            break
-        table = table2.drop("moved")
-    if done is None:
-        raise ValueError("the links hold a cycle")
-    return done
+        if moving.isEmpty():
+            return functools.reduce(DataFrame.unionByName, finals).drop("final")
+        every = functools.reduce(DataFrame.unionByName, [*finals, moving]).select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("hops").alias("more"), F.col("final").alias("ended"))
+        step = join_to_one(moving.drop("final"), every, "top", ["id"])
+        step = staged(step.select("id", F.col("next").alias("top"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("final")), "pointers")
+        finals.append(step.where("final"))
+        moving = step.where("NOT final")
+    raise ValueError("the links hold a cycle")
 
 
 def _child_counts(links: DataFrame) -> DataFrame:
