@@ -102,18 +102,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hash of any range of a symbol sequence in constant time, from one prefix sum.
 
-    Equal ranges have equal hashes wherever they lie; different ranges collide
-    with a chance of about 2**-60 (callers that remove data compare bytes, or
-    combine two independent seeds, where the contract asks for certainty).
+    Equal ranges have equal hashes wherever they lie.  Different ranges may collide
+    and can be made to, so callers use it to find candidates and compare symbols.
     """
 
-    def __init__(self, symbols: np.ndarray, salt: int = 0) -> None:
+    def __init__(self, symbols: np.ndarray) -> None:
         n = len(symbols)
         up, self.down = _powers.upto(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         codes = _BYTE_CODES[symbols] if symbols.dtype == np.uint8 else symbols
-        if salt:
-            codes = mix(codes ^ np.uint64(salt))
         np.cumsum(codes * up[:n], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -152,8 +149,7 @@ def winnow(grams: np.ndarray, symbol_offsets: np.ndarray, window: int, k: int) -
     n = int(symbol_offsets[-1])
     if n < window:
         return none, none, none, none
-    bits = max(1, int(n).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << 32) - 1)  # the same in every block, so equal windows have equal owners; a block has fewer symbols
     keyed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     owner = (sliding_min(keyed, window - k + 1) & low).astype(np.int64)
     starts, ends = symbol_offsets[:-1], symbol_offsets[1:] - window + 1
@@ -171,3 +167,25 @@ def winnow(grams: np.ndarray, symbol_offsets: np.ndarray, window: int, k: int) -
     stop[ends[keep] - 1] = True
     last = np.flatnonzero(stop)
     return np.searchsorted(symbol_offsets, first, "right") - 1, owner[first], first, last
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, backwards: bool = False) -> pa.Array:
+    """A binary column of the slices ``data[start:end]``, each from its last byte to its first if ``backwards``."""
+    n = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(n)))
+    k = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+    at = np.repeat(ends - 1, n) - k if backwards else np.repeat(starts, n) + k
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.binary())
+
+
+def common_prefix(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """Bytes that row i of two binary columns (bytes and offsets) share from their start."""
+    n = np.minimum(np.diff(a_at), np.diff(b_at))
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    differ = np.flatnonzero(a[a_at[:-1][row] + k] != b[b_at[:-1][row] + k])
+    out, rows = n.copy(), row[differ]
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    out[rows[first]] = k[differ[first]]
+    return out

@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: tables, staged results, key filters.
+"""Shared pieces of the text operators: tables, key filters.
 
 Row conventions, the same for every operator here:
 
@@ -7,82 +7,52 @@ Row conventions, the same for every operator here:
   between documents.
 * Rows that repeat a ``doc_id`` with another text stay apart (the hidden row key
   is a hash of both); full repeats count as one document and each returns a row.
-* Only the named columns are read; other columns, whatever their names, are ignored.
+* Only the named columns are read; other columns, whatever their names, are ignored,
+  and operators that return the rows of ``docs`` return them unchanged (:func:`packed`).
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.plans.staging import clear, discard, shared_folder, staged  # noqa: F401
+
 KEY = "tl_row_key"
-_own_folder: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="tracklake-"))
-        folder = _own_folder[0]
-    return folder.rstrip("/")
-
-
-def staged(frame: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/tl-{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    out = spark.read.schema(frame.schema).parquet(path)
-    out._tl_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more: what was derived from them is staged itself."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._tl_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps that nothing refers to now rather than at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished, unreferenced steps now rather than at its next collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+def row_key() -> Column:
+    """Hash of the id and the text of a row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, row key, text) with null texts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn(KEY, F.xxhash64("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key().alias(KEY))
 
 
-def sha_hex(text: Column) -> Column:
-    return F.sha2(text, 256)
+def packed(docs: DataFrame) -> DataFrame:
+    """(row key, text, row): the whole row as one struct, so no name of a column of ours meets one of ``docs``."""
+    return docs.select(row_key().alias(KEY), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 class KeyFilter:
-    """Bloom filter over 64-bit keys: may say yes wrongly, never no wrongly.
-
-    ``max_bytes`` bounds what is broadcast.  Beyond the size where it stays
-    selective it lets more keys through; the exact join that follows each use
-    removes them, so results never depend on the bound.
-    """
+    """Bloom filter over 64-bit keys: may say yes wrongly, never no wrongly."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
@@ -97,10 +67,15 @@ class KeyFilter:
         return hit
 
 
-def key_filter(keys: DataFrame, column: str, max_bytes: int = 32 << 20) -> KeyFilter:
-    """Build a :class:`KeyFilter` with Spark: each key sets two bits, words of the bit table are OR-ed by key."""
+def key_filter(keys: DataFrame, column: str, max_bytes: int) -> KeyFilter | None:
+    """Build a :class:`KeyFilter` with Spark, two bits of sixteen for each key; None where that takes over ``max_bytes``.
+
+    Words of the bit table are OR-ed by key, so the driver receives the table alone.
+    """
     n = keys.count()
-    bits = min(max(1 << 14, 1 << int(16 * max(1, n) - 1).bit_length()), max_bytes * 8)
+    bits = max(1 << 14, 1 << int(16 * max(1, n) - 1).bit_length())
+    if bits > max_bytes * 8:
+        return None
     k = F.col(column).cast("long")
     second = F.shiftrightunsigned(k, 24).bitwiseXOR(F.shiftleft(k, 17))
     spots = keys.select(F.explode(F.array(*[x.bitwiseAND(F.lit(bits - 1)) for x in (k, second)])).alias("spot"))
@@ -113,7 +88,3 @@ def key_filter(keys: DataFrame, column: str, max_bytes: int = 32 << 20) -> KeyFi
 def signed(values: np.ndarray) -> pa.Array:
     """64-bit hashes as a bigint column."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))
-
-
-def batch_of(rows: pa.RecordBatch, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)

@@ -1,26 +1,30 @@
-"""Exact repeated windows across documents, for substring and suffix-array dedup.
-
-Both operators ask which windows of ``window`` symbols (words or bytes) also
-start in a document with a smaller id.  Sorting or shuffling every window would
-move many times the input, so the order is refined most significant digit first
-and only what is still tied goes on:
-
-1. digit one is the window's *anchor*: the leftmost smallest of its ``gram``-symbol
-   hashes.  All windows an anchor owns (about ``(window - gram) / 2`` of them) share
-   this digit and travel as one row;  anchors whose gram occurs once drop out.
-2. digit two is the hash of everything an anchor's windows cover.  Anchors equal
-   in it have equal windows all along, so all but those in the first document are
-   settled with one row each, whatever the size of the group.
-3. digit three is the window itself, taken only for the first members of grams
-   that occur with different surroundings (edges of repeats).
-
-Each pass counts keys with a partial aggregation (hot keys shrink before the
-shuffle), and the next pass asks a bounded key filter before it emits a row; the
-joins that follow are exact.  No group is gathered anywhere and no pairs are made.
+"""Exact repeated windows across documents, found from anchors and compared symbol by symbol.
+
+A window is ``window`` symbols (words or bytes) in a row.  Each window is owned by
+its anchor, the leftmost smallest hash of ``gram`` symbols in it, so equal windows
+have equal anchors at equal offsets.  One row for each anchor stands for all the
+windows it owns: a range of offsets, and the symbols to its left and right as far
+as these windows reach.  Anchors whose gram occurs once drop out; the others form
+groups by gram, which are then refined:
+
+* the first row of a group, by document and position, is its representative;
+* every other row is compared with it, symbol by symbol, to the left and right of
+  the anchor, which settles all offsets whose whole window lies in the match;
+* what is not settled goes on in a smaller group, dealt by side, depth and symbol
+  of the first difference: the windows that reach past the left difference by the
+  left one, the others by the right one.
+
+All rows that share a window take the same way, and stop only when the first of
+them represents their group, so nothing is missed; a span is reported only after
+its symbols were compared, so hashes (of grams and groups) only steer.  Each round
+is linear in the rows that are left: no pairs, no group in one place (hot groups
+are split), and every round takes the first row out of each group and goes at least
+one symbol deeper, so there are at most as many rounds as symbols in a reach.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.arrowtext import SPACED, Rolling, blocks, winnow, word_spans
-from tracklake.llm.common import KEY, KeyFilter, discard, key_filter, keyed_texts, release, signed, staged
+from tracklake.llm.arrowtext import SPACED, Rolling, blocks, common_prefix, gather, mix, string_buffers, winnow, word_spans
+from tracklake.llm.common import KEY, discard, key_filter, keyed_texts, release, signed, staged
+from tracklake.operators.skew import join_to_one
 
 Batches = Iterator[pa.RecordBatch]
+FILTER_BYTES = 32 << 20
+_ROWS = f"grp long, doc_id long, {KEY} long, start int, lo int, hi int, left binary, right binary"
 
 
 @dataclass(frozen=True)
@@ -43,116 +50,152 @@ class Windows:
     gram: int
     words: bool
 
-    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Rolling, np.ndarray]:
+    def anchors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol bytes, byte start of each symbol (and the end), symbol offsets of the documents, and for each
+        anchor its document, gram hash, position, and first and last owned start as one array of two rows."""
+        if self.words:
+            starts, ends, at = word_spans(data, offsets, SPACED)
+            codes = Rolling(data).of(starts, ends)
+            size = ends - starts + 1
+            begin = np.concatenate(([0], np.cumsum(size))) + 1  # a space stands before the first word and after each
+            text = np.full(begin[-1], 32, np.uint8)
+            k = np.arange(begin[-1] - 1) - np.repeat(begin[:-1] - 1, size)
+            inside = k < np.repeat(size - 1, size)
+            text[1:][inside] = data[(np.repeat(starts, size) + k)[inside]]
+        else:
+            text, begin, at, codes = data, np.arange(len(data) + 1), offsets, data
+        grams = Rolling(codes).grams(self.gram)
+        doc, pos, first, last = winnow(grams, at, self.window, self.gram)
+        return text, begin, at, doc, grams[pos], pos, np.stack((first, last))
+
+    def sides(self, text: np.ndarray, begin: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """What lies left of each anchor, read backwards, and right of it; each word is followed by a space."""
+        back = 1 if self.words else 0
+        return gather(text, begin[first] - back, begin[pos] - back, True), gather(text, begin[pos], begin[last + self.window])
+
+    def extend(self, own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """How many symbols each row shares with its representative on one side, and a code of its next symbol."""
+        data, at = own
+        common = common_prefix(data, at, *other)
         if not self.words:
-            return Rolling(data), offsets
-        starts, ends, first = word_spans(data, offsets, SPACED)
-        return Rolling(Rolling(data).of(starts, ends)), first
-
-    def anchors(self, batches: Batches, keep: KeyFilter | None = None):
-        """For each block: rows, rolling hash, symbol offsets, and per anchor (row, gram hash, first and last owned start)."""
-        for rows, data, offsets in blocks(batches):
-            roll, at = self.symbols(data, offsets)
-            grams = roll.grams(self.gram)
-            doc, pos, first, last = winnow(grams, at, self.window, self.gram)
-            digit = grams[pos]
-            if keep is not None:
-                hit = keep.test(digit)
-                doc, digit, first, last = doc[hit], digit[hit], first[hit], last[hit]
-            yield rows, roll, at, doc, digit, first, last
+            padded = np.append(data, np.zeros(1, np.uint8))
+            return common, padded[np.minimum(at[:-1] + common, len(data))].astype(np.uint64)
+        ends = np.append(np.flatnonzero(data == 32), len(data))
+        before, upto = np.searchsorted(ends, at[:-1]), np.searchsorted(ends, at[:-1] + common)
+        start = np.where(upto > before, ends[upto - 1] + 1, at[:-1])
+        return upto - before, Rolling(data).of(start, np.maximum(start, ends[np.minimum(upto, len(ends) - 1)]))
 
 
-def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id (0 for null), whether there is one, row key."""
-    ids = rows.column(rows.schema.get_field_index("doc_id"))
-    return ids.fill_null(0).to_numpy(zero_copy_only=False), ~ids.is_null().to_numpy(zero_copy_only=False), rows.column(rows.schema.get_field_index(KEY)).to_numpy(zero_copy_only=False)
+def _column(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
-    """(doc_id, row key, start, stop): symbol ranges covered by windows that also start in a smaller doc_id.
+def _members(texts: DataFrame, spec: Windows, filter_bytes: int) -> DataFrame:
+    """One row for each anchor whose gram occurs again.
 
-    Ranges overlap and are not merged.  Empty input, or texts shorter than a window, give no rows.
+    Grams are counted first (pre-aggregated in each task).  Up to ``filter_bytes``
+    the repeated ones are broadcast as a Bloom filter; beyond that, places of
+    anchors without text meet them in a join and go back to their documents.
     """
-    spark = docs.sparkSession
-    texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
 
     def count_grams(batches: Batches) -> Batches:
-        for _, _, _, _, digit, _, _ in spec.anchors(batches):
-            values, counts = np.unique(digit, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"digit": signed(values), "n": pa.array(counts.astype(np.int32))})
+        for _, data, offsets in blocks(batches):
+            values, counts = np.unique(spec.anchors(data, offsets)[4], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"grp": signed(values), "n": pa.array(counts.astype(np.int32))})
 
-    grams = staged(texts.mapInArrow(count_grams, "digit long, n int").groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit"), "grams")
+    spark = texts.sparkSession
+    grams = staged(texts.mapInArrow(count_grams, "grp long, n int").groupBy("grp").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
     release(spark)
-    tied = spark.sparkContext.broadcast(key_filter(grams, "digit"))
-    discard(grams)
+    tied = key_filter(grams, "grp", filter_bytes)
+    tied = None if tied is None else spark.sparkContext.broadcast(tied)
+    if tied is None:
+
+        def list_places(batches: Batches) -> Batches:
+            for rows, data, offsets in blocks(batches):
+                _, _, at, doc, digit, pos, _ = spec.anchors(data, offsets)
+                yield pa.RecordBatch.from_pydict({"grp": signed(digit), "doc_id": pa.array(_column(rows, "doc_id")[doc]), KEY: pa.array(_column(rows, KEY)[doc]), "start": pa.array((pos - at[doc]).astype(np.int32))})
+
+        places = staged(texts.mapInArrow(list_places, f"grp long, doc_id long, {KEY} long, start int"), "places")
+        again = join_to_one(places, grams.select("grp"), "grp", ["doc_id", KEY, "start"], "left_semi", sizes=grams)
+        wanted = again.groupBy("doc_id", KEY).agg(F.collect_set("start").alias("wanted"))
+        texts = texts.join(wanted.hint("merge"), ["doc_id", KEY])
 
     def list_anchors(batches: Batches) -> Batches:
-        for rows, roll, at, doc, digit, first, last in spec.anchors(batches, tied.value):
-            ids, _, keys = _ids(rows)
+        for rows, data, offsets in blocks(batches):
+            text, begin, at, doc, digit, pos, (first, last) = spec.anchors(data, offsets)
+            start = pos - at[doc]
+            if tied is not None:
+                hit = tied.value.test(digit)
+            else:
+                lists = rows.column(rows.schema.get_field_index("wanted"))
+                owner = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                hit = np.isin(doc << 32 | start, owner << 32 | lists.flatten().to_numpy(zero_copy_only=False))
+            doc, digit, pos, first, last, start = (x[hit] for x in (doc, digit, pos, first, last, start))
+            left, right = spec.sides(text, begin, pos, first, last)
             yield pa.RecordBatch.from_pydict({
-                "digit": signed(digit), "around": signed(roll.of(first, last + spec.window)), "doc_id": pa.array(ids[doc]), KEY: pa.array(keys[doc]),
-                "start": pa.array((first - at[doc]).astype(np.int32)), "stop": pa.array((last + spec.window - at[doc]).astype(np.int32)),
+                "grp": signed(digit), "doc_id": pa.array(_column(rows, "doc_id")[doc]), KEY: pa.array(_column(rows, KEY)[doc]), "start": pa.array(start.astype(np.int32)),
+                "lo": pa.array((pos - last).astype(np.int32)), "hi": pa.array((pos - first).astype(np.int32)), "left": left, "right": right,
             })
 
-    members = staged(texts.mapInArrow(list_anchors, f"digit long, around long, doc_id long, {KEY} long, start int, stop int"), "anchors")
-    classes = staged(members.groupBy("digit", "around").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
-    release(spark)
-    settled = staged(
-        members.join(classes.where("least < most").select("digit", "around", "least"), ["digit", "around"]).where("doc_id > least").select("doc_id", KEY, "start", "stop"), "settled"
-    )
-    release(spark)
+    out = staged(texts.mapInArrow(list_anchors, _ROWS), "anchors")
+    discard(grams, *([] if tied is not None else [places]))
+    return out
 
-    # the first members of grams with several surroundings: both filters may let more through, and every window
-    # they then emit is a true one, so no join is needed (and a gram with very many surroundings meets no one task)
-    varied = staged(classes.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1").select("digit"), "varied")
-    varied_digits = spark.sparkContext.broadcast(key_filter(varied, "digit"))
-    firsts = staged(classes.select(F.col("digit").bitwiseXOR(F.col("around")).bitwiseXOR(F.col("least")).alias("first")), "firsts")
-    edge = spark.sparkContext.broadcast(key_filter(firsts, "first"))
-    discard(members, classes, varied, firsts)
-    release(spark)
 
-    def edge_windows(batches: Batches, keep: KeyFilter | None) -> Iterator[tuple]:
-        for rows, roll, at, doc, digit, first, last in spec.anchors(batches, varied_digits.value):
-            ids, _, keys = _ids(rows)
-            hit = edge.value.test(digit ^ roll.of(first, last + spec.window) ^ ids[doc].view(np.uint64))
-            doc, first, last = doc[hit], first[hit], last[hit]
-            n = last - first + 1
-            anchor = np.repeat(np.arange(len(n)), n)
-            start = first[anchor] + np.arange(len(anchor)) - (np.cumsum(n) - n)[anchor]
-            window = roll.of(start, start + spec.window)
-            if keep is not None:
-                hit = keep.test(window)
-                anchor, start, window = anchor[hit], start[hit], window[hit]
-            yield window, ids[doc[anchor]], keys[doc[anchor]], start - at[doc[anchor]], (first - at[doc])[anchor]
-
-    def count_windows(batches: Batches) -> Batches:
-        for window, ids, *_ in edge_windows(batches, None):
-            order = np.lexsort((ids, window))
-            window, ids = window[order], ids[order]
-            new = np.ones(len(window), bool)
-            new[1:] = (window[1:] != window[:-1])
-            at = np.flatnonzero(new)
-            end = np.append(at[1:], len(window)) - 1 if len(at) else at
-            yield pa.RecordBatch.from_pydict({"window": signed(window[at]), "least": pa.array(ids[at]), "most": pa.array(ids[end])})
-
-    again = staged(
-        texts.mapInArrow(count_windows, "window long, least long, most long").groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("window", "least"),
-        "windows",
-    )
-    release(spark)
-    shared = spark.sparkContext.broadcast(key_filter(again, "window"))
+def repeated_spans(docs: DataFrame, spec: Windows, within: bool, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(doc_id, row key, start, stop): symbol ranges covered by windows that also start earlier.
 
-    def list_windows(batches: Batches) -> Batches:
-        for window, ids, keys, start, anchor in edge_windows(batches, shared.value):
-            yield pa.RecordBatch.from_pydict({"window": signed(window), "doc_id": pa.array(ids), KEY: pa.array(keys), "start": pa.array(start.astype(np.int32)), "anchor": pa.array(anchor.astype(np.int32))})
+    Earlier is a smaller doc_id; with ``within`` also an earlier place in the same
+    document (rows with one doc_id and other texts then follow in the order of their
+    row keys).  Ranges overlap and are not merged.  Empty input, or texts shorter
+    than a window, give no rows.
+    """
+    spark = docs.sparkSession
+    texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
 
-    found = texts.mapInArrow(list_windows, f"window long, doc_id long, {KEY} long, start int, anchor int").join(again, "window").where("doc_id > least")
-    # an anchor owns fewer windows than one window is long, so its first and last covered start cover all between
-    edges = found.groupBy("doc_id", KEY, "anchor").agg(F.min("start").alias("start"), (F.max("start") + spec.window).alias("stop"))
-    edges = staged(edges.select("doc_id", KEY, "start", "stop"), "edges")
-    discard(again)
+    def compare(batches: Batches) -> Batches:
+        for batch in batches:
+            for cut in range(0, len(batch), 4096):
+                rows = batch.slice(cut, 4096)
+                lo, hi, start, doc, first = (_column(rows, c).astype(np.int64) for c in ("lo", "hi", "start", "doc_id", "r_doc"))
+                side = {c: string_buffers(rows.column(rows.schema.get_field_index(c))) for c in ("left", "right", "r_left", "r_right")}
+                left, left_next = spec.extend(side["left"], side["r_left"])
+                right, right_next = spec.extend(side["right"], side["r_right"])
+                group = _column(rows, "grp").view(np.uint64)
+                other = (doc != first) | (_column(rows, KEY) != _column(rows, "r_key")) | (start != _column(rows, "r_start"))
+                a, b = np.maximum(lo, spec.window - right), np.minimum(hi, left)
+                done = np.flatnonzero(other & (a <= b) & (within | (doc != first)))
+                parts = [(done, None, (start - b)[done], (start - a + spec.window)[done])]
+                for which, depth, symbol, new_lo, new_hi in ((1, left, left_next, np.maximum(lo, left + 1), hi), (2, right, right_next, lo, np.minimum(np.minimum(hi, left), spec.window - right - 1))):
+                    on = np.flatnonzero(other & (new_lo <= new_hi))
+                    deal = mix(group ^ mix(symbol * np.uint64(0x9E3779B97F4A7C15) + depth.astype(np.uint64) * np.uint64(4) + np.uint64(which)))
+                    parts.append((on, signed(deal[on]), new_lo[on], new_hi[on]))
+                for at, grp, x, y in parts:
+                    kept = {c: rows.column(rows.schema.get_field_index(c)).take(pa.array(at)) for c in ("doc_id", KEY, "start")}
+                    texts = {c: pa.nulls(len(at), pa.binary()) if grp is None else rows.column(rows.schema.get_field_index(c)).take(pa.array(at)) for c in ("left", "right")}
+                    yield pa.RecordBatch.from_pydict({"grp": pa.nulls(len(at), pa.int64()) if grp is None else grp, **kept, "lo": pa.array(x.astype(np.int32)), "hi": pa.array(y.astype(np.int32)), **texts})
+
+    rows = _members(texts, spec, filter_bytes)
+    steps = [rows]
     release(spark)
-    return settled.unionByName(edges)
+    found = []
+    while True:
+        least = F.min(F.struct("doc_id", KEY, "start", "left", "right"))
+        firsts = staged(rows.groupBy("grp").agg(F.count("*").alias("n"), least.alias("r")).where("n > 1").select("grp", "n", F.col("r.doc_id").alias("r_doc"), F.col(f"r.{KEY}").alias("r_key"), F.col("r.start").alias("r_start"), F.col("r.left").alias("r_left"), F.col("r.right").alias("r_right")), "firsts")
+        release(spark)
+        steps.append(firsts)
+        if firsts.isEmpty():
+            break
+        pairs = join_to_one(rows, firsts.drop("n"), "grp", ["doc_id", KEY, "start"], sizes=firsts)
+        step = staged(pairs.mapInArrow(compare, _ROWS), "compared")
+        release(spark)
+        found.append(step.where("grp IS NULL").select("doc_id", KEY, F.col("lo").alias("start"), F.col("hi").alias("stop")))
+        rows = step.where("grp IS NOT NULL")
+        steps.append(step)
+    none = spark.createDataFrame([], f"doc_id long, {KEY} long, start int, stop int")
+    out = staged(functools.reduce(DataFrame.unionByName, found, none), "spans")
+    discard(*steps)
+    return out
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +215,8 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     lists = spans.groupBy("doc_id", KEY).agg(F.collect_list(F.struct("start", "stop")).alias("pairs"))
     lists = lists.select(F.col("doc_id").alias("span_doc"), F.col(KEY).alias("span_key"), F.col("pairs.start").alias("starts"), F.col("pairs.stop").alias("stops"))
     texts = keyed_texts(docs)
-    return texts.join(lists, (texts.doc_id == lists.span_doc) & (texts[KEY] == lists.span_key), "left").drop("span_doc", "span_key")
+    # by merge at every size: what repeats grows with the corpus and is never broadcast
+    return texts.join(lists.hint("merge"), (texts.doc_id == lists.span_doc) & (texts[KEY] == lists.span_key), "left").drop("span_doc", "span_key")
 
 
 def span_lists(rows: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:

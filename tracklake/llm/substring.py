@@ -18,17 +18,20 @@ _SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha
 def dedup_substrings(docs: DataFrame, words: int = 50, seed: int = 16) -> DataFrame:
     """Remove passages of ``words`` or more words that also stand in a document with a smaller doc_id.
 
-    Documents meet on winnowed anchors of ``seed`` words (see :mod:`repeats`): an
-    anchor whose surroundings agree as far as its windows reach is extended both
-    ways at once; at the edges of a repeat the match is extended window by window.
-    Neighbouring matches join into maximal repeats, returned as ``spans``.
+    Seeds are winnowed anchors of ``seed`` words.  Documents join the first document
+    that has their seed, the match is extended word by word to both sides, and what
+    it leaves open goes on to the first document that shares the next word there
+    (see :mod:`repeats`).  Matches of ``words`` or more that touch join into maximal
+    repeats, returned as ``spans``.
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by a space),
-    kept_sha256 and spans.  Repeats inside one document stay; a text of fewer
-    than ``words`` words, an empty or a null text loses nothing.
+    kept_sha256 and spans.  Repeats inside one document stay, as do rows without a
+    doc_id; a text of fewer than ``words`` words, an empty or a null text loses
+    nothing; no rows give no rows.  Rows that repeat a doc_id are one document
+    (each is compared with smaller ids only).
     """
     spec = Windows(words, min(seed, words), True)
-    joined = with_spans(docs, repeated_spans(docs, spec))
+    joined = with_spans(docs, repeated_spans(docs, spec, within=False))
 
     def cut(batches: Batches) -> Batches:
         for rows, data, offsets in blocks(batches):

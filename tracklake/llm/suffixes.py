@@ -8,52 +8,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracklake.llm.arrowtext import Rolling, blocks, winnow
+from tracklake.llm.arrowtext import blocks
 from tracklake.llm.repeats import Batches, Windows, merged, repeated_spans, span_lists, with_spans
 
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
-def _within(data: np.ndarray, offsets: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (in the block) of windows that also start earlier in the same document, and their document."""
-    roll = Rolling(data)
-    grams = roll.grams(spec.gram)
-    doc, pos, first, last = winnow(grams, offsets, spec.window, spec.gram)
-    digit = grams[pos] ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, inverse, counts = np.unique(digit, return_inverse=True, return_counts=True)
-    tied = counts[inverse] > 1
-    doc, first, n = doc[tied], first[tied], (last - first + 1)[tied]
-    anchor = np.repeat(np.arange(len(n)), n)
-    start = first[anchor] + np.arange(len(anchor)) - (np.cumsum(n) - n)[anchor]
-    window, doc = roll.of(start, start + spec.window), doc[anchor]
-    order = np.lexsort((start, window, doc))
-    window, doc, start = window[order], doc[order], start[order]
-    later = np.zeros(len(start), bool)
-    later[1:] = (window[1:] == window[:-1]) & (doc[1:] == doc[:-1])
-    return start[later], doc[later]
-
-
 def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier in the corpus.
 
     Earlier: in a document with a smaller doc_id, or in the same one further left.
-    Suffixes are ordered only through their first ``length`` bytes, by the passes
-    of :mod:`repeats`; groups still equal after the last digit are the repeated
-    strings.  The part inside one document needs no exchange and is done where the
-    text is.  A string lies in one document; a text shorter than ``length``,
-    empty or null loses nothing.  Cuts may fall inside a character, so ``kept`` is binary.
+    The radix order of :mod:`repeats`: a row stands for the neighbouring suffixes of
+    one anchor; each pass skips the bytes that a group shares with its first suffix
+    and deals the rest by depth and value of the next byte, only groups of two or
+    more going on; suffixes equal to the first through ``length`` bytes repeat it.
+    A string lies in one document; a text shorter than ``length``, empty or null, or
+    without a doc_id, loses nothing; no rows give no rows.  Full repeats of a row are
+    one document; rows with one doc_id and other texts follow in the order of their
+    row keys.  Cuts may fall inside a character, so ``kept`` is binary.
     """
     spec = Windows(length, min(gram, length), False)
-    joined = with_spans(docs, repeated_spans(docs, spec))
+    joined = with_spans(docs, repeated_spans(docs, spec, within=True))
 
     def cut(batches: Batches) -> Batches:
         for rows, data, offsets in blocks(batches):
-            again, owner = _within(data, offsets, spec)
-            bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
             cols: tuple[list, ...] = ([], [], [], [], [])
             for i, (a, b) in enumerate(span_lists(rows)):
-                own = again[bounds[i] : bounds[i + 1]] - offsets[i]
-                a, b = merged(np.concatenate((a, own)), np.concatenate((b, own + length)))
+                a, b = merged(a, b)
                 text = data[offsets[i] : offsets[i + 1]]
                 gone = np.zeros(len(text) + 1, np.int32)
                 np.add.at(gone, a, 1)
