@@ -99,16 +99,19 @@ def test_op8(spark, sf_dir, texts):
     pairs = {(line[a] if a is not None else None, line[b]) for _, t in texts for a, b in zip([None, *(t or "").split("\n")], (t or "").split("\n"), strict=False)}
     frame = spark.createDataFrame(list(pairs), "a long, b long")
     pair = {(r.a, r.b): r.h for r in frame.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
-    seen, want = set(), []
+    seen, want = set(), set()
     for doc, text in sorted(texts):
-        all_lines, gone, chunks = (text or "").split("\n"), set(), 0
         for start, body in brute.line_chunks(text, line.get, lambda a, b: pair[a, b]):
             if body in seen:
-                gone |= set(range(start, start + body.count("\n") + 1))
-                chunks += 1
+                want.add((doc, start, body.count("\n") + 1))
             seen.add(body)
-        want.append((doc, len(all_lines), len(gone), chunks, brute.sha("\n".join(x for i, x in enumerate(all_lines) if i not in gone))))
-    assert got(QUERIES["op8_line_dedup"](spark, sf_dir), "doc_id", "n_lines", "n_removed", "n_chunks", "kept_sha256") == want
+    chunks, rims = lines.repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert want and set(got(chunks, "doc_id", "start", "size")) == want
+    inside = {(d, i) for d, start, size in want for i in range(start, start + size - 1)}
+    assert all((r.doc_id, r.start) not in inside for r in rims.where("size = 2").collect())
+    whole = _without_repeats([(d, t or "") for d, t in texts])
+    want = sorted((d, len((t or "").split("\n")), whole[d][0], brute.sha(whole[d][1])) for d, t in texts)
+    assert got(QUERIES["op8_line_dedup"](spark, sf_dir), "doc_id", "n_lines", "n_removed", "kept_sha256") == want
     assert any(r[2] for r in want)
 
 
@@ -188,8 +191,19 @@ def test_benchmark_in_several_blocks_gives_the_same_rows(spark, sf_dir):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, items, block_bytes=2000).collect()} == clean
 
 
-@pytest.mark.parametrize(("width", "gram"), [(5, 2), (8, 8), (12, 3)])
-def test_repeats_on_small_alphabets(spark, width, gram):
+def test_windows_with_equal_middles_are_not_equal(spark):
+    """Made to have one 64-bit hash of 100 bytes; only the middle 60 are equal."""
+    pair = (
+        "biqpasbdriryizpzubivmntyadvygiwlhvgkqocawtvnviludhdlzdjkxfngatbhmmdztzcshoyhseizclpwkjznjyqgvsdmoukj",
+        "hxnhbzalrfjfpmdzyqaqmntyadvygiwlhvgkqocawtvnviludhdlzdjkxfngatbhmmdztzcshoyhseizkawrrtqxyqerduwypyip",
+    )
+    frame = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert got(suffixes.dedup_suffixes(frame), "n_removed", "n_spans") == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize(("width", "gram", "filter_bytes"), [(5, 2, repeats.FILTER_BYTES), (8, 8, 0), (12, 3, 0)])
+def test_repeats_on_small_alphabets(spark, monkeypatch, width, gram, filter_bytes):
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (filter_bytes,))
     rng = random.Random(width)
     docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(40)]
     docs += [(100 + i, docs[i][1]) for i in range(0, 40, 3)] + [(200 + i, docs[i][1] + " c " + docs[i + 1][1]) for i in range(0, 30, 4)]
@@ -201,7 +215,7 @@ def test_repeats_on_small_alphabets(spark, width, gram):
 def test_hot_passage_needs_one_row_for_each_class(spark):
     shared = " ".join(f"p{i}" for i in range(120))
     docs = [(i, f"a{i} b{i} {shared} c{i}") for i in range(200)]
-    spans = repeats.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), repeats.Windows(50, 16, True))
+    spans = repeats.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), repeats.Windows(50, 16, True), within=False)
     assert {r.doc_id for r in spans.select("doc_id").distinct().collect()} == set(range(1, 200))
 
 
@@ -316,7 +330,7 @@ def test_every_repeated_passage_of_lines_goes(spark, monkeypatch, broadcast_rows
         docs.append((d, "\n".join(body)))
     docs += [(200 + k, docs[k][1]) for k in range(30)]
     docs += [(300, "\n\nhead\n\n\n\nnext\n\n\n"), (301, "\n\nhead\n\n\n\nnext\n\n\n"), (302, "a b\nc d\na b\nc d\na b\nc d"), (303, "once\nonly once"), (304, "\n\n\n"), (305, "\n\n\n")]
-    monkeypatch.setattr(lines.repeated_windows, "__defaults__", (broadcast_rows,))
+    monkeypatch.setattr(lines.repeated_lines, "__defaults__", (4, broadcast_rows))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     out = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.dedup_lines(frame).collect()}
     assert out == _without_repeats(docs)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.arrowtext import LOWER, SPACED, blocks, word_spans
-from tracklake.llm.common import KEY, keyed_texts, read, release, staged
+from tracklake.llm.common import KEY, discard, keyed_texts, packed, read, release, staged
+from tracklake.operators.skew import join_to_one
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -108,27 +109,29 @@ def close_pairs(prints: DataFrame, limit: int = 4) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable, by alternating large-star and small-star steps.
 
-    Each step is a join or grouping on a node and keeps at most one edge for each
-    neighbour; hot nodes become stars whose leaves hold one edge each.
+    Each step gives every node's neighbours one edge to its smallest neighbour; the
+    centre of a star is a hot key, whose edges are dealt over several tasks.
     """
     spark = nodes.sparkSession
     edges = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     last = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()  # u > v
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = staged(small.where("u != v").distinct(), "links")
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = join_to_one(both, least.drop("n"), "u", ["v"], sizes=least).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.distinct(), "large")  # u > v
+        lower = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower")
+        small = join_to_one(large, lower.drop("n"), "u", ["v"], sizes=lower).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        fresh = staged(small.where("u != v").distinct(), "links")
+        discard(edges, least, large, lower)
+        edges = fresh
         release(spark)
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
@@ -137,28 +140,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFr
     Copies collapse to one fingerprint before the search, so a group of equal
     texts of any size costs one row.  Fingerprints link at ``limit`` or fewer
     differing bits; component_id is the smallest doc_id reachable (null only where
-    the component has no doc_id at all).  Wordless texts share fingerprint 0 and
-    link like any other.
+    the component has no doc_id at all).  Wordless, empty and null texts share
+    fingerprint 0 and link like any other; repeated rows are in one component; no
+    rows give no rows.
     """
     prints = staged(fingerprints(docs, shingle), "prints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints-of")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints-of")
     links = close_pairs(classes.select("fp"), limit)
-    roots = components(links, classes.select(F.col("fp").alias("node")))
-    named = roots.join(classes.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = staged(named.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "members")
+    named = staged(components(links, classes.select(F.col("fp").alias("node"))).join(classes.withColumnRenamed("fp", "node").hint("merge"), "node"), "roots")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    least = staged(least, "least")
+    member = staged(join_to_one(named.select("node", "root"), least.drop("n"), "root", ["node"], sizes=least).select(F.col("node").alias("fp"), "component_id"), "members")
+    out = join_to_one(prints, member, "fp", ["doc_id", KEY], sizes=classes).select("doc_id", KEY, "fp", "component_id")
+    discard(named, least, classes)
     release(docs.sparkSession)
-    return prints.join(member, "fp").select("doc_id", KEY, "fp", "component_id")
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each component (its smallest doc_id; rows that repeat that doc_id and text stay one)."""
-    keep = near_duplicates(docs, shingle, limit).where("doc_id = component_id OR component_id IS NULL").select(F.col(KEY).alias("tl_keep")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """The rows of ``docs``, all columns as they were, with one document of each component.
+
+    It is the one with the smallest doc_id; rows that repeat that doc_id and text
+    stay one row, whichever.  Rows without a doc_id stay only in components that
+    have none at all.  Wordless, empty and null texts are near-duplicates of each other.
+    """
+    keep = near_duplicates(docs, shingle, limit).where("doc_id = component_id OR component_id IS NULL").select(KEY).distinct()
     # by merge at every size: the kept keys grow with the corpus and are never broadcast
-    return docs.withColumn("tl_key", key).dropDuplicates(["tl_key"]).join(keep.hint("merge"), F.col("tl_key") == F.col("tl_keep"), "left_semi").drop("tl_key")
+    return packed(docs).select(KEY, "row").dropDuplicates([KEY]).join(keep.hint("merge"), KEY, "left_semi").select("row.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` over ``documents``, with the fingerprint in hexadecimal."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
