@@ -22,8 +22,6 @@ def join_to_one(many: DataFrame, one: DataFrame, key: str, spread: list[str], ho
     limit = max(least, total // (4 * parts))
     sizes = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
     hot = [tuple(r) for r in sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int")).collect()]
-    if not hot:
-        return many.join(one.hint("merge"), key, how)
     kind = many.schema[key].dataType.simpleString()
     table = F.broadcast(spark.createDataFrame(hot, f"{key} {kind}, tl_split int"))
     left = many.join(table, key, "left").withColumn("tl_slot", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("tl_split")), F.lit(0).cast("long"))).drop("tl_split")
