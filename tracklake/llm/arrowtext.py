@@ -178,12 +178,12 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, backwards: bo
     return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.binary())
 
 
-def common_prefix(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
-    """Bytes that row i of two binary columns (bytes and offsets) share from their start."""
-    n = np.minimum(np.diff(a_at), np.diff(b_at))
+def common_prefix(data: np.ndarray, own: np.ndarray, own_end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Bytes that the slice ``data[own:own_end]`` of each row shares with ``data[other:other_end]`` from its start."""
+    n = np.minimum(own_end - own, other_end - other)
     row = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    differ = np.flatnonzero(a[a_at[:-1][row] + k] != b[b_at[:-1][row] + k])
+    differ = np.flatnonzero(data[own[row] + k] != data[other[row] + k])
     out, rows = n.copy(), row[differ]
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]

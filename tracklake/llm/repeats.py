@@ -73,10 +73,9 @@ class Windows:
         back = 1 if self.words else 0
         return gather(text, begin[first] - back, begin[pos] - back, True), gather(text, begin[pos], begin[last + self.window])
 
-    def extend(self, own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """How many symbols each row shares with its representative on one side, and a code of its next symbol."""
-        data, at = own
-        common = common_prefix(data, at, *other)
+    def extend(self, data: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many symbols each row shares with row ``first`` of its group on one side, and a code of its next symbol."""
+        common = common_prefix(data, at[:-1], at[1:], at[:-1][first], at[1:][first])
         if not self.words:
             padded = np.append(data, np.zeros(1, np.uint8))
             return common, padded[np.minimum(at[:-1] + common, len(data))].astype(np.uint64)
@@ -90,8 +89,8 @@ def _column(rows: pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _members(texts: DataFrame, spec: Windows, filter_bytes: int) -> DataFrame:
-    """One row for each anchor whose gram occurs again.
+def _members(texts: DataFrame, spec: Windows, filter_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """One row for each anchor whose gram occurs again, and the number of rows of each gram.
 
     Grams are counted first (pre-aggregated in each task).  Up to ``filter_bytes``
     the repeated ones are broadcast as a Bloom filter; beyond that, places of
@@ -138,8 +137,30 @@ def _members(texts: DataFrame, spec: Windows, filter_bytes: int) -> DataFrame:
             })
 
     out = staged(texts.mapInArrow(list_anchors, _ROWS), "anchors")
-    discard(grams, *([] if tied is not None else [places]))
-    return out
+    if tied is None:
+        discard(places)
+    return out, grams
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows with a ``slot``, group by group in order of place, each group in one task.
+
+    Groups of more than a quarter of an even task's share are hot; there are at most
+    four for each shuffle partition, so their list and their first rows are small.
+    A hot group is dealt over several slots, and each slot begins with its first row.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(64, rows.count() // (4 * parts))
+    hot = [(r.grp, -(-r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
+    out = rows.withColumn("slot", F.lit(0).cast("long"))
+    if hot:
+        split = F.broadcast(spark.createDataFrame(hot, "grp long, split int"))
+        slot = F.pmod(F.xxhash64("doc_id", KEY, "start"), F.col("split"))
+        out = rows.join(split, "grp", "left").withColumn("slot", F.coalesce(slot, F.lit(0).cast("long"))).drop("split")
+        firsts = rows.join(split, "grp").groupBy("grp").agg(F.min(F.struct("doc_id", KEY, "start", "lo", "hi", "left", "right")).alias("r"), F.max("split").alias("split"))
+        out = out.unionByName(firsts.select("grp", "r.*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("split") - 1).cast("long"))).alias("slot")))
+    return out.repartition("grp", "slot").sortWithinPartitions("grp", "slot", "doc_id", KEY, "start")
 
 
 def repeated_spans(docs: DataFrame, spec: Windows, within: bool, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -154,17 +175,22 @@ def repeated_spans(docs: DataFrame, spec: Windows, within: bool, filter_bytes: i
     texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
 
     def compare(batches: Batches) -> Batches:
+        head = None  # the first row of the group that the last batch ended in
         for batch in batches:
             for cut in range(0, len(batch), 4096):
                 rows = batch.slice(cut, 4096)
-                lo, hi, start, doc, first = (_column(rows, c).astype(np.int64) for c in ("lo", "hi", "start", "doc_id", "r_doc"))
-                side = {c: string_buffers(rows.column(rows.schema.get_field_index(c))) for c in ("left", "right", "r_left", "r_right")}
-                left, left_next = spec.extend(side["left"], side["r_left"])
-                right, right_next = spec.extend(side["right"], side["r_right"])
+                if head is not None:
+                    rows = pa.Table.from_batches([head, rows]).combine_chunks().to_batches()[0]
+                lo, hi, start, doc, key, slot = (_column(rows, c).astype(np.int64) for c in ("lo", "hi", "start", "doc_id", KEY, "slot"))
                 group = _column(rows, "grp").view(np.uint64)
-                other = (doc != first) | (_column(rows, KEY) != _column(rows, "r_key")) | (start != _column(rows, "r_start"))
+                opens = np.ones(len(rows), bool)
+                opens[1:] = (group[1:] != group[:-1]) | (slot[1:] != slot[:-1])
+                first = np.maximum.accumulate(np.where(opens, np.arange(len(rows)), 0))
+                head = rows.slice(int(first[-1]), 1)
+                (left, left_next), (right, right_next) = (spec.extend(*string_buffers(rows.column(rows.schema.get_field_index(c))), first) for c in ("left", "right"))
+                other = (doc != doc[first]) | (key != key[first]) | (start != start[first])
                 a, b = np.maximum(lo, spec.window - right), np.minimum(hi, left)
-                done = np.flatnonzero(other & (a <= b) & (within | (doc != first)))
+                done = np.flatnonzero(other & (a <= b) & (within | (doc != doc[first])))
                 parts = [(done, None, (start - b)[done], (start - a + spec.window)[done])]
                 for which, depth, symbol, new_lo, new_hi in ((1, left, left_next, np.maximum(lo, left + 1), hi), (2, right, right_next, lo, np.minimum(np.minimum(hi, left), spec.window - right - 1))):
                     on = np.flatnonzero(other & (new_lo <= new_hi))
@@ -175,26 +201,21 @@ def repeated_spans(docs: DataFrame, spec: Windows, within: bool, filter_bytes: i
                     texts = {c: pa.nulls(len(at), pa.binary()) if grp is None else rows.column(rows.schema.get_field_index(c)).take(pa.array(at)) for c in ("left", "right")}
                     yield pa.RecordBatch.from_pydict({"grp": pa.nulls(len(at), pa.int64()) if grp is None else grp, **kept, "lo": pa.array(x.astype(np.int32)), "hi": pa.array(y.astype(np.int32)), **texts})
 
-    rows = _members(texts, spec, filter_bytes)
-    steps = [rows]
+    rows, sizes = _members(texts, spec, filter_bytes)
     release(spark)
-    found = []
-    while True:
-        least = F.min(F.struct("doc_id", KEY, "start", "left", "right"))
-        firsts = staged(rows.groupBy("grp").agg(F.count("*").alias("n"), least.alias("r")).where("n > 1").select("grp", "n", F.col("r.doc_id").alias("r_doc"), F.col(f"r.{KEY}").alias("r_key"), F.col("r.start").alias("r_start"), F.col("r.left").alias("r_left"), F.col("r.right").alias("r_right")), "firsts")
-        release(spark)
-        steps.append(firsts)
-        if firsts.isEmpty():
-            break
-        pairs = join_to_one(rows, firsts.drop("n"), "grp", ["doc_id", KEY, "start"], sizes=firsts)
-        step = staged(pairs.mapInArrow(compare, _ROWS), "compared")
+    steps, found = [rows, sizes], []
+    while not rows.isEmpty():
+        step = staged(_dealt(rows, sizes).mapInArrow(compare, _ROWS), "compared")
         release(spark)
         found.append(step.where("grp IS NULL").select("doc_id", KEY, F.col("lo").alias("start"), F.col("hi").alias("stop")))
         rows = step.where("grp IS NOT NULL")
+        sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
         steps.append(step)
+        if len(found) == 1:
+            discard(*steps[:2])
     none = spark.createDataFrame([], f"doc_id long, {KEY} long, start int, stop int")
     out = staged(functools.reduce(DataFrame.unionByName, found, none), "spans")
-    discard(*steps)
+    discard(*(steps[2:] or steps))
     return out
 
 
