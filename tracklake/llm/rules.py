@@ -1,8 +1,8 @@
 """Quality rules under weak supervision; DataFrame functions only.
 
 Rules vote good or bad or abstain.  Expectation-maximisation over the votes of
-the corpus estimates how often each rule complains about good and about bad
-documents, and a document is kept by its posterior probability of being good.
+the corpus estimates how each rule votes on good documents and on each kind of
+bad ones, and a document is kept by its posterior probability of being good.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
-    """Counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, n_bangs.
+    """Counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, n_bangs, n_stops, n_digits.
 
     Words are split at ASCII white space.  n_repeat_words counts the words inside
     3-word windows that occur twice or more in the text.  Window hashes are sorted
@@ -37,11 +37,11 @@ def text_measures(docs: DataFrame) -> DataFrame:
     frame = keyed_texts(docs).select(
         "doc_id", KEY, words.alias("words"), lines.alias("lines"), F.length(_without(text, _SPACES)).cast("long").alias("word_chars"), (F.length(text) - F.length(_without(text, _SYMBOLS))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(_without(text, letters.upper()))).cast("long").alias("n_upper"), (F.length(text) - F.length(_without(text, letters + letters.upper()))).cast("long").alias("n_letters"),
-        (F.length(text) - F.length(_without(text, "!"))).cast("long").alias("n_bangs"),
+        (F.length(text) - F.length(_without(text, "!"))).cast("long").alias("n_bangs"), (F.length(text) - F.length(_without(text, ".,;:?"))).cast("long").alias("n_stops"), (F.length(text) - F.length(_without(text, "0123456789"))).cast("long").alias("n_digits"),
     )
     windows = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     frame = frame.select(
-        "doc_id", KEY, "word_chars", "n_symbols", "n_upper", "n_letters", "n_bangs", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", KEY, "word_chars", "n_symbols", "n_upper", "n_letters", "n_bangs", "n_stops", "n_digits", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(windows, F.array().cast("array<bigint>")).alias("windows"),
     )
     packed = F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long"))))
@@ -64,88 +64,112 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
 
 
+#: Kinds of bad documents, each with the rules that are made to see it; other rules see no one kind.
+KINDS = {
+    "junk": ("symbols", "symbol_characters", "letters", "word_length", "stops", "digits"),
+    "repetition": ("words_repeat", "lines_repeat", "stops"),
+    "shouting": ("capitals", "bangs", "words_repeat", "lines_repeat", "letters"),
+}
+VOTES = (1, 0, -1)
 
 
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, 0 bad, -1 abstain."""
+    """Votes: 1 good, 0 bad, -1 abstain.  Bounds are set close, as a single complaint condemns no document."""
 
     def rate(x: Column, good: float, bad: float) -> Column:
         return F.when(x >= bad, 0).when(x <= good, 1).otherwise(-1)
 
-    long = _share("word_chars", "n_words")
+    long, stops, letters = _share("word_chars", "n_words"), _share("n_stops", "n_words"), _share("n_letters", "word_chars")
     return {
-        "enough_words": F.when(F.col("n_words") < 50, 0).when(F.col("n_words") >= 80, 1).otherwise(-1),
-        "word_length": F.when((long < 2) | (long > 15), 0).when(long.between(3, 10), 1).otherwise(-1),
-        "symbols": rate(_share("n_symbols", "n_words"), 0.05, 0.3),
-        "lines_repeat": rate(_share("n_dup_lines", "n_lines"), 0.1, 0.4),
-        "words_repeat": rate(_share("n_repeat_words", "n_words"), 0.2, 0.5),
-        "capitals": rate(_share("n_upper", "n_letters"), 0.2, 0.5),
-        "bangs": rate(_share("n_bangs", "n_words"), 0.05, 0.3),
+        "word_length": F.when((long < 3.5) | (long > 8), 0).when(long.between(4, 7), 1).otherwise(-1),
+        "stops": F.when((stops < 0.03) | (stops > 0.6), 0).when(stops.between(0.06, 0.3), 1).otherwise(-1),
+        "digits": rate(_share("n_digits", "word_chars"), 0.02, 0.1),
+        "symbols": rate(_share("n_symbols", "n_words"), 0.02, 0.2),
+        "symbol_characters": rate(_share("n_symbols", "word_chars"), 0.005, 0.04),
+        "letters": F.when(letters < 0.7, 0).when(letters >= 0.8, 1).otherwise(-1),
+        "lines_repeat": rate(_share("n_dup_lines", "n_lines"), 0.05, 0.12),
+        "words_repeat": rate(_share("n_repeat_words", "n_words"), 0.3, 0.45),
+        "capitals": rate(_share("n_upper", "n_letters"), 0.1, 0.3),
+        "bangs": rate(_share("n_bangs", "n_words"), 0.02, 0.2),
     }
 
 
-def _class_odds(names: list[str], share: list[float], fault: list[dict[str, float]]) -> list[Column]:
-    """Unnormalised posterior of each class: its share times the chance of the votes given (an abstention is no evidence)."""
-    out = []
-    for part, chance in zip(share, fault, strict=True):
-        x = F.lit(part)
-        for name in names:
-            x = x * F.when(F.col(name) == 0, chance[name]).when(F.col(name) == 1, 1 - chance[name]).otherwise(1.0)
-        out.append(x)
-    return out
+def prior(names: list[str]) -> list[dict[str, tuple[float, ...]]]:
+    """How each rule votes (good, bad, abstains) on good documents and on each kind of bad ones, before any is seen."""
+    usual, sees = (0.85, 0.05, 0.1), (0.15, 0.7, 0.15)
+    return [{n: usual for n in names}] + [{n: sees if n in own else usual for n in names} for own in KINDS.values()]
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int, doubt: float) -> tuple[list[float], list[dict[str, float]]]:
-    """Class shares and, for each class, how often each rule votes bad on it, by expectation-maximisation.
+def estimate(patterns: list, names: list[str], weight: float = 2.0, close: float = 1e-7, most: int = 500) -> tuple[list[float], list[dict[str, tuple[float, ...]]]]:
+    """Class shares and the rates of votes of each class, by expectation-maximisation.
 
-    ``patterns`` holds each pattern of votes with its count n.  Class 0 is good.
-    Bad documents are of many kinds, so each rule starts a bad class of its own,
-    on which it fires nine times in ten and the others rarely; classes then share
-    or lose documents as the votes agree.  ``doubt`` is the prior rate of wrong
-    complaints about good documents: a rare complaint that no other rule shares is
-    not enough to condemn.
+    ``patterns`` holds each pattern of votes with its count n, at most 3 ** rules
+    rows whatever the corpus.  Class 0 is good.  The prior counts as ``weight``
+    documents in each class, so the votes decide as soon as there are some.  A rule
+    has the same rates on all classes that it is not made to see, so a kind of bad
+    documents differs from good ones by its own rules alone.  Runs until no share or
+    rate moves by ``close`` (or ``most`` rounds).
     """
-    k = len(names) + 1
-    share = [0.5] + [0.5 / (k - 1)] * (k - 1)
-    fault = [{name: doubt for name in names}] + [{name: 0.9 if name == own else 0.1 for name in names} for own in names]
-    for _ in range(rounds):
-        odds = _class_odds(names, share, fault)
-        weighed = patterns.select("*", *[x.alias(f"c{i}") for i, x in enumerate(odds)])
-        total = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
-        weighed = weighed.select(*names, *[(F.col("n") * F.col(f"c{i}") / total).alias(f"w{i}") for i in range(k)])
-        sums = [F.sum(f"w{i}").alias(f"w{i}") for i in range(k)]
-        sums += [F.sum(F.when(F.col(name) == v, F.col(f"w{i}")).otherwise(0.0)).alias(f"{name}_{v}_{i}") for name in names for v in (0, 1) for i in range(k)]
-        got = weighed.agg(*sums).first()
-        if got is None or got["w0"] is None:
+    rates = start = prior(names)
+    share = expected = [0.7] + [0.3 / len(KINDS)] * len(KINDS)
+    own = [(), *KINDS.values()]
+    pools = {(c, name): [c] if name in own[c] else [k for k in range(len(own)) if name not in own[k]] for c in range(len(own)) for name in names}
+    rows = [([VOTES.index(r[n]) for n in names], r["n"]) for r in patterns]
+    total = sum(n for _, n in rows)
+    for _ in range(most):
+        sums = [[[0.0] * 3 for _ in names] for _ in rates]
+        mass = [0.0] * len(rates)
+        for votes, n in rows:
+            odds = []
+            for part, rate in zip(share, rates, strict=True):
+                for name, v in zip(names, votes, strict=True):
+                    part *= rate[name][v]
+                odds.append(part)
+            scale = n / sum(odds)
+            for c, x in enumerate(odds):
+                mass[c] += x * scale
+                for j, v in enumerate(votes):
+                    sums[c][j][v] += x * scale
+        new_share = [(m + weight * x) / (total + weight) for m, x in zip(mass, expected, strict=True)]
+        new_rates = [
+            {name: tuple((sum(sums[k][j][v] for k in pools[c, name]) + weight * start[c][name][v]) / (sum(mass[k] for k in pools[c, name]) + weight) for v in range(3)) for j, name in enumerate(names)} for c in range(len(own))
+        ]
+        moved = max([abs(x - y) for x, y in zip(share, new_share, strict=True)] + [abs(x - y) for old, new in zip(rates, new_rates, strict=True) for n in names for x, y in zip(old[n], new[n], strict=True)])
+        share, rates = new_share, new_rates
+        if moved < close:
             break
-        n = sum(got[f"w{i}"] for i in range(k))
-        share = [(got[f"w{i}"] + 1) / (n + k) for i in range(k)]
+    return share, rates
 
-        def rate(name: str, i: int, got=got, n=n) -> float:
-            zeros, ones = got[f"{name}_0_{i}"], got[f"{name}_1_{i}"]
-            trust = n if i == 0 else 1.0
-            prior = doubt if i == 0 else 0.5
-            return (zeros + trust * prior) / (zeros + ones + trust)
 
-        fault = [{name: rate(name, i) for name in names} for i in range(k)]
-    return share, fault
+def _class_odds(names: list[str], share: list[float], rates: list[dict[str, tuple[float, ...]]]) -> list[Column]:
+    """Unnormalised posterior of each class: its share times the chance of the votes given."""
+    out = []
+    for part, rate in zip(share, rates, strict=True):
+        x = F.lit(part)
+        for name in names:
+            good, bad, silent = rate[name]
+            x = x * F.when(F.col(name) == 1, good).when(F.col(name) == 0, bad).otherwise(silent)
+        out.append(x)
+    return out
 
 
-def judge(docs: DataFrame, rounds: int = 6, threshold: float = 0.5, doubt: float = 0.02) -> DataFrame:
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Measures, votes, base_failed, p_good and kept for each document.
 
-    The model is estimated from the counts of vote patterns (at most 3 ** rules
-    rows, whatever the corpus), one small aggregation for each round; p_good is
-    the posterior of the good class.  base_failed: fewer than 50 words, or over
-    half of the words inside repeated 3-word windows.
+    The model is estimated from the counts of vote patterns, one aggregation of the
+    corpus; p_good is the posterior of the good class.  base_failed: fewer than 50
+    words, or over half of the words inside repeated 3-word windows; kept needs
+    both.  Null and empty texts have no words and fail; equal texts are judged
+    equally, whatever their ids; no rows give no rows.
     """
     names = list(rules())
     measured = staged(text_measures(docs), "measures").withColumns(rules())
-    patterns = staged(measured.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    odds = _class_odds(names, *estimate(patterns, names, rounds, doubt))
+    patterns = measured.groupBy(*names).agg(F.count("*").alias("n")).collect()
+    odds = _class_odds(names, *estimate(patterns, names))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumns({"base_failed": failed, "p_good": odds[0] / sum(odds[1:], odds[0])}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """:func:`judge` over ``documents``."""
     return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
