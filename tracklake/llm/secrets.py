@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.arrowtext import blocks
 from tracklake.llm.common import KEY, keyed_texts, read, staged
 
 Batches = Iterator[pa.RecordBatch]
@@ -21,19 +22,16 @@ _ASSIGN = re.compile(_KEY_WORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # '=' only as padding at the end, so that the value of name=value is a token of its own
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Letter frequencies of English text in per cent, a to z.
-_LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
-
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest; a token is read in the first that has all its characters.
 ENCODINGS = (
-    ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("lower", _LOWER), ("base36", _DIGITS + _LOWER), ("BASE36", _DIGITS + _UPPER),
+    ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("lower", _LOWER), ("letters", _UPPER + _LOWER), ("base36", _DIGITS + _LOWER), ("BASE36", _DIGITS + _UPPER),
     ("base62", _UPPER + _LOWER + _DIGITS), ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"), ("mixed", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
-_P_GRID = 400  # p-values are kept on a grid of 400 steps of a twentieth in log10
+_P_GRID = 400  # p-values are rounded up to a grid of 400 steps of a twentieth in log10, so they stay valid
 
 
 def _normal_tail(z: float) -> float:
@@ -45,60 +43,103 @@ def infer_encoding(token: str) -> tuple[str, str]:
     return next(((name, letters) for name, letters in ENCODINGS if body <= set(letters)), ("other", "".join(sorted(body))))
 
 
-def _excess(letters: str) -> float:
-    """Chi-squared distance per character between ordinary text and the uniform alphabet: case and digits count as absent."""
-    weights = [_LETTERS[ord(c) - 97] if c in _LOWER else 0.0 for c in letters]
-    if not any(weights):
-        weights = [_LETTERS[ord(c) - 65] if c in _UPPER else 0.0 for c in letters]
-    total, k = sum(weights) or 1.0, len(letters)
-    return k * sum((w / total - 1 / k) ** 2 for w in weights)
+#: byte -> letter whatever its case (0-25), digit (26), separator inside tokens (27), anything else (28)
+_SYMBOL = np.full(256, 28, np.uint8)
+_SYMBOL[0x41:0x5B] = _SYMBOL[0x61:0x7B] = np.arange(26)
+_SYMBOL[0x30:0x3A] = 26
+_SYMBOL[[ord(c) for c in "+/_-"]] = 27
+#: Letter frequencies of English text in per cent, a to z; with digits and separators, what is expected before a corpus shows its own pairs.
+_LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+_EXPECTED = np.array([0.9 * x / sum(_LETTERS) for x in _LETTERS] + [0.05, 0.05])
+_WEIGHT = 1000  # pairs after each symbol that the expectation counts for
+_MIXED = 0.25  # share of any symbol after any other, beside what the corpus shows
+_TURN = 0.25  # chance that a letter has the other case than the letter before it
 
 
-_EXCESS = {letters: _excess(letters) for _, letters in ENCODINGS}
+def pair_counts(texts: DataFrame) -> np.ndarray:
+    """How often each symbol follows each other in the corpus, 29 by 29."""
 
+    def count(batches: Batches) -> Batches:
+        total = np.zeros(29 * 29, np.int64)
+        for _, data, offsets in blocks(batches):
+            code = _SYMBOL[data].astype(np.int64)
+            pair = code[:-1] * 29 + code[1:]
+            pair[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = -1
+            total += np.bincount(pair[pair >= 0], minlength=29 * 29)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(np.arange(29 * 29)), "n": pa.array(total)})
 
-def battery(token: str) -> tuple[float, float, float, float]:
-    """(p_text, p_uniform, p_runs, p_serial) of a token in its inferred encoding.
+    out = np.zeros(29 * 29, np.int64)
+    for r in texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(29, 29)
 
-    p_uniform, p_runs, p_serial: chance of so uneven an alphabet, so odd a number
-    of runs above and below the median code, so strong a correlation of neighbours
-    in a random string.  p_text: chance that a string with the letters of ordinary
-    text would spread so evenly (a noncentral chi-squared, so it sharpens with length).
-    Numbers, and tokens without a digit (joined words, paths, names), are never random.
-    """
-    name, letters = infer_encoding(token)
+
+def text_model(counts: np.ndarray) -> np.ndarray:
+    """Log chance of each symbol after each other inside a token of ordinary text, by the pairs of the corpus."""
+    inside = counts[:, :28] + _WEIGHT * _EXPECTED
+    return np.log((1 - _MIXED) * inside / inside.sum(1, keepdims=True) + _MIXED / 28)
+
+
+def log_text(body: str, model: np.ndarray) -> float:
+    """Log chance of a token under the text model: symbols by the one before, digits and separators alike, case by turns."""
+    codes = _SYMBOL[np.frombuffer(body.encode(), np.uint8)]
+    total = float(model[np.concatenate(([28], codes[:-1])), codes].sum()) - (codes == 26).sum() * math.log(10) - (codes == 27).sum() * math.log(4)
+    upper = [c.isupper() for c in body if c.isalpha()]
+    turns = sum(x != y for x, y in zip(upper, upper[1:], strict=False))
+    return total + turns * math.log(_TURN) + max(0, len(upper) - 1 - turns) * math.log(1 - _TURN)
+
+
+def battery(token: str) -> tuple[float, float, float]:
+    """(p_uniform, p_runs, p_serial) of a token in its inferred encoding: the chance in a random string of so uneven an
+    alphabet, so odd a number of runs above and below the middle code, so strong a correlation of neighbours."""
+    _, letters = infer_encoding(token)
     body = token.rstrip("=")
     n, k = len(body), len(letters)
-    if name in ("decimal", "other") or n < 16 or not any(c in _DIGITS for c in body):
-        return 1.0, 0.0, 0.0, 0.0
     place = {c: i for i, c in enumerate(letters)}
     codes = np.array([place[c] for c in body])
-    counts = np.bincount(codes, minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
+    chi = float(((np.bincount(codes, minlength=k) - n / k) ** 2).sum() * k / n)
     df = k - 1
     p_uniform = _normal_tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))) if chi > 0 else 1.0
-    shift = n * _EXCESS[letters]
-    p_text = _normal_tail((df + shift - chi) / math.sqrt(2 * (df + 2 * shift)))
     above = codes >= (k - 1) / 2
     a = int(above.sum())
     b = n - a
     if not a or not b:
-        return p_text, p_uniform, 0.0, 0.0
+        p = 2.0 ** (1 - n)
+        return p_uniform, p, p
     runs = 1 + int((above[1:] != above[:-1]).sum())
     mean = 1 + 2 * a * b / n
     spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
     p_runs = 2 * _normal_tail(abs(runs - mean) / spread)
     x = codes - codes.mean()
     p_serial = 2 * _normal_tail(abs(float((x[1:] * x[:-1]).sum() / max(1e-9, (x * x).sum())) + 1 / n) * math.sqrt(n))
-    return p_text, p_uniform, p_runs, p_serial
+    return p_uniform, p_runs, p_serial
+
+
+def combined(ps: tuple[float, ...]) -> float:
+    """Fisher's combination of the battery: one p-value for randomness."""
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(ps)))
+
+
+def p_text(token: str, model: np.ndarray) -> float:
+    """Chance that ordinary text looks so random, 1 for numbers and for tokens that the battery rejects as random at 0.001.
+
+    The likelihood ratio of the text model to a random string of the inferred
+    encoding: by Markov's inequality a p-value as it stands, sharper with length.
+    """
+    name, letters = infer_encoding(token)
+    body = token.rstrip("=")
+    if name in ("decimal", "other") or combined(battery(token)) < 0.001:
+        return 1.0
+    return math.exp(min(0.0, log_text(body, model) + len(body) * math.log(len(letters))))
 
 
 def length_class(n: int) -> int:
-    """16-31, 32-47, 48-63, ... characters; all from 128 on are one class."""
-    return min(n, 128) // 16
+    """16-31, 32-47, ... characters, then 128-255, 256-511, ..."""
+    return n // 16 if n < 128 else n.bit_length()
 
 
-def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+def _scan(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans (start, kind, end) and candidates (start, end, length class, step of p_text)."""
     spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
@@ -106,10 +147,8 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     found = []
     for m in _CANDIDATE.finditer(text):
         token = m.group()
-        p_text, *random = battery(token)
-        if min(random) >= 0.001:
-            step = min(_P_GRID - 1, int(-20 * math.log10(max(p_text, 1e-19))))
-            found.append((m.start(), m.end(), length_class(len(token)), step))
+        step = min(_P_GRID - 1, int(-20 * math.log10(max(p_text(token, model), 1e-19))))
+        found.append((m.start(), m.end(), length_class(len(token)), step))
     return spans, found
 
 
@@ -132,22 +171,25 @@ def _thresholds(histogram: list, q: float) -> dict[int, int]:
 def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
     """Secrets of each document: fixed patterns, and random-looking tokens at a false-discovery rate ``q``.
 
-    Kinds assign, access and hex are the patterns.  Other unbroken tokens of 20 or
-    more characters are candidates if none of the three randomness tests rejects
-    them at 0.001; they count as ``random`` where p_text passes Benjamini-Hochberg
-    among all candidates of the same length class in the corpus, unless they
-    overlap a base span.  Only a histogram of (class, p step), at most 9 by 400
-    rows, reaches the driver.  Returns doc_id, row key, n_assign, n_access, n_hex,
-    n_random, base_spans and spans (kind:start:end in code points, by start and
-    kind, comma-joined).  Null and empty texts have none.
+    Kinds assign, access and hex are the patterns.  Every other unbroken token of 16
+    or more characters is tested (:func:`p_text`); those that pass Benjamini-Hochberg
+    among all tokens of their length class in the corpus are ``random``, unless they
+    overlap a base span.  Two passes over the texts: pairs of symbols, then tokens;
+    only 29 by 29 counts and a histogram of (class, p step) reach the driver.
+    Returns doc_id, row key, n_assign, n_access, n_hex, n_random, base_spans and
+    spans (kind:start:end in code points, by start and kind, comma-joined).  Null
+    and empty texts have none; equal rows have equal spans, whatever their ids; no
+    rows give no rows.
     """
     spark = docs.sparkSession
+    texts = keyed_texts(docs)
+    model = spark.sparkContext.broadcast(text_model(pair_counts(texts.select("text"))))
 
     def scan(batches: Batches) -> Batches:
         for rows in batches:
             base, more = [], []
             for text in rows.column("text"):
-                spans, found = _scan(text.as_py())
+                spans, found = _scan(text.as_py(), model.value)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 more.append([{"start": s, "end": e, "length": c, "step": p} for s, e, c, p in found])
             number = pa.int32()
@@ -156,7 +198,7 @@ def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
                 "more": pa.array(more, pa.list_(pa.struct([("start", number), ("end", number), ("length", number), ("step", number)]))),
             })
 
-    scanned = staged(keyed_texts(docs).mapInArrow(scan, f"doc_id long, {KEY} long, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,length:int,step:int>>"), "secrets")
+    scanned = staged(texts.mapInArrow(scan, f"doc_id long, {KEY} long, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,length:int,step:int>>"), "secrets")
     histogram = scanned.select(F.explode("more").alias("m")).groupBy("m.length", "m.step").agg(F.count("*").alias("n")).collect()
     least = spark.sparkContext.broadcast(_thresholds(histogram, q))
 
@@ -179,5 +221,6 @@ def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
+    """:func:`scan_secrets` over ``documents``, with a digest of the base spans."""
     found = scan_secrets(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
