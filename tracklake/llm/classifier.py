@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.arrowtext import LOWER, Rolling, blocks, mix
-from tracklake.llm.common import KEY, keyed_texts, read, staged
+from tracklake.llm.common import KEY, keyed_texts, read
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -117,9 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> np.ndarray:
 
     A row is held out if crc32(doc_id as text) mod 3 is 1.  At most ``p.max_rows``
     rows are used; they are dealt into ``p.shards`` shards by hash, each shard runs
-    FTRL on its own, and the weights are averaged (an average over shards that have
-    the slot).  Labels that disagree on one doc_id count once each; a null label is
-    no label.  Without rows all weights are 0.
+    FTRL on its own from weights of 0, and the weights are averaged over the shards
+    that have rows.  Labels that disagree on one doc_id count once each; a null
+    label is no label.  Without rows all weights are 0.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("label_doc"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL AND label_doc IS NOT NULL").distinct()
     marks = marks.where(F.crc32(F.col("label_doc").cast("string")) % 3 != 1).orderBy(F.xxhash64("label_doc"), "quality").limit(p.max_rows)
@@ -134,14 +134,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> np.ndarray:
                 by.setdefault(shard, []).append((slot, x, y))
         for own in by.values():
             w = _train(own, p)
-            slot = np.flatnonzero(w)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "weight": pa.array(w[slot])})
+            slot = np.append(np.flatnonzero(w), -1)  # slot -1 counts the shards
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "weight": pa.array(np.append(w[slot[:-1]], 1.0))})
 
     parts = rows.repartition(p.shards, "shard").sortWithinPartitions("shard", "text").mapInArrow(fit, "slot long, weight double")
-    mean = staged(parts.groupBy("slot").agg(F.sum("weight").alias("weight")), "weights").toArrow()
-    out = np.zeros(1 << p.bits)
-    out[mean.column("slot").to_numpy()] = mean.column("weight").to_numpy() / p.shards
-    return out
+    total = parts.groupBy("slot").agg(F.sum("weight").alias("weight")).toArrow()
+    out = np.zeros((1 << p.bits) + 1)
+    out[total.column("slot").to_numpy()] = total.column("weight").to_numpy()
+    return out[:-1] / max(1.0, out[-1])
 
 
 def _scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -161,14 +161,21 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
-    """doc_id, row key, held_out, score, predicted (1 from 0.5 on)."""
+    """doc_id, row key, held_out, score, predicted (1 from 0.5 on).
+
+    Every row of ``docs`` gives one row; equal texts have equal scores; a null or
+    empty text has the score of the bias; without labels every score is 0.5.
+    """
     scored = score(docs, train(docs, labels, p))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", KEY, held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts; decided where the row is, without an exchange."""
+    """The rows of ``docs``, all columns as they were, that the classifier accepts; decided where the row is, without an exchange.
+
+    Null and empty texts are scored by the bias like any other; repeated rows stay or go together.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
     def run(batches: Batches) -> Batches:
@@ -179,4 +186,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """:func:`classify` over ``documents`` with ``labels``."""
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

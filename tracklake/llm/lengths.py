@@ -74,6 +74,7 @@ def quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """:func:`length_histogram` of the encoded lengths of ``documents``."""
     import public_tokenizers
 
     lengths = token_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

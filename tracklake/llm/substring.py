@@ -56,5 +56,6 @@ def dedup_substrings(docs: DataFrame, words: int = 50, seed: int = 16) -> DataFr
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """:func:`dedup_substrings` over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))

@@ -51,5 +51,6 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """:func:`dedup_suffixes` over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_suffixes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
