@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import string
 
@@ -130,3 +131,105 @@ def line_chunks(text, hash_line, hash_pair, divisor=4):
                 out.append((start, "\n".join(lines[start : i + 1])))
             start = i + 1
     return out
+
+
+_FOLD = {**{c: i for i, c in enumerate(string.ascii_lowercase)}, **{c: i for i, c in enumerate(string.ascii_uppercase)}, **{c: 26 for c in string.digits}, **{c: 27 for c in "+/_-"}}
+_SETS = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase, string.ascii_uppercase + string.ascii_lowercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase]
+_SETS += [string.ascii_uppercase + string.ascii_lowercase + string.digits + x for x in ("", "+/", "-_", "+/-_")]
+
+
+def _random_p(codes, k):
+    """Fisher's combination of chi-squared, runs and serial correlation."""
+    n = len(codes)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi, df = sum((codes.count(c) - n / k) ** 2 for c in range(k)) * k / n, k - 1
+    ps = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+    high = [c >= (k - 1) / 2 for c in codes]
+    a, b = sum(high), n - sum(high)
+    if not a or not b:
+        ps += [2.0 ** (1 - n)] * 2
+    else:
+        runs, mean = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False)), 1 + 2 * a * b / n
+        ps.append(2 * tail(abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))))
+        mid = sum(codes) / n
+        x = [c - mid for c in codes]
+        ps.append(2 * tail(abs(sum(p * q for p, q in zip(x, x[1:], strict=False)) / max(1e-9, sum(p * p for p in x)) + 1 / n) * math.sqrt(n)))
+    t = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return math.exp(-t) * (1 + t + t * t / 2)
+
+
+def random_tokens(docs, expected, q=0.01):
+    """Spans of random tokens by the battery, the text model and the step-up procedure, over all documents."""
+    pairs = collections.Counter()
+    for _, text in docs:
+        codes = [_FOLD.get(chr(c), 28) if c < 128 else 28 for c in (text or "").encode()]
+        pairs.update(zip(codes, codes[1:], strict=False))
+    seen = collections.Counter()
+    for (a, b), n in pairs.items():
+        seen[a] += n * (b < 28)
+    found = collections.defaultdict(list)
+    for doc, text in docs:
+        base = secrets(text)[3]
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base.split(",") if x]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?", text or ""):
+            body = m[0].rstrip("=")
+            which = next(i for i, letters in enumerate(_SETS) if set(body) <= set(letters))
+            letters, p = _SETS[which], 1.0
+            if which and _random_p([letters.index(c) for c in body], len(letters)) >= 0.001:
+                log = len(body) * math.log(len(letters))
+                for x, y in zip([28, *[_FOLD[c] for c in body]], [_FOLD[c] for c in body], strict=False):
+                    log += math.log(0.75 * (pairs[x, y] + 1000 * expected[y]) / (seen[x] + 1000) + 0.25 / 28) - {26: math.log(10), 27: math.log(4)}.get(y, 0)
+                case = [c.isupper() for c in body if c.isalpha()]
+                for x, y in zip(case, case[1:], strict=False):
+                    log += math.log(0.25 if x != y else 0.75)
+                p = math.exp(min(0.0, log))
+            n = len(m[0])
+            step = min(399, int(-20 * math.log10(max(p, 1e-19))))
+            found[n // 16 if n < 128 else n.bit_length()].append((10 ** (-step / 20), doc, m.start(), m.end(), any(s < m.end() and m.start() < e for s, e in taken)))
+    out = []
+    for tokens in found.values():
+        tokens.sort(key=lambda t: -t[0])
+        for i, (p, *_) in enumerate(tokens):
+            if p <= q * (len(tokens) - i) / len(tokens):
+                out += [t[1:4] for t in tokens[i:] if not t[4]]
+                break
+    return sorted(out, key=str)
+
+
+def posterior(patterns, kinds, prior_of, votes=(1, 0, -1)):
+    """Posterior of the good class for each pattern of votes (a dict of rule -> vote, with its count), by plain expectation-maximisation."""
+    names, own = list(patterns[0][0]), [(), *kinds.values()]
+    start = prior_of(names)
+    share0 = [0.7] + [0.3 / len(kinds)] * len(kinds)
+    share, rate = list(share0), [{r: dict(zip(votes, c[r], strict=True)) for r in names} for c in start]
+    total = sum(n for _, n in patterns)
+    for _ in range(3000):
+        weights = []
+        for v, n in patterns:
+            odds = [share[c] * math.prod(rate[c][r][v[r]] for r in names) for c in range(len(own))]
+            weights.append([n * x / sum(odds) for x in odds])
+        share = [(sum(w[c] for w in weights) + 2 * share0[c]) / (total + 2) for c in range(len(own))]
+        rate = [
+            {r: {x: (sum(w[k] for (v, _), w in zip(patterns, weights, strict=True) if v[r] == x for k in pool) + 2 * start[c][r][i]) / (sum(w[k] for w in weights for k in pool) + 2) for i, x in enumerate(votes)} for r in names for pool in [[c] if r in own[c] else [k for k in range(len(own)) if r not in own[k]]]}
+            for c in range(len(own))
+        ]
+    return [w[0] / n for w, (_, n) in zip(weights, patterns, strict=True)]
+
+
+def ftrl(rows, p):
+    """Weights of each slot after follow-the-regularised-leader updates, one dictionary entry at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for epoch in range(p.epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * x[i] for i in x))))) - y
+            for i, v in x.items():
+                g = error * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
