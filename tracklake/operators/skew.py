@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_to_one(many: DataFrame, one: DataFrame, key: str, spread: list[str], how: str = "inner", sizes: DataFrame | None = None, least: int = 64) -> DataFrame:
+def hot_keys(sizes: DataFrame, key: str, total: int, least: int = 64) -> dict[int, list]:
+    """Number of parts -> keys that are to be split so, from the rows of each key (key, n).
+
+    A key with more rows than a quarter of an even task's share (``least`` at least)
+    is hot.  There are at most four hot keys for each shuffle partition, so their
+    list is small whatever the data.
+    """
+    limit = max(least, total // (4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = defaultdict(list)
+    for value, parts in sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("long")).collect():
+        out[1 << (parts - 1).bit_length()].append(value)
+    return dict(out)
+
+
+def parts_of(key: str, hot: dict[int, list]) -> Column:
+    """In how many parts the rows of a key are dealt, 1 for all but hot keys."""
+    out = F.lit(1).cast("long")
+    for parts, values in hot.items():
+        out = F.when(F.col(key).isin(values), F.lit(parts).cast("long")).otherwise(out)
+    return out
+
+
+def join_to_one(many: DataFrame, one: DataFrame, key: str, spread: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Join rows of ``many`` to the single row of ``one`` with their key.
 
-    A key with more rows than a quarter of an even task's share (``least`` at
-    least) is hot.  There are at most four hot keys for each shuffle partition, so
-    their list is small whatever the data; rows of a hot key are dealt over several
-    tasks by the hash of the columns ``spread``, and its row of ``one`` is repeated
-    for each.  ``sizes`` (key, n) may give the rows of each key where they are known.
-    ``many`` (or ``sizes``) is read twice, so it should be a stored table.  Null keys join nothing.
+    Rows of a hot key are dealt over several tasks by the hash of the columns
+    ``spread``, and its row of ``one`` is repeated for each.  ``sizes`` (key, n) may
+    give the rows of each key where they are known.  ``many`` (or ``sizes``) is read
+    twice, so it should be a stored table.  Null keys join nothing.
     """
-    spark = many.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = many.count() if sizes is None else sizes.agg(F.sum("n")).first()[0] or 0
-    limit = max(least, total // (4 * parts))
     sizes = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
-    hot = [tuple(r) for r in sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int")).collect()]
-    kind = many.schema[key].dataType.simpleString()
-    table = F.broadcast(spark.createDataFrame(hot, f"{key} {kind}, tl_split int"))
-    left = many.join(table, key, "left").withColumn("tl_slot", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("tl_split")), F.lit(0).cast("long"))).drop("tl_split")
-    right = one.join(table, key, "left").withColumn("tl_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tl_split") - 1, F.lit(0)).cast("long")))).drop("tl_split")
+    parts = parts_of(key, hot_keys(sizes, key, sizes.agg(F.sum("n")).first()[0] or 0))
+    left = many.withColumn("tl_slot", F.pmod(F.xxhash64(*spread), parts))
+    right = one.withColumn("tl_slot", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return left.join(right.hint("merge"), [key, "tl_slot"], how).drop("tl_slot")
