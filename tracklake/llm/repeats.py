@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.arrowtext import SPACED, Rolling, blocks, common_prefix, gather, mix, string_buffers, winnow, word_spans
 from tracklake.llm.common import KEY, discard, key_filter, keyed_texts, release, signed, staged
-from tracklake.operators.skew import join_to_one
+from tracklake.operators.skew import hot_keys, join_to_one, parts_of
 
 Batches = Iterator[pa.RecordBatch]
 FILTER_BYTES = 32 << 20
@@ -145,21 +145,14 @@ def _members(texts: DataFrame, spec: Windows, filter_bytes: int) -> tuple[DataFr
 def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """The rows with a ``slot``, group by group in order of place, each group in one task.
 
-    Groups of more than a quarter of an even task's share are hot; there are at most
-    four for each shuffle partition, so their list and their first rows are small.
     A hot group is dealt over several slots, and each slot begins with its first row.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(64, rows.count() // (4 * parts))
-    hot = [(r.grp, -(-r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
-    out = rows.withColumn("slot", F.lit(0).cast("long"))
+    hot = hot_keys(sizes, "grp", rows.count())
+    parts = parts_of("grp", hot)
+    out = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id", KEY, "start"), parts))
     if hot:
-        split = F.broadcast(spark.createDataFrame(hot, "grp long, split int"))
-        slot = F.pmod(F.xxhash64("doc_id", KEY, "start"), F.col("split"))
-        out = rows.join(split, "grp", "left").withColumn("slot", F.coalesce(slot, F.lit(0).cast("long"))).drop("split")
-        firsts = rows.join(split, "grp").groupBy("grp").agg(F.min(F.struct("doc_id", KEY, "start", "lo", "hi", "left", "right")).alias("r"), F.max("split").alias("split"))
-        out = out.unionByName(firsts.select("grp", "r.*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("split") - 1).cast("long"))).alias("slot")))
+        firsts = rows.where(F.col("grp").isin([g for some in hot.values() for g in some])).groupBy("grp").agg(F.min(F.struct("doc_id", KEY, "start", "lo", "hi", "left", "right")).alias("r"))
+        out = out.unionByName(firsts.select("grp", "r.*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("slot")))
     return out.repartition("grp", "slot").sortWithinPartitions("grp", "slot", "doc_id", KEY, "start")
 
 
