@@ -163,11 +163,11 @@ def j9(s, d):
     return L.relabel_by_track(X.runs(s, d), tracks).select("t", "z", "y", "x0", "x1", "label")
 
 
-@query("j10_display_remap", "SELECT r.t, r.z, r.y, r.x0, r.x1, CASE WHEN list_contains(c.labels, 'control') AND c.t = 4 THEN 16777216 WHEN c.t = 4 AND list_contains(c.track_labels, 'cell type 1') THEN 16777216 + 1024 ELSE coalesce(c.track_id, c.id) END AS value FROM runs r JOIN cells c ON c.id = r.label WHERE r.t BETWEEN 3 AND 6")
+@query("j10_display_remap", "SELECT r.t, r.z, r.y, r.x0, r.x1, CASE WHEN list_contains(c.labels, 'control') AND c.t = 4 THEN 16777216 WHEN c.t = 4 AND list_contains(c.track_labels, 'cell type 1') THEN 16777216 + 1024 ELSE coalesce(c.track_id, c.id) END AS value FROM runs r JOIN cells c ON c.id = r.label")
 def j10(s, d):
     c = X.cells(s, d)
     slots = R.highlight_slots(c, 4, ["control", "cell type 1"])
-    return L.remap_to_tracks(X.runs(s, d).where("t BETWEEN 3 AND 6"), c, slots).select("t", "z", "y", "x0", "x1", "value")
+    return L.remap_to_tracks(X.runs(s, d), c, slots).select("t", "z", "y", "x0", "x1", "value")
 
 
 _OVERLAP = """ov AS (SELECT a.t AS t1, b.t AS t2, a.label AS label1, b.label AS label2, count(*) AS overlap FROM voxels a JOIN voxels b ON b.t - a.t BETWEEN 1 AND 2 AND a.z = b.z AND a.y = b.y AND a.x = b.x GROUP BY ALL),
@@ -800,10 +800,10 @@ def v11b(s, d):
     return L.change_deltas(L.apply_strokes(X.runs(s, d), _strokes(s, d))[1])
 
 
-@query("v12_clear_label", "WITH w AS (SELECT min(label) AS label FROM voxels WHERE t = 2), b AS (SELECT min(x) AS x0, max(y) AS y1 FROM voxels WHERE label = (SELECT label FROM w)) SELECT t, z, y, x, label FROM voxels WHERE t = 2 AND NOT (label = (SELECT label FROM w) AND y <= (SELECT y1 FROM b) AND x BETWEEN (SELECT x0 + 1 FROM b) AND (SELECT x0 + 2 FROM b))")
+@query("v12_clear_label", "WITH w AS (SELECT min(label) AS label FROM voxels WHERE t = 2), b AS (SELECT min(x) AS x0, max(y) AS y1 FROM voxels WHERE label = (SELECT label FROM w)) SELECT t, z, y, x, label FROM voxels WHERE NOT (t = 2 AND label = (SELECT label FROM w) AND y <= (SELECT y1 FROM b) AND x BETWEEN (SELECT x0 + 1 FROM b) AND (SELECT x0 + 2 FROM b))")
 def v12(s, d):
-    r = X.runs(s, d).where("t = 2")
-    w = r.agg(F.min("label")).first()[0] or 0
+    r = X.runs(s, d)
+    w = r.where("t = 2").agg(F.min("label")).first()[0] or 0
     b = r.where(F.col("label") == w).agg(F.min("x0").alias("x0"), F.max("y").alias("y1")).first()
     x0, y1 = b.x0 or 0, b.y1 or 0
     return L.explode_runs(L.clear_label(r, 2, w, (0, 7, 0, y1, x0 + 1, x0 + 2))).select("t", "z", "y", "x", "label")
@@ -832,13 +832,14 @@ def v16(s, d):
     return E.restore_chunks(chunks, snaps)
 
 
-@query("v17_outline", """WITH p AS (SELECT t, y, x, label FROM voxels WHERE z = 4 AND label % 2 = 0), st AS (SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0),
-n AS (SELECT p.t, p.y AS oy, p.x AS ox, p.label AS owner, p.y + dy AS y, p.x + dx AS x FROM p, st WHERE p.y + dy BETWEEN 0 AND 511 AND p.x + dx BETWEEN 0 AND 511),
-o AS (SELECT n.*, q.label FROM n LEFT JOIN p q ON q.t = n.t AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
-SELECT t, y, x, min(owner) AS owner FROM (SELECT t, oy AS y, ox AS x, owner FROM o UNION ALL SELECT t, y, x, owner FROM o WHERE label IS NULL) GROUP BY t, y, x""")
+@query("v17_outline", """WITH st AS (SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0),
+n AS (SELECT p.t, p.z, p.y AS oy, p.x AS ox, p.label AS owner, p.y + dy AS y, p.x + dx AS x FROM voxels p, st WHERE p.y + dy BETWEEN 0 AND 511 AND p.x + dx BETWEEN 0 AND 511),
+o AS (SELECT n.*, q.label FROM n LEFT JOIN voxels q ON q.t = n.t AND q.z = n.z AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
+SELECT t, z, y, x, min(owner) AS owner FROM (SELECT t, z, oy AS y, ox AS x, owner FROM o UNION ALL SELECT t, z, y, x, owner FROM o WHERE label IS NULL) GROUP BY t, z, y, x""")
 def v17(s, d):
-    plane = X.voxels(s, d).where("z = 4 AND label % 2 = 0").select("t", "y", "x", "label")
-    return L.label_outline(plane, (512, 512))
+    """Every plane of every frame: t and z are packed into the frame number, the volume being 8 planes deep."""
+    planes = X.voxels(s, d).select((F.col("t") * 8 + F.col("z")).alias("t"), "y", "x", "label")
+    return L.label_outline(planes, (512, 512)).select(F.floor(F.col("t") / 8).alias("t"), (F.col("t") % 8).alias("z"), "y", "x", "owner")
 
 
 @query("v18_level_shapes", f"WITH RECURSIVE im AS (SELECT c_custkey AS dataset, 2 AS t, 1 AS c, 4 AS z, 200 + c_custkey % 3000 AS y, 300 + c_custkey % 2000 AS x FROM customer), lvl AS (SELECT *, 0 AS level FROM im UNION ALL SELECT dataset, t, c, z, y // 2, x // 2, level + 1 FROM lvl WHERE least(y, x) > 256) SELECT dataset, level, z, y, x, t * c * z * y * x * 2 AS bytes FROM lvl")
