@@ -56,9 +56,9 @@ def test_random_tokens_are_found_in_every_encoding(spark, sf_dir):
     texts = read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("text")
     model, rng = secrets.text_model(secrets.pair_counts(texts)), random.Random(1)
     for name, letters in secrets.ENCODINGS[1:]:
-        for n in (16, 20, 24, 32, 64):
+        for n, least in ((16, 45), (20, 70), (24, 80), (32, 95), (64, 95)):  # a lone token, so a strict p; see the README
             found = sum(secrets.p_text("".join(rng.choice(letters) for _ in range(n)), model) < 1e-5 for _ in range(100))
-            assert found >= (90 if n > 16 else 40), (name, n, found)
+            assert found >= least, (name, n, found)
     for word in ("src/main/java/com/example/service", "TheQuickBrownFoxJumpsOverTheLazyDog", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "configuration_value_of_the_server", "12345678901234567890123456"):
         assert secrets.p_text(word, model) > 1e-5
 
