@@ -296,10 +296,10 @@ def a13(s, d):
     return A.histogram(X.image(s, d))
 
 
-@query("a13_histogram_strided", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY t, c, z // 2, y // 16, x // 16 ORDER BY z, y, x) - 1 AS k, count(*) OVER (PARTITION BY t, c) AS al FROM image), h AS (SELECT t, c, CAST(value * 256 // 65536 AS BIGINT) AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM o WHERE k % CAST(ceil(al / 1000) AS BIGINT) = 0 GROUP BY ALL)
+@query("a13_histogram_strided", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY t, c, z // 2, y // 8, x // 8 ORDER BY z, y, x) - 1 AS k, count(*) OVER (PARTITION BY t, c) AS al FROM image), h AS (SELECT t, c, CAST(value * 256 // 65536 AS BIGINT) AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM o WHERE k % CAST(ceil(al / 300) AS BIGINT) = 0 GROUP BY ALL)
 SELECT t, c, bin, n, CAST(min(lo) OVER w AS BIGINT) AS least, CAST(max(hi) OVER w AS BIGINT) AS most, CAST(sum(n) OVER w AS BIGINT) AS samples FROM h WINDOW w AS (PARTITION BY t, c)""")
 def a13s(s, d):
-    return A.histogram(X.image(s, d), brick=(2, 16, 16), max_samples=1000)
+    return A.histogram(X.image(s, d), brick=(2, 8, 8), max_samples=300)
 
 
 @query("a14_histogram_sampled", "SELECT t, c, count(*) AS samples, count(*) < 9000 AS sampled FROM image GROUP BY t, c")
@@ -331,9 +331,9 @@ def a18(s, d):
     return R.frame_interval(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("dataset"), F.col("ts").alias("at")))
 
 
-@query("a19_percentile_normalize", "WITH p AS (SELECT t, c, quantile_cont(CAST(value AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(value AS DOUBLE), 0.998) AS hi FROM image GROUP BY t, c) SELECT i.t, i.c, i.z, i.y, i.x, CAST(round(1000 * (value - lo) / (hi - lo)) AS BIGINT) AS norm FROM image i JOIN p ON p.t = i.t AND p.c = i.c WHERE i.x = 7")
+@query("a19_percentile_normalize", "WITH p AS (SELECT t, c, quantile_cont(CAST(value AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(value AS DOUBLE), 0.998) AS hi FROM image GROUP BY t, c) SELECT i.t, i.c, i.z, i.y, i.x, CAST(round(1000 * (value - lo) / (hi - lo)) AS BIGINT) AS norm FROM image i JOIN p ON p.t = i.t AND p.c = i.c")
 def a19(s, d):
-    return A.percentile_normalize(X.image(s, d)).where("x = 7").select("t", "c", "z", "y", "x", F.round(1000 * F.col("norm")).cast("long").alias("norm"))
+    return A.percentile_normalize(X.image(s, d)).select("t", "c", "z", "y", "x", F.round(1000 * F.col("norm")).cast("long").alias("norm"))
 
 
 @query("a20_projection", "SELECT t, c, y, x, CAST(max(value) AS BIGINT) AS value, 'max' AS mode FROM image GROUP BY t, c, y, x UNION ALL SELECT t, c, y, x, CAST(min(value) AS BIGINT), 'min' FROM image GROUP BY t, c, y, x UNION ALL SELECT t, c, y, x, CAST(sum(value) AS BIGINT), 'sum' FROM image GROUP BY t, c, y, x")
@@ -343,9 +343,9 @@ def a20(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("a21_downsample", "SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM image WHERE y < 32 AND x < 32 GROUP BY t, c, z, y // 2, x // 2")
+@query("a21_downsample", "SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM image WHERE y < 16 AND x < 16 GROUP BY t, c, z, y // 2, x // 2")
 def a21(s, d):
-    return A.downsample_yx(X.image(s, d), 33, 33)
+    return A.downsample_yx(X.image(s, d), 17, 17)
 
 
 _DELTAS = "dl AS (SELECT id % 50 AS seq, id, user_id AS old, CASE WHEN id % 3 = 0 THEN NULL ELSE user_id + 1 END AS new FROM base)"
@@ -509,13 +509,13 @@ def u2(s, d):
     return R.ids_in_use(X.base(s, d), X.mask_labels(s, d), 100, 400)
 
 
-_STAMPS = """stm AS (SELECT id AS stroke, t, z + 0.5 AS cz, y + 0.5 AS cy, x + 0.5 + k * 1.25 AS cx, 1 + user_id % 4 AS r FROM base, (SELECT unnest(range(0, 2)) AS k) WHERE n = 1),
+_STAMPS = """stm AS (SELECT id AS stroke, t, z + 0.5 AS cz, y + 0.5 AS cy, x + 0.5 + k * 1.25 AS cx, 1 + user_id % 4 AS r FROM base, (SELECT unnest(range(0, 2)) AS k)),
 sv AS (SELECT DISTINCT stroke, t, z, y, x FROM stm, (SELECT unnest(range(0, 8)) AS z), (SELECT unnest(range(-6, 8)) AS dy), (SELECT unnest(range(-6, 8)) AS dx), LATERAL (SELECT CAST(floor(cy) AS BIGINT) + dy AS y, CAST(floor(cx) AS BIGINT) + dx AS x)
 WHERE y BETWEEN 0 AND 511 AND x BETWEEN 0 AND 511 AND ((z + 0.5 - cz) / (r * 1.0 / 2.0)) * ((z + 0.5 - cz) / (r * 1.0 / 2.0)) + ((y + 0.5 - cy) / r) * ((y + 0.5 - cy) / r) + ((x + 0.5 - cx) / r) * ((x + 0.5 - cx) / r) <= 1.0)"""
 
 
 def _stamps(s, d):
-    b = X.base(s, d).where("n = 1").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    b = X.base(s, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     return b.select(F.col("id").alias("stroke"), "t", (F.col("z") + 0.5).alias("cz"), (F.col("y") + 0.5).alias("cy"), (F.col("x") + 0.5 + F.col("k") * 1.25).alias("cx"), (1 + F.col("user_id") % 4).cast("double").alias("r"))
 
 
@@ -579,7 +579,7 @@ def g2(s, d):
     return members.join(links.select(F.col("child").alias("id"), "parent"), "id", "left").select("id", "root", "depth", "parent")
 
 
-_PROPOSALS = "pr AS (SELECT row_number() OVER (ORDER BY b.id) AS seq, CASE WHEN b.id % 6 = 0 THEN b.id + 1000000 ELSE b.id END AS parent, CASE WHEN b.id % 6 = 1 THEN coalesce((SELECT min(child) FROM links WHERE parent = b.id), b.id + 1) WHEN b.id % 6 = 2 THEN greatest(b.id - 1, 1) WHEN b.id % 6 = 3 THEN coalesce((SELECT min(id) FROM base x WHERE x.id NOT IN (SELECT child FROM links) AND x.id > b.id), 1) ELSE b.id + 30 END AS child FROM base b)"
+_PROPOSALS = "pr AS (SELECT row_number() OVER (ORDER BY b.id) AS seq, CASE WHEN b.id % 6 = 0 THEN b.id + 1000000 ELSE b.id END AS parent, CASE WHEN b.id % 6 = 1 THEN coalesce((SELECT min(child) FROM links WHERE parent = b.id), b.id + 1) WHEN b.id % 6 = 2 THEN greatest(b.id - 1, 1) WHEN b.id % 6 = 3 THEN coalesce((SELECT min(id) FROM base x WHERE x.id NOT IN (SELECT child FROM links) AND x.id > b.id AND x.id // 1000 = b.id // 1000), 1) ELSE b.id + 30 END AS child FROM base b)"
 
 
 @query("g3_validate_links", f"""WITH {_PROPOSALS}, q AS (SELECT pr.*, p.t AS pt, c.t AS ct, coalesce((SELECT min(parent) FROM links l WHERE l.child = pr.child), first_value(pr.parent) OVER (PARTITION BY pr.child ORDER BY pr.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS taken,
@@ -590,7 +590,7 @@ def g3(s, d):
     first = lk.groupBy(F.col("parent").alias("id")).agg(F.min("child").alias("first"))
     free = b.select("id").join(lk.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("free"), F.lit(1).alias("isfree"))
     nxt = b.select("id").join(free, F.col("id") == F.col("free"), "left")
-    nxt = nxt.withColumn("next_free", F.first("free", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(1, Window.unboundedFollowing)))
+    nxt = nxt.withColumn("next_free", F.first("free", ignorenulls=True).over(Window.partitionBy(F.expr("id div 1000")).orderBy("id").rowsBetween(1, Window.unboundedFollowing)))
     m, i = F.col("id") % 6, F.col("id")
     child = F.when(m == 1, F.coalesce("first", i + 1)).when(m == 2, F.greatest(i - 1, F.lit(1))).when(m == 3, F.coalesce("next_free", F.lit(1))).otherwise(i + 30)
     pr = nxt.select("id", "next_free").join(first, "id", "left").select("id", F.when(m == 0, i + 1000000).otherwise(i).alias("parent"), child.alias("child"))
@@ -736,33 +736,34 @@ def v4(s, d):
 
 @query("v4_planes_of_chunks", "SELECT t, c, y AS row, x AS col, value FROM image WHERE z = 2")
 def v4b(s, d):
-    return A.chunk_plane(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), "z", 2, 4)
+    return A.chunk_plane(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), "z", 2, 4)
 
 
 @query("v5_volume", "SELECT z, y, x, value FROM image WHERE t = 2 AND c = 1")
 def v5(s, d):
-    levels = s.range(1).select(F.lit(4).alias("z"), F.lit(33).alias("y"), F.lit(33).alias("x"), F.lit(2).alias("item_bytes"))
+    levels = s.range(1).select(F.lit(4).alias("z"), F.lit(17).alias("y"), F.lit(17).alias("x"), F.lit(2).alias("item_bytes"))
     return A.volume(X.image(s, d), levels, 2, 1)
 
 
-_POINTS = "pts AS (SELECT c_custkey AS id, c_custkey % 5 AS t, c_custkey % 3 AS c, c_custkey % 4 AS z, c_custkey % 35 AS y, c_custkey % 31 AS x FROM customer)"
+_POINTS = "pts AS (SELECT c_custkey AS id, c_custkey // 8 AS t, c_custkey % 3 AS c, c_custkey % 4 AS z, c_custkey % 19 AS y, c_custkey % 17 AS x FROM customer)"
 
 
-@query("v6_samples", f"WITH {_POINTS}, b AS (SELECT *, CASE WHEN t > 3 THEN 't' WHEN c > 1 THEN 'c' WHEN y > 32 THEN 'y' END AS bad_axis FROM pts) SELECT b.id, CASE WHEN bad_axis IS NULL THEN coalesce(i.value, 0) END AS value, bad_axis FROM b LEFT JOIN image i USING (t, c, z, y, x)")
+@query("v6_samples", f"WITH {_POINTS}, b AS (SELECT *, CASE WHEN t > (SELECT max(t) FROM image) THEN 't' WHEN c > 1 THEN 'c' WHEN y > 16 THEN 'y' END AS bad_axis FROM pts) SELECT b.id, CASE WHEN bad_axis IS NULL THEN coalesce(i.value, 0) END AS value, bad_axis FROM b LEFT JOIN image i USING (t, c, z, y, x)")
 def v6(s, d):
     k = F.col("c_custkey")
-    points = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), (k % 5).alias("t"), (k % 3).alias("c"), (k % 4).alias("z"), (k % 35).alias("y"), (k % 31).alias("x"))
-    return A.sample_points(X.image(s, d), points, {"t": 4, "c": 2, "z": 4, "y": 33, "x": 33})
+    points = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), F.expr("c_custkey div 8").alias("t"), (k % 3).alias("c"), (k % 4).alias("z"), (k % 19).alias("y"), (k % 17).alias("x"))
+    frames = (X.base(s, d).agg(F.max("user_id")).first()[0] or 0) + 1
+    return A.sample_points(X.image(s, d), points, {"t": frames, "c": 2, "z": 4, "y": 17, "x": 17})
 
 
 @query("v7_rechunk", "SELECT t, c, z, y, x, value FROM image")
 def v7(s, d):
-    return A.chunk_voxels(A.rechunk(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), (3, 20, 40), (4, 33, 33)))
+    return A.chunk_voxels(A.rechunk(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (3, 10, 20), (4, 17, 17)))
 
 
-@query("v8_proxy", "SELECT t, c, 4 AS nz, 33 AS ny, 33 AS nx, count(*) * 2 AS bytes FROM image GROUP BY t, c")
+@query("v8_proxy", "SELECT t, c, 4 AS nz, 17 AS ny, 17 AS nx, count(*) * 2 AS bytes FROM image GROUP BY t, c")
 def v8(s, d):
-    return A.build_proxy(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), (4, 33, 33)).select("t", "c", "nz", "ny", "nx", F.octet_length("data").cast("long").alias("bytes"))
+    return A.build_proxy(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (4, 17, 17)).select("t", "c", "nz", "ny", "nx", F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query("v9_stamps", f"WITH {_STAMPS} {_AS_RUNS}")
@@ -848,14 +849,14 @@ def v18(s, d):
     return A.level_shapes(s.read.parquet(f"{d}/customer.parquet").select(k.alias("dataset"), F.lit(2).cast("long").alias("t"), F.lit(1).cast("long").alias("c"), F.lit(4).cast("long").alias("z"), (200 + k % 3000).alias("y"), (300 + k % 2000).alias("x")))
 
 
-@query("v18_image_pyramid", "WITH a AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM image WHERE y < 32 AND x < 32 GROUP BY ALL), b AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM a GROUP BY ALL) SELECT t, c, z, y, x, value, 0 AS level FROM image UNION ALL SELECT *, 1 FROM a UNION ALL SELECT *, 2 FROM b")
+@query("v18_image_pyramid", "WITH a AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM image WHERE y < 16 AND x < 16 GROUP BY ALL), b AS (SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(value), 0) AS BIGINT) AS value FROM a GROUP BY ALL) SELECT t, c, z, y, x, value, 0 AS level FROM image UNION ALL SELECT *, 1 FROM a UNION ALL SELECT *, 2 FROM b")
 def v18b(s, d):
-    return A.build_pyramid(X.image(s, d), 33, 33, 8)
+    return A.build_pyramid(X.image(s, d), 17, 17, 4)
 
 
-@query("v19_window_gamma", "SELECT t, c, z, y, x, CAST(round(1000000 * pow(least(1.0, greatest(0.0, (value - 1000) / (40000 - 1000))), 0.8)) AS BIGINT) AS shade FROM image WHERE y = 3")
+@query("v19_window_gamma", "SELECT t, c, z, y, x, CAST(round(1000000 * pow(least(1.0, greatest(0.0, (value - 1000) / (40000 - 1000))), 0.8)) AS BIGINT) AS shade FROM image")
 def v19(s, d):
-    return X.image(s, d).where("y = 3").select("t", "c", "z", "y", "x", F.round(1000000 * S.window_gamma(F.col("value"), 1000, 40000, 0.8)).cast("long").alias("shade"))
+    return X.image(s, d).select("t", "c", "z", "y", "x", F.round(1000000 * S.window_gamma(F.col("value"), 1000, 40000, 0.8)).cast("long").alias("shade"))
 
 
 @query("v20_world", "SELECT id, z * (2.0 / 0.5 * 1.5) AS wz, y * (0.5 / 0.5 * 1.0) AS wy, x * 1.0 AS wx FROM cells")
@@ -888,7 +889,7 @@ def v23(s, d):
 
 @query("v24_segment", "SELECT t, c, z, y, x, CASE WHEN value > 32768 THEN 1 ELSE 0 END AS value FROM image")
 def v24(s, d):
-    chunks = A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33))
+    chunks = A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17))
     return A.chunk_voxels(A.segment(chunks, lambda a: (a > 32768).astype("uint32")))
 
 

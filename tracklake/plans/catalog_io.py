@@ -86,17 +86,18 @@ def s6(s, d):
     return out.join(s.read.option("header", True).csv(f"{path}/tracks").agg(F.count("*").alias("rows")))
 
 
-@query("s10_chunk_sink", "SELECT t, c, z, y, x, value FROM image WHERE t = 1")
+@query("s10_chunk_sink", "SELECT t, c, z, y, x, value FROM image")
 def s10(s, d):
     path = _folder(s, "chunks")
-    stores.write_chunks(A.to_chunks(X.image(s, d), (2, 16, 16), (4, 33, 33)), path, (2.0, 0.5, 0.5))
-    return A.chunk_voxels(stores.read_written_chunks(s, path).where("t = 1"))
+    stores.write_chunks(A.to_chunks(X.image(s, d), (4, 17, 9), (4, 17, 17)), path, (2.0, 0.5, 0.5))
+    return A.chunk_voxels(stores.read_written_chunks(s, path))
 
 
-@query("s8_missing_chunks", "SELECT 0 AS level, t, c, gz, gy, gx FROM (SELECT unnest(range(0, 4)) AS t), (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 2)) AS gz), (SELECT unnest(range(0, 3)) AS gy), (SELECT unnest(range(0, 3)) AS gx) WHERE (t, c, gz, gy, gx) NOT IN (SELECT (t, c, z // 2, y // 16, x // 16) FROM image WHERE value % 4096 = 0)")
+@query("s8_missing_chunks", "SELECT 0 AS level, t, c, gz, gy, gx FROM (SELECT unnest(range(0, max(t) + 1)) AS t FROM image), (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 2)) AS gz), (SELECT unnest(range(0, 3)) AS gy), (SELECT unnest(range(0, 3)) AS gx) WHERE (t, c, gz, gy, gx) NOT IN (SELECT (t, c, z // 2, y // 8, x // 8) FROM image WHERE value % 4096 = 0)")
 def s8(s, d):
-    levels = s.range(1).select(F.lit(0).alias("level"), *[F.lit(v).cast("long").alias(k) for k, v in (("t", 4), ("c", 2), ("z", 4), ("y", 33), ("x", 33), ("cz", 2), ("cy", 16), ("cx", 16))])
-    have = X.image(s, d).where("value % 4096 = 0").select(F.lit(0).alias("level"), "t", "c", F.expr("z div 2").alias("gz"), F.expr("y div 16").alias("gy"), F.expr("x div 16").alias("gx")).distinct()
+    frames = X.base(s, d).agg((F.max("user_id") + 1).alias("t"))
+    levels = frames.select(F.lit(0).alias("level"), "t", *[F.lit(v).cast("long").alias(k) for k, v in (("c", 2), ("z", 4), ("y", 17), ("x", 17), ("cz", 2), ("cy", 8), ("cx", 8))])
+    have = X.image(s, d).where("value % 4096 = 0").select(F.lit(0).alias("level"), "t", "c", F.expr("z div 2").alias("gz"), F.expr("y div 8").alias("gy"), F.expr("x div 8").alias("gx")).distinct()
     return stores.missing_chunks(levels, have)
 
 
@@ -193,7 +194,7 @@ def t7(s, d):
 @query("t8_streaming_ingest", "SELECT id, t FROM cells")
 def t8(s, d):
     path, to = _folder(s, "incoming"), _folder(s, "published")
-    _records(s, d).drop("children").coalesce(2).write.json(path)
+    _records(s, d).drop("children").write.json(path)
     T.ingest_tracking(s, path, lambda cells, links: cells.select("id", "t").write.mode("append").parquet(to), lambda faults: None)
     return s.read.schema("id long, t long").parquet(to)
 

@@ -45,8 +45,8 @@ CTES: dict[str, str] = {
         CASE WHEN child % 97 = 4 THEN 0.125 ELSE confidence END, 'parent' FROM links WHERE child % 2 = 0""",
     "nodes": """SELECT b.id * 10 + 3 AS src, c.head AS track, b.t, CAST(b.z AS DOUBLE) AS z, CAST(b.y AS DOUBLE) AS y, CAST(b.x AS DOUBLE) AS x, l.parent * 10 + 3 AS parent_src, pc.head AS parent_track
         FROM base b JOIN chains c ON c.id = b.id LEFT JOIN links l ON l.child = b.id LEFT JOIN chains pc ON pc.id = l.parent""",
-    "image": """SELECT t, c, z, y, x, CAST((z * 7919 + y * 31 + x * 17 + t * 13 + c * 101 + seed) % 65536 AS BIGINT) AS value FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(0, 33)) AS y), (SELECT unnest(range(0, 33)) AS x),
-        (SELECT t, sum(id) % 65536 AS seed FROM base WHERE t < 4 GROUP BY t)""",
+    "image": """SELECT t, c, z, y, x, CAST((z * 7919 + y * 31 + x * 17 + t * 13 + c * 101 + seed) % 65536 AS BIGINT) AS value FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(0, 17)) AS y), (SELECT unnest(range(0, 17)) AS x),
+        (SELECT user_id AS t, sum(id * (z + y + x + t)) % 65536 AS seed FROM base GROUP BY user_id)""",
     "edits": """SELECT o_orderkey AS seq, o_orderdate AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'mask' ELSE 'graph' END AS domain, o_orderstatus = 'F' AS undone, o_orderkey % 13 = 0 AS pending,
         CASE o_orderkey % 3 WHEN 0 THEN '{"kind":"link","scope":"track","cell":' || o_custkey || '}' WHEN 1 THEN '{"kind":"stroke","label":' || o_custkey || '}' ELSE '{"kind":"cut","cell":' || o_custkey || '}' END AS op FROM orders""",
     "blobs": "SELECT seq, '0/c/' || seq % 30 || '/0/0/' || seq % 4 || '/' || seq % 5 AS chunk_key, seq % 3 <> 0 AS existed, 'b' || seq AS before FROM edits WHERE domain = 'mask' AND seq % 10 < 8",
@@ -150,10 +150,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels t < 4, 2 channels, 4 x 33 x 33, seeded by the detections of each frame."""
-    seeds = base(spark, sf_dir).where("t < 4").groupBy("t").agg((F.sum("id") % 65536).alias("seed"))
+    """One frame for each user, 2 channels, 4 x 17 x 17, seeded by all detections of the user, so it grows with the events."""
+    seeds = base(spark, sf_dir).groupBy(F.col("user_id").alias("t")).agg((F.sum(F.expr("id * (z + y + x + t)")) % 65536).alias("seed"))
     grid = seeds
-    for axis, size in (("c", 2), ("z", 4), ("y", 33), ("x", 33)):
+    for axis, size in (("c", 2), ("z", 4), ("y", 17), ("x", 17)):
         grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
     return grid.select("t", "c", "z", "y", "x", ((F.col("z") * 7919 + F.col("y") * 31 + F.col("x") * 17 + F.col("t") * 13 + F.col("c") * 101 + F.col("seed")) % 65536).alias("value"))
 
