@@ -34,7 +34,7 @@ def _flat(records):
 
 @query("s1_tracking_source", _RECORD_SQL)
 def s1(s, d):
-    one = _records(s, d).withColumn("movie", F.col("id") % 8)
+    one = _records(s, d).withColumn("movie", F.expr("id div 4096"))
     documents = one.groupBy("movie").agg(F.collect_list(F.struct(*[c for c in one.columns if c != "movie"])).alias("cells"))
     text = F.to_json(F.struct(F.lit(tracking.FORMAT).alias("format"), F.lit(tracking.VERSION).alias("version"), F.create_map(F.lit("app"), F.lit("x")).alias("metadata"), "cells"))
     path = _folder(s, "documents")
