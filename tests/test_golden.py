@@ -179,10 +179,24 @@ def test_store_catalog_and_chunks(spark, tmp_path):
     assert sorted((tuple(r.shape), tuple(r.chunks), r.dtype, tuple(r.axes), tuple(r.scale)) for r in levels.collect()) == [((1, 1, 2, 3, 5), (1, 1, 2, 2, 4), "u16", tuple("tczyx"), (1.0, 1.0, 2.0, 0.5, 0.5))] * 2
     assert {(r.label, r.color, r.high) for r in channels.collect()} == {("GFP", "00FF00", 100.0)}
     chunks = stores.read_chunks(spark, levels)
+    assert chunks.count() == 4  # two of either version
     assert rows(chunks.select("gy", "gx", "nz", "ny", "nx").distinct(), "gy") == [(0, 0, 2, 2, 4), (1, 1, 2, 1, 1)]
     assert rows(A.chunk_voxels(chunks).where("y = 2").select("z", "value").distinct(), "z") == [(0, 0), (1, 8)]
 
 
+def test_faults_of_stores_are_named(spark, tmp_path):
+    for name in ("empty", "bare", "dangling/0"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "bare" / "zarr.json").write_text(json.dumps({"node_type": "group", "attributes": {}}))
+    scales = [{"axes": [{"name": a} for a in "yx"], "datasets": [{"path": "0"}, {"path": "1"}]}]
+    (tmp_path / "dangling" / "zarr.json").write_text(json.dumps({"node_type": "group", "attributes": {"ome": {"multiscales": scales}}}))
+    (tmp_path / "dangling" / "0" / "zarr.json").write_text(json.dumps({"node_type": "array", "shape": [3, 5], "data_type": "uint8", "chunk_grid": {"configuration": {"chunk_shape": [3, 5]}}}))
+    found = stores.faults(spark, [str(tmp_path / n) for n in ("gone", "empty", "bare", "dangling")])
+    assert {(r.root.rsplit("/", 1)[1], r.fault, (r.detail or "").rsplit("/", 1)[-1]) for r in found.collect()} == {("gone", "missing path", ""), ("empty", "no store", ""), ("bare", "no multiscales", ""), ("dangling", "missing level", "1")}
+    levels, _ = stores.catalog(spark, str(tmp_path / "dangling"))
+    assert levels.count() == 1
+
+
 def test_stack_of_planes(spark, tmp_path):
     for i in (2, 0, 1):
         np.save(tmp_path / f"p{i}.npy", np.full((2, 3), i, np.uint16))

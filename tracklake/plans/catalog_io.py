@@ -93,6 +93,46 @@ def s10(s, d):
     return A.chunk_voxels(stores.read_written_chunks(s, path))
 
 
+_FRAMES = 8  # frames of one stored image
+
+
+def _stores(s, d) -> str:
+    """Every image as stores of eight frames, of format version 2 and 3 in turn."""
+    path = _folder(s, "stores")
+    chunks = A.to_chunks(X.image(s, d), (4, 9, 17), (4, 17, 17)).withColumn("image", F.expr(f"t div {_FRAMES}")).withColumn("t", F.col("t") % _FRAMES)
+    chunks = staged(chunks, "store-chunks")
+    for version in (2, 3):
+        stores.write_arrays(chunks.where(F.col("image") % 2 == version - 2), path, (4, 9, 17), (2.0, 0.5, 0.5), version)
+    return path
+
+
+def _image_number(column: str):
+    return F.regexp_extract(column, r"image-(\d+)\.zarr", 1).cast("long")
+
+
+@query("s7_store_catalog", f"SELECT t // {_FRAMES} AS image, 0 AS level, (max(t % {_FRAMES}) + 1) || ',2,4,17,17' AS shape, '1,1,4,9,17' AS chunks, 'u16' AS dtype, 'tczyx' AS axes, CAST(2 AS DOUBLE) AS size_z, CAST(0.5 AS DOUBLE) AS size_y, CAST(0.5 AS DOUBLE) AS size_x FROM image GROUP BY t // {_FRAMES}")
+def s7(s, d):
+    levels, _ = stores.catalog(s, _stores(s, d))
+    return levels.select(_image_number("folder").alias("image"), "level", F.array_join("shape", ",").alias("shape"), F.array_join("chunks", ",").alias("chunks"), "dtype", F.array_join("axes", "").alias("axes"), *[F.col("scale")[i + 2].alias(f"size_{a}") for i, a in enumerate("zyx")])
+
+
+@query("s8_chunk_scan", "SELECT t, c, z, y, x, value FROM image")
+def s8_scan(s, d):
+    levels, _ = stores.catalog(s, _stores(s, d))
+    chunks = stores.read_chunks(s, levels, None)
+    return A.chunk_voxels(chunks.withColumn("t", _image_number("layer") * _FRAMES + F.col("t")))
+
+
+@query("s9_stack", "SELECT dense_rank() OVER (ORDER BY t) - 1 AS t, z, y, x, value FROM image WHERE c = 1")
+def s9(s, d):
+    path = _folder(s, "stack")
+    whole = A.to_chunks(X.image(s, d).where("c = 1"), (4, 17, 17), (4, 17, 17))
+    stores.write_stack(whole.select("t", F.array("nz", "ny", "nx").alias("shape"), F.lit("<u2").alias("dtype"), "data"), path)
+    read = stores.read_stack(s, path).where("dtype = 'uint16'")
+    zero = [F.lit(0).cast("long").alias(n) for n in ("c", "gz", "gy", "gx", "oz", "oy", "ox")]
+    return A.chunk_voxels(read.select(F.lit("stack").alias("layer"), F.lit(0).alias("level"), "t", *zero, *[F.col("shape")[i].alias(f"n{a}") for i, a in enumerate("zyx")], F.lit("u16").alias("dtype"), "data")).select("t", "z", "y", "x", "value")
+
+
 @query("s8_missing_chunks", "SELECT 0 AS level, t, c, gz, gy, gx FROM (SELECT unnest(range(0, max(t) + 1)) AS t FROM image), (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 2)) AS gz), (SELECT unnest(range(0, 3)) AS gy), (SELECT unnest(range(0, 3)) AS gx) WHERE (t, c, gz, gy, gx) NOT IN (SELECT (t, c, z // 2, y // 8, x // 8) FROM image WHERE value % 4096 = 0)")
 def s8(s, d):
     frames = X.base(s, d).agg((F.max("user_id") + 1).alias("t"))

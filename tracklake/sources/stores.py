@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,54 +47,100 @@ def _hidden_metadata(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "value string, path string")
 
 
+def _one_form(path):
+    """``file:/x`` and ``file:///x`` are one path; Spark's readers give either."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _metadata(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "zarr.json").text(root)
     both = files.select("value", F.col("_metadata.file_path").alias("path")).unionByName(_hidden_metadata(spark, root))
-    return both.select("value", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    path = _one_form("path")
+    return both.select("value", F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"))
 
 
-def catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(levels, channels) of every multiscale image below ``root``.
+def _attribute(name: str):
+    doc = F.col("value")
+    return F.coalesce(F.get_json_object(doc, f"$.attributes.ome.{name}"), F.get_json_object(doc, f"$.ome.{name}"), F.get_json_object(doc, f"$.attributes.{name}"), F.get_json_object(doc, f"$.{name}"))
 
-    Levels: folder, level, array, shape, chunks, dtype, axes, scale.  Attributes lie
-    at the group (0.4) or under the ``ome`` key (0.5); an array in no multiscale
-    group is an image of one level.  Groups and arrays meet in one equi join.
-    """
-    meta = _metadata(spark, root)
+
+def _arrays(meta: DataFrame) -> DataFrame:
+    """(array, shape, chunks, dtype, names) of each array."""
     doc = F.col("value")
     is_array = (F.col("file") == ".zarray") | ((F.col("file") == "zarr.json") & (F.get_json_object(doc, "$.node_type") == "array"))
     arrays = meta.where(is_array).select(F.col("folder").alias("array"), F.from_json(doc, _ARRAY_META).alias("m"))
     arrays = arrays.select("array", "m.shape", F.coalesce("m.chunks", "m.chunk_grid.configuration.chunk_shape").alias("chunks"), F.coalesce("m.dtype", "m.data_type").alias("kind"), F.col("m.dimension_names").alias("names"))
     tags = F.create_map(*[F.lit(x) for pair in _DTYPES.items() for x in pair])
-    arrays = arrays.withColumn("dtype", F.coalesce(F.try_element_at(tags, F.col("kind")), F.col("kind"))).drop("kind")
+    return arrays.withColumn("dtype", F.coalesce(F.try_element_at(tags, F.col("kind")), F.col("kind"))).drop("kind")
+
 
-    def attribute(name: str):
-        return F.coalesce(F.get_json_object(doc, f"$.attributes.ome.{name}"), F.get_json_object(doc, f"$.ome.{name}"), F.get_json_object(doc, f"$.attributes.{name}"), F.get_json_object(doc, f"$.{name}"))
+def _groups(meta: DataFrame) -> DataFrame:
+    return meta.where(F.col("file").isin("zarr.json", ".zattrs")).select("folder", _attribute("multiscales").alias("scales"), _attribute("omero").alias("omero")).where("scales IS NOT NULL")
 
-    groups = meta.where(F.col("file").isin("zarr.json", ".zattrs")).select("folder", attribute("multiscales").alias("scales"), attribute("omero").alias("omero")).where("scales IS NOT NULL")
+
+def _named_levels(groups: DataFrame) -> DataFrame:
+    """(folder, level, array, axes, scale) as the groups name them, whether or not the array is there."""
     scales = groups.select("folder", F.from_json("scales", _MULTISCALE)[0].alias("s"))
     axes = F.transform("s.axes", lambda a: a["name"])
     named = scales.select("folder", axes.alias("axes"), F.posexplode("s.datasets").alias("level", "d"))
     scale = F.get(F.filter("d.coordinateTransformations", lambda x: x["type"] == "scale"), 0)["scale"]
-    named = named.select("folder", F.col("level").cast("long").alias("level"), F.concat_ws("/", "folder", "d.path").alias("array"), "axes", scale.alias("scale"))
+    return named.select("folder", F.col("level").cast("long").alias("level"), F.concat_ws("/", "folder", "d.path").alias("array"), "axes", scale.alias("scale"))
+
+
+def catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(levels, channels) of every multiscale image below ``root``.
+
+    Levels: folder, level, array, shape, chunks, dtype, axes, scale.  Attributes lie
+    at the group (0.4) or under the ``ome`` key (0.5); an array in no multiscale
+    group is an image of one level.  Groups and arrays meet in one equi join; a level
+    that has no array is left out here and named by :func:`faults`.
+    """
+    meta = _metadata(spark, root)
+    arrays, groups = _arrays(meta), _groups(meta)
+    named = _named_levels(groups)
     levels = named.join(arrays, "array").select("folder", "level", "array", "shape", "chunks", "dtype", F.coalesce("axes", "names").alias("axes"), "scale")
     single = arrays.join(named.select("array"), "array", "left_anti").select(F.col("array").alias("folder"), F.lit(0).cast("long").alias("level"), "array", "shape", "chunks", "dtype", F.col("names").alias("axes"), F.lit(None).cast("array<double>").alias("scale"))
     channels = groups.where("omero IS NOT NULL").select("folder", F.posexplode(F.from_json("omero", _OMERO)["channels"]).alias("c", "o")).select("folder", F.col("c").cast("long").alias("c"), F.col("o.label").alias("label"), F.col("o.color").alias("color"), F.col("o.window.start").alias("low"), F.col("o.window.end").alias("high"))
     return levels.unionByName(single), channels
 
 
-def read_chunks(spark: SparkSession, levels: DataFrame, layer: str = "image") -> DataFrame:
+def faults(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root, fault, detail) of roots that cannot be opened whole.
+
+    ``missing path``; ``no store`` (neither zarr.json, .zattrs nor .zarray below);
+    ``no multiscales`` (nothing below is an array or names levels); ``missing level``
+    (a group names a level that is not there; detail is its path).
+    """
+    found, absent = [], []
+    for root in roots:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        (found if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else absent).append(root)
+    out = spark.createDataFrame([(r, "missing path", None) for r in absent], "root string, fault string, detail string")
+    for root in found:
+        meta = _metadata(spark, root)
+        named, arrays = _named_levels(_groups(meta)), _arrays(meta).select("array")
+        kind = F.when(F.col("files") == 0, "no store").when(F.col("use") == 0, "no multiscales")
+        use = F.count_if(_attribute("multiscales").isNotNull() | (F.col("file") == ".zarray") | (F.get_json_object("value", "$.node_type") == "array"))
+        whole = meta.agg(F.count("*").alias("files"), use.alias("use")).select(kind.alias("fault"), F.lit(None).cast("string").alias("detail")).where("fault IS NOT NULL")
+        dangling = named.join(arrays, "array", "left_anti").select(F.lit("missing level").alias("fault"), F.col("array").alias("detail"))
+        out = out.unionByName(whole.unionByName(dangling).select(F.lit(root).alias("root"), "fault", "detail"))
+    return out
+
+
+def read_chunks(spark: SparkSession, levels: DataFrame, layer: str | None = "image") -> DataFrame:
     """Chunk rows of the stored TCZYX chunks of ``levels`` (of :func:`catalog`), cut to the level at its edges.
 
-    Bytes are raw, gzip or zstd.  A chunk that is not stored holds zeros and has no row.
+    Bytes are raw, gzip or zstd.  A chunk that is not stored holds zeros and has no
+    row.  Without ``layer`` a row is named by the path of its array.  Only the
+    folders of the given levels are listed.
     """
     info = levels.where(F.size("shape") == 5).select("array", "level", "shape", "chunks", "dtype")
-    roots = [r.folder for r in levels.select("folder").distinct().collect()]  # one path for each image
+    roots = [r.array for r in info.select("array").distinct().collect()]  # one path for each level of each image
     if not roots:
         return spark.createDataFrame([], CHUNKS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).where(~F.col("path").rlike(r"(zarr\.json|\.zattrs|\.zarray|\.zgroup)$"))
     form = r"^(.*?)/(?:c/)?(\d+)[./](\d+)[./](\d+)[./](\d+)[./](\d+)$"
-    files = files.select("content", *[F.regexp_extract("path", form, i + 1).alias(n) for i, n in enumerate(("array", "it", "ic", "iz", "iy", "ix"))]).where("array <> ''")
+    files = files.select("content", *[F.regexp_extract(_one_form("path"), form, i + 1).alias(n) for i, n in enumerate(("array", "it", "ic", "iz", "iy", "ix"))]).where("array <> ''")
     both = files.join(info, "array")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +160,7 @@ def read_chunks(spark: SparkSession, levels: DataFrame, layer: str = "image") ->
                         o = [g * c for g, c in zip(at[2:], r["chunks"][2:], strict=True)]
                         n = [min(c, s - x) for c, s, x in zip(r["chunks"][2:], r["shape"][2:], o, strict=True)]
                         part = a[dt, dc, : n[0], : n[1], : n[2]]
-                        out.append({"layer": layer, "level": r["level"], "t": at[0] * r["chunks"][0] + dt, "c": at[1] * r["chunks"][1] + dc, "gz": at[2], "gy": at[3], "gx": at[4], "oz": o[0], "oy": o[1], "ox": o[2], "nz": n[0], "ny": n[1], "nx": n[2], "dtype": r["dtype"], "data": np.ascontiguousarray(part).tobytes()})
+                        out.append({"layer": layer or r["array"], "level": r["level"], "t": at[0] * r["chunks"][0] + dt, "c": at[1] * r["chunks"][1] + dc, "gz": at[2], "gy": at[3], "gx": at[4], "oz": o[0], "oy": o[1], "ox": o[2], "nz": n[0], "ny": n[1], "nx": n[2], "dtype": r["dtype"], "data": np.ascontiguousarray(part).tobytes()})
             yield pa.RecordBatch.from_pylist(out, _chunk_schema())
 
     return both.mapInArrow(decode, CHUNKS)
@@ -146,6 +194,87 @@ def read_stack(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(load, "path string, shape array<bigint>, dtype string, data binary").join(order, "path").select("t", "shape", "dtype", "data")
 
 
+def write_files(files: DataFrame) -> int:
+    """Write ``data`` to ``path`` for each row, from the tasks; a file gets its name once it is whole, so a repeated task does no harm."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                system, where = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                system.create_dir(where.rsplit("/", 1)[0])
+                part = f"{where}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(data)
+                system.move(part, where)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return files.select("path", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_arrays(chunks: DataFrame, path: str, brick: tuple[int, int, int], scale: tuple[float, float, float], version: int = 3) -> None:
+    """One store of one level for each value of ``image`` of chunk rows, as ``path/image-N.zarr``, in format version 2 or 3.
+
+    Each chunk row becomes one gzip file of the full brick, padded with zeros at the edges.
+    """
+    kinds = {tag: (name, np.dtype(name)) for name, tag in _DTYPES.items() if name.startswith(("<", "|"))}
+    long_names = {tag: name for name, tag in _DTYPES.items() if name.startswith("u")}
+    axes = [{"name": a} for a in "tczyx"]
+
+    def data_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, data = [], []
+            for r in batch.to_pylist():
+                full = np.zeros(brick, kinds[r["dtype"]][1])
+                full[: r["nz"], : r["ny"], : r["nx"]] = np.frombuffer(r["data"], full.dtype).reshape(r["nz"], r["ny"], r["nx"])
+                at = [str(r[k]) for k in ("t", "c", "gz", "gy", "gx")]
+                paths.append(f"{path}/image-{r['image']}.zarr/0/" + ("c/" + "/".join(at) if version == 3 else ".".join(at)))
+                data.append(gzip.compress(full.tobytes(), mtime=0))
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
+
+    def metadata_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, data = [], []
+            for r in batch.to_pylist():
+                root, shape, blocks = f"{path}/image-{r['image']}.zarr", [r[k] for k in "tczyx"], [1, 1, *brick]
+                scales = [{"axes": axes, "datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, *scale]}]}]}]
+                if version == 3:
+                    files = {"zarr.json": {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": scales}}}}
+                    files["0/zarr.json"] = {
+                        "zarr_format": 3, "node_type": "array", "shape": shape, "data_type": long_names[r["dtype"]], "fill_value": 0, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": blocks}},
+                        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 9}}],
+                    }
+                else:
+                    files = {".zgroup": {"zarr_format": 2}, ".zattrs": {"multiscales": scales}}
+                    files["0/.zarray"] = {"zarr_format": 2, "shape": shape, "chunks": blocks, "dtype": kinds[r["dtype"]][0], "fill_value": 0, "order": "C", "filters": None, "compressor": {"id": "gzip", "level": 9}}
+                for name, document in files.items():
+                    paths.append(f"{root}/{name}")
+                    data.append(json.dumps(document).encode())
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
+
+    write_files(chunks.mapInArrow(data_files, "path string, data binary"))
+    ends = [F.max(F.col(f"o{a}") + F.col(f"n{a}")).alias(a) for a in "zyx"]
+    heads = chunks.groupBy("image").agg((F.max("t") + 1).alias("t"), (F.max("c") + 1).alias("c"), *ends, F.first("dtype").alias("dtype"))
+    write_files(heads.mapInArrow(metadata_files, "path string, data binary"))
+
+
+def write_stack(planes: DataFrame, path: str) -> None:
+    """One .npy file for each row (t, shape, dtype, data), named so that path order is the order of t."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, data = [], []
+            for r in batch.to_pylist():
+                out = io.BytesIO()
+                np.save(out, np.frombuffer(r["data"], r["dtype"]).reshape(r["shape"]))
+                paths.append(f"{path}/{r['t']:020d}.npy")
+                data.append(out.getvalue())
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
+
+    write_files(planes.select("t", "shape", "dtype", "data").mapInArrow(save, "path string, data binary"))
+
+
 def write_chunks(chunks: DataFrame, path: str, scale: tuple[float, float, float] | None = None) -> None:
     """Parquet by layer, level and t, so a plane or a time point prunes to its files; one row of metadata for each level beside it."""
     chunks.write.mode("overwrite").partitionBy("layer", "level", "t").parquet(f"{path}/chunks")
