@@ -672,7 +672,12 @@ def g11(s, d):
     return G.lineage_rows(c, X.links(s, d), c.where("id % 9 = 0"))
 
 
-@query("g12_lineage_layout")
+@query("g12_lineage_layout", """WITH paths AS (SELECT b.id AS root, b.id, b.t, b.t AS top, [b.t * 1000000000 + b.id] AS path FROM base b LEFT JOIN links l ON l.child = b.id WHERE l.parent IS NULL
+UNION ALL SELECT p.root, b.id, b.t, p.top, list_append(p.path, b.t * 1000000000 + b.id) FROM paths p JOIN links l ON l.parent = p.id JOIN base b ON b.id = l.child),
+leaves AS (SELECT id, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS col FROM paths WHERE id NOT IN (SELECT parent FROM links)),
+ends AS (SELECT DISTINCT parent, unnest([arg_min(child, c.path), arg_max(child, c.path)]) AS child, CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM links l JOIN paths c ON c.id = l.child GROUP BY parent),
+reach AS (SELECT id, id AS down, 1.0::DOUBLE AS weight FROM paths UNION ALL SELECT r.id, e.child, r.weight * e.share FROM reach r JOIN ends e ON e.parent = r.down)
+SELECT p.root, p.id, w.col, p.t - p.top AS row FROM paths p JOIN (SELECT r.id, sum(r.weight * v.col) AS col FROM reach r JOIN leaves v ON v.id = r.down GROUP BY r.id) w ON w.id = p.id""")
 def g12(s, d):
     b, lk = X.base(s, d), X.links(s, d)
     return G.lineage_layout(b.select("id", "t").join(G.tree_roots(b, lk), "id"), lk)
@@ -882,7 +887,11 @@ def v22(s, d):
     return A.check_contract(own, image)
 
 
-@query("v23_set_digest")
+def _le_bytes(column: str) -> str:
+    return ", ".join(f"({column} >> {8 * i}) & 255" for i in range(4))
+
+
+@query("v23_set_digest", f"WITH {_STAMPS}, bytes AS (SELECT stroke, flatten(list([{_le_bytes('z')}, {_le_bytes('y')}, {_le_bytes('x')}] ORDER BY z, y, x)) AS b FROM sv GROUP BY stroke) SELECT stroke, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), b), lambda h, k: (xor(h, k) * 16777619) & 4294967295) AS digest FROM bytes")
 def v23(s, d):
     return L.set_digest(L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0)), ("stroke",))
 
@@ -893,7 +902,10 @@ def v24(s, d):
     return A.chunk_voxels(A.segment(chunks, lambda a: (a > 32768).astype("uint32")))
 
 
-@query("v25_thin_stamps")
+@query("v25_thin_stamps", """WITH walk AS (SELECT user_id, n, z, y, x, 0 AS k, true AS kept, z AS lz, y AS ly, x AS lx FROM base WHERE n = 1
+UNION ALL SELECT b.user_id, b.n, b.z, b.y, b.x, CASE WHEN far THEN w.k + 1 ELSE w.k END, far, CASE WHEN far THEN b.z ELSE lz END, CASE WHEN far THEN b.y ELSE ly END, CASE WHEN far THEN b.x ELSE lx END
+FROM walk w JOIN base b ON b.user_id = w.user_id AND b.n = w.n + 1, LATERAL (SELECT 9 * (4 * (b.z - lz) * (b.z - lz) + (b.y - ly) * (b.y - ly) + (b.x - lx) * (b.x - lx)) >= 16 AS far))
+SELECT user_id, k // 10 AS part, n AS seq, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x FROM walk WHERE kept""")
 def v25(s, d):
     points = X.base(s, d).select("user_id", F.col("n").cast("long").alias("seq"), *[F.col(a).cast("double").alias(a) for a in "zyx"])
     return L.thin_stamps(points, "user_id", 4.0, (2.0, 1.0, 1.0), 10)
