@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracklake.functions.settings import Threshold, settings
 from tracklake.operators import arrays as A
 from tracklake.operators import edits as E
 from tracklake.operators import graph as G
@@ -197,6 +198,12 @@ def test_faults_of_stores_are_named(spark, tmp_path):
     assert levels.count() == 1
 
 
+def test_settings_name_wrong_keys():
+    assert settings(Threshold, {"level": 7}) == Threshold(7, 1)
+    with pytest.raises(ValueError, match="unknown keys: blur, sigma; missing keys: level"):
+        settings(Threshold, {"sigma": 1, "blur": 2})
+
+
 def test_stack_of_planes(spark, tmp_path):
     for i in (2, 0, 1):
         np.save(tmp_path / f"p{i}.npy", np.full((2, 3), i, np.uint16))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars as S
+from tracklake.functions.settings import Threshold, settings
 from tracklake.operators import arrays as A
 from tracklake.operators import edits as E
 from tracklake.operators import graph as G
@@ -899,7 +900,7 @@ def v23(s, d):
 @query("v24_segment", "SELECT t, c, z, y, x, CASE WHEN value > 32768 THEN 1 ELSE 0 END AS value FROM image")
 def v24(s, d):
     chunks = A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17))
-    return A.chunk_voxels(A.segment(chunks, lambda a: (a > 32768).astype("uint32")))
+    return A.chunk_voxels(A.segment(chunks, settings(Threshold, {"level": 32768})))
 
 
 @query("v25_thin_stamps", """WITH walk AS (SELECT user_id, n, z, y, x, 0 AS k, true AS kept, z AS lz, y AS ly, x AS lx FROM base WHERE n = 1
