@@ -233,3 +233,72 @@ def ftrl(rows, p):
                 z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
                 n[i] += g * g
     return {i: weight(i) for i in list(z)}
+
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]")
+
+
+def _damage(rows):
+    import zlib
+
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        yield from [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+
+
+def _cheapest(rows):
+    """(cost, audit, repaired lines) by recursion from the end, over (row, state)."""
+    import functools
+
+    names = {"u": "user", "a": "assistant"}
+    step = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    @functools.cache
+    def best(i, state, inserted):
+        found = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+        role = "a" if state == "u" else "u"
+        if inserted < 3:
+            c, audit, lines = best(i, role, inserted + 1)
+            found.append((c + 3, "I" + audit, (names[role] + ":", *lines)))
+        if i < len(rows):
+            own, text, fault = rows[i]
+            c, audit, lines = best(i + 1, state, 0)
+            found.append((c + 4, "D" + audit, lines))
+            flaw = 3 * (fault == "truncated")
+            if fault not in ("blank", "duplicate"):
+                c, audit, lines = best(i + 1, role, 0)
+                found.append((c + 3 + flaw, "R" + audit, (f"{names[role]}:{text}", *lines)))
+                to = step[state].get(own[:1]) if own else state
+                if to is not None:
+                    c, audit, lines = best(i + 1, to, 0)
+                    found.append((c + flaw, "K" + audit, (f"{own}:{text}", *lines)))
+        return min(found, key=lambda x: x[:2]) if found else (10**9, "", ())
+
+    return best(0, "", 0)
+
+
+def conversations(rows, damage=True):
+    """op13's rows for (conv_id, turn, role, text) rows."""
+    every = {r[0] for r in rows}
+    kept = collections.defaultdict(list)
+    for conv, turn, role, text in _damage(rows) if damage else rows:
+        kept[conv].append((turn is not None, turn or 0, " " if role is None else role, " " if text is None else text, turn))
+    out = []
+    for conv in every:
+        mine, seen, counts, marked = sorted(kept[conv], key=lambda r: r[:2] + (r[2].encode(), r[3].encode())), set(), collections.Counter(), []
+        for _, _, role, text, _ in mine:
+            shown = BLANK.findall(text)
+            fault = "blank" if not shown else "duplicate" if (role, text) in seen else "truncated" if shown[-1] not in ".!?" else None
+            seen.add((role, text))
+            counts[fault] += 1
+            marked.append((role, text, fault))
+        turns = [r[4] for r in mine if r[4] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:]))
+        cost, audit, lines = _cheapest(tuple(marked))
+        out.append((conv, gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, sha("\n".join(lines))))
+    return out

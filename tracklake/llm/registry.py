@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.llm.classifier import op7_quality
+from tracklake.llm.conversations import op13_conversations
 from tracklake.llm.decontaminate import op1_benchmark
 from tracklake.llm.lengths import op5_token_counts
 from tracklake.llm.lines import op8_line_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_conversations": op13_conversations,
 }
 
 #: SQL states these on whole tables; the others need a hash, a tokenizer, byte offsets or a fitted model that SQL
