@@ -302,3 +302,38 @@ def conversations(rows, damage=True):
         cost, audit, lines = _cheapest(tuple(marked))
         out.append((conv, gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, sha("\n".join(lines))))
     return out
+
+
+def near_vectors(rows, least=0.9):
+    """(vec_id, n_links, component_id, kept) by all pairs."""
+    width = max([len(v) for _, v in rows if v] or [1])
+
+    def unit(v):
+        if not v or any(c is None or not math.isfinite(c) for c in v) or not any(v):
+            return None
+        x = np.zeros(width)
+        x[: len(v)] = v
+        x /= np.abs(x).max()
+        return x / np.linalg.norm(x)
+
+    units = [unit(v) for _, v in rows]
+    good = [i for i, u in enumerate(units) if u is not None]
+    links = {i: set() for i in range(len(rows))}
+    if good:
+        x = np.array([units[i] for i in good])
+        for a, b in zip(*np.nonzero(x @ x.T >= least), strict=True):
+            if a != b:
+                links[good[a]].add(good[b])
+    root = {}
+    for i in links:
+        if i in root:
+            continue
+        todo, members = [i], {i}
+        while todo:
+            new = links[todo.pop()] - members
+            members |= new
+            todo += new
+        ids = [rows[j][0] for j in members if rows[j][0] is not None]
+        for j in members:
+            root[j] = min(ids) if ids else None
+    return [(d, len(links[i]), root[i], d is not None and d == root[i]) for i, (d, _) in enumerate(rows)]

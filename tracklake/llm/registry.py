@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.llm.classifier import op7_quality
 from tracklake.llm.conversations import op13_conversations
+from tracklake.llm.covertree import op12_embeddings
 from tracklake.llm.decontaminate import op1_benchmark
 from tracklake.llm.lengths import op5_token_counts
 from tracklake.llm.lines import op8_line_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_embeddings": op12_embeddings,
     "op13_conversations": op13_conversations,
 }
 
