@@ -337,3 +337,27 @@ def near_vectors(rows, least=0.9):
         for j in members:
             root[j] = min(ids) if ids else None
     return [(d, len(links[i]), root[i], d is not None and d == root[i]) for i, (d, _) in enumerate(rows)]
+
+
+def ranked(docs, items, top=50):
+    """(item_id, rank, doc_id, score) of every document for every item."""
+
+    def words(text):
+        return ALNUM.findall((text or "").translate(LOWER))
+
+    bags = [(d, collections.Counter(words(t))) for d, t in docs]
+    size = [sum(b.values()) for _, b in bags]
+    n_docs, n_words = sum(n > 0 for n in size), sum(size)
+    df = collections.Counter(t for _, b in bags for t in b)
+    terms = collections.defaultdict(set)
+    for item, text in items:
+        terms[item] |= set(words(text))
+    out = []
+    for item, own in terms.items():
+        scores = []
+        for (doc, bag), n in zip(bags, size, strict=True):
+            if n:
+                m = 50 + 50 * n * n_docs // n_words
+                scores.append((-sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * bag[t] // (1000 * bag[t] + 20 * m)) for t in own if t in bag), doc is not None, doc or 0, doc))
+        out += [(item, k + 1, doc, -s) for k, (s, _, _, doc) in enumerate(sorted(scores, key=lambda x: x[:3])[:top]) if s < 0]
+    return out

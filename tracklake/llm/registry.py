@@ -11,6 +11,7 @@ from tracklake.llm.conversations import op13_conversations
 from tracklake.llm.covertree import op12_embeddings
 from tracklake.llm.decontaminate import op1_benchmark
 from tracklake.llm.lengths import op5_token_counts
+from tracklake.llm.lexical import op11_ranked_search
 from tracklake.llm.lines import op8_line_dedup
 from tracklake.llm.pieces import op4_pieces
 from tracklake.llm.rules import op2_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op12_embeddings": op12_embeddings,
     "op13_conversations": op13_conversations,
 }
@@ -69,4 +71,14 @@ edge AS (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM m
 runs AS (SELECT doc_id, i, gone, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM edge WHERE was IS NULL OR was <> gone),
 kept AS (SELECT doc_id, sum(coalesce(nxt, length(hx) // 2) - i) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans, string_agg(substr(hx, CAST(2 * i + 1 AS BIGINT), CAST(2 * (coalesce(nxt, length(hx) // 2) - i) AS BIGINT)), '' ORDER BY i) FILTER (NOT gone) AS hx FROM runs JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.hx, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_words AS m FROM d, g WHERE len(w) > 0),
+words AS (SELECT r, unnest(w) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
