@@ -11,74 +11,87 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.operators.skew import join_to_one
-from tracklake.plans.staging import staged
+from tracklake.operators.keys import by
+from tracklake.operators.skew import join_lookup
+from tracklake.plans.staging import staged, staged_count
 from tracklake.schemas import MAX_LABEL_ID
 
 
 def pointer_double(pointers: DataFrame, limit: int = 40) -> DataFrame:
     """(id, top, hops) from (id, up): follow ``up`` until it points at itself.
 
-    Each round doubles the steps of the rows that still move and is cut off in the
-    shared folder; a row whose top is a root is final and is not joined again.
-    Late in the run many rows meet on one top, so hot tops are split.  More than
-    ``limit`` rounds mean a cycle.
+    ``hops`` sums the column ``weight`` of the rows left on the way, 1 for each where
+    there is none.  Each round doubles the steps of the rows that still move and is
+    cut off in the shared folder; a row whose top is a root is final and is not
+    joined again.  Late in the run many rows meet on one top, so hot tops are split.
+    More than ``limit`` rounds mean a cycle.
     """
+    own = by(pointers)
     root = F.col("up") == F.col("id")
-    table = staged(pointers.select("id", F.col("up").alias("top"), F.when(root, 0).otherwise(1).alias("hops"), root.alias("final")), "pointers")
+    weight = F.col("weight") if "weight" in pointers.columns else F.lit(1)
+    start = pointers.select(*own, "id", F.col("up").alias("top"), F.when(root, 0).otherwise(weight).cast("long").alias("hops"), root.alias("final"))
+    table, moving_rows = staged_count(start, "pointers", ~F.col("final"))
     finals, moving = [table.where("final")], table.where("NOT final")
     for _ in range(limit):
-        if moving.isEmpty():
+        if not moving_rows:
             return functools.reduce(DataFrame.unionByName, finals).drop("final")
-        every = functools.reduce(DataFrame.unionByName, [*finals, moving]).select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("hops").alias("more"), F.col("final").alias("ended"))
-        step = join_to_one(moving.drop("final"), every, "top", ["id"])
-        step = staged(step.select("id", F.col("next").alias("top"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("final")), "pointers")
+        every = functools.reduce(DataFrame.unionByName, [*finals, moving]).select(*own, F.col("id").alias("top"), F.col("top").alias("next"), F.col("hops").alias("more"), F.col("final").alias("ended"))
+        step = join_lookup(moving.drop("final"), every, [*own, "top"], ["id"], moving_rows)
+        step = step.select(*own, "id", F.col("next").alias("top"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("final"))
+        step, moving_rows = staged_count(step, "pointers", ~F.col("final"))
         finals.append(step.where("final"))
         moving = step.where("NOT final")
     raise ValueError("the links hold a cycle")
 
 
+def _parents(links: DataFrame) -> DataFrame:
+    """(id, up): the one parent of each child."""
+    return links.groupBy(*by(links), F.col("child").alias("id")).agg(F.min("parent").alias("up"))
+
+
 def _child_counts(links: DataFrame) -> DataFrame:
-    return links.groupBy(F.col("parent").alias("up")).agg(F.count("*").alias("kids"))
+    return links.groupBy(*by(links), F.col("parent").alias("up")).agg(F.count("*").alias("kids"))
 
 
 def chain_pointers(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(id, up): the parent where it has one child, else the cell itself."""
-    up = links.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("up"))
-    steps = up.join(_child_counts(links), "up").select("id", "up", "kids")
-    return cells.select("id").join(steps, "id", "left").select("id", F.when(F.col("kids") == 1, F.col("up")).otherwise(F.col("id")).alias("up"))
+    own = by(cells, links)
+    steps = _parents(links).join(_child_counts(links), [*own, "up"]).select(*own, "id", "up", "kids")
+    return cells.select(*own, "id").join(steps, [*own, "id"], "left").select(*own, "id", F.when(F.col("kids") == 1, F.col("up")).otherwise(F.col("id")).alias("up"))
 
 
 def chains(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(id, head, pos, length): the maximal unbranched run of each cell."""
+    own = by(cells, links)
     tops = pointer_double(chain_pointers(cells, links))
-    length = tops.groupBy("top").agg(F.count("*").alias("length"))
-    return tops.join(length, "top").select("id", F.col("top").alias("head"), F.col("hops").cast("long").alias("pos"), "length")
+    length = tops.groupBy(*own, "top").agg(F.count("*").alias("length"))
+    return tops.join(length, [*own, "top"]).select(*own, "id", F.col("top").alias("head"), F.col("hops").alias("pos"), "length")
 
 
 def tree_roots(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root, depth) of every cell."""
-    up = links.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("up"))
-    steps = cells.select("id").join(up, "id", "left").select("id", F.coalesce("up", "id").alias("up"))
-    return pointer_double(steps).select("id", F.col("top").alias("root"), F.col("hops").cast("long").alias("depth"))
+    own = by(cells, links)
+    steps = cells.select(*own, "id").join(_parents(links), [*own, "id"], "left").select(*own, "id", F.coalesce("up", "id").alias("up"))
+    return pointer_double(steps).select(*own, "id", F.col("top").alias("root"), F.col("hops").alias("depth"))
 
 
 def lineage(cells: DataFrame, links: DataFrame, focus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells and links of the trees that hold a focus id: all trees in one job; unknown ids raise."""
-    missing = focus.select("id").join(cells.select("id"), "id", "left_anti").limit(1).collect()
+    own = by(cells, links, focus)
+    key = [*own, "id"]
+    missing = focus.select(*key).join(cells.select(*key), key, "left_anti").limit(1).collect()
     if missing:
-        raise ValueError(f"unknown cell {missing[0].id}")
+        raise ValueError(f"unknown cell {missing[0].id}" + (f" in {missing[0].dataset}" if own else ""))
     roots = tree_roots(cells, links)
-    wanted = roots.join(focus.select("id"), "id", "left_semi").select("root").distinct()
-    inside = roots.join(wanted, "root", "left_semi")
-    members = cells.join(inside, "id")
-    return members, links.join(inside.select(F.col("id").alias("child"), "root"), "child")
+    wanted = roots.join(focus.select(*key), key, "left_semi").select(*own, "root").distinct()
+    inside = roots.join(wanted, [*own, "root"], "left_semi")
+    members = cells.join(inside, key)
+    return members, links.join(inside.select(*own, F.col("id").alias("child"), "root"), [*own, "child"])
 
 
 def with_parent(cells: DataFrame, links: DataFrame) -> DataFrame:
     """Adds parent_id; links with several parents for a child never multiply rows."""
-    up = links.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent_id"))
-    return cells.join(up, "id", "left")
+    return cells.join(_parents(links).withColumnRenamed("up", "parent_id"), [*by(cells, links), "id"], "left")
 
 
 def validate_links(proposals: DataFrame, cells: DataFrame, links: DataFrame, max_gap: int | None = None) -> DataFrame:
@@ -88,13 +101,14 @@ def validate_links(proposals: DataFrame, cells: DataFrame, links: DataFrame, max
     two_children, gap.  Links that exist and proposals earlier in the batch both
     count as taken, whether or not those earlier ones pass.
     """
-    ct = cells.select(F.col("id").alias("child"), F.col("t").alias("child_t"))
-    pt = cells.select(F.col("id").alias("parent"), F.col("t").alias("parent_t"))
-    have = links.groupBy("child").agg(F.min("parent").alias("has"))
-    kids = links.groupBy("parent").agg(F.count("*").alias("kids"))
-    earlier = Window.partitionBy("child").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    brothers = Window.partitionBy("parent").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    frame = proposals.join(ct, "child", "left").join(pt, "parent", "left").join(have, "child", "left").join(kids, "parent", "left")
+    own = by(proposals, cells, links)
+    ct = cells.select(*own, F.col("id").alias("child"), F.col("t").alias("child_t"))
+    pt = cells.select(*own, F.col("id").alias("parent"), F.col("t").alias("parent_t"))
+    have = links.groupBy(*own, "child").agg(F.min("parent").alias("has"))
+    kids = links.groupBy(*own, "parent").agg(F.count("*").alias("kids"))
+    earlier = Window.partitionBy(*own, "child").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    brothers = Window.partitionBy(*own, "parent").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    frame = proposals.join(ct, [*own, "child"], "left").join(pt, [*own, "parent"], "left").join(have, [*own, "child"], "left").join(kids, [*own, "parent"], "left")
     frame = frame.withColumns({"taken": F.coalesce("has", F.first("parent").over(earlier)), "number": F.coalesce("kids", F.lit(0)) + F.count("*").over(brothers)})
     reason = F.when(F.col("child_t").isNull() | F.col("parent_t").isNull(), "unknown_cell").when(F.col("child_t") <= F.col("parent_t"), "not_forward").when(F.col("taken") == F.col("parent"), "duplicate")
     reason = reason.when(F.col("taken").isNotNull(), "has_parent").when(F.col("number") >= 2, "two_children")
@@ -105,30 +119,38 @@ def validate_links(proposals: DataFrame, cells: DataFrame, links: DataFrame, max
 
 def diff_links(before: DataFrame, after: DataFrame) -> DataFrame:
     """(parent, child, confidence, reviewed, change): rows added or removed, by key."""
-    key = ["parent", "child"]
+    key = [*by(before, after), "parent", "child"]
     added = after.join(before.select(key), key, "left_anti").withColumn("change", F.lit("added"))
     return added.unionByName(before.join(after.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def number_rows(frame: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+def number_rows(frame: DataFrame, order: list[str], name: str, start: int = 1, within: list[str] | None = None) -> DataFrame:
     """Consecutive numbers in the order of unique sort columns, without one global window.
 
-    Rows are range-partitioned, counted per partition and numbered inside it.
+    Rows are range-partitioned, counted per partition and numbered inside it.  Numbers
+    begin anew for each value of ``within`` (of ``dataset``, where there is one).
     """
-    parts = staged(frame.repartitionByRange(*[F.col(c) for c in order]).withColumn("tl_part", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy("tl_part").agg(F.count("*").alias("n"))
-    before = counts.select("tl_part", (F.sum("n").over(Window.orderBy("tl_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("tl_before"))
-    own = F.row_number().over(Window.partitionBy("tl_part").orderBy(*order))
-    return parts.join(F.broadcast(before), "tl_part").withColumn(name, F.col("tl_before") + own + (start - 1)).drop("tl_part", "tl_before")
+    own = by(frame) if within is None else within
+    parts = staged(frame.repartitionByRange(*[F.col(c) for c in (*own, *order)]).withColumn("tl_part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("tl_part", *own).agg(F.count("*").alias("n"))  # a row for each partition, and for each movie in it
+    before = counts.select("tl_part", *own, (F.sum("n").over(Window.partitionBy(*own).orderBy("tl_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("tl_before"))
+    place = F.row_number().over(Window.partitionBy("tl_part", *own).orderBy(*order))
+    return parts.join(before if own else F.broadcast(before), ["tl_part", *own]).withColumn(name, F.col("tl_before") + place + (start - 1)).drop("tl_part", "tl_before")
+
 
+def fresh_track_ids(heads: DataFrame, next_id: int | DataFrame) -> DataFrame:
+    """(head, track_id): next_id, next_id + 1, ... in head order; past the renderable ceiling is an error row (null id).
 
-def fresh_track_ids(heads: DataFrame, next_id: int) -> DataFrame:
-    """(head, track_id): next_id, next_id + 1, ... in head order; past the renderable ceiling is an error row (null id)."""
-    numbered = number_rows(heads.select("head").distinct(), ["head"], "track_id", next_id)
+    ``next_id`` is one number, or (dataset, next_id) for movies that count apart.
+    """
+    own = by(heads)
+    numbered = number_rows(heads.select(*own, "head").distinct(), ["head"], "track_id", next_id if isinstance(next_id, int) else 0)
+    if not isinstance(next_id, int):
+        numbered = numbered.join(next_id, own).withColumn("track_id", F.col("track_id") + F.col("next_id")).drop("next_id")
     return numbered.withColumn("track_id", F.when(F.col("track_id") <= MAX_LABEL_ID, F.col("track_id")))
 
 
-def rematerialize(cells: DataFrame, before: DataFrame, after: DataFrame, next_id: int, seeds: DataFrame | None = None) -> DataFrame:
+def rematerialize(cells: DataFrame, before: DataFrame, after: DataFrame, next_id: int | DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(id, old, new): one identity for each chain the link change touches.
 
     Seeds default to both ends of changed links and all children of their parents.
@@ -136,62 +158,77 @@ def rematerialize(cells: DataFrame, before: DataFrame, after: DataFrame, next_id
     had one; other chains draw fresh ids in head order.  The whole batch draws at
     once; for edit-by-edit numbers pass one edit at a time.
     """
-    change = diff_links(before, after)
+    own = by(cells, before, after)
     if seeds is None:
-        ends = change.select(F.explode(F.array("parent", "child")).alias("id"))
-        kids = after.join(change.select("parent").distinct(), "parent", "left_semi").select(F.col("child").alias("id"))
+        change = diff_links(before, after)
+        ends = change.select(*own, F.explode(F.array("parent", "child")).alias("id"))
+        kids = after.join(change.select(*own, "parent").distinct(), [*own, "parent"], "left_semi").select(*own, F.col("child").alias("id"))
         seeds = ends.union(kids).distinct()
     now = chains(cells, after)
-    touched = now.join(seeds.select("id"), "id", "left_semi").select("head").distinct()
-    mine = now.join(touched, "head", "left_semi").join(cells.select("id", F.col("track_id").alias("old")), "id")
-    was_head = chain_pointers(cells, before).where("id = up").select(F.col("id").alias("head"), F.lit(True).alias("was_head"))
-    heads = mine.where("id = head").join(was_head, "head", "left").select("head", F.when(F.col("was_head"), F.col("old")).alias("kept"))
+    touched = now.join(seeds.select(*own, "id"), [*own, "id"], "left_semi").select(*own, "head").distinct()
+    mine = now.join(touched, [*own, "head"], "left_semi").join(cells.select(*own, "id", F.col("track_id").alias("old")), [*own, "id"])
+    was_head = chain_pointers(cells, before).where("id = up").select(*own, F.col("id").alias("head"), F.lit(True).alias("was_head"))
+    heads = mine.where("id = head").join(was_head, [*own, "head"], "left").select(*own, "head", F.when(F.col("was_head"), F.col("old")).alias("kept"))
     heads = staged(heads, "heads")
-    fresh = fresh_track_ids(heads.where("kept IS NULL").select("head"), next_id)
-    ids = heads.join(fresh, "head", "left").select("head", F.coalesce("kept", "track_id").alias("new"))
-    return mine.join(ids, "head").select("id", "old", "new")
+    fresh = fresh_track_ids(heads.where("kept IS NULL").select(*own, "head"), next_id)
+    ids = heads.join(fresh, [*own, "head"], "left").select(*own, "head", F.coalesce("kept", "track_id").alias("new"))
+    return mine.join(ids, [*own, "head"]).select(*own, "id", "old", "new")
 
 
-def next_track_id(cells: DataFrame, stored: int = 0) -> int:
-    """The persistent counter, above every id in use."""
-    top = cells.agg(F.max("track_id")).first()[0] or 0
-    return max(stored, top + 1, 1)
+def next_track_id(cells: DataFrame, stored: int | DataFrame = 0) -> int | DataFrame:
+    """The persistent counter, above every id in use; (dataset, next_id) for cells of many movies, whose ``stored`` may be (dataset, stored)."""
+    if not by(cells):
+        top = cells.agg(F.max("track_id")).first()[0] or 0
+        return max(stored, top + 1, 1)
+    top = cells.groupBy("dataset").agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("top"))
+    kept = top.withColumn("stored", F.lit(stored)) if isinstance(stored, int) else top.join(stored, "dataset", "left")
+    return kept.select("dataset", F.greatest("stored", F.col("top") + 1, F.lit(1)).cast("long").alias("next_id"))
 
 
-def graph_link(cells: DataFrame, links: DataFrame, proposals: DataFrame, next_id: int, max_gap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def graph_link(cells: DataFrame, links: DataFrame, proposals: DataFrame, next_id: int | DataFrame, max_gap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links after, assignments): valid proposals are inserted and identities re-derived."""
     good = validate_links(proposals, cells, links, max_gap).where("reason IS NULL")
-    after = staged(links.unionByName(good.select("parent", "child", F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("reviewed"))), "linked")
+    after = staged(links.unionByName(good.select(*by(links), "parent", "child", F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("reviewed"))), "linked")
     return after, rematerialize(cells, links, after, next_id)
 
 
-def graph_cut(cells: DataFrame, links: DataFrame, pairs: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+def graph_cut(cells: DataFrame, links: DataFrame, pairs: DataFrame, next_id: int | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links after, assignments): the pairs' links are removed; a pair without a link raises."""
-    missing = pairs.join(links, ["parent", "child"], "left_anti").limit(1).collect()
+    key = [*by(links, pairs), "parent", "child"]
+    missing = pairs.join(links, key, "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"no link {missing[0].parent} -> {missing[0].child}")
-    after = staged(links.join(pairs.select("parent", "child"), ["parent", "child"], "left_anti"), "cut")
+    after = staged(links.join(pairs.select(key), key, "left_anti"), "cut")
     return after, rematerialize(cells, links, after, next_id)
 
 
 def chain_links(links: DataFrame, chain: DataFrame) -> DataFrame:
     """Links that touch a cell of ``chain`` (id) at either end, each once."""
-    down = links.join(chain.select(F.col("id").alias("parent")), "parent", "left_semi")
-    up = links.join(chain.select(F.col("id").alias("child")), "child", "left_semi")
-    return down.unionByName(up).dropDuplicates(["parent", "child"])
+    own = by(links, chain)
+    down = links.join(chain.select(*own, F.col("id").alias("parent")), [*own, "parent"], "left_semi")
+    up = links.join(chain.select(*own, F.col("id").alias("child")), [*own, "child"], "left_semi")
+    return down.unionByName(up).dropDuplicates([*own, "parent", "child"])
 
 
-def graph_unlink(cells: DataFrame, links: DataFrame, ids: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+def graph_unlink(cells: DataFrame, links: DataFrame, ids: DataFrame, next_id: int | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links after, assignments): every link at the chains of ``ids`` goes; chain heads keep their id, the rest become singletons."""
-    now = chains(cells, links)
-    mine = staged(now.join(now.join(ids.select("id"), "id", "left_semi").select("head").distinct(), "head", "left_semi").select("id"), "unlink")
+    own = by(cells, links, ids)
+    mine = staged(_whole_chains(cells, links, ids), "unlink")
     gone = chain_links(links, mine)
-    after = staged(links.join(gone.select("parent", "child"), ["parent", "child"], "left_anti"), "unlinked")
-    ends = gone.select(F.explode(F.array("parent", "child")).alias("id"))
-    kids = after.join(gone.select("parent").distinct(), "parent", "left_semi").select(F.col("child").alias("id"))
+    key = [*own, "parent", "child"]
+    after = staged(links.join(gone.select(key), key, "left_anti"), "unlinked")
+    ends = gone.select(*own, F.explode(F.array("parent", "child")).alias("id"))
+    kids = after.join(gone.select(*own, "parent").distinct(), [*own, "parent"], "left_semi").select(*own, F.col("child").alias("id"))
     return after, rematerialize(cells, links, after, next_id, ends.union(kids).union(mine).distinct())
 
 
+def _whole_chains(cells: DataFrame, links: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) of the chains that hold one of ``ids``."""
+    own = by(cells, links, ids)
+    now = chains(cells, links)
+    return now.join(now.join(ids.select(*own, "id"), [*own, "id"], "left_semi").select(*own, "head").distinct(), [*own, "head"], "left_semi").select(*own, "id")
+
+
 def edit_labels(current: Column, add: Column, remove: Column) -> Column:
     """(current and add) without remove, sorted, distinct; null counts as empty."""
     empty = F.array().cast("array<string>")
@@ -200,21 +237,19 @@ def edit_labels(current: Column, add: Column, remove: Column) -> Column:
 
 def set_labels(cells: DataFrame, links: DataFrame, ids: DataFrame, scope: str, add: list[str], remove: list[str]) -> DataFrame:
     """(id, before, after) of changed cells; scope ``cell`` edits labels of the ids, ``track`` edits track_labels of their whole chains."""
+    key = [*by(cells, links, ids), "id"]
     column = "labels" if scope == "cell" else "track_labels"
-    target = ids.select("id")
-    if scope == "track":
-        now = chains(cells, links)
-        target = now.join(now.join(target, "id", "left_semi").select("head").distinct(), "head", "left_semi").select("id")
+    target = _whole_chains(cells, links, ids) if scope == "track" else ids.select(key)
     one, two = (F.array(*[F.lit(x) for x in names]).cast("array<string>") for names in (add, remove))
     old = F.array_sort(F.coalesce(F.col(column), F.array().cast("array<string>")))
-    changed = cells.join(target.distinct(), "id", "left_semi").select("id", old.alias("before"), edit_labels(F.col(column), one, two).alias("after"))
+    changed = cells.join(target.distinct(), key, "left_semi").select(*key, old.alias("before"), edit_labels(F.col(column), one, two).alias("after"))
     return changed.where(F.col("before") != F.col("after"))
 
 
 def strip_label(cells: DataFrame, name: str) -> DataFrame:
     """(id, labels, track_labels) of cells that carried ``name``, without it."""
     kept = [F.array_remove(F.coalesce(F.col(c), F.array().cast("array<string>")), name).alias(c) for c in ("labels", "track_labels")]
-    return cells.where(carries(name)).select("id", *kept)
+    return cells.where(carries(name)).select(*by(cells), "id", *kept)
 
 
 def carries(name: str) -> Column:
@@ -223,130 +258,177 @@ def carries(name: str) -> Column:
 
 def label_states(cells: DataFrame, chain: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, name, on_cell, on_track): for each focus cell and each name on its chain, whether the cell has it and if all or some of the chain do."""
+    own = by(cells, chain, ids)
     empty = F.array().cast("array<string>")
-    member = cells.select("id", F.coalesce("labels", empty).alias("labels"), F.coalesce("track_labels", empty).alias("track_labels")).join(chain.select("id", "head"), "id")
-    focus = member.join(ids.select("id"), "id", "left_semi")
-    near = member.join(focus.select("head").distinct(), "head", "left_semi")
-    size = near.groupBy("head").agg(F.count("*").alias("n"))
-    names = near.select("head", F.explode(F.array_distinct(F.concat("labels", "track_labels"))).alias("name"), F.col("track_labels").alias("own"))
-    cover = names.groupBy("head", "name").agg(F.sum(F.array_contains("own", F.col("name")).cast("long")).alias("covered"))
-    out = focus.join(cover, "head").join(size, "head")
+    member = cells.select(*own, "id", F.coalesce("labels", empty).alias("labels"), F.coalesce("track_labels", empty).alias("track_labels")).join(chain.select(*own, "id", "head"), [*own, "id"])
+    focus = member.join(ids.select(*own, "id"), [*own, "id"], "left_semi")
+    near = member.join(focus.select(*own, "head").distinct(), [*own, "head"], "left_semi")
+    size = near.groupBy(*own, "head").agg(F.count("*").alias("n"))
+    names = near.select(*own, "head", F.explode(F.array_distinct(F.concat("labels", "track_labels"))).alias("name"), F.col("track_labels").alias("own"))
+    cover = names.groupBy(*own, "head", "name").agg(F.sum(F.array_contains("own", F.col("name")).cast("long")).alias("covered"))
+    out = focus.join(cover, [*own, "head"]).join(size, [*own, "head"])
     state = F.when(F.col("covered") == F.col("n"), "all").when(F.col("covered") > 0, "some").otherwise("none")
-    return out.select("id", "name", F.array_contains("labels", F.col("name")).alias("on_cell"), state.alias("on_track"))
+    return out.select(*own, "id", "name", F.array_contains("labels", F.col("name")).alias("on_cell"), state.alias("on_track"))
 
 
 def apply_delta(links: DataFrame, assignments: DataFrame, cells: DataFrame, change: DataFrame, undo: bool) -> tuple[DataFrame, DataFrame]:
     """(links, cells) with a recorded change replayed or undone exactly; cells that are gone are skipped."""
+    own = by(links, assignments, cells, change)
     put, drop = ("removed", "added") if undo else ("added", "removed")
-    key = ["parent", "child"]
+    key = [*own, "parent", "child"]
     kept = links.join(change.where(F.col("change") == drop).select(key), key, "left_anti")
     back = change.where(F.col("change") == put).drop("change").join(kept.select(key), key, "left_anti")
     side = "old" if undo else "new"
-    moved = cells.join(assignments.select("id", F.col(side).alias("to"), F.lit(True).alias("hit")), "id", "left")
+    moved = cells.join(assignments.select(*own, "id", F.col(side).alias("to"), F.lit(True).alias("hit")), [*own, "id"], "left")
     return kept.unionByName(back), moved.withColumn("track_id", F.when(F.col("hit"), F.col("to")).otherwise(F.col("track_id"))).drop("to", "hit")
 
 
 def track_spans(cells: DataFrame) -> DataFrame:
     """(track, first, last, parent): frames of each effective track, and the track its head descends from; ``cells`` has parent_id."""
-    track = F.coalesce("track_id", "id")
-    own = cells.select("id", "t", track.alias("track"), "parent_id")
-    up = own.select(F.col("id").alias("parent_id"), F.col("track").alias("up"))
-    both = own.join(up, "parent_id", "left")
+    own = by(cells)
+    mine = cells.select(*own, "id", "t", F.coalesce("track_id", "id").alias("track"), "parent_id")
+    both = mine.join(mine.select(*own, F.col("id").alias("parent_id"), F.col("track").alias("up")), [*own, "parent_id"], "left")
     other = F.when(F.col("up") != F.col("track"), F.col("up"))
-    return both.groupBy("track").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.min_by(other, F.when(other.isNotNull(), F.struct("t", "id"))).alias("parent"))
+    return both.groupBy(*own, "track").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.min_by(other, F.when(other.isNotNull(), F.struct("t", "id"))).alias("parent"))
 
 
 def shown_tracks(spans: DataFrame, t: int) -> DataFrame:
     """(track): tracks alive at ``t`` and all their ancestors, by doubling the ancestor steps."""
-    have = spans.select("track").distinct()
-    up = spans.where("parent IS NOT NULL AND parent <> track").select("track", "parent").join(have.withColumnRenamed("track", "parent"), "parent", "left_semi")
-    shown = staged(spans.where((F.col("first") <= t) & (F.col("last") >= t)).select("track").distinct(), "shown")
-    up, size = staged(up, "shown-up"), shown.count()
+    own = by(spans)
+    have = spans.select(*own, "track").distinct()
+    up = spans.where("parent IS NOT NULL AND parent <> track").select(*own, "track", "parent").join(have.withColumnRenamed("track", "parent"), [*own, "parent"], "left_semi")
+    shown = staged(spans.where((F.col("first") <= t) & (F.col("last") >= t)).select(*own, "track").distinct(), "shown")
+    up, size = staged(up.select(*own, "track", "parent"), "shown-up"), shown.count()
     while True:
-        shown = staged(shown.union(shown.join(up, "track").select(F.col("parent").alias("track"))).distinct(), "shown")
+        shown = staged(shown.union(shown.join(up, [*own, "track"]).select(*own, F.col("parent").alias("track"))).distinct(), "shown")
         # a round that adds nothing has closed the set under parents; this also ends on degenerate cycles
         if (now := shown.count()) == size:
             return shown
         size = now
-        up = staged(up.join(up.select(F.col("track").alias("parent"), F.col("parent").alias("next")), "parent").select("track", F.col("next").alias("parent")).where("track <> parent"), "shown-up")
+        up = staged(up.join(up.select(*own, F.col("track").alias("parent"), F.col("parent").alias("next")), [*own, "parent"]).select(*own, "track", F.col("next").alias("parent")).where("track <> parent"), "shown-up")
 
 
 def division_edges(cells: DataFrame, links: DataFrame, t: int, trail: int) -> DataFrame:
     """(parent, child, track, t): links whose ends carry different tracks, child in the trail window, both placed."""
-    c = cells.where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").select("id", "t", F.coalesce("track_id", "id").alias("track"))
-    a, b = c.select(F.col("id").alias("parent"), F.col("track").alias("from_track")), c.select(F.col("id").alias("child"), "t", "track").where(F.col("t").between(t - trail, t))
-    return links.select("parent", "child").join(b, "child").join(a, "parent").where("from_track <> track").select("parent", "child", "track", "t")
+    own = by(cells, links)
+    c = cells.where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").select(*own, "id", "t", F.coalesce("track_id", "id").alias("track"))
+    a, b = c.select(*own, F.col("id").alias("parent"), F.col("track").alias("from_track")), c.select(*own, F.col("id").alias("child"), "t", "track").where(F.col("t").between(t - trail, t))
+    return links.select(*own, "parent", "child").join(b, [*own, "child"]).join(a, [*own, "parent"]).where("from_track <> track").select(*own, "parent", "child", "track", "t")
 
 
 def trail_segments(cells: DataFrame, shown: DataFrame, t: int, trail: int) -> DataFrame:
     """(track, from_id, to_id, t): consecutive cells of shown tracks whose newer end is in the window, and the step from a parent into a track's head; ``cells`` has parent_id."""
-    past = cells.where((F.col("t") <= t) & F.expr("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL")).select("id", "t", "parent_id", F.coalesce("track_id", "id").alias("track"))
-    mine = past.join(shown, "track", "left_semi")
-    w = Window.partitionBy("track").orderBy("t", "id")
+    own = by(cells, shown)
+    past = cells.where((F.col("t") <= t) & F.expr("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL")).select(*own, "id", "t", "parent_id", F.coalesce("track_id", "id").alias("track"))
+    mine = past.join(shown, [*own, "track"], "left_semi")
+    w = Window.partitionBy(*own, "track").orderBy("t", "id")
     steps = mine.withColumns({"from_id": F.lag("id").over(w), "k": F.row_number().over(w)})
-    inner = steps.where("k > 1").select("track", "from_id", F.col("id").alias("to_id"), "t")
-    up = past.select(F.col("id").alias("parent_id"), F.col("track").alias("up"))
-    heads = steps.where("k = 1").join(up, "parent_id").where("up <> track").select("track", F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), "t")
+    inner = steps.where("k > 1").select(*own, "track", "from_id", F.col("id").alias("to_id"), "t")
+    up = past.select(*own, F.col("id").alias("parent_id"), F.col("track").alias("up"))
+    heads = steps.where("k = 1").join(up, [*own, "parent_id"]).where("up <> track").select(*own, "track", F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), "t")
     return inner.unionByName(heads).where(F.col("t") >= t - trail)
 
 
 def check_track_identity(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(track_id, chains): track ids on more than one chain."""
-    return cells.where("track_id IS NOT NULL").join(chains(cells, links), "id").groupBy("track_id").agg(F.countDistinct("head").alias("chains")).where("chains > 1")
+    own = by(cells, links)
+    return cells.where("track_id IS NOT NULL").join(chains(cells, links), [*own, "id"]).groupBy(*own, "track_id").agg(F.countDistinct("head").alias("chains")).where("chains > 1")
 
 
 def lineage_rows(members: DataFrame, links: DataFrame, selected: DataFrame) -> DataFrame:
     """(id, t, confidence, division, selected): incoming-link confidence, or the cell's own where it has no incoming link."""
-    incoming = links.select(F.col("child").alias("id"), F.col("confidence").alias("link"), F.lit(True).alias("linked"))
-    kids = links.groupBy(F.col("parent").alias("id")).agg((F.count("*") >= 2).alias("division"))
-    mark = selected.select("id", F.lit(True).alias("selected")).distinct()
-    out = members.join(incoming, "id", "left").join(kids, "id", "left").join(mark, "id", "left")
+    own = by(members, links, selected)
+    key = [*own, "id"]
+    incoming = links.select(*own, F.col("child").alias("id"), F.col("confidence").alias("link"), F.lit(True).alias("linked"))
+    kids = links.groupBy(*own, F.col("parent").alias("id")).agg((F.count("*") >= 2).alias("division"))
+    mark = selected.select(*key, F.lit(True).alias("selected")).distinct()
+    out = members.join(incoming, key, "left").join(kids, key, "left").join(mark, key, "left")
     confidence = F.when(F.col("linked"), F.col("link")).otherwise(F.col("detection_confidence"))
-    return out.select("id", "t", confidence.alias("confidence"), F.coalesce("division", F.lit(False)).alias("division"), F.coalesce("selected", F.lit(False)).alias("selected"))
+    return out.select(*key, "t", confidence.alias("confidence"), F.coalesce("division", F.lit(False)).alias("division"), F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
 def lineage_layout(members: DataFrame, links: DataFrame) -> DataFrame:
     """(root, id, col, row): a column for each leaf in order of (t, id) post-order, parents between their first and last child.
 
-    ``members`` has root, id, t.  Each tree is drawn on its own; a tree is as large
-    as one founder's descendants.
+    ``members`` has root, id, t.  Cells of one chain share a column, so only chains
+    are laid out.  Leaves are numbered by ranking the Euler tour of their tree: each
+    chain is entered and left once, the steps of the tour are pointers, and pointer
+    doubling sums the leaves that follow.  Parents take theirs in rounds
+    (:func:`_parent_columns`).  No tree is in one task, however large or deep.
+    """
+    own = by(members, links)
+    inside = links.select(*own, "parent", "child").join(members.select(*own, F.col("id").alias("child")), [*own, "child"], "left_semi")
+    inside = staged(inside.join(members.select(*own, F.col("id").alias("parent")), [*own, "parent"], "left_semi"), "layout-links")
+    chain = staged(chains(members.select(*own, "id"), inside).select(*own, "id", "head"), "layout-chains")
+    times = members.select(*own, "id", "t")
+    heads = chain.where("id = head").join(times, [*own, "id"]).select(*own, F.col("id").alias("node"), "t")
+    up = _parents(inside).join(chain.select(*own, F.col("id").alias("up"), F.col("head").alias("above")), [*own, "up"]).select(*own, F.col("id").alias("node"), "above")
+    tree = staged(heads.join(up, [*own, "node"], "left"), "layout-tree")
+    order = Window.partitionBy(*own, "above").orderBy("t", "node")
+    brothers = tree.where("above IS NOT NULL").select(*own, "node", "above", F.lead("node").over(order).alias("brother"), F.row_number().over(order).alias("k"))
+    brothers = staged(brothers, "layout-brothers")
+    ends = brothers.groupBy(*own, F.col("above").alias("node")).agg(F.min_by("node", "k").alias("first"), F.max_by("node", "k").alias("last"))
+    both = tree.join(ends, [*own, "node"], "left").join(brothers.drop("above"), [*own, "node"], "left")
+    enter, leave = (lambda c: 2 * F.col(c)), (lambda c: 2 * F.col(c) + 1)
+    tour = both.select(*own, F.explode(F.array(
+        F.struct(enter("node").alias("id"), F.coalesce(enter("first"), leave("node")).alias("up"), F.col("first").isNull().cast("long").alias("weight")),
+        F.struct(leave("node").alias("id"), F.coalesce(enter("brother"), leave("above"), leave("node")).alias("up"), F.lit(0).cast("long").alias("weight")),
+    )).alias("s")).select(*own, "s.*")
+    rank = pointer_double(tour).where("id % 2 = 0").select(*own, F.expr("id div 2").alias("node"), F.expr("top div 2").alias("root"), "hops")
+    whole = rank.where("node = root").select(*own, "root", F.col("hops").alias("leaves"))
+    leaves = rank.join(tree.join(ends, [*own, "node"], "left_anti").select(*own, "node"), [*own, "node"], "left_semi").join(whole, [*own, "root"])
+    leaves = leaves.select(*own, "node", (F.col("leaves") - F.col("hops")).cast("double").alias("col"))
+    columns = _parent_columns(leaves, ends)
+    top = members.groupBy(*own, "root").agg(F.min("t").alias("top"))
+    placed = members.select(*own, "root", "id", "t").join(chain, [*own, "id"]).join(columns.withColumnRenamed("node", "head"), [*own, "head"])
+    return placed.join(top, [*own, "root"]).select(*own, "root", "id", "col", (F.col("t") - F.col("top")).alias("row"))
+
+
+def _parent_columns(leaves: DataFrame, ends: DataFrame, limit: int = 200) -> DataFrame:
+    """(node, col): ``leaves`` have theirs, each node of ``ends`` (node, first, last) is half way between its two.
+
+    A node is open as ``share_a * col(a) + share_b * col(b) + known``.  A round puts in
+    the columns found last; nodes that wait for one child only then pass over it to
+    the child it waits for in turn, so bushy trees end by their height and
+    caterpillars by doubling.
     """
-    import pandas as pd
-
-    def draw(tree: pd.DataFrame) -> pd.DataFrame:
-        kids: dict[int, list[int]] = {}
-        at = dict(zip(tree.id, tree.t, strict=True))
-        for i, p in zip(tree.id, tree.parent, strict=True):
-            if p == p and p is not None:
-                kids.setdefault(int(p), []).append(int(i))
-        column: dict[int, float] = {}
-        stack, leaf = [(int(tree.root.iloc[0]), False)], 0
-        while stack:
-            node, seen = stack.pop()
-            own = sorted(kids.get(node, ()), key=lambda c: (at[c], c))
-            if not own:
-                column[node] = float(leaf)
-                leaf += 1
-            elif seen:
-                column[node] = (column[own[0]] + column[own[-1]]) / 2
-            else:
-                stack.append((node, True))
-                stack += [(c, False) for c in reversed(own)]
-        top = min(at.values())
-        return pd.DataFrame({"root": tree.root, "id": tree.id, "col": [column[i] for i in tree.id], "row": [at[i] - top for i in tree.id]})
-
-    frame = members.join(links.select(F.col("child").alias("id"), F.col("parent").cast("double").alias("parent")), "id", "left").select("root", "id", "t", "parent")
-    return frame.groupBy("root").applyInPandas(draw, "root long, id long, col double, row long")
+    own = by(leaves, ends)
+    found = [staged(leaves, "columns")]
+    half = F.lit(0.5)
+    waiting = ends.select(*own, "node", F.col("first").alias("a"), F.col("last").alias("b"), half.alias("share_a"), half.alias("share_b"), F.lit(0.0).alias("known"))
+    for _ in range(limit):
+        for side in "ab":
+            new = found[-1].select(*own, F.col("node").alias(side), F.col("col").alias("tl_col"))
+            put = F.col("tl_col").isNotNull()
+            waiting = waiting.join(new, [*own, side], "left").withColumns({"known": F.when(put, F.col("known") + F.col(f"share_{side}") * F.col("tl_col")).otherwise(F.col("known")), side: F.when(~put, F.col(side))}).drop("tl_col")
+        one = F.coalesce("a", "b")
+        share = F.when(F.col("a").isNotNull(), F.col("share_a")).otherwise(F.col("share_b"))
+        lone = F.col("a").isNull() | F.col("b").isNull()
+        waiting = waiting.select(*own, "node", F.when(lone, one).otherwise(F.col("a")).alias("a"), F.when(~lone, F.col("b")).alias("b"), F.when(lone, share).otherwise(F.col("share_a")).alias("share_a"), "share_b", "known")
+        waiting, left = staged_count(waiting, "waiting", F.col("a").isNotNull())
+        found.append(waiting.where("a IS NULL").select(*own, "node", F.col("known").alias("col")))
+        if not left:
+            return functools.reduce(DataFrame.unionByName, found)
+        waiting = waiting.where("a IS NOT NULL")
+        next_one = waiting.where("b IS NULL").select(*own, F.col("node").alias("a"), F.col("a").alias("tl_next"), F.col("share_a").alias("tl_share"), F.col("known").alias("tl_known"))
+        passed = waiting.join(next_one, [*own, "a"], "left")
+        over = F.col("b").isNull() & F.col("tl_next").isNotNull()
+        waiting = passed.select(
+            *own, "node", F.when(over, F.col("tl_next")).otherwise(F.col("a")).alias("a"), "b", F.when(over, F.col("share_a") * F.col("tl_share")).otherwise(F.col("share_a")).alias("share_a"), "share_b",
+            F.when(over, F.col("known") + F.col("share_a") * F.col("tl_known")).otherwise(F.col("known")).alias("known"),
+        )
+    raise ValueError("the links hold a cycle")
 
 
 def track_heads(nodes: DataFrame, track: str = "track", order: str = "src") -> DataFrame:
     """The earliest row of each track."""
-    return nodes.groupBy(track).agg(F.min_by(F.struct(*nodes.columns), F.struct("t", order)).alias("h")).select("h.*")
+    return nodes.groupBy(*by(nodes), track).agg(F.min_by(F.struct(*nodes.columns), F.struct("t", order)).alias("h")).select("h.*")
 
 
 def check_parent_tracks(nodes: DataFrame) -> DataFrame:
     """(track, declared, actual): tracks whose declared parent track varies or is not that of the head's parent (-1 for roots)."""
-    declared = nodes.groupBy("track").agg(F.array_sort(F.collect_set(F.coalesce("parent_track", F.lit(-1)))).alias("declared"))
-    heads = track_heads(nodes).select("track", F.col("parent_src").alias("src"))
-    actual = heads.join(nodes.select("src", F.col("track").alias("actual")), "src", "left").select("track", F.coalesce("actual", F.lit(-1)).alias("actual"))
-    return declared.join(actual, "track").where((F.size("declared") > 1) | (F.element_at("declared", 1) != F.col("actual")))
+    own = by(nodes)
+    declared = nodes.groupBy(*own, "track").agg(F.array_sort(F.collect_set(F.coalesce("parent_track", F.lit(-1)))).alias("declared"))
+    heads = track_heads(nodes).select(*own, "track", F.col("parent_src").alias("src"))
+    actual = heads.join(nodes.select(*own, "src", F.col("track").alias("actual")), [*own, "src"], "left").select(*own, "track", F.coalesce("actual", F.lit(-1)).alias("actual"))
+    return declared.join(actual, [*own, "track"]).where((F.size("declared") > 1) | (F.element_at("declared", 1) != F.col("actual")))

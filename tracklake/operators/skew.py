@@ -43,3 +43,25 @@ def join_to_one(many: DataFrame, one: DataFrame, key: str, spread: list[str], ho
     left = many.withColumn("tl_slot", F.pmod(F.xxhash64(*spread), parts))
     right = one.withColumn("tl_slot", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return left.join(right.hint("merge"), [key, "tl_slot"], how).drop("tl_slot")
+
+
+#: Rows that one task joins in no time; a join of fewer is not searched for hot keys.
+SMALL = 1 << 20
+
+
+def join_lookup(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], rows: int) -> DataFrame:
+    """Inner join of ``rows`` rows of the stored table ``many`` to the single row of ``one`` with their keys.
+
+    Where there are more than :data:`SMALL` rows, keys with over a quarter of an even
+    task's share are marked in a table of their own (four rows for each shuffle
+    partition at most), which both sides meet by a broadcast join: rows of such a key
+    are dealt by the hash of ``spread`` and its row of ``one`` is repeated.
+    """
+    if rows <= SMALL:
+        return many.join(one, keys)
+    limit = max(SMALL // 4, rows // (4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(many.groupBy(*keys).agg(F.count("*").alias("tl_n")).where(F.col("tl_n") > limit).select(*keys, F.ceil(F.col("tl_n") / limit).cast("long").alias("tl_parts")))
+    left, right = (t.join(hot, keys, "left").withColumn("tl_parts", F.coalesce("tl_parts", F.lit(1).cast("long"))) for t in (many, one))
+    left = left.withColumn("tl_slot", F.pmod(F.xxhash64(*spread), F.col("tl_parts"))).drop("tl_parts")
+    right = right.withColumn("tl_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tl_parts") - 1))).drop("tl_parts")
+    return left.join(right, [*keys, "tl_slot"]).drop("tl_slot")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 _written: dict[str, set[str]] = {}
@@ -35,6 +36,13 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def staged_count(frame: DataFrame, label: str, which: Column) -> tuple[DataFrame, int]:
+    """The table as :func:`staged` stores it, and how many of its rows are ``which``, seen while it is written."""
+    seen = Observation()
+    out = staged(frame.observe(seen, F.count_if(which).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
