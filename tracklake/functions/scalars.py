@@ -97,13 +97,34 @@ def default_label_color(name: Column, colors: int = 8) -> Column:
 
 
 def color_hex(text: Column) -> Column:
-    """Three numbers from 0 to 1 -> RRGGBB, clamped, rounded half to even."""
-    parts = F.transform(F.split(F.trim(text), r"\s+"), lambda v: F.lpad(F.hex(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.try_cast("double"))) * 255).cast("long")), 2, "0"))
-    return F.when(F.size(parts) == 3, F.array_join(parts, ""))
-
-
-def parse_timestamp(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern))
+    """Numbers from 0 to 1 -> RRGGBB, clamped, rounded half to even; missing ones are 0, further ones are ignored; null if one is no number."""
+    parts = F.filter(F.split(F.trim(text), r"\s+"), lambda v: v != "")
+    numbers = F.transform(parts, lambda v: v.try_cast("double"))
+    three = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(numbers, i), F.lit(0.0)))
+    digits = F.transform(three, lambda v: F.lpad(F.hex(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(v * 255))).cast("long")), 2, "0"))
+    return F.when(text.isNotNull() & ~F.exists(numbers, lambda v: v.isNull() | F.isnan(v)), F.array_join(digits, ""))
+
+
+#: The ISO forms of a date (calendar and week, extended and basic), a time and an offset.
+_DATE = r"^\s*(?:(\d{4})-?(\d{2})-?(\d{2})|(\d{4})-?W(\d{2})(?:-?([1-7]))?)"
+_TIME = r"(?:[^\d](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+_ZONE = r"(Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
+
+
+def parse_timestamp(text: Column) -> Column:
+    """Any ISO form of a date or of a date and time, with or without fractions and offset; null for anything else."""
+    form = _DATE + _TIME + _ZONE
+    part = [F.nullif(F.regexp_extract(text, form, i), F.lit("")) for i in range(12)]
+    fourth = F.make_date(part[4].try_cast("int"), F.lit(1), F.lit(4))  # always in week 1
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    days = (part[5].try_cast("int") - 1) * 7 + F.coalesce(part[6].try_cast("int"), F.lit(1)) - 1
+    week = F.when(part[5].try_cast("int").between(1, 53), F.date_format(F.date_add(monday, days), "yyyy-MM-dd"))
+    date = F.coalesce(F.concat_ws("-", *[F.when(part[3].isNotNull(), p) for p in part[1:4]]), F.lit(""))
+    date = F.when(part[3].isNotNull(), date).otherwise(week)
+    time = F.concat(F.coalesce(part[7], F.lit("00")), F.lit(":"), F.coalesce(part[8], F.lit("00")), F.lit(":"), F.coalesce(part[9], F.lit("00")), F.lit("."), F.rpad(F.substring(F.coalesce(part[10], F.lit("0")), 1, 6), 6, "0"))
+    zone = F.coalesce(F.regexp_replace(part[11], r"^([+-]\d{2}):?(\d{2})?$", "$1:$2"), F.lit(""))
+    zone = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
+    return F.when(text.rlike(form), F.concat(date, F.lit(" "), time, zone).try_cast("timestamp"))
 
 
 def chunk_key(level: Column, c: Column, t: Column, gz: Column, gy: Column, gx: Column) -> Column:
@@ -127,9 +148,13 @@ def clipped(extent: Column, chunk: Column, index: Column) -> Column:
     return F.greatest(F.lit(0), F.least(chunk, extent - index * chunk))
 
 
+#: Fixed value: the least difference from 1 that a double can hold.
+EPSILON = 2.220446049250313e-16
+
+
 def ratio(a: Column, b: Column) -> Column:
-    """a / b, 1 where b is about zero or either is not finite."""
-    fine = ~(F.isnan(a) | F.isnan(b) | (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))) & (F.abs(b) > 1e-12)
+    """a / b, 1 where b is below the machine's epsilon or either is not finite."""
+    fine = ~(F.isnan(a) | F.isnan(b) | (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))) & (F.abs(b) >= EPSILON)
     return F.when(fine, F.try_divide(a, b)).otherwise(1.0)
 
 

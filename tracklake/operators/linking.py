@@ -8,26 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators.graph import number_rows
-from tracklake.operators.labels import foreground
+from tracklake.operators.keys import by
+from tracklake.operators.labels import foreground, tiled
 
 
 def overlap_costs(runs: DataFrame, max_gap: int = 1, cutoff: float | None = 0.9, offset: float = 1.0, coefs: dict[str, float] | None = None) -> DataFrame:
     """(t1, t2, label1, label2, overlap, iou, ratio_1, ratio_2, cost) of labels that share voxels ``max_gap`` frames or fewer apart.
 
-    Run intervals meet by an equi join on (frame, z, y) with an overlap condition;
-    each run joins its own frame number shifted by every gap, so no theta join is
-    planned.  cost = offset + sum of coefficients times features (default
-    1 - ratio_2), kept up to ``cutoff``.
+    Runs are cut into tiles of a row and meet by an equi join on (frame, z, y, tile);
+    the runs of one frame do not overlap, so a tile has few of either side whatever
+    the length of the row.  Each run joins its own frame number shifted by every
+    gap, so no theta join is planned, and the shared voxels of the tiles add up.
+    cost = offset + sum of coefficients times features (default 1 - ratio_2), kept
+    up to ``cutoff``.
     """
     coefs = {"ratio_2": -1.0} if coefs is None else coefs
-    own = foreground(runs).select("t", "z", "y", "x0", "x1", "label")
-    area = own.groupBy("t", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    later = own.select(F.col("t").alias("t2"), "z", "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("label2"))
-    earlier = own.select(F.col("t").alias("t1"), F.explode(F.sequence(F.col("t") + 1, F.col("t") + max_gap)).alias("t2"), "z", "y", "x0", "x1", F.col("label").alias("label1"))
-    both = earlier.join(later, ["t2", "z", "y"]).where("x0 <= u1 AND x1 >= u0")
-    pairs = both.groupBy("t1", "t2", "label1", "label2").agg(F.sum(F.least("x1", "u1") - F.greatest("x0", "u0") + 1).alias("overlap"))
+    by_movie = by(runs)
+    own = foreground(runs).select(*by_movie, "t", "z", "y", "x0", "x1", "label")
+    area = own.groupBy(*by_movie, "t", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    cut = tiled(own)
+    later = cut.select(*by_movie, F.col("t").alias("t2"), "z", "y", "tile", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("label2"))
+    earlier = cut.select(*by_movie, F.col("t").alias("t1"), F.explode(F.sequence(F.col("t") + 1, F.col("t") + max_gap)).alias("t2"), "z", "y", "tile", "x0", "x1", F.col("label").alias("label1"))
+    both = earlier.join(later, [*by_movie, "t2", "z", "y", "tile"]).where("x0 <= u1 AND x1 >= u0")
+    pairs = both.groupBy(*by_movie, "t1", "t2", "label1", "label2").agg(F.sum(F.least("x1", "u1") - F.greatest("x0", "u0") + 1).alias("overlap"))
     for k in "12":
-        pairs = pairs.join(area.select(F.col("t").alias(f"t{k}"), F.col("label").alias(f"label{k}"), F.col("area").alias(f"area{k}")), [f"t{k}", f"label{k}"])
+        pairs = pairs.join(area.select(*by_movie, F.col("t").alias(f"t{k}"), F.col("label").alias(f"label{k}"), F.col("area").alias(f"area{k}")), [*by_movie, f"t{k}", f"label{k}"])
     features = {"iou": F.col("overlap") / (F.col("area1") + F.col("area2") - F.col("overlap")), "ratio_1": F.col("overlap") / F.col("area1"), "ratio_2": F.col("overlap") / F.col("area2")}
     pairs = pairs.withColumns(features)
     cost = F.lit(offset)
@@ -37,22 +42,33 @@ def overlap_costs(runs: DataFrame, max_gap: int = 1, cutoff: float | None = 0.9,
     return pairs.where(F.col("cost") <= cutoff) if cutoff is not None else pairs
 
 
+#: Cells of one cube and frame that make it a full one, to be cut finer.
+FULL_CUBE = 256
+
+
 def distance_candidates(cells: DataFrame, max_distance: float, k: int, max_gap: int = 1) -> DataFrame:
     """(t1, t2, id1, id2, d2): for each later cell its ``k`` nearest within ``max_distance`` in the ``max_gap`` frames before.
 
     Space is cut into cubes of ``max_distance``; a cell meets only its own and the
-    26 neighbouring cubes by an equi join.
+    26 neighbouring cubes by an equi join.  The cells of a full cube (over
+    :data:`FULL_CUBE` on its frame) are dealt into parts by id, and a later cell
+    meets every part in another task, so no task holds the pairs of a dense place.
     """
-    placed = cells.where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").select("id", "t", "z", "y", "x")
+    own = by(cells)
+    placed = cells.where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").select(*own, "id", "t", "z", "y", "x")
     cube = [F.floor(F.col(a) / max_distance).alias(f"b{a}") for a in "zyx"]
-    early = placed.select(F.col("id").alias("id1"), F.col("t").alias("t1"), F.explode(F.sequence(F.col("t") + 1, F.col("t") + max_gap)).alias("t2"), *[F.col(a).alias(f"{a}1") for a in "zyx"], *cube)
+    spot = [*own, "t2", "bz", "by", "bx"]
+    early = placed.select(*own, F.col("id").alias("id1"), F.col("t").alias("t1"), F.explode(F.sequence(F.col("t") + 1, F.col("t") + max_gap)).alias("t2"), *[F.col(a).alias(f"{a}1") for a in "zyx"], *cube)
+    full = early.groupBy(*spot).agg(F.count("*").alias("n")).where(F.col("n") > FULL_CUBE).select(*spot, F.ceil(F.col("n") / FULL_CUBE).cast("long").alias("parts"))
+    early = early.join(full, spot, "left").withColumn("part", F.pmod(F.xxhash64("id1"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
     around = F.explode(F.array(*[F.struct(*[(F.floor(F.col(a) / max_distance) + d).alias(f"b{a}") for a, d in zip("zyx", step, strict=True)]) for step in product((-1, 0, 1), repeat=3)]))
-    late = placed.select(F.col("id").alias("id2"), F.col("t").alias("t2"), "z", "y", "x", around.alias("b")).select("id2", "t2", "z", "y", "x", "b.*")
-    both = late.join(early, ["t2", "bz", "by", "bx"])
+    late = placed.select(*own, F.col("id").alias("id2"), F.col("t").alias("t2"), "z", "y", "x", around.alias("b")).select(*own, "id2", "t2", "z", "y", "x", "b.*")
+    late = late.join(full, spot, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    both = late.join(early, [*spot, "part"])
     d2 = sum(((F.col(a) - F.col(f"{a}1")) * (F.col(a) - F.col(f"{a}1")) for a in "zyx"), F.lit(0.0))
     near = both.withColumn("d2", d2).where(F.col("d2") <= max_distance * max_distance)
-    rank = F.row_number().over(Window.partitionBy("id2").orderBy("d2", "id1"))
-    return near.withColumn("k", rank).where(F.col("k") <= k).select("t1", "t2", "id1", "id2", "d2")
+    rank = F.row_number().over(Window.partitionBy(*own, "id2").orderBy("d2", "id1"))
+    return near.withColumn("k", rank).where(F.col("k") <= k).select(*own, "t1", "t2", "id1", "id2", "d2")
 
 
 def link_mutual_best(candidates: DataFrame, cutoff: float, split_cutoff: float | None = None) -> DataFrame:
@@ -63,16 +79,18 @@ def link_mutual_best(candidates: DataFrame, cutoff: float, split_cutoff: float |
     cheapest of the children left that rank it first.  Mutual best is not the
     globally cheapest assignment; it needs two windows and no solver.
     """
+    own = by(candidates)
     usable = candidates.where(F.col("cost") <= max(cutoff, split_cutoff or cutoff))
-    ranked = usable.withColumns({"p": F.row_number().over(Window.partitionBy("parent").orderBy("cost", "child")), "c": F.row_number().over(Window.partitionBy("child").orderBy("cost", "parent"))})
-    main = ranked.where((F.col("p") == 1) & (F.col("c") == 1) & (F.col("cost") <= cutoff)).select("parent", "child", "cost", F.lit("link").alias("kind"))
+    ranked = usable.withColumns({"p": F.row_number().over(Window.partitionBy(*own, "parent").orderBy("cost", "child")), "c": F.row_number().over(Window.partitionBy(*own, "child").orderBy("cost", "parent"))})
+    main = ranked.where((F.col("p") == 1) & (F.col("c") == 1) & (F.col("cost") <= cutoff)).select(*own, "parent", "child", "cost", F.lit("link").alias("kind"))
     if split_cutoff is None:
         return main
-    rest = ranked.where((F.col("c") == 1) & (F.col("cost") <= split_cutoff)).join(main.select("parent"), "parent", "left_semi").join(main.select("child"), "child", "left_anti")
-    second = rest.withColumn("s", F.row_number().over(Window.partitionBy("parent").orderBy("cost", "child"))).where("s = 1")
-    return main.unionByName(second.select("parent", "child", "cost", F.lit("split").alias("kind")))
+    rest = ranked.where((F.col("c") == 1) & (F.col("cost") <= split_cutoff)).join(main.select(*own, "parent"), [*own, "parent"], "left_semi").join(main.select(*own, "child"), [*own, "child"], "left_anti")
+    second = rest.withColumn("s", F.row_number().over(Window.partitionBy(*own, "parent").orderBy("cost", "child"))).where("s = 1")
+    return main.unionByName(second.select(*own, "parent", "child", "cost", F.lit("split").alias("kind")))
 
 
 def assign_ids(nodes: DataFrame) -> DataFrame:
     """(src, id): 1, 2, ... in (t, track, src) order, by ranges rather than one global window."""
-    return number_rows(nodes.select("t", "track", "src"), ["t", "track", "src"], "id").select("src", "id")
+    own = by(nodes)
+    return number_rows(nodes.select(*own, "t", "track", "src"), ["t", "track", "src"], "id").select(*own, "src", "id")

@@ -16,7 +16,8 @@ from tracklake.operators import labels as L
 from tracklake.operators import linking as K
 from tracklake.operators import relational as R
 from tracklake.plans import fixtures as X
-from tracklake.plans.staging import staged
+from tracklake.plans.staging import fresh_folder, staged
+from tracklake.sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,11 +240,23 @@ def a3(s, d):
     return L.inventory_flags(i.unionByName(i.where("label % 40 = 0").withColumn("t", F.col("t") + 1)), 3000)
 
 
-@query("a4_publish_inventory", "SELECT id, t, z, y, x, area FROM cells WHERE id % 3 <> 0 UNION ALL SELECT label, t, sum_z / area, sum_y / area, sum_x / area, area FROM inventory WHERE label % 3 = 0 UNION ALL SELECT greatest(max(label) + 1, 5000), -1, NULL, NULL, NULL, NULL FROM inventory")
+@query("a4_publish_inventory", """SELECT 'cell' AS kind, id, t, x, area FROM cells WHERE id % 3 <> 0 UNION ALL SELECT 'cell', label, t, sum_x / area, area FROM inventory WHERE label % 3 = 0 UNION ALL SELECT 'label', label, t, NULL, NULL FROM inventory
+UNION ALL SELECT 'extent', label, t, CAST(sum_x AS DOUBLE), area FROM inventory UNION ALL SELECT 'next', greatest(max(label) + 1, 5000), NULL, NULL, NULL FROM inventory UNION ALL SELECT 'edit', seq, NULL, NULL, NULL FROM edits WHERE domain <> 'mask'""")
 def a4(s, d):
+    """Published as one table set and read back; the set of the scan before is gone, and a second publication of it does nothing."""
+    folder = fresh_folder(s, "inventory")
     cells = X.cells(s, d, False).where("id % 3 <> 0").select("id", "t", "z", "y", "x", "area")
-    out, top = L.publish_inventory(L.label_inventory(X.runs(s, d)), cells, 5000)
-    return out.unionByName(top.select(F.col("next_id").alias("id"), F.lit(-1).cast("long").alias("t")), allowMissingColumns=True)
+    old = {"mask_labels": s.createDataFrame([(0, 7)], "t long, label long"), "mask_extent": s.createDataFrame([(0, 7)], "t long, label long")}
+    manifest.publish(s, folder, old, "scan", 0, store="old store")
+    tables = L.publish_inventory(L.label_inventory(X.runs(s, d)), cells, X.edits(s, d), X.blobs(s, d), 5000)
+    assert manifest.publish(s, folder, tables, "scan", 1, store="new store") and not manifest.publish(s, folder, old, "scan", 1)
+
+    def rows(kind, name, *columns):
+        return manifest.table(s, folder, name).select(F.lit(kind).alias("kind"), *[F.col(c).alias(n) if c else F.lit(None).cast(k).alias(n) for c, (n, k) in zip(columns, (("id", "long"), ("t", "long"), ("x", "double"), ("area", "long")), strict=True)])
+
+    out = rows("cell", "cells", "id", "t", "x", "area").union(rows("label", "mask_labels", "label", "t", None, None)).union(rows("extent", "mask_extent", "label", "t", "sum_x", "area"))
+    out = out.union(rows("next", "next_id", "next_id", None, None, None)).union(rows("edit", "edits", "seq", None, None, None))
+    return out.withColumn("x", F.col("x").cast("double"))
 
 
 @query("a5_region_centroids", "SELECT t, label, sum_z / area AS z, sum_y / area AS y, sum_x / area AS x FROM inventory")
@@ -303,6 +316,15 @@ def a13s(s, d):
     return A.histogram(X.image(s, d), brick=(2, 8, 8), max_samples=300)
 
 
+@query("a13_histogram_budgeted", """WITH b AS (SELECT *, (z // 2) * 9 + (y // 8) * 3 + x // 8 AS brick, ((z % 2) * least(8, 17 - (y // 8) * 8) + y % 8) * least(8, 17 - (x // 8) * 8) + x % 8 AS place FROM image), h AS (SELECT t, c, value * 256 // 65536 AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM b WHERE brick % 4 = 0 AND place % 4 = 0 GROUP BY ALL)
+SELECT t, c, CAST(bin AS BIGINT) AS bin, n, min(lo) OVER w AS least, max(hi) OVER w AS most, CAST(sum(n) OVER w AS BIGINT) AS samples FROM h WINDOW w AS (PARTITION BY t, c)""")
+def a13b(s, d):
+    """18 bricks of 256 bytes within a budget of 1,500: every fourth; their 640 voxels within one of 200 samples: every fourth."""
+    level = {"level": 0, "z": 4, "y": 17, "x": 17, "cz": 2, "cy": 8, "cx": 8, "item_bytes": 2}
+    plan = A.histogram_plan(s.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in level.items()]), 1500, 200)
+    return A.sampled_histogram(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), plan)
+
+
 @query("a14_histogram_sampled", "SELECT t, c, count(*) AS samples, count(*) < 9000 AS sampled FROM image GROUP BY t, c")
 def a14(s, d):
     return A.histogram_meta(A.histogram(X.image(s, d)), 0, 9000)
@@ -327,9 +349,9 @@ def a17(s, d):
     return L.drop_small(X.runs(s, d), 31).select("t", "z", "y", "x0", "x1", "label")
 
 
-@query("a18_frame_interval", "WITH g AS (SELECT user_id AS dataset, date_diff('microseconds', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS step FROM events) SELECT dataset, coalesce(median(step) FILTER (step > 0) / 1000000.0, 1.0) AS seconds FROM g GROUP BY dataset")
+@query("a18_frame_interval", "WITH g AS (SELECT user_id AS dataset, date_diff('microseconds', lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), ts) AS step FROM events) SELECT dataset, coalesce(median(step) FILTER (step > 0) / 1000000.0, 1.0) AS seconds FROM g GROUP BY dataset")
 def a18(s, d):
-    return R.frame_interval(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("dataset"), F.col("ts").alias("at")))
+    return R.frame_interval(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("dataset"), F.col("event_id").alias("k"), F.col("ts").alias("at")))
 
 
 @query("a19_percentile_normalize", "WITH p AS (SELECT t, c, quantile_cont(CAST(value AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(value AS DOUBLE), 0.998) AS hi FROM image GROUP BY t, c) SELECT i.t, i.c, i.z, i.y, i.x, CAST(round(1000 * (value - lo) / (hi - lo)) AS BIGINT) AS norm FROM image i JOIN p ON p.t = i.t AND p.c = i.c")
@@ -366,9 +388,11 @@ def a23(s, d):
     return R.latency_stats(spans, {"view": 20.0, "click": 1000.0})
 
 
-@query("a24_z_size", "SELECT t, c, CASE WHEN max(CASE WHEN v <> 0 THEN z ELSE -1 END) >= 3 THEN 4 ELSE 3 END AS z_size FROM (SELECT t, c, z, CASE WHEN z = 3 AND t % 2 = 0 THEN 0 ELSE value END AS v FROM image) GROUP BY t, c")
+@query("a24_z_size", "WITH v AS (SELECT t, c, z, CASE WHEN z = 3 AND t % 2 = 0 THEN 0 ELSE value END AS v FROM image) SELECT t, c, CASE WHEN max(CASE WHEN v <> 0 THEN z ELSE -1 END) >= 3 THEN 4 ELSE 3 END AS z_size, 3 AS declared FROM v GROUP BY t, c UNION ALL SELECT DISTINCT t, c, 4, d.d FROM v, (SELECT unnest([0, 4, 9]) AS d) d")
 def a24(s, d):
-    return A.choose_z_size(X.image(s, d).withColumn("value", F.when((F.col("z") == 3) & (F.col("t") % 2 == 0), 0).otherwise(F.col("value"))), 3, 4)
+    v = X.image(s, d).withColumn("value", F.when((F.col("z") == 3) & (F.col("t") % 2 == 0), 0).otherwise(F.col("value")))
+    parts = [A.choose_z_size(v, n, 4).withColumn("declared", F.lit(n)) for n in (3, 0, 4, 9)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("a25_tracking_summary", "SELECT (SELECT count(DISTINCT track_id) FROM cells) AS tracks, (SELECT count(*) FROM links l JOIN kids k ON k.parent = l.parent WHERE k.n = 2) AS splits, 0 AS merges")
@@ -515,9 +539,9 @@ sv AS (SELECT DISTINCT stroke, t, z, y, x FROM stm, (SELECT unnest(range(0, 8))
 WHERE y BETWEEN 0 AND 511 AND x BETWEEN 0 AND 511 AND ((z + 0.5 - cz) / (r * 1.0 / 2.0)) * ((z + 0.5 - cz) / (r * 1.0 / 2.0)) + ((y + 0.5 - cy) / r) * ((y + 0.5 - cy) / r) + ((x + 0.5 - cx) / r) * ((x + 0.5 - cx) / r) <= 1.0)"""
 
 
-def _stamps(s, d):
+def _stamps(s, d, *more):
     b = X.base(s, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    return b.select(F.col("id").alias("stroke"), "t", (F.col("z") + 0.5).alias("cz"), (F.col("y") + 0.5).alias("cy"), (F.col("x") + 0.5 + F.col("k") * 1.25).alias("cx"), (1 + F.col("user_id") % 4).cast("double").alias("r"))
+    return b.select(*[F.expr(m) for m in more], F.col("id").alias("stroke"), "t", (F.col("z") + 0.5).alias("cz"), (F.col("y") + 0.5).alias("cy"), (F.col("x") + 0.5 + F.col("k") * 1.25).alias("cx"), (1 + F.col("user_id") % 4).cast("double").alias("r"))
 
 
 _AS_RUNS = "SELECT stroke, t, z, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY stroke, t, z, y ORDER BY x) AS g FROM sv) GROUP BY stroke, t, z, y, g"
@@ -710,27 +734,48 @@ def v1(s, d):
     return A.analyze_layout(_levels(s, d))
 
 
-@query("v2_level_factors", f"WITH {_LEVELS}, k AS (SELECT *, CASE WHEN dataset % 2 = 0 THEN 0.5 * pow(2, level) END AS sc FROM lv) SELECT a.dataset, a.level, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.z / a.z END AS fz, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.y / a.y END AS fy, CASE WHEN a.sc IS NOT NULL THEN a.sc / b.sc ELSE b.x / a.x END AS fx FROM k a JOIN k b ON b.dataset = a.dataset AND b.level = 0")
+@query("v2_level_factors", f"""WITH {_LEVELS}, k AS (SELECT *, 0.5::DOUBLE * pow(2, level) AS sc, CASE WHEN dataset % 3 = 1 OR (dataset % 3 = 2 AND level = 2) THEN NULL ELSE 0.5::DOUBLE * pow(2, level) END AS sz, CASE WHEN dataset % 3 = 2 AND level = 2 THEN NULL WHEN dataset % 12 = 3 AND level > 0 THEN 'nan'::DOUBLE ELSE 0.5::DOUBLE * pow(2, level) END AS sy FROM lv)
+SELECT a.dataset, a.level, CASE WHEN ok THEN coalesce(a.sz / b.sz, 1.0) ELSE b.z / a.z END AS fz, CASE WHEN ok THEN a.sy / b.sy ELSE b.y / a.y END AS fy, CASE WHEN ok THEN a.sc / b.sc ELSE b.x / a.x END AS fx FROM (SELECT *, sy IS NOT NULL AND NOT isnan(sy) AS ok FROM k) a JOIN k b ON b.dataset = a.dataset AND b.level = 0""")
 def v2(s, d):
-    scale = F.when(F.col("dataset") % 2 == 0, F.pow(F.lit(2.0), "level") * 0.5)
-    return A.level_factors(_levels(s, d).withColumns({f"scale_{a}": scale for a in "zyx"}))
+    scale, at = F.pow(F.lit(2.0), "level") * 0.5, F.col("dataset")
+    gap = (at % 3 == 2) & (F.col("level") == 2)
+    odd = F.when(gap, None).when((at % 12 == 3) & (F.col("level") > 0), float("nan")).otherwise(scale)
+    return A.level_factors(_levels(s, d).withColumns({"scale_z": F.when((at % 3 == 1) | gap, None).otherwise(scale), "scale_y": odd, "scale_x": scale}))
+
+
+_STORE_NAMES = [list("tczyx"), ["time", " Y", "x"], ["y", "t", "x"], None, None, None, ["tile", "cat", "yak", "xor"], ["time", "depth", "y", "x"], None, ["z", "Z", "y", "x"]]
+_STORE_DIMS = [None, ["z", "y", "x"], None, None, None, ["t", "Depth", "y", "x"], None, None, ["a", "b", "y", "x"], None]
+
+
+def _list_sql(values: list | None) -> str:
+    return "NULL" if values is None else "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
-_STORES = "stores AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN ['t', 'c', 'z', 'y', 'x'] WHEN 1 THEN ['time', ' Y', 'x'] WHEN 2 THEN ['y', 't', 'x'] END AS names, CASE c_custkey % 5 WHEN 0 THEN [1, 2, 3, 4, 5 + c_custkey] WHEN 1 THEN [7, 8, c_custkey] WHEN 2 THEN [1, 2, 3] WHEN 3 THEN [4, 5] ELSE [2, 3, 4, c_custkey] END AS shape FROM customer)"
+def _by_ten(values: list[str]) -> str:
+    return " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
 
 
-@query("v3_axes", f"""WITH {_STORES}, a AS (SELECT id, shape, coalesce(array_to_string(list_transform(names, lambda x: lower(trim(x))[1]), ''), CASE len(shape) WHEN 2 THEN 'yx' WHEN 3 THEN 'zyx' WHEN 4 THEN 'tzyx' WHEN 5 THEN 'tczyx' END) AS axes FROM stores), b AS (SELECT *, regexp_full_match(axes, 't?c?z?yx') AND length(axes) = len(shape) AS ok FROM a)
+_STORE_SHAPES = ["[1, 2, 3, 4, 5 + c_custkey]", "[7, 8, c_custkey]", "[1, 2, 3]", "[4, 5]", *["[2, 3, 4, c_custkey]"] * 6]
+_LETTER = "CASE lower(trim(x)) WHEN 't' THEN 't' WHEN 'time' THEN 't' WHEN 'c' THEN 'c' WHEN 'channel' THEN 'c' WHEN 'ch' THEN 'c' WHEN 'z' THEN 'z' WHEN 'depth' THEN 'z' WHEN 'y' THEN 'y' WHEN 'x' THEN 'x' ELSE '?' END"
+_STORES = f"stores AS (SELECT c_custkey AS id, CASE c_custkey % 10 {_by_ten([_list_sql(v) for v in _STORE_NAMES])} END AS names, CASE c_custkey % 10 {_by_ten([_list_sql(v) for v in _STORE_DIMS])} END AS dims, CASE c_custkey % 10 {_by_ten(_STORE_SHAPES)} END AS shape FROM customer)"
+
+
+@query("v3_axes", f"""WITH {_STORES}, s AS (SELECT id, shape, array_to_string(list_transform(names, lambda x: {_LETTER}), '') AS named, array_to_string(list_transform(dims, lambda x: {_LETTER}), '') AS own FROM stores),
+a AS (SELECT id, shape, coalesce(named, CASE WHEN length(own) = len(shape) AND strpos(own, '?') = 0 THEN own END, CASE len(shape) WHEN 2 THEN 'yx' WHEN 3 THEN 'zyx' WHEN 4 THEN 'czyx' WHEN 5 THEN 'tczyx' END) AS axes FROM s), b AS (SELECT *, regexp_full_match(axes, 't?c?z?yx') AND length(axes) = len(shape) AS ok FROM a)
 SELECT id, axes, ok, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 't'), 0)], 1) END AS t, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 'c'), 0)], 1) END AS c, CASE WHEN ok THEN coalesce(shape[nullif(strpos(axes, 'z'), 0)], 1) END AS z, CASE WHEN ok THEN shape[strpos(axes, 'y')] END AS y, CASE WHEN ok THEN shape[strpos(axes, 'x')] END AS x FROM b""")
 def v3(s, d):
-    k = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
-    m, i = F.col("id") % 5, F.col("id")
+    k = F.col("c_custkey")
+    shapes = [[1, 2, 3, 4, 5 + k], [7, 8, k], [1, 2, 3], [4, 5], *[[2, 3, 4, k]] * 6]
 
-    def longs(*xs):
-        return F.array(*[x.cast("long") if not isinstance(x, int) else F.lit(x).cast("long") for x in xs])
+    def pick(values, kind):
+        out = F.lit(None).cast(kind)
+        for i, v in enumerate(values):
+            if v is not None:
+                out = F.when(k % 10 == i, F.array(*[x if not isinstance(x, (int, str)) else F.lit(x) for x in v]).cast(kind)).otherwise(out)
+        return out
 
-    names = F.when(m == 0, F.array(*map(F.lit, "tczyx"))).when(m == 1, F.array(F.lit("time"), F.lit(" Y"), F.lit("x"))).when(m == 2, F.array(F.lit("y"), F.lit("t"), F.lit("x")))
-    shape = F.when(m == 0, longs(1, 2, 3, 4, 5 + i)).when(m == 1, longs(7, 8, i)).when(m == 2, longs(1, 2, 3)).when(m == 3, longs(4, 5)).otherwise(longs(2, 3, 4, i))
-    return A.resolve_axes(k.select("id", names.alias("names"), shape.alias("shape"))).select("id", "axes", "ok", *"tczyx")
+    stores = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), pick(_STORE_NAMES, "array<string>").alias("names"), pick(_STORE_DIMS, "array<string>").alias("dim_names"), pick(shapes, "array<bigint>").alias("shape"))
+    return A.resolve_axes(stores).select("id", "axes", "ok", *"tczyx")
 
 
 @query("v4_planes", "SELECT c, y AS row, x AS col, value, 'z' AS axis FROM image WHERE t = 1 AND z = 2 UNION ALL SELECT c, z, x, value, 'y' FROM image WHERE t = 1 AND y = 5 UNION ALL SELECT c, z, y, value, 'x' FROM image WHERE t = 1 AND x = 9")
@@ -742,7 +787,7 @@ def v4(s, d):
 
 @query("v4_planes_of_chunks", "SELECT t, c, y AS row, x AS col, value FROM image WHERE z = 2")
 def v4b(s, d):
-    return A.chunk_plane(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), "z", 2, 4)
+    return A.chunk_plane(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), "z", 2)
 
 
 @query("v5_volume", "SELECT z, y, x, value FROM image WHERE t = 2 AND c = 1")
@@ -767,9 +812,10 @@ def v7(s, d):
     return A.chunk_voxels(A.rechunk(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (3, 10, 20), (4, 17, 17)))
 
 
-@query("v8_proxy", "SELECT t, c, 4 AS nz, 17 AS ny, 17 AS nx, count(*) * 2 AS bytes FROM image GROUP BY t, c")
+@query("v8_proxy", "SELECT t, c, z, y, x, value FROM image")
 def v8(s, d):
-    return A.build_proxy(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (4, 17, 17)).select("t", "c", "nz", "ny", "nx", F.octet_length("data").cast("long").alias("bytes"))
+    proxy = A.build_proxy(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (4, 17, 17))
+    return A.chunk_voxels(proxy.where("nz = 4 AND ny = 17 AND nx = 17"))
 
 
 @query("v9_stamps", f"WITH {_STAMPS} {_AS_RUNS}")
@@ -777,9 +823,12 @@ def v9(s, d):
     return L.merge_runs(L.stamp_runs(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0)), ("stroke", "t", "z", "y"))
 
 
-@query("v10_strokes", f"WITH {_STAMPS} {_AS_RUNS}")
+@query("v10_strokes", f"WITH {_STAMPS}, pv AS (SELECT sv.* FROM sv JOIN base b ON b.id = sv.stroke WHERE b.user_id % 2 = 1 OR sv.z = b.z) {_AS_RUNS.replace('FROM sv', 'FROM pv')}")
 def v10(s, d):
-    return L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0))
+    """Every other user's strokes are pinned to the plane of their own z."""
+    pinned = F.col("stroke_user") % 2 == 0
+    stamps = _stamps(s, d, "user_id AS stroke_user").withColumns({"plane_axis": F.when(pinned, "z"), "plane_index": F.when(pinned, F.floor("cz"))}).drop("stroke_user")
+    return L.rasterize_strokes(stamps, (8, 512, 512), (2.0, 1.0, 1.0))
 
 
 _EDITED = f"""{_STAMPS}, km AS (SELECT sv.*, CASE stroke % 3 WHEN 0 THEN 'paint' WHEN 1 THEN 'erase' ELSE 'scoped' END AS mode FROM sv),
@@ -844,9 +893,7 @@ n AS (SELECT p.t, p.z, p.y AS oy, p.x AS ox, p.label AS owner, p.y + dy AS y, p.
 o AS (SELECT n.*, q.label FROM n LEFT JOIN voxels q ON q.t = n.t AND q.z = n.z AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
 SELECT t, z, y, x, min(owner) AS owner FROM (SELECT t, z, oy AS y, ox AS x, owner FROM o UNION ALL SELECT t, z, y, x, owner FROM o WHERE label IS NULL) GROUP BY t, z, y, x""")
 def v17(s, d):
-    """Every plane of every frame: t and z are packed into the frame number, the volume being 8 planes deep."""
-    planes = X.voxels(s, d).select((F.col("t") * 8 + F.col("z")).alias("t"), "y", "x", "label")
-    return L.label_outline(planes, (512, 512)).select(F.floor(F.col("t") / 8).alias("t"), (F.col("t") % 8).alias("z"), "y", "x", "owner")
+    return L.label_outline(X.runs(s, d), (512, 512))
 
 
 @query("v18_level_shapes", f"WITH RECURSIVE im AS (SELECT c_custkey AS dataset, 2 AS t, 1 AS c, 4 AS z, 200 + c_custkey % 3000 AS y, 300 + c_custkey % 2000 AS x FROM customer), lvl AS (SELECT *, 0 AS level FROM im UNION ALL SELECT dataset, t, c, z, y // 2, x // 2, level + 1 FROM lvl WHERE least(y, x) > 256) SELECT dataset, level, z, y, x, t * c * z * y * x * 2 AS bytes FROM lvl")
@@ -870,10 +917,10 @@ def v20(s, d):
     return A.to_world(X.cells(s, d, False), (2.0, 0.5, 0.5), (1.5, 1.0, 1.0)).select("id", "wz", "wy", "wx")
 
 
-@query("v21_voxel_size", "WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 0.5 END AS e, c_custkey % 7 AS n, CASE c_custkey % 3 WHEN 0 THEN 'nm' WHEN 1 THEN ' MM ' END AS unit FROM customer) SELECT id, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / nullif(n, 0), 1.0) AS size_z, coalesce(e * CASE id % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END / 8, 1.0) AS size_y, CAST(1.0 AS DOUBLE) AS size_x FROM i")
+@query("v21_voxel_size", "WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 5 - 2) * 0.5 END AS e, c_custkey % 7 AS n, CASE c_custkey % 3 WHEN 0 THEN 1e-3 WHEN 1 THEN 1e3 ELSE 1.0 END AS um FROM customer) SELECT id, CASE WHEN e <> 0 AND n <> 0 THEN abs(e) * um / n ELSE 1.0 END AS size_z, CASE WHEN e <> 0 THEN abs(e) * um / 8 ELSE 1.0 END AS size_y, CAST(1.0 AS DOUBLE) AS size_x FROM i")
 def v21(s, d):
     k = F.col("c_custkey")
-    e = F.when(k % 4 != 0, k * F.lit(0.5))
+    e = F.when(k % 4 != 0, (k % 5 - 2) * F.lit(0.5))
     info = s.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), e.alias("ext_z"), (k % 7).alias("n_z"), e.alias("ext_y"), F.lit(8).alias("n_y"), F.lit(None).cast("double").alias("ext_x"), F.lit(5).alias("n_x"), F.when(k % 3 == 0, "nm").when(k % 3 == 1, " MM ").alias("unit"))
     return A.voxel_size_um(info).select("id", "size_z", "size_y", "size_x")
 
@@ -903,16 +950,19 @@ def v24(s, d):
     return A.chunk_voxels(A.segment(chunks, settings(Threshold, {"level": 32768})))
 
 
-@query("v25_thin_stamps", """WITH walk AS (SELECT user_id, n, z, y, x, 0 AS k, true AS kept, z AS lz, y AS ly, x AS lx FROM base WHERE n = 1
-UNION ALL SELECT b.user_id, b.n, b.z, b.y, b.x, CASE WHEN far THEN w.k + 1 ELSE w.k END, far, CASE WHEN far THEN b.z ELSE lz END, CASE WHEN far THEN b.y ELSE ly END, CASE WHEN far THEN b.x ELSE lx END
-FROM walk w JOIN base b ON b.user_id = w.user_id AND b.n = w.n + 1, LATERAL (SELECT 9 * (4 * (b.z - lz) * (b.z - lz) + (b.y - ly) * (b.y - ly) + (b.x - lx) * (b.x - lx)) >= 16 AS far))
-SELECT user_id, k // 10 AS part, n AS seq, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x FROM walk WHERE kept""")
+@query("v25_thin_stamps", """WITH p AS (SELECT user_id, n, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, CASE WHEN user_id % 4 = 0 THEN 3.5 ELSE z END AS pz FROM base),
+walk AS (SELECT user_id, n, z, y, x, 0 AS k, true AS kept, pz AS lz, y AS ly, x AS lx FROM p WHERE n = 1
+UNION ALL SELECT b.user_id, b.n, b.z, b.y, b.x, CASE WHEN far THEN w.k + 1 ELSE w.k END, far, CASE WHEN far THEN b.pz ELSE lz END, CASE WHEN far THEN b.y ELSE ly END, CASE WHEN far THEN b.x ELSE lx END
+FROM walk w JOIN p b ON b.user_id = w.user_id AND b.n = w.n + 1, LATERAL (SELECT 9 * (4 * (b.z - lz) * (b.z - lz) + (b.y - ly) * (b.y - ly) + (b.x - lx) * (b.x - lx)) >= 16 AS far))
+SELECT user_id, k // 4 AS part, n AS seq, lz AS z, ly AS y, lx AS x FROM walk WHERE kept UNION ALL SELECT user_id, k // 4 - 1, n, lz, ly, lx FROM walk WHERE kept AND k > 0 AND k % 4 = 0""")
 def v25(s, d):
-    points = X.base(s, d).select("user_id", F.col("n").cast("long").alias("seq"), *[F.col(a).cast("double").alias(a) for a in "zyx"])
-    return L.thin_stamps(points, "user_id", 4.0, (2.0, 1.0, 1.0), 10)
+    """Parts of five points, of which the last begins the next; every fourth user draws on the plane z = 3."""
+    flat = F.col("user_id") % 4 == 0
+    points = X.base(s, d).select("user_id", F.col("n").cast("long").alias("seq"), *[F.col(a).cast("double").alias(a) for a in "zyx"], F.when(flat, "z").alias("plane_axis"), F.when(flat, 3).alias("plane_index"))
+    return L.thin_stamps(points, "user_id", 4.0, (2.0, 1.0, 1.0), 5)
 
 
-@query("v26_plane_spans", "WITH c AS (SELECT t, label, z // 2 AS z, y // 2 AS y, x // 2 AS x FROM voxels WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0), i AS (SELECT *, x - row_number() OVER (PARTITION BY t, label, z, y ORDER BY x) AS g FROM c WHERE z = 2) SELECT t, label, y AS row, min(x) AS a0, max(x) AS a1, 'z' AS axis FROM i GROUP BY t, label, y, g UNION ALL SELECT t, label, z, y, y, 'x' FROM c WHERE x = 100")
+@query("v26_plane_spans", "WITH c AS MATERIALIZED (SELECT t, label, z // 2 AS z, y // 2 AS y, x // 2 AS x FROM voxels WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0), i AS (SELECT *, x - row_number() OVER (PARTITION BY t, label, z, y ORDER BY x) AS g FROM c WHERE z = 2) SELECT t, label, y AS row, min(x) AS a0, max(x) AS a1, 'z' AS axis FROM i GROUP BY t, label, y, g UNION ALL SELECT t, label, z, y, y, 'x' FROM c WHERE x = 100")
 def v26(s, d):
     r = X.runs(s, d)
     return L.plane_spans(r, "z", 2, (2, 2, 2)).withColumn("axis", F.lit("z")).unionByName(L.plane_spans(r, "x", 100, (2, 2, 2)).withColumn("axis", F.lit("x")))
@@ -1052,6 +1102,61 @@ def l2b(s, d):
     return E.replay_extents(ext, X.edits(s, d), ext.withColumn("seq", F.col("label"))).select("t", "label", "area", "sum_z")
 
 
+_NAMES = "['late', 'seen', 'treated']"
+_OPS = f"""ops AS (SELECT o.seq, CASE o.seq % 9 WHEN 0 THEN 'link' WHEN 1 THEN 'cut' WHEN 2 THEN 'track' WHEN 3 THEN 'label' WHEN 4 THEN 'unlabel' WHEN 5 THEN 'track_label' WHEN 6 THEN 'track_unlabel' WHEN 7 THEN 'remove' ELSE 'restore' END AS kind, o.id,
+CASE o.seq % 9 WHEN 0 THEN o.id + 1 + o.seq % 2 WHEN 1 THEN CASE WHEN o.seq % 2 = 0 THEN k.child ELSE o.id + 1 END ELSE o.seq % 1000 END AS other, [{_NAMES}[o.seq % 3 + 1]] AS names FROM (SELECT o_orderkey AS seq, o_custkey AS id FROM orders) o LEFT JOIN (SELECT parent, min(child) AS child FROM links GROUP BY parent) k ON k.parent = o.id),
+lv AS (SELECT ops.* FROM ops JOIN edits e ON e.seq = ops.seq WHERE NOT e.undone AND NOT e.pending),
+life AS (SELECT id, arg_max(kind, seq) = 'remove' AS dead, max(CASE WHEN kind = 'remove' THEN seq END) AS rm, max(CASE WHEN kind = 'restore' THEN seq END) AS rs, arg_max(CASE WHEN kind = 'restore' THEN names END, CASE WHEN kind = 'restore' THEN seq END) AS rn FROM lv WHERE kind IN ('remove', 'restore') GROUP BY id),
+tr AS (SELECT id, arg_max(other, seq) AS track FROM lv WHERE kind IN ('track', 'restore') GROUP BY id),
+nm AS (SELECT lv.id, kind LIKE 'track%' AS scope, names[1] AS name, arg_max(kind NOT LIKE '%unlabel', lv.seq) AS has FROM lv LEFT JOIN life ON life.id = lv.id WHERE kind LIKE '%label' AND (kind LIKE 'track%' OR rs IS NULL OR lv.seq > rs) GROUP BY ALL),
+st AS (SELECT id, scope, list(name) FILTER (has) AS put, list(name) FILTER (NOT has) AS cut FROM nm GROUP BY id, scope),
+lw AS (SELECT id AS parent, other AS child, arg_max(kind, seq) AS kind, max(seq) AS seq FROM lv WHERE kind IN ('link', 'cut') AND other IS NOT NULL GROUP BY id, other)"""
+
+
+@query("l2_replay_graph", f"""WITH {_OPS} SELECT 'cell' AS kind, c.id AS a, CASE WHEN tr.id IS NOT NULL THEN tr.track ELSE c.track_id END AS b, array_to_string(CASE WHEN s0.id IS NULL THEN CASE WHEN rs IS NOT NULL THEN rn ELSE list_sort(coalesce(c.labels, [])) END ELSE list_sort(list_distinct(list_concat(list_filter(CASE WHEN rs IS NOT NULL THEN rn ELSE coalesce(c.labels, []) END, lambda x: NOT list_contains(coalesce(s0.cut, []), x)), coalesce(s0.put, [])))) END, ',') AS labels,
+array_to_string(CASE WHEN s1.id IS NULL THEN coalesce(c.track_labels, []) ELSE list_sort(list_distinct(list_concat(list_filter(coalesce(c.track_labels, []), lambda x: NOT list_contains(coalesce(s1.cut, []), x)), coalesce(s1.put, [])))) END, ',') AS track_labels
+FROM cells c LEFT JOIN life ON life.id = c.id LEFT JOIN tr ON tr.id = c.id LEFT JOIN st s0 ON s0.id = c.id AND NOT s0.scope LEFT JOIN st s1 ON s1.id = c.id AND s1.scope WHERE NOT coalesce(life.dead, false)
+UNION ALL SELECT 'link', coalesce(l.parent, lw.parent), coalesce(l.child, lw.child), '', '' FROM links l FULL JOIN lw ON lw.parent = l.parent AND lw.child = l.child LEFT JOIN life p ON p.id = coalesce(l.parent, lw.parent) LEFT JOIN life q ON q.id = coalesce(l.child, lw.child)
+WHERE CASE WHEN lw.seq IS NULL THEN p.rm IS NULL AND q.rm IS NULL ELSE lw.kind = 'link' AND greatest(coalesce(p.rm, 0), coalesce(q.rm, 0)) < lw.seq END""")
+def l2c(s, d):
+    """A journal with every kind of graph edit, folded into cells and links."""
+    c, lk = X.cells(s, d), X.links(s, d)
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"))
+    first = lk.groupBy(F.col("parent").alias("id")).agg(F.min("child").alias("first"))
+    k = F.col("seq") % 9
+    kinds = ["link", "cut", "track", "label", "unlabel", "track_label", "track_unlabel", "remove", "restore"]
+    other = F.when(k == 0, F.col("id") + 1 + F.col("seq") % 2).when(k == 1, F.when(F.col("seq") % 2 == 0, F.col("first")).otherwise(F.col("id") + 1)).otherwise(F.col("seq") % 1000)
+    names = F.array(F.element_at(F.array(*map(F.lit, ("late", "seen", "treated"))), (F.col("seq") % 3 + 1).cast("int")))
+    ops = o.join(first, "id", "left").select("seq", F.lit(0).alias("step"), F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")).alias("kind"), "id", other.alias("other"), F.lit(None).cast("double").alias("value"), names.alias("names"))
+    ops = ops.where("kind NOT IN ('link', 'cut') OR other IS NOT NULL")
+    cells, links = E.replay_graph(c.withColumn("labels", F.array_sort("labels")), lk, X.edits(s, d), ops)
+    one = cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("track_id").alias("b"), _joined("labels").alias("labels"), _joined("track_labels").alias("track_labels"))
+    return one.union(links.select(F.lit("link"), "parent", "child", F.lit(""), F.lit("")))
+
+
+@query("l3_recover_replaced", "WITH ck AS (SELECT DISTINCT seq % 3 AS dataset, chunk_key, 'now ' || chunk_key AS data FROM blobs), sn AS (SELECT seq % 3 AS dataset, chunk_key, arg_min(existed, seq) AS existed, arg_min(before, seq) AS data FROM blobs WHERE seq % 3 = 1 AND seq IN (SELECT seq FROM edits WHERE pending) GROUP BY ALL) SELECT dataset, chunk_key, data FROM ck WHERE (dataset, chunk_key) NOT IN (SELECT (dataset, chunk_key) FROM sn) UNION ALL SELECT dataset, chunk_key, data FROM sn WHERE existed")
+def l3b(s, d):
+    """Three movies: only the second one's store is still the one its inventory covers."""
+    movie = F.col("seq") % 3
+    b = X.blobs(s, d).withColumn("dataset", movie)
+    stores = s.createDataFrame([(0, "a", "b"), (1, "c", "c"), (2, None, "d")], "dataset long, store string, covered string")
+    return E.recover(X.edits(s, d).withColumn("dataset", movie), b.select("dataset", "chunk_key", F.concat(F.lit("now "), "chunk_key").alias("data")).distinct(), b, stores)
+
+
+@query("l3_recover_levels", """WITH lvl0 AS (SELECT t, z, y, x, label FROM voxels WHERE NOT (y % 8 = 4 AND label % 2 = 0)), hit AS (SELECT DISTINCT t, z, y FROM voxels WHERE y % 8 = 4)
+SELECT 0 AS level, t, z, y, x, label FROM voxels UNION ALL SELECT 1, t, z, y // 2, x // 4, label FROM voxels WHERE y % 2 = 0 AND x % 4 = 0 AND (t, z, y) IN (SELECT (t, z, y) FROM hit) UNION ALL SELECT 1, t, z, y // 2, x // 4, -label FROM lvl0 WHERE y % 2 = 0 AND x % 4 = 0 AND (t, z, y) NOT IN (SELECT (t, z, y) FROM hit)""")
+def l3c(s, d):
+    """Pending strokes took the even labels from every eighth row; coarse rows that no stroke touched keep what they have, here negative labels."""
+    whole = X.runs(s, d)
+    hit = (F.col("y") % 8 == 4)
+    now = whole.where(~(hit & (F.col("label") % 2 == 0)))
+    coarse = L.regenerate_coarse(now, (1, 2, 4)).withColumn("label", -F.col("label"))
+    runs = now.withColumn("level", F.lit(0)).unionByName(coarse.withColumn("level", F.lit(1)))
+    before = whole.where(hit).groupBy("t", "z", "y").agg(F.collect_list(F.struct("x0", "x1", "label")).alias("spans")).withColumn("seq", F.lit(1).cast("long"))
+    edits = s.createDataFrame([(1, True)], "seq long, pending boolean")
+    return L.explode_runs(E.recover_runs(edits, runs, before, [(1, (1, 2, 4))])).select("level", "t", "z", "y", "x", "label")
+
+
 @query("l3_recover", "WITH ck AS (SELECT DISTINCT chunk_key, 'now ' || chunk_key AS data FROM blobs), sn AS (SELECT chunk_key, arg_min(existed, seq) AS existed, arg_min(before, seq) AS data FROM blobs WHERE seq IN (SELECT seq FROM edits WHERE pending) GROUP BY chunk_key) SELECT chunk_key, data FROM ck WHERE chunk_key NOT IN (SELECT chunk_key FROM sn) UNION ALL SELECT chunk_key, data FROM sn WHERE existed")
 def l3(s, d):
     b = X.blobs(s, d)
@@ -1167,18 +1272,23 @@ def f12(s, d):
     return s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name")).distinct().select("name", S.default_label_color(F.col("name")).alias("slot"))
 
 
-@query("f13_color_hex", "SELECT c_custkey AS id, printf('%02X%02X%02X', CAST(round_even(least(1.0, c_custkey % 11 / 10.0) * 255, 0) AS BIGINT), CAST(round_even(least(1.0, c_custkey % 7 / 4.0) * 255, 0) AS BIGINT), 0) AS color FROM customer")
+_COLORS = {"0.5 0.25 1": "8040FF", "0.5 0.25": "804000", " 1 ": "FF0000", "0.1 0.2 0.3 0.9": "1A334C", "2 -1 0.5": "FF0080", "": "000000", "0.5 red 1": None, "nan 0 0": None}
+
+
+@query("f13_color_hex", f"SELECT c_custkey AS id, {_pick_sql(list(_COLORS.values()))} AS color FROM customer")
 def f13(s, d):
-    text = F.concat_ws(" ", F.col("id") % 11 / F.lit(10.0), F.col("id") % 7 / F.lit(4.0), F.lit("-0.5"))
-    return _customer(s, d).select("id", S.color_hex(text).alias("color"))
+    return _customer(s, d).select("id", S.color_hex(_pick(list(_COLORS))).alias("color"))
 
 
-_STAMPS_TEXT = ["2024-01-02 03:04:05", "yesterday", "2024-13-01 00:00:00", "2023-12-31 23:59:59"]
+_STAMPS_TEXT = {
+    "2024-01-02 03:04:05": "2024/01/02 03:04:05.000000", "yesterday": None, "2024-13-01 00:00:00": None, "2023-12-31T23:59:59.25": "2023/12/31 23:59:59.250000", "2024-02-29": "2024/02/29 00:00:00.000000", "20240102T0304": "2024/01/02 03:04:00.000000",
+    " 2024-01-02T03:04:05.123456789 ": "2024/01/02 03:04:05.123456", "2024-01-02T03:04:05+02:00": "2024/01/02 01:04:05.000000", "2024-01-02T03:04:05Z": "2024/01/02 03:04:05.000000", "2024-W01-2": "2024/01/02 00:00:00.000000", "2024": None, "2023-02-29": None,
+}
 
 
-@query("f14_timestamp", f"SELECT c_custkey AS id, strftime(try_strptime({_pick_sql(_STAMPS_TEXT)}, '%Y-%m-%d %H:%M:%S'), '%Y/%m/%d %H:%M') AS at FROM customer")
+@query("f14_timestamp", f"SELECT c_custkey AS id, {_pick_sql(list(_STAMPS_TEXT.values()))} AS at FROM customer")
 def f14(s, d):
-    return _customer(s, d).select("id", F.date_format(S.parse_timestamp(_pick(_STAMPS_TEXT)), "yyyy/MM/dd HH:mm").alias("at"))
+    return _customer(s, d).select("id", F.date_format(S.parse_timestamp(_pick(list(_STAMPS_TEXT))), "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query("f15_chunk_key", "SELECT c_custkey AS id, '2/c/' || c_custkey || '/0/1/' || c_custkey % 7 || '/3' AS key, c_custkey AS t, c_custkey % 7 AS gy FROM customer")
@@ -1193,6 +1303,8 @@ def f16(s, d):
     return _levels(s, d).select("dataset", "level", n.alias("n"), S.clipped(F.col("x"), F.col("cx"), n - 1).alias("last"))
 
 
-@query("f17_ratio", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 1.0 ELSE c_custkey / (c_custkey % 5 * CAST(0.5 AS DOUBLE)) END AS r FROM customer")
+@query("f17_ratio", "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN c_custkey / 1e-13 WHEN 2 THEN 1.0 WHEN 3 THEN c_custkey / 0.5 ELSE 1.0 END AS r FROM customer")
 def f17(s, d):
-    return _customer(s, d).select("id", S.ratio(F.col("id").cast("double"), F.col("id") % 5 * F.lit(0.5)).alias("r"))
+    k = F.col("id") % 5
+    below = F.when(k == 0, 0.0).when(k == 1, 1e-13).when(k == 2, 1e-16).when(k == 3, 0.5).otherwise(float("inf"))
+    return _customer(s, d).select("id", S.ratio(F.col("id").cast("double"), below).alias("r"))

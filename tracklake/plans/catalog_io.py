@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import arrays as A
 from tracklake.plans import fixtures as X
 from tracklake.plans.catalog import query
-from tracklake.plans.staging import shared_folder, staged
-from tracklake.sources import stores, tracking
+from tracklake.plans import stored
+from tracklake.plans.staging import fresh_folder, staged
+from tracklake.sources import manifest, stores, tracking
 from tracklake.streaming import streams as T
 
 
 def _folder(s, name: str) -> str:
-    return f"{shared_folder(s)}/tl-{name}-{uuid.uuid4().hex}"
+    return fresh_folder(s, name)
 
 
 def _records(s, d):
@@ -50,21 +49,45 @@ def s2(s, d):
     return rows.union(report.select(F.lit("report"), "cells", "max_id", F.col("links").cast("double")))
 
 
+def _definitions(s):
+    return s.createDataFrame([("treated", "#ff0000"), ("control", None)], "name string, color string")
+
+
 @query("s4_tracking_sink", _RECORD_SQL)
 def s4(s, d):
+    """One document, read back as one; its metadata are checked on the way."""
     path = _folder(s, "sink")
-    c = X.cells(s, d)
-    tracking.write_tracking(c.withColumn("detection_confidence", F.when(F.col("id") % 19 != 0, F.col("detection_confidence"))), X.links(s, d), {"app_version": "1"}, path)
-    return _flat(tracking.read_records(s, f"{path}/cells"))
+    c = X.cells(s, d).withColumn("detection_confidence", F.when(F.col("id") % 19 != 0, F.col("detection_confidence")))
+    tracking.write_tracking(c, X.links(s, d), _definitions(s), "1", path, "2024-01-02T03:04:05Z")
+    headers, records = tracking.read_tracking(s, path)
+    want = '{"created":"2024-01-02T03:04:05Z","app_version":"1","label_definitions":["control","treated"],"label_colors":{"treated":"#ff0000"}}'
+    same = headers.select(F.assert_true(F.get_json_object("metadata", "$.label_colors.treated") == "#ff0000", F.concat(F.lit(want), F.lit(" and not "), "metadata")).alias("ok"))
+    return _flat(records.join(same))  # one document, one row
+
+
+@query("s4_documents_of_movies", "SELECT user_id % 7 AS movie, count(*) AS cells, CAST(sum(CASE WHEN b.id IN (SELECT child FROM links) THEN 1 ELSE 0 END) AS BIGINT) AS links FROM base b GROUP BY 1")
+def s4b(s, d):
+    """A document for each movie; counts are those of what is read back."""
+    path = _folder(s, "movies")
+    c = X.cells(s, d).withColumn("dataset", F.concat(F.lit("movie "), F.col("user_id") % 7))
+    lk = X.links(s, d).join(c.select(F.col("id").alias("child"), "dataset"), "child")
+    names = c.select("dataset").distinct().select("dataset", F.lit("treated").alias("name"), F.lit("#ff0000").alias("color"))
+    tracking.write_tracking(c, lk, names, "1", path)
+    records = tracking.read_tracking(s, path)[1]
+    return records.groupBy(F.regexp_extract("file", r"movie%2520(\d+)|movie%20(\d+)|movie (\d+)", 0).alias("name")).agg(F.count("*").alias("cells"), F.sum(F.coalesce(F.size("children"), F.lit(0))).cast("long").alias("links")).select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("movie"), "cells", "links")
 
 
 @query("e13_round_trip", "SELECT 0 AS differences, (SELECT count(*) FROM cells) AS records")
 def e13(s, d):
+    """Export, import of the document and export again; the record tables are the same."""
     path = _folder(s, "trip")
     c, lk = X.cells(s, d), X.links(s, d)
-    tracking.write_tracking(c, lk, {"app_version": "1"}, path)
-    once = tracking.read_records(s, f"{path}/cells").select(tracking.tracking_records(c, lk).columns)
-    lost = tracking.round_trip_differences(tracking.tracking_records(c, lk), once)
+    tracking.write_tracking(c, lk, _definitions(s), "1", path)
+    once = staged(tracking.read_tracking(s, path)[1], "once")
+    cells, links, _ = tracking.stage(once)
+    again = tracking.tracking_records(cells.withColumnRenamed("confidence", "detection_confidence"), links.drop("side"))
+    before = tracking.tracking_records(c, lk)
+    lost = tracking.round_trip_differences(before, again.select(before.columns)).unionByName(tracking.round_trip_differences(before, once.select(before.columns)))
     return lost.agg(F.count("*").alias("differences")).join(once.agg(F.count("*").alias("records")))
 
 
@@ -102,7 +125,7 @@ def _stores(s, d) -> str:
     chunks = A.to_chunks(X.image(s, d), (4, 9, 17), (4, 17, 17)).withColumn("image", F.expr(f"t div {_FRAMES}")).withColumn("t", F.col("t") % _FRAMES)
     chunks = staged(chunks, "store-chunks")
     for version in (2, 3):
-        stores.write_arrays(chunks.where(F.col("image") % 2 == version - 2), path, (4, 9, 17), (2.0, 0.5, 0.5), version)
+        stored.write_arrays(chunks.where(F.col("image") % 2 == version - 2), path, (4, 9, 17), (2.0, 0.5, 0.5), version)
     return path
 
 
@@ -119,15 +142,23 @@ def s7(s, d):
 @query("s8_chunk_scan", "SELECT t, c, z, y, x, value FROM image")
 def s8_scan(s, d):
     levels, _ = stores.catalog(s, _stores(s, d))
-    chunks = stores.read_chunks(s, levels, None)
+    chunks = stores.read_chunks(levels, None)
     return A.chunk_voxels(chunks.withColumn("t", _image_number("layer") * _FRAMES + F.col("t")))
 
 
+@query("s8_plane_of_stores", f"SELECT t, c, z AS row, x AS col, value FROM image WHERE y = 11 AND t % {_FRAMES} = 3 AND c = 1")
+def s8_plane(s, d):
+    """One plane, frame and channel of every image: only the chunks that hold it are opened."""
+    levels, _ = stores.catalog(s, _stores(s, d))
+    chunks = stores.read_chunks(levels, None, 3, 1, ("y", 11))
+    return A.chunk_plane(chunks.withColumn("t", _image_number("layer") * _FRAMES + F.col("t")), "y", 11)
+
+
 @query("s9_stack", "SELECT dense_rank() OVER (ORDER BY t) - 1 AS t, z, y, x, value FROM image WHERE c = 1")
 def s9(s, d):
     path = _folder(s, "stack")
     whole = A.to_chunks(X.image(s, d).where("c = 1"), (4, 17, 17), (4, 17, 17))
-    stores.write_stack(whole.select("t", F.array("nz", "ny", "nx").alias("shape"), F.lit("<u2").alias("dtype"), "data"), path)
+    stored.write_stack(whole.select("t", F.array("nz", "ny", "nx").alias("shape"), F.lit("<u2").alias("dtype"), "data"), path)
     read = stores.read_stack(s, path).where("dtype = 'uint16'")
     zero = [F.lit(0).cast("long").alias(n) for n in ("c", "gz", "gy", "gx", "oz", "oy", "ox")]
     return A.chunk_voxels(read.select(F.lit("stack").alias("layer"), F.lit(0).alias("level"), "t", *zero, *[F.col("shape")[i].alias(f"n{a}") for i, a in enumerate("zyx")], F.lit("u16").alias("dtype"), "data")).select("t", "z", "y", "x", "value")
@@ -221,22 +252,33 @@ def t6(s, d):
     return T.run_available(T.invalidations(runs, [(0, (1, 1, 1)), (1, (1, 2, 2))], (4, 128, 128))).distinct()
 
 
-@query("t7_row_patches", "WITH p AS (SELECT user_id AS id, arg_max(value, event_id) AS v, arg_max(event_type = 'error', event_id) AS rm FROM events WHERE user_id % 3 <> 0 GROUP BY user_id), b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 2 = 0) SELECT coalesce(b.id, p.id) AS id, CASE WHEN p.id IS NOT NULL THEN p.v ELSE 0 END AS value, CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS revision FROM b FULL JOIN p ON p.id = b.id WHERE p.id IS NULL OR NOT rm")
+@query("t7_row_patches", "WITH p AS (SELECT user_id AS id, arg_max(value, event_id) AS v, arg_max(event_type = 'error', event_id) AS rm FROM events GROUP BY user_id), b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 2 = 0 UNION ALL SELECT DISTINCT -user_id FROM events) SELECT coalesce(b.id, p.id) AS id, CASE WHEN p.id IS NOT NULL THEN p.v ELSE 0 END AS value, CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS revision FROM b FULL JOIN p ON p.id = b.id WHERE p.id IS NULL OR NOT rm")
 def t7(s, d):
+    """Patches of all users over a view that has half of them, and rows that no patch meets."""
     e = s.read.parquet(f"{d}/events.parquet")
-    view = e.where("user_id % 2 = 0").select(F.col("user_id").alias("id")).distinct().select("id", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("revision"))
+    view = e.where("user_id % 2 = 0").select(F.col("user_id").alias("id")).union(e.where("user_id <> 0").select(-F.col("user_id"))).distinct().select("id", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("revision"))
     out: list = []
-    patches = _stream(s, d, "events").where("user_id % 3 <> 0").select(F.col("user_id").alias("id"), "value", (F.col("event_type") == "error").alias("remove"), F.col("event_id").alias("seq"))
+    patches = _stream(s, d, "events").select(F.col("user_id").alias("id"), "value", (F.col("event_type") == "error").alias("remove"), F.col("event_id").alias("seq"))
     T.run_available(patches, lambda batch, i: out.append(staged(T.apply_patches(out[-1] if out else view, batch), "view")))
     return out[-1] if out else view
 
 
-@query("t8_streaming_ingest", "SELECT id, t FROM cells")
+@query("t8_streaming_ingest", "SELECT 'cell' AS kind, id AS a, t AS b FROM cells WHERE user_id % 8 <> 5 UNION ALL SELECT 'link', parent, child FROM links l JOIN base b ON b.id = l.child WHERE b.user_id % 8 <> 5 UNION ALL SELECT 'dangling_child', -1, 0")
 def t8(s, d):
+    """Eight movies, a file each, in batches of three; one has a link to nowhere and is rejected whole.  The run is then repeated from a state without its last batch."""
     path, to = _folder(s, "incoming"), _folder(s, "published")
-    _records(s, d).drop("children").write.json(path)
-    T.ingest_tracking(s, path, lambda cells, links: cells.select("id", "t").write.mode("append").parquet(to), lambda faults: None)
-    return s.read.schema("id long, t long").parquet(to)
+    movie = F.col("user_id") % 8
+    own = X.base(s, d).select("id", movie.alias("movie"))
+    astray = F.when((F.col("movie") == 5) & (F.col("id") == F.min("id").over(Window.partitionBy("movie"))), F.array(F.struct(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("double").alias("confidence"))))
+    records = _records(s, d).join(own, "id").withColumn("children", F.coalesce(astray, "children"))
+    records.repartition(8, "movie").write.partitionBy("movie").json(path)
+    T.ingest_tracking(s, f"{path}/*", to, 3)
+    published = manifest.table(s, to, "cells").count()
+    T.ingest_tracking(s, f"{path}/*", to, 3)
+    assert manifest.table(s, to, "cells").count() == published
+    cells, links, faults = (manifest.table(s, to, n) for n in ("cells", "links", "faults"))
+    rows = cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b")).union(links.select(F.lit("link"), "parent", "child"))
+    return rows.union(faults.select("rule", F.lit(-1).cast("long"), F.lit(0).cast("long")).distinct())
 
 
 @query("t9_edit_windows", "SELECT domain, strftime(TIMESTAMP '1970-01-01' + INTERVAL 7 DAY * (date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7), '%Y-%m-%d') AS start, count(*) AS n, 'tumbling' AS kind FROM edits GROUP BY ALL")

@@ -25,11 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which :func:`clear` deletes with the staged tables."""
+    path = f"{shared_folder(spark)}/tl-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/tl-{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    path = fresh_folder(spark, label)
     frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._tl_path = path

@@ -5,22 +5,28 @@ from __future__ import annotations
 import gzip
 import io
 import json
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.operators.arrays import arrow_schema, crosses, gathered, resolve_axes, with_movie
+from tracklake.operators.graph import number_rows
+from tracklake.operators.keys import by
 from tracklake.schemas import CHUNKS
+from tracklake.sources.files import create_file, move_file, open_file
 
-_ARRAY_META = "shape ARRAY<BIGINT>, chunks ARRAY<BIGINT>, dtype STRING, data_type STRING, chunk_grid STRUCT<configuration: STRUCT<chunk_shape: ARRAY<BIGINT>>>, dimension_names ARRAY<STRING>, node_type STRING"
+_ARRAY_META = (
+    "shape ARRAY<BIGINT>, chunks ARRAY<BIGINT>, dtype STRING, data_type STRING, chunk_grid STRUCT<configuration: STRUCT<chunk_shape: ARRAY<BIGINT>>>, dimension_names ARRAY<STRING>, node_type STRING, "
+    "dimension_separator STRING, chunk_key_encoding STRUCT<name: STRING, configuration: STRUCT<separator: STRING>>"
+)
 _MULTISCALE = "ARRAY<STRUCT<axes: ARRAY<STRUCT<name: STRING, unit: STRING>>, datasets: ARRAY<STRUCT<path: STRING, coordinateTransformations: ARRAY<STRUCT<type: STRING, scale: ARRAY<DOUBLE>>>>>>>"
 _OMERO = "STRUCT<channels: ARRAY<STRUCT<label: STRING, color: STRING, window: STRUCT<start: DOUBLE, `end`: DOUBLE>>>>"
 #: Array type names -> our tags.
-_DTYPES = {"|u1": "u8", "<u2": "u16", "<u4": "u32", "uint8": "u8", "uint16": "u16", "uint32": "u32"}
+DTYPES = {"|u1": "u8", "<u2": "u16", "<u4": "u32", "uint8": "u8", "uint16": "u16", "uint32": "u32"}
 
 
 def _hidden_metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -65,12 +71,17 @@ def _attribute(name: str):
 
 
 def _arrays(meta: DataFrame) -> DataFrame:
-    """(array, shape, chunks, dtype, names) of each array."""
+    """(array, shape, chunks, dtype, names, prefix, separator) of each array; the last two say how its chunks are named."""
     doc = F.col("value")
     is_array = (F.col("file") == ".zarray") | ((F.col("file") == "zarr.json") & (F.get_json_object(doc, "$.node_type") == "array"))
-    arrays = meta.where(is_array).select(F.col("folder").alias("array"), F.from_json(doc, _ARRAY_META).alias("m"))
-    arrays = arrays.select("array", "m.shape", F.coalesce("m.chunks", "m.chunk_grid.configuration.chunk_shape").alias("chunks"), F.coalesce("m.dtype", "m.data_type").alias("kind"), F.col("m.dimension_names").alias("names"))
-    tags = F.create_map(*[F.lit(x) for pair in _DTYPES.items() for x in pair])
+    arrays = meta.where(is_array).select(F.col("folder").alias("array"), F.from_json(doc, _ARRAY_META).alias("m"), (F.col("file") == ".zarray").alias("old"))
+    plain = F.col("old") | F.coalesce(F.col("m.chunk_key_encoding.name") == "v2", F.lit(False))
+    separator = F.coalesce("m.dimension_separator", "m.chunk_key_encoding.configuration.separator", F.when(plain, ".").otherwise("/"))
+    arrays = arrays.select(
+        "array", "m.shape", F.coalesce("m.chunks", "m.chunk_grid.configuration.chunk_shape").alias("chunks"), F.coalesce("m.dtype", "m.data_type").alias("kind"), F.col("m.dimension_names").alias("names"),
+        F.when(plain, "").otherwise(F.concat(F.lit("c"), separator)).alias("prefix"), separator.alias("separator"),
+    )
+    tags = F.create_map(*[F.lit(x) for pair in DTYPES.items() for x in pair])
     return arrays.withColumn("dtype", F.coalesce(F.try_element_at(tags, F.col("kind")), F.col("kind"))).drop("kind")
 
 
@@ -90,16 +101,18 @@ def _named_levels(groups: DataFrame) -> DataFrame:
 def catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(levels, channels) of every multiscale image below ``root``.
 
-    Levels: folder, level, array, shape, chunks, dtype, axes, scale.  Attributes lie
+    Levels: folder, level, array, shape, chunks, dtype, axes (the group's names, else
+    null), dim_names (the array's own), scale, prefix, separator.  Attributes lie
     at the group (0.4) or under the ``ome`` key (0.5); an array in no multiscale
     group is an image of one level.  Groups and arrays meet in one equi join; a level
     that has no array is left out here and named by :func:`faults`.
     """
     meta = _metadata(spark, root)
-    arrays, groups = _arrays(meta), _groups(meta)
+    arrays, groups = _arrays(meta).withColumnRenamed("names", "dim_names"), _groups(meta)
     named = _named_levels(groups)
-    levels = named.join(arrays, "array").select("folder", "level", "array", "shape", "chunks", "dtype", F.coalesce("axes", "names").alias("axes"), "scale")
-    single = arrays.join(named.select("array"), "array", "left_anti").select(F.col("array").alias("folder"), F.lit(0).cast("long").alias("level"), "array", "shape", "chunks", "dtype", F.col("names").alias("axes"), F.lit(None).cast("array<double>").alias("scale"))
+    own = ["shape", "chunks", "dtype", "dim_names", "prefix", "separator"]
+    levels = named.join(arrays, "array").select("folder", "level", "array", "axes", "scale", *own)
+    single = arrays.join(named.select("array"), "array", "left_anti").select(F.col("array").alias("folder"), F.lit(0).cast("long").alias("level"), "array", F.lit(None).cast("array<string>").alias("axes"), F.lit(None).cast("array<double>").alias("scale"), *own)
     channels = groups.where("omero IS NOT NULL").select("folder", F.posexplode(F.from_json("omero", _OMERO)["channels"]).alias("c", "o")).select("folder", F.col("c").cast("long").alias("c"), F.col("o.label").alias("label"), F.col("o.color").alias("color"), F.col("o.window.start").alias("low"), F.col("o.window.end").alias("high"))
     return levels.unionByName(single), channels
 
@@ -127,53 +140,95 @@ def faults(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out
 
 
-def read_chunks(spark: SparkSession, levels: DataFrame, layer: str | None = "image") -> DataFrame:
-    """Chunk rows of the stored TCZYX chunks of ``levels`` (of :func:`catalog`), cut to the level at its edges.
+def chunk_grid(levels: DataFrame) -> DataFrame:
+    """One row for each chunk that ``levels`` (of :func:`catalog`) may store, from the catalogue alone: nothing is listed or opened.
+
+    array, level, dtype, path, t0, nt, c0, nc (the frames and channels it holds), gz,
+    gy, gx, oz, oy, ox, nz, ny, nx (cut to the level), sizes (of the stored block, in
+    tczyx), and ``dataset`` where levels carry it.  Arrays have two to five dimensions
+    (:func:`resolve_axes`); absent axes are 1.  Axes that cannot be resolved raise
+    with the array's path.  Filters on these columns reach the rows before any chunk
+    is opened.
+    """
+    own = by(levels)
+    known = resolve_axes(levels.withColumnRenamed("axes", "names"))
+    known = known.withColumns({f"b{a}": F.when(F.col("ok"), F.coalesce(F.get("chunks", F.locate(a, F.col("axes")) - 1), F.lit(1).cast("long"))) for a in "tczyx"})
+    fault = F.concat(F.lit("axes of "), "array", F.lit(" cannot be resolved"))
+    known = known.withColumn("array", F.when(F.col("ok"), F.col("array")).otherwise(F.raise_error(fault).cast("string")))
+    grid = known.select(*own, "array", "level", "dtype", "axes", "prefix", "separator", *[F.col(a).cast("long").alias(f"s{a}") for a in "tczyx"], *[f"b{a}" for a in "tczyx"])
+    for a in "tczyx":
+        grid = grid.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col(f"s{a}") / F.col(f"b{a}"))).cast("long") - 1)))
+
+    def number(letter: Column) -> Column:
+        out = F.col("ix")
+        for a in "tczy":
+            out = F.when(letter == a, F.col(f"i{a}")).otherwise(out)
+        return out.cast("string")
+
+    letters = F.filter(F.split("axes", ""), lambda x: x != "")
+    path = F.concat("array", F.lit("/"), "prefix", F.array_join(F.transform(letters, number), F.col("separator")))
+    origin = {a: F.col(f"i{a}") * F.col(f"b{a}") for a in "tczyx"}
+    size = {a: F.least(F.col(f"b{a}"), F.col(f"s{a}") - origin[a]) for a in "tczyx"}
+    return grid.select(
+        *own, "array", "level", "dtype", path.alias("path"), origin["t"].alias("t0"), size["t"].alias("nt"), origin["c"].alias("c0"), size["c"].alias("nc"), *[F.col(f"i{a}").alias(f"g{a}") for a in "zyx"],
+        *[origin[a].alias(f"o{a}") for a in "zyx"], *[size[a].alias(f"n{a}") for a in "zyx"], F.array(*[f"b{a}" for a in "tczyx"]).alias("sizes"),
+    )
+
+
+def open_chunks(grid: DataFrame, layer: str | None = "image") -> DataFrame:
+    """Chunk rows of the rows of a :func:`chunk_grid`, each task opening its own files.
 
     Bytes are raw, gzip or zstd.  A chunk that is not stored holds zeros and has no
-    row.  Without ``layer`` a row is named by the path of its array.  Only the
-    folders of the given levels are listed.
+    row.  Without ``layer`` a row is named by the path of its array.
     """
-    info = levels.where(F.size("shape") == 5).select("array", "level", "shape", "chunks", "dtype")
-    roots = [r.array for r in info.select("array").distinct().collect()]  # one path for each level of each image
-    if not roots:
-        return spark.createDataFrame([], CHUNKS)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).where(~F.col("path").rlike(r"(zarr\.json|\.zattrs|\.zarray|\.zgroup)$"))
-    form = r"^(.*?)/(?:c/)?(\d+)[./](\d+)[./](\d+)[./](\d+)[./](\d+)$"
-    files = files.select("content", *[F.regexp_extract(_one_form("path"), form, i + 1).alias(n) for i, n in enumerate(("array", "it", "ic", "iz", "iy", "ix"))]).where("array <> ''")
-    both = files.join(info, "array")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                raw = r["content"]
-                if raw[:2] == b"\x1f\x8b":
-                    raw = gzip.decompress(raw)
-                elif raw[:4] == b"\x28\xb5\x2f\xfd":
-                    raw = pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read()
-                kind = {"u8": "<u1", "u16": "<u2", "u32": "<u4"}[r["dtype"]]
-                at = [int(r[f"i{a}"]) for a in "tczyx"]
-                a = np.frombuffer(raw, kind).reshape(r["chunks"])
-                for dt in range(min(r["chunks"][0], r["shape"][0] - at[0] * r["chunks"][0])):
-                    for dc in range(min(r["chunks"][1], r["shape"][1] - at[1] * r["chunks"][1])):
-                        o = [g * c for g, c in zip(at[2:], r["chunks"][2:], strict=True)]
-                        n = [min(c, s - x) for c, s, x in zip(r["chunks"][2:], r["shape"][2:], o, strict=True)]
-                        part = a[dt, dc, : n[0], : n[1], : n[2]]
-                        out.append({"layer": layer or r["array"], "level": r["level"], "t": at[0] * r["chunks"][0] + dt, "c": at[1] * r["chunks"][1] + dc, "gz": at[2], "gy": at[3], "gx": at[4], "oz": o[0], "oy": o[1], "ox": o[2], "nz": n[0], "ny": n[1], "nx": n[2], "dtype": r["dtype"], "data": np.ascontiguousarray(part).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, _chunk_schema())
-
-    return both.mapInArrow(decode, CHUNKS)
-
-
-def _chunk_schema() -> pa.Schema:
-    long = pa.int64()
-    return pa.schema([("layer", pa.string()), ("level", pa.int32()), *[(c, long) for c in ("t", "c", "gz", "gy", "gx", "oz", "oy", "ox", "nz", "ny", "nx")], ("dtype", pa.string()), ("data", pa.binary())])
+    own = by(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    try:
+                        with open_file(r["path"]) as file:
+                            raw = file.read()
+                    except FileNotFoundError:
+                        continue
+                    yield from _parts(r, raw, layer, own)
+
+        return gathered(rows(), arrow_schema(with_movie(grid, CHUNKS)))
+
+    return grid.repartition("path").mapInArrow(run, with_movie(grid, CHUNKS))
+
+
+def _parts(r: dict, raw: bytes, layer: str | None, own: list[str]) -> Iterator[dict]:
+    """The zyx arrays of one stored chunk, one for each frame and channel in it."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        raw = pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read()
+    a = np.frombuffer(raw, {"u8": "<u1", "u16": "<u2", "u32": "<u4"}[r["dtype"]]).reshape(r["sizes"])
+    for dt in range(r["nt"]):
+        for dc in range(r["nc"]):
+            part = a[dt, dc, : r["nz"], : r["ny"], : r["nx"]]
+            yield {**{k: r[k] for k in (*own, "level", "gz", "gy", "gx", "oz", "oy", "ox", "nz", "ny", "nx", "dtype")}, "layer": layer or r["array"], "t": r["t0"] + dt, "c": r["c0"] + dc, "data": np.ascontiguousarray(part).tobytes()}
+
+
+def read_chunks(levels: DataFrame, layer: str | None = "image", t: int | None = None, c: int | None = None, plane: tuple[str, int] | None = None) -> DataFrame:
+    """Chunk rows of ``levels``, of one frame, channel or plane (axis, index) if asked: only their chunks are opened (V4, V5)."""
+    grid = chunk_grid(levels)
+    for value, first, n in ((t, "t0", "nt"), (c, "c0", "nc")):
+        if value is not None:
+            grid = grid.where((F.col(first) <= value) & (F.col(first) + F.col(n) > value))
+    if plane:
+        grid = grid.where(crosses(*plane))
+    out = open_chunks(grid, layer)
+    for value, name in ((t, "t"), (c, "c")):
+        out = out if value is None else out.where(F.col(name) == value)
+    return out
 
 
 def missing_chunks(levels: DataFrame, chunks: DataFrame) -> DataFrame:
     """(level, t, c, gz, gy, gx) of the grid that is not stored; ``levels`` has level, t, c, z, y, x, cz, cy, cx."""
-    grid = levels.select("level", *[F.sequence(F.lit(0).cast("long"), F.col(a) - 1).alias(a) for a in "tc"], *[F.sequence(F.lit(0).cast("long"), F.ceil(F.col(a) / F.col(f"c{a}")) - 1).alias(f"g{a}") for a in "zyx"])
+    grid = levels.select(*by(levels, chunks), "level", *[F.sequence(F.lit(0).cast("long"), F.col(a) - 1).alias(a) for a in "tc"], *[F.sequence(F.lit(0).cast("long"), F.ceil(F.col(a) / F.col(f"c{a}")) - 1).alias(f"g{a}") for a in "zyx"])
     for c in ("t", "c", "gz", "gy", "gx"):
         grid = grid.withColumn(c, F.explode(c))
     return grid.join(chunks.select(*grid.columns), grid.columns, "left_anti")
@@ -182,7 +237,7 @@ def missing_chunks(levels: DataFrame, chunks: DataFrame) -> DataFrame:
 def read_stack(spark: SparkSession, path: str) -> DataFrame:
     """(t, shape, dtype, data) of .npy files, numbered in path order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
-    order = files.select("path").withColumn("t", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # paths only
+    order = number_rows(files.select("path"), ["path"], "t", 0).select("path", F.col("t").cast("long").alias("t"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,89 +253,25 @@ def write_files(files: DataFrame) -> int:
     """Write ``data`` to ``path`` for each row, from the tasks; a file gets its name once it is whole, so a repeated task does no harm."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                system, where = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-                system.create_dir(where.rsplit("/", 1)[0])
-                part = f"{where}.{uuid.uuid4().hex}"
-                with system.open_output_stream(part, compression=None) as out:
+                part = f"{path}.{uuid.uuid4().hex}"
+                with create_file(part) as out:
                     out.write(data)
-                system.move(part, where)
+                move_file(part, path)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     return files.select("path", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def write_arrays(chunks: DataFrame, path: str, brick: tuple[int, int, int], scale: tuple[float, float, float], version: int = 3) -> None:
-    """One store of one level for each value of ``image`` of chunk rows, as ``path/image-N.zarr``, in format version 2 or 3.
-
-    Each chunk row becomes one gzip file of the full brick, padded with zeros at the edges.
-    """
-    kinds = {tag: (name, np.dtype(name)) for name, tag in _DTYPES.items() if name.startswith(("<", "|"))}
-    long_names = {tag: name for name, tag in _DTYPES.items() if name.startswith("u")}
-    axes = [{"name": a} for a in "tczyx"]
-
-    def data_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, data = [], []
-            for r in batch.to_pylist():
-                full = np.zeros(brick, kinds[r["dtype"]][1])
-                full[: r["nz"], : r["ny"], : r["nx"]] = np.frombuffer(r["data"], full.dtype).reshape(r["nz"], r["ny"], r["nx"])
-                at = [str(r[k]) for k in ("t", "c", "gz", "gy", "gx")]
-                paths.append(f"{path}/image-{r['image']}.zarr/0/" + ("c/" + "/".join(at) if version == 3 else ".".join(at)))
-                data.append(gzip.compress(full.tobytes(), mtime=0))
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
-
-    def metadata_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, data = [], []
-            for r in batch.to_pylist():
-                root, shape, blocks = f"{path}/image-{r['image']}.zarr", [r[k] for k in "tczyx"], [1, 1, *brick]
-                scales = [{"axes": axes, "datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, *scale]}]}]}]
-                if version == 3:
-                    files = {"zarr.json": {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": scales}}}}
-                    files["0/zarr.json"] = {
-                        "zarr_format": 3, "node_type": "array", "shape": shape, "data_type": long_names[r["dtype"]], "fill_value": 0, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": blocks}},
-                        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 9}}],
-                    }
-                else:
-                    files = {".zgroup": {"zarr_format": 2}, ".zattrs": {"multiscales": scales}}
-                    files["0/.zarray"] = {"zarr_format": 2, "shape": shape, "chunks": blocks, "dtype": kinds[r["dtype"]][0], "fill_value": 0, "order": "C", "filters": None, "compressor": {"id": "gzip", "level": 9}}
-                for name, document in files.items():
-                    paths.append(f"{root}/{name}")
-                    data.append(json.dumps(document).encode())
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
-
-    write_files(chunks.mapInArrow(data_files, "path string, data binary"))
-    ends = [F.max(F.col(f"o{a}") + F.col(f"n{a}")).alias(a) for a in "zyx"]
-    heads = chunks.groupBy("image").agg((F.max("t") + 1).alias("t"), (F.max("c") + 1).alias("c"), *ends, F.first("dtype").alias("dtype"))
-    write_files(heads.mapInArrow(metadata_files, "path string, data binary"))
-
-
-def write_stack(planes: DataFrame, path: str) -> None:
-    """One .npy file for each row (t, shape, dtype, data), named so that path order is the order of t."""
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, data = [], []
-            for r in batch.to_pylist():
-                out = io.BytesIO()
-                np.save(out, np.frombuffer(r["data"], r["dtype"]).reshape(r["shape"]))
-                paths.append(f"{path}/{r['t']:020d}.npy")
-                data.append(out.getvalue())
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
-
-    write_files(planes.select("t", "shape", "dtype", "data").mapInArrow(save, "path string, data binary"))
-
-
 def write_chunks(chunks: DataFrame, path: str, scale: tuple[float, float, float] | None = None) -> None:
-    """Parquet by layer, level and t, so a plane or a time point prunes to its files; one row of metadata for each level beside it."""
-    chunks.write.mode("overwrite").partitionBy("layer", "level", "t").parquet(f"{path}/chunks")
-    levels = chunks.groupBy("layer", "level").agg(F.max(F.col("oz") + F.col("nz")).alias("z"), F.max(F.col("oy") + F.col("ny")).alias("y"), F.max(F.col("ox") + F.col("nx")).alias("x"), F.max("nz").alias("cz"), F.max("ny").alias("cy"), F.max("nx").alias("cx"), F.first("dtype").alias("dtype"))
+    """Parquet by movie (where there are many), layer, level and t, so a plane or a time point prunes to its files; one row of metadata for each level beside it."""
+    own = by(chunks)
+    chunks.write.mode("overwrite").partitionBy(*own, "layer", "level", "t").parquet(f"{path}/chunks")
+    levels = chunks.groupBy(*own, "layer", "level").agg(F.max(F.col("oz") + F.col("nz")).alias("z"), F.max(F.col("oy") + F.col("ny")).alias("y"), F.max(F.col("ox") + F.col("nx")).alias("x"), F.max("nz").alias("cz"), F.max("ny").alias("cy"), F.max("nx").alias("cx"), F.first("dtype").alias("dtype"))
     levels.withColumn("scale", F.lit(json.dumps(scale))).coalesce(1).write.mode("overwrite").json(f"{path}/levels")
 
 
-def read_written_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+def read_written_chunks(spark: SparkSession, path: str, movies: str | None = None) -> DataFrame:
+    """Chunks of :func:`write_chunks`; ``movies`` is the type of the dataset column, where they have one."""
+    return spark.read.schema(CHUNKS + (f", dataset {movies}" if movies else "")).parquet(f"{path}/chunks")

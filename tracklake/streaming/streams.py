@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,21 +11,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracklake.operators import edits as E
 from tracklake.operators import relational as R
-from tracklake.plans.staging import shared_folder
-from tracklake.sources import tracking
+from tracklake.plans.staging import discard, fresh_folder, staged
+from tracklake.sources import manifest, tracking
 
 EVENT_TYPES = ("versions", "job", "invalidate", "graphChanged")
 _EVENT = "type STRING, session STRING, counter STRING, version BIGINT, job BIGINT, percent DOUBLE, state STRING, keys ARRAY<STRING>"
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", checkpoint: str | None = None) -> DataFrame | None:
     """Run a stream over what its source holds now; the result is read back from the shared folder (None with a batch callback).
 
-    Update mode keeps the batch number of each row as ``tl_batch``.
+    Update mode keeps the batch number of each row as ``tl_batch``.  With a
+    ``checkpoint`` of its own a later run goes on where this one ended.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/tl-stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    folder = fresh_folder(spark, "stream")
+    writer = stream.writeStream.option("checkpointLocation", checkpoint or f"{folder}/state").trigger(availableNow=True)
     if each is not None:
         writer.outputMode(mode).foreachBatch(each).start().awaitTermination()
         return None
@@ -152,23 +152,27 @@ def apply_patches(view: DataFrame, patches: DataFrame) -> DataFrame:
     return both.where("remove IS NULL OR NOT remove").select("id", F.coalesce(F.when(F.col("remove").isNotNull(), F.col("new")), F.col("value")).alias("value"), (F.coalesce("revision", F.lit(0)) + F.col("remove").isNotNull().cast("long")).alias("revision"))
 
 
-def ingest_tracking(spark: SparkSession, folder: str, publish: Callable[[DataFrame, DataFrame], None], reject: Callable[[DataFrame], None]) -> None:
-    """New record files of a folder are staged, validated and published whole, or handed to ``reject`` with their faults."""
-    stream = spark.readStream.schema(tracking.RECORD).option("maxFilesPerTrigger", 1).json(folder)
+def ingest_tracking(spark: SparkSession, folder: str, to: str, files: int = 64) -> None:
+    """New record files of a folder are staged and validated, each as a movie of its own, and published whole or not at all.
 
-    def one(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            cells, links, _ = tracking.stage(batch)
-            faults = R.cap(R.validate_staged(cells, links))
-            if faults.isEmpty():
-                publish(cells, R.collapse_links(links))
-            else:
-                reject(faults)
-        finally:
-            batch.unpersist()
-
-    run_available(stream, one)
+    The table set ``to`` (:mod:`tracklake.sources.manifest`) gains the cells and links
+    of the files without a fault, and the faults of the others, in one step for each
+    micro-batch of ``files`` files.  A batch that runs again, after a failure on
+    either side of that step, adds nothing twice.  ``dataset`` is the file.
+    """
+    stream = spark.readStream.schema(tracking.RECORD).option("maxFilesPerTrigger", files).json(folder).withColumn("dataset", F.input_file_name())
+    source = f"records of {folder}"
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch = staged(batch, "batch")
+        cells, links, _ = tracking.stage(batch)
+        faults = staged(R.cap(R.validate_staged(cells, links)), "faults")
+        bad = faults.select("dataset").distinct()
+        good = {"cells": cells.join(bad, "dataset", "left_anti"), "links": R.collapse_links(links).join(bad, "dataset", "left_anti"), "faults": faults}
+        manifest.publish(spark, to, good, source, number, append=True)
+        discard(batch, faults)
+
+    run_available(stream, one, checkpoint=f"{to}/progress")
 
 
 def edit_activity(edits: DataFrame, window: str = "7 days", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
