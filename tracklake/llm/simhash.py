@@ -103,7 +103,8 @@ def close_pairs(prints: DataFrame, limit: int = 4) -> DataFrame:
     chains = [_viable(diff, segments, i, limit) for i in range(m)]
     first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(chains)], F.lit(-1))
     on = (a.key == b.key_b) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= limit) & (first == F.col("start"))
-    return a.join(b, on).select("a", "b")
+    # by merge at every size: the exploded side is far larger than its table, by which Spark would choose to broadcast it
+    return a.join(b.hint("merge"), on).select("a", "b")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
