@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tracklake.plans import catalog, catalog_io  # noqa: F401
+from tracklake.plans import catalog, catalog_io, catalog_movies  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES = dict(catalog.ORACLES)

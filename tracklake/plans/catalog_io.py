@@ -74,7 +74,8 @@ def s4b(s, d):
     names = c.select("dataset").distinct().select("dataset", F.lit("treated").alias("name"), F.lit("#ff0000").alias("color"))
     tracking.write_tracking(c, lk, names, "1", path)
     records = tracking.read_tracking(s, path)[1]
-    return records.groupBy(F.regexp_extract("file", r"movie%2520(\d+)|movie%20(\d+)|movie (\d+)", 0).alias("name")).agg(F.count("*").alias("cells"), F.sum(F.coalesce(F.size("children"), F.lit(0))).cast("long").alias("links")).select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("movie"), "cells", "links")
+    movie = F.regexp_extract("file", r"movie_20_(\d+)/", 1).cast("long")
+    return records.groupBy(movie.alias("movie")).agg(F.count("*").alias("cells"), F.sum(F.greatest(F.size("children"), F.lit(0))).cast("long").alias("links"))
 
 
 @query("e13_round_trip", "SELECT 0 AS differences, (SELECT count(*) FROM cells) AS records")
@@ -252,7 +253,7 @@ def t6(s, d):
     return T.run_available(T.invalidations(runs, [(0, (1, 1, 1)), (1, (1, 2, 2))], (4, 128, 128))).distinct()
 
 
-@query("t7_row_patches", "WITH p AS (SELECT user_id AS id, arg_max(value, event_id) AS v, arg_max(event_type = 'error', event_id) AS rm FROM events GROUP BY user_id), b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 2 = 0 UNION ALL SELECT DISTINCT -user_id FROM events) SELECT coalesce(b.id, p.id) AS id, CASE WHEN p.id IS NOT NULL THEN p.v ELSE 0 END AS value, CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS revision FROM b FULL JOIN p ON p.id = b.id WHERE p.id IS NULL OR NOT rm")
+@query("t7_row_patches", "WITH p AS (SELECT user_id AS id, arg_max(value, event_id) AS v, arg_max(event_type = 'error', event_id) AS rm FROM events GROUP BY user_id), b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 2 = 0 UNION ALL SELECT DISTINCT -user_id FROM events WHERE user_id <> 0) SELECT coalesce(b.id, p.id) AS id, CASE WHEN p.id IS NOT NULL THEN p.v ELSE 0 END AS value, CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS revision FROM b FULL JOIN p ON p.id = b.id WHERE p.id IS NULL OR NOT rm")
 def t7(s, d):
     """Patches of all users over a view that has half of them, and rows that no patch meets."""
     e = s.read.parquet(f"{d}/events.parquet")

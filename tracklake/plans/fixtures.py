@@ -47,11 +47,17 @@ CTES: dict[str, str] = {
         FROM base b JOIN chains c ON c.id = b.id LEFT JOIN links l ON l.child = b.id LEFT JOIN chains pc ON pc.id = l.parent""",
     "image": """SELECT t, c, z, y, x, CAST((z * 7919 + y * 31 + x * 17 + t * 13 + c * 101 + seed) % 65536 AS BIGINT) AS value FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(0, 17)) AS y), (SELECT unnest(range(0, 17)) AS x),
         (SELECT user_id AS t, sum(id * (z + y + x + t)) % 65536 AS seed FROM base GROUP BY user_id)""",
+    "mids": "SELECT id AS gid, 'm' || user_id % 7 AS dataset, row_number() OVER (PARTITION BY user_id % 7 ORDER BY id) AS id, t, z, y, x FROM base",
+    "mcells": """SELECT m.dataset, m.id, c.t, c.z, c.y, c.x, c.area, c.detection_confidence, c.state, k.id AS track_id, c.labels, c.track_labels FROM cells c JOIN mids m ON m.gid = c.id LEFT JOIN mids k ON k.gid = c.track_id""",
+    "mlinks": "SELECT p.dataset, p.id AS parent, c.id AS child, l.confidence, l.reviewed FROM links l JOIN mids p ON p.gid = l.parent JOIN mids c ON c.gid = l.child",
+    "mchains": "SELECT a.dataset, a.id, h.id AS head, c.pos FROM chains c JOIN mids a ON a.gid = c.id JOIN mids h ON h.gid = c.head",
+    "mvoxels": """SELECT dataset, t, z + dz AS z, y + dy AS y, x + dx AS x, max(id) AS label FROM mids, (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE 4 * dz * dz + dy * dy + dx * dx <= 5 GROUP BY ALL""",
+    "minventory": "SELECT dataset, t, label, count(*) AS area, CAST(sum(z) AS BIGINT) AS sum_z, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM mvoxels GROUP BY dataset, t, label",
     "edits": """SELECT o_orderkey AS seq, o_orderdate AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'mask' ELSE 'graph' END AS domain, o_orderstatus = 'F' AS undone, o_orderkey % 13 = 0 AS pending,
         CASE o_orderkey % 3 WHEN 0 THEN '{"kind":"link","scope":"track","cell":' || o_custkey || '}' WHEN 1 THEN '{"kind":"stroke","label":' || o_custkey || '}' ELSE '{"kind":"cut","cell":' || o_custkey || '}' END AS op FROM orders""",
     "blobs": "SELECT seq, '0/c/' || seq % 30 || '/0/0/' || seq % 4 || '/' || seq % 5 AS chunk_key, seq % 3 <> 0 AS existed, 'b' || seq AS before FROM edits WHERE domain = 'mask' AND seq % 10 < 8",
+    "medits": "SELECT 'm' || seq % 7 AS dataset, seq // 7 AS seq, ts, domain, undone, pending, op FROM edits",
 }
-_RECURSIVE = {"chains", "roots"}
 
 
 def oracle(body: str) -> str:
@@ -169,3 +175,42 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("seq")
     key = F.concat_ws("/", F.lit("0/c"), seq % 30, F.lit("0/0"), seq % 4, seq % 5)
     return edits(spark, sf_dir).where("domain = 'mask' AND seq % 10 < 8").select("seq", key.alias("chunk_key"), (seq % 3 != 0).alias("existed"), F.concat(F.lit("b"), seq).alias("before"))
+
+
+# --- many movies: the users are dealt to seven, and ids begin anew in each -------------------
+
+
+def movie_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid, dataset, id, t, z, y, x): the id that a detection has in its movie."""
+    movie = F.col("user_id") % 7
+    local = F.row_number().over(Window.partitionBy(movie).orderBy("id")).cast("long")
+    return base(spark, sf_dir).select(F.col("id").alias("gid"), F.concat(F.lit("m"), movie).alias("dataset"), local.alias("id"), "t", "z", "y", "x")
+
+
+def movie_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = movie_ids(spark, sf_dir)
+    own, track = ids.select(F.col("gid").alias("c_id"), "dataset", F.col("id").alias("m_id")), ids.select(F.col("gid").alias("track_id"), F.col("id").alias("m_track"))
+    out = cells(spark, sf_dir).withColumnRenamed("id", "c_id").join(own, "c_id").join(track, "track_id", "left")
+    return out.select("dataset", F.col("m_id").alias("id"), "t", "z", "y", "x", "area", "detection_confidence", "state", F.col("m_track").alias("track_id"), "labels", "track_labels")
+
+
+def movie_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = movie_ids(spark, sf_dir)
+    a, b = (ids.select(F.col("gid").alias(end), *(["dataset"] if end == "parent" else []), F.col("id").alias(f"m_{end}")) for end in ("parent", "child"))
+    return links(spark, sf_dir).join(a, "parent").join(b, "child").select("dataset", F.col("m_parent").alias("parent"), F.col("m_child").alias("child"), "confidence", "reviewed")
+
+
+def movie_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offsets = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in range(-2, 3) for dx in range(-2, 3) if 4 * dz * dz + dy * dy + dx * dx <= 5]
+    one = F.explode(F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in offsets]))
+    grown = movie_ids(spark, sf_dir).select("dataset", "id", "t", "z", "y", "x", one.alias("o"))
+    voxel = [(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"]
+    return labels.to_runs(grown.select("dataset", "id", "t", *voxel).groupBy("dataset", "t", "z", "y", "x").agg(F.max("id").alias("label")))
+
+
+def movie_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits(spark, sf_dir).select(F.concat(F.lit("m"), F.col("seq") % 7).alias("dataset"), F.expr("seq div 7").alias("seq"), "ts", "domain", "undone", "pending", "op")
+
+
+def movie_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image(spark, sf_dir).select(F.concat(F.lit("m"), F.col("t") % 7).alias("dataset"), F.expr("t div 7").alias("t"), "c", "z", "y", "x", "value")

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def _at(path: str):
+    """(file system, path in it); local paths are taken as they are, with whatever signs they hold."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if path.startswith("file:") else f"file://{path}" if path.startswith("/") else path)
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), re.sub("^(file:)?/+", "/", path)
+    return fs.FileSystem.from_uri(path)
 
 
 def open_file(path: str, compression: str | None = None):

@@ -166,7 +166,7 @@ def chunk_grid(levels: DataFrame) -> DataFrame:
         return out.cast("string")
 
     letters = F.filter(F.split("axes", ""), lambda x: x != "")
-    path = F.concat("array", F.lit("/"), "prefix", F.array_join(F.transform(letters, number), F.col("separator")))
+    path = F.concat("array", F.lit("/"), "prefix", F.call_function("array_join", F.transform(letters, number), F.col("separator")))
     origin = {a: F.col(f"i{a}") * F.col(f"b{a}") for a in "tczyx"}
     size = {a: F.least(F.col(f"b{a}"), F.col(f"s{a}") - origin[a]) for a in "tczyx"}
     return grid.select(
@@ -181,7 +181,8 @@ def open_chunks(grid: DataFrame, layer: str | None = "image") -> DataFrame:
     Bytes are raw, gzip or zstd.  A chunk that is not stored holds zeros and has no
     row.  Without ``layer`` a row is named by the path of its array.
     """
-    own = by(grid)
+    own, schema = by(grid), with_movie(grid, CHUNKS)
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -194,9 +195,9 @@ def open_chunks(grid: DataFrame, layer: str | None = "image") -> DataFrame:
                         continue
                     yield from _parts(r, raw, layer, own)
 
-        return gathered(rows(), arrow_schema(with_movie(grid, CHUNKS)))
+        return gathered(rows(), target)
 
-    return grid.repartition("path").mapInArrow(run, with_movie(grid, CHUNKS))
+    return grid.repartition("path").mapInArrow(run, schema)
 
 
 def _parts(r: dict, raw: bytes, layer: str | None, own: list[str]) -> Iterator[dict]:

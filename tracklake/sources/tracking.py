@@ -6,7 +6,7 @@ import codecs
 import gzip
 import itertools
 import json
-import urllib.parse
+import re
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -135,7 +135,7 @@ def read_tracking(spark: SparkSession, path: str, form: str = FORMAT, version: i
     may be larger than its memory.  Headers (file, format, version, metadata as JSON)
     are read first, each file only up to its cells, and a bad one raises with its name.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,json.gz}").load(path).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +215,8 @@ def write_tracking(cells: DataFrame, links: DataFrame, definitions: DataFrame, a
     target = path.rstrip("/")
 
     def name_of(row: tuple) -> str:
-        return f"{target}/{'' if not row else urllib.parse.quote(str(row[0]), safe='') + '/'}"
+        # a folder for each movie, by a name that is the same in a path and in a URI
+        return f"{target}/" + (re.sub(r"[^\w.-]", lambda m: f"_{ord(m[0]):x}_", str(row[0])) + "/" if row else "")
 
     def write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, where, counts = None, None, None, [0, 0]
