@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import brute
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracklake.llm import classifier, decontaminate, lengths, lines, rules, secrets, simhash
+from tracklake.llm import classifier, decontaminate, lengths, lines, pieces, rules, secrets, simhash
 from tracklake.llm.common import KEY, clear, keyed_texts, read, staged
 from tracklake.plans import staging
 
@@ -188,3 +189,32 @@ def test_staged_tables_can_be_cleared(spark):
     clear(spark)
     assert not staging._written[spark.sparkContext.applicationId]
 
+
+
+def test_secrets_of_a_text_with_very_many_spans(spark):
+    rng = random.Random(5)
+    digests = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(100_000)]
+    began = time.time()
+    row = secrets.scan_secrets(spark.createDataFrame([(1, " ".join(digests))], "doc_id long, text string")).first()
+    assert row.n_hex == 100_000 and row.n_random == 0 and time.time() - began < 60
+    free = secrets._clear_of([(10, 0, 20), (12, 1, 50), (70, 2, 80)])
+    spans = [(10, 20), (12, 50), (70, 80)]
+    assert all(free(a, b) == (not any(s < b and a < e for s, e in spans)) for a in range(100) for b in range(a + 1, 101))
+
+
+def test_pieces_of_a_long_text_without_spaces(spark):
+    import sentencepiece
+
+    rng = random.Random(6)
+    text = "".join(rng.choice(("ab", "tion", "é", "日", "x", "the")) for _ in range(30_000))
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).encode(text, add_eos=True)
+    row = pieces.encode_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces.default_model()).first()
+    assert row.ids_text == " ".join(map(str, want))
+
+
+def test_benchmark_window_of_many_items(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    items = [(i, f"{passage} own{i}") for i in range(300)]
+    docs = [(1, "before " + passage + " after " + passage), (2, "nothing of it")]
+    out = decontaminate.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in out.collect()) == [(1, 30, 28, 300), (2, 3, 0, 0)]

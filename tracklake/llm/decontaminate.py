@@ -179,7 +179,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     a null id is the empty name.  Every row of ``docs`` gives one row, repeated rows
     too: doc_id, row key, n_words, n_hit, n_items, items (sorted, comma-joined),
     contaminated.  A benchmark of one block needs no shuffle; with more, the hits of
-    the blocks meet by row, without text.
+    the blocks meet by row, without text.  A very long text is searched whole by one
+    task, block by block of its batch; empty tables give no rows and no hits.
     """
     texts = keyed_texts(docs)
     found = _searches(texts, benchmark, width, block_bytes)

@@ -26,7 +26,11 @@ def _encoding(path: str, pattern: str):
 
 
 def token_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens) by a byte-level BPE; a null or empty text has 0 tokens, strings of special tokens are ordinary text."""
+    """(doc_id, n_tokens) by a byte-level BPE; a null or empty text has 0 tokens, strings of special tokens are ordinary text.
+
+    Every row gives a row, repeated ones and those without a doc_id too; no rows give
+    no rows.  A very long text is encoded whole by one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks_path, pattern).encode_ordinary

@@ -177,6 +177,9 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     Returns doc_id, n_tokens, ids_text (decimal ids joined by a space), ids_sha256,
     decoded and decoded_sha256.  A null or empty text has the end id alone.  Parts
     between spaces are encoded once and remembered in a bounded table for each worker.
+    Every row gives a row, repeated ones and those without a doc_id too; no rows give
+    no rows.  A very long text is encoded whole by one task; a part without spaces
+    takes memory in proportion to its characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,4 +212,5 @@ def default_model() -> str:
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:
+    """:func:`token_digests` of all ``documents`` by the default model; rows are handled as there."""
     return token_digests(read(spark, sf_dir, "documents"), default_model())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +154,19 @@ def _scan(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, int]], lis
     return spans, found
 
 
+def _clear_of(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch overlaps none of the (start, kind, end) spans, by bisection."""
+    spans = sorted(spans)
+    starts = [s for s, _, _ in spans]
+    reach = list(itertools.accumulate((e for _, _, e in spans), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
+    return free
+
+
 def _thresholds(histogram: list, q: float) -> dict[int, int]:
     """Benjamini-Hochberg within each length class, on the p grid: least step that counts as a discovery."""
     by: dict[int, dict[int, int]] = {}
@@ -179,7 +194,8 @@ def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
     Returns doc_id, row key, n_assign, n_access, n_hex, n_random, base_spans and
     spans (kind:start:end in code points, by start and kind, comma-joined).  Null
     and empty texts have none; equal rows have equal spans, whatever their ids; no
-    rows give no rows.
+    rows give no rows.  A very long text is scanned whole by one task, in time that
+    grows with its length and its spans.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs)
@@ -208,8 +224,8 @@ def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
             texts: tuple[list, list] = ([], [])
             for base, more in zip(rows.column("base").to_pylist(), rows.column("more").to_pylist(), strict=True):
                 spans = [(x["start"], x["kind"], x["end"]) for x in base]
-                taken = [(s, e) for s, _, e in spans]
-                added = [(x["start"], 3, x["end"]) for x in more if x["step"] >= least.value.get(x["length"], _P_GRID) and not any(s < x["end"] and x["start"] < e for s, e in taken)]
+                free = _clear_of(spans)
+                added = [(x["start"], 3, x["end"]) for x in more if x["step"] >= least.value.get(x["length"], _P_GRID) and free(x["start"], x["end"])]
                 for kind in range(3):
                     counts[kind].append(sum(k == kind for _, k, _ in spans))
                 counts[3].append(len(added))
