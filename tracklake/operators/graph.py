@@ -60,12 +60,17 @@ def chain_pointers(cells: DataFrame, links: DataFrame) -> DataFrame:
     return cells.select(*own, "id").join(steps, [*own, "id"], "left").select(*own, "id", F.when(F.col("kids") == 1, F.col("up")).otherwise(F.col("id")).alias("up"))
 
 
+def chain_heads(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, head, pos): where the maximal unbranched run of each cell begins."""
+    return pointer_double(chain_pointers(cells, links)).select(*by(cells, links), "id", F.col("top").alias("head"), F.col("hops").alias("pos"))
+
+
 def chains(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(id, head, pos, length): the maximal unbranched run of each cell."""
-    own = by(cells, links)
-    tops = pointer_double(chain_pointers(cells, links))
-    length = tops.groupBy(*own, "top").agg(F.count("*").alias("length"))
-    return tops.join(length, [*own, "top"]).select(*own, "id", F.col("top").alias("head"), F.col("hops").alias("pos"), "length")
+    key = [*by(cells, links), "head"]
+    heads = chain_heads(cells, links)
+    length = heads.groupBy(*key).agg(F.count("*").alias("length"))
+    return heads.join(length, key).select(*key[:-1], "id", "head", "pos", "length")
 
 
 def tree_roots(cells: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def rematerialize(cells: DataFrame, before: DataFrame, after: DataFrame, next_id
         ends = change.select(*own, F.explode(F.array("parent", "child")).alias("id"))
         kids = after.join(change.select(*own, "parent").distinct(), [*own, "parent"], "left_semi").select(*own, F.col("child").alias("id"))
         seeds = ends.union(kids).distinct()
-    now = chains(cells, after)
+    now = chain_heads(cells, after)
     touched = now.join(seeds.select(*own, "id"), [*own, "id"], "left_semi").select(*own, "head").distinct()
     mine = now.join(touched, [*own, "head"], "left_semi").join(cells.select(*own, "id", F.col("track_id").alias("old")), [*own, "id"])
     was_head = chain_pointers(cells, before).where("id = up").select(*own, F.col("id").alias("head"), F.lit(True).alias("was_head"))
@@ -225,7 +230,7 @@ def graph_unlink(cells: DataFrame, links: DataFrame, ids: DataFrame, next_id: in
 def _whole_chains(cells: DataFrame, links: DataFrame, ids: DataFrame) -> DataFrame:
     """(id) of the chains that hold one of ``ids``."""
     own = by(cells, links, ids)
-    now = chains(cells, links)
+    now = chain_heads(cells, links)
     return now.join(now.join(ids.select(*own, "id"), [*own, "id"], "left_semi").select(*own, "head").distinct(), [*own, "head"], "left_semi").select(*own, "id")
 
 
@@ -332,7 +337,7 @@ def trail_segments(cells: DataFrame, shown: DataFrame, t: int, trail: int) -> Da
 def check_track_identity(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(track_id, chains): track ids on more than one chain."""
     own = by(cells, links)
-    return cells.where("track_id IS NOT NULL").join(chains(cells, links), [*own, "id"]).groupBy(*own, "track_id").agg(F.countDistinct("head").alias("chains")).where("chains > 1")
+    return cells.where("track_id IS NOT NULL").join(chain_heads(cells, links), [*own, "id"]).groupBy(*own, "track_id").agg(F.countDistinct("head").alias("chains")).where("chains > 1")
 
 
 def lineage_rows(members: DataFrame, links: DataFrame, selected: DataFrame) -> DataFrame:
@@ -359,7 +364,7 @@ def lineage_layout(members: DataFrame, links: DataFrame) -> DataFrame:
     own = by(members, links)
     inside = links.select(*own, "parent", "child").join(members.select(*own, F.col("id").alias("child")), [*own, "child"], "left_semi")
     inside = staged(inside.join(members.select(*own, F.col("id").alias("parent")), [*own, "parent"], "left_semi"), "layout-links")
-    chain = staged(chains(members.select(*own, "id"), inside).select(*own, "id", "head"), "layout-chains")
+    chain = staged(chain_heads(members.select(*own, "id"), inside).drop("pos"), "layout-chains")
     times = members.select(*own, "id", "t")
     heads = chain.where("id = head").join(times, [*own, "id"]).select(*own, F.col("id").alias("node"), "t")
     up = _parents(inside).join(chain.select(*own, F.col("id").alias("up"), F.col("head").alias("above")), [*own, "up"]).select(*own, F.col("id").alias("node"), "above")

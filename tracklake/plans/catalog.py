@@ -179,7 +179,7 @@ ovc AS (SELECT ov.*, overlap / (p.area + q.area - overlap) AS iou, overlap / p.a
 
 @query("j11_overlap_costs", f"WITH {_OVERLAP} SELECT t1, t2, label1, label2, overlap, iou, ratio_1, ratio_2, cost FROM ovc WHERE cost <= 0.9")
 def j11(s, d):
-    return K.overlap_costs(X.runs(s, d), max_gap=2).select("t1", "t2", "label1", "label2", "overlap", "iou", "ratio_1", "ratio_2", "cost")
+    return K.overlap_costs(_runs(s, d), max_gap=2).select("t1", "t2", "label1", "label2", "overlap", "iou", "ratio_1", "ratio_2", "cost")
 
 
 _NEAR = """near AS (SELECT a.t AS t1, b.t AS t2, a.id AS id1, b.id AS id2, (a.z-b.z)*(a.z-b.z) + (a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x) AS d2 FROM cells a JOIN cells b ON b.t = a.t + 1 WHERE a.z IS NOT NULL AND b.z IS NOT NULL),
@@ -371,12 +371,12 @@ def a21(s, d):
     return A.downsample_yx(X.image(s, d), 17, 17)
 
 
-_DELTAS = "dl AS (SELECT id % 50 AS seq, id, user_id AS old, CASE WHEN id % 3 = 0 THEN NULL ELSE user_id + 1 END AS new FROM base)"
+_DELTAS = "dl AS (SELECT id // 40 AS seq, id, user_id AS old, CASE WHEN id % 3 = 0 THEN NULL ELSE user_id + 1 END AS new FROM base)"
 
 
 @query("a22_delta_affected", f"WITH {_DELTAS}, v AS (SELECT seq, old AS track FROM dl UNION SELECT seq, new FROM dl WHERE new IS NOT NULL) SELECT a.seq, a.tracks, b.cells FROM (SELECT seq, string_agg(CAST(track AS VARCHAR), ',' ORDER BY track) AS tracks FROM v GROUP BY seq) a JOIN (SELECT seq, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS cells FROM dl GROUP BY seq) b ON a.seq = b.seq")
 def a22(s, d):
-    deltas = X.base(s, d).select((F.col("id") % 50).alias("seq"), "id", F.col("user_id").alias("old"), F.when(F.col("id") % 3 != 0, F.col("user_id") + 1).alias("new"))
+    deltas = X.base(s, d).select(F.expr("id div 40").alias("seq"), "id", F.col("user_id").alias("old"), F.when(F.col("id") % 3 != 0, F.col("user_id") + 1).alias("new"))
     return E.delta_affected(deltas).select("seq", F.array_join("tracks", ",").alias("tracks"), F.array_join("cells", ",").alias("cells"))
 
 
@@ -639,7 +639,7 @@ _SEEDS = f"WITH ch AS ({_CHANGED}) SELECT parent AS id FROM ch UNION SELECT chil
 @query("g4_rematerialize", "WITH " + _remat(_AFTER, _SEEDS))
 def g4(s, d):
     c = staged(X.cells(s, d), "cells")
-    return G.rematerialize(c, X.links(s, d), staged(_after(s, d), "after"), 20000)
+    return G.rematerialize(c, staged(X.links(s, d), "links"), staged(_after(s, d), "after"), 20000)
 
 
 _LINKED = """pr AS (SELECT arg_max(a.id, a.t) AS parent, b.id AS child FROM base b JOIN base a ON a.user_id = b.user_id - 1 AND a.t < b.t WHERE b.id NOT IN (SELECT child FROM links) GROUP BY b.id),
@@ -705,7 +705,8 @@ reach AS (SELECT id, id AS down, 1.0::DOUBLE AS weight FROM paths UNION ALL SELE
 SELECT p.root, p.id, w.col, p.t - p.top AS row FROM paths p JOIN (SELECT r.id, sum(r.weight * v.col) AS col FROM reach r JOIN leaves v ON v.id = r.down GROUP BY r.id) w ON w.id = p.id""")
 def g12(s, d):
     b, lk = X.base(s, d), X.links(s, d)
-    return G.lineage_layout(b.select("id", "t").join(G.tree_roots(b, lk), "id"), lk)
+    b, lk = staged(b.select("id", "t"), "cells"), staged(lk, "links")
+    return G.lineage_layout(b.join(G.tree_roots(b, lk), "id"), lk)
 
 
 @query("g13_shown_tracks", f"WITH {_SPANS}, {_SHOWN} SELECT track FROM shown")
@@ -814,7 +815,7 @@ def v7(s, d):
 
 @query("v8_proxy", "SELECT t, c, z, y, x, value FROM image")
 def v8(s, d):
-    proxy = A.build_proxy(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), (4, 17, 17))
+    proxy = A.build_proxy(_bricks(s, d), (4, 17, 17))
     return A.chunk_voxels(proxy.where("nz = 4 AND ny = 17 AND nx = 17"))
 
 
@@ -837,15 +838,24 @@ ks AS (SELECT t, z, y, x, list(struct_pack(s := stroke, m := mode) ORDER BY stro
 nv AS (SELECT ol.t, ol.z, ol.y, ol.x, old, list_reduce(list_concat([struct_pack(s := old, m := 'old')], coalesce(ops, [])), lambda a, e: CASE WHEN e.m = 'paint' THEN struct_pack(s := e.s + 500000, m := 'v') WHEN e.m = 'erase' OR a.s = e.s THEN struct_pack(s := CAST(0 AS BIGINT), m := 'v') ELSE a END).s AS new FROM ol LEFT JOIN ks USING (t, z, y, x))"""
 
 
+def _runs(s, d):
+    """The label volume as a stored table, as an operator's input is."""
+    return staged(X.runs(s, d), "runs")
+
+
+def _bricks(s, d):
+    return staged(A.to_chunks(X.image(s, d), (2, 8, 8), (4, 17, 17)), "bricks")
+
+
 def _strokes(s, d):
     r = L.rasterize_strokes(_stamps(s, d), (8, 512, 512), (2.0, 1.0, 1.0))
     m = F.col("stroke") % 3
-    return r.select("t", "z", "y", "x0", "x1", F.col("stroke").alias("seq"), F.when(m == 0, "paint").when(m == 1, "erase").otherwise("scoped").alias("mode"), (F.col("stroke") + 500000).alias("label"), F.col("stroke").alias("only"))
+    return staged(r, "strokes").select("t", "z", "y", "x0", "x1", F.col("stroke").alias("seq"), F.when(m == 0, "paint").when(m == 1, "erase").otherwise("scoped").alias("mode"), (F.col("stroke") + 500000).alias("label"), F.col("stroke").alias("only"))
 
 
 @query("v11_apply_strokes", f"WITH {_EDITED} SELECT t, z, y, x, new AS label FROM nv WHERE new <> 0")
 def v11(s, d):
-    return L.explode_runs(L.apply_strokes(X.runs(s, d), _strokes(s, d))[0]).select("t", "z", "y", "x", "label")
+    return L.explode_runs(L.apply_strokes(_runs(s, d), _strokes(s, d))[0]).select("t", "z", "y", "x", "label")
 
 
 _STROKE_DELTAS = "sd AS (SELECT t, label, CAST(sum(n) AS BIGINT) AS area, CAST(sum(n * z) AS BIGINT) AS sum_z, CAST(sum(n * y) AS BIGINT) AS sum_y, CAST(sum(n * x) AS BIGINT) AS sum_x FROM (SELECT t, z, y, x, old AS label, -1 AS n FROM nv WHERE old <> new UNION ALL SELECT t, z, y, x, new, 1 FROM nv WHERE old <> new) WHERE label <> 0 GROUP BY t, label)"
@@ -853,7 +863,7 @@ _STROKE_DELTAS = "sd AS (SELECT t, label, CAST(sum(n) AS BIGINT) AS area, CAST(s
 
 @query("v11_stroke_deltas", f"WITH {_EDITED}, {_STROKE_DELTAS} SELECT t, label, area, sum_z, sum_y, sum_x FROM sd")
 def v11b(s, d):
-    return L.change_deltas(L.apply_strokes(X.runs(s, d), _strokes(s, d))[1])
+    return L.change_deltas(L.apply_strokes(_runs(s, d), _strokes(s, d))[1])
 
 
 @query("v12_clear_label", "WITH w AS (SELECT min(label) AS label FROM voxels WHERE t = 2), b AS (SELECT min(x) AS x0, max(y) AS y1 FROM voxels WHERE label = (SELECT label FROM w)) SELECT t, z, y, x, label FROM voxels WHERE NOT (t = 2 AND label = (SELECT label FROM w) AND y <= (SELECT y1 FROM b) AND x BETWEEN (SELECT x0 + 1 FROM b) AND (SELECT x0 + 2 FROM b))")
@@ -893,7 +903,7 @@ n AS (SELECT p.t, p.z, p.y AS oy, p.x AS ox, p.label AS owner, p.y + dy AS y, p.
 o AS (SELECT n.*, q.label FROM n LEFT JOIN voxels q ON q.t = n.t AND q.z = n.z AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
 SELECT t, z, y, x, min(owner) AS owner FROM (SELECT t, z, oy AS y, ox AS x, owner FROM o UNION ALL SELECT t, z, y, x, owner FROM o WHERE label IS NULL) GROUP BY t, z, y, x""")
 def v17(s, d):
-    return L.label_outline(X.runs(s, d), (512, 512))
+    return L.label_outline(_runs(s, d), (512, 512))
 
 
 @query("v18_level_shapes", f"WITH RECURSIVE im AS (SELECT c_custkey AS dataset, 2 AS t, 1 AS c, 4 AS z, 200 + c_custkey % 3000 AS y, 300 + c_custkey % 2000 AS x FROM customer), lvl AS (SELECT *, 0 AS level FROM im UNION ALL SELECT dataset, t, c, z, y // 2, x // 2, level + 1 FROM lvl WHERE least(y, x) > 256) SELECT dataset, level, z, y, x, t * c * z * y * x * 2 AS bytes FROM lvl")
@@ -1012,7 +1022,7 @@ def e2(s, d):
 
 @query("e3_before_edit", f"WITH {_EDITED}, {_STROKE_DELTAS}, sc AS (SELECT t, new AS label, count(*) AS area, CAST(sum(z) AS BIGINT) AS sum_z, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x FROM nv WHERE new <> 0 GROUP BY t, new), b AS (SELECT sc.t, sc.label, sc.area - coalesce(sd.area, 0) AS area, sc.sum_z - coalesce(sd.sum_z, 0) AS sum_z, sc.sum_y - coalesce(sd.sum_y, 0) AS sum_y, sc.sum_x - coalesce(sd.sum_x, 0) AS sum_x FROM sc LEFT JOIN sd ON sd.t = sc.t AND sd.label = sc.label) SELECT * FROM b")
 def e3(s, d):
-    after, changes = L.apply_strokes(X.runs(s, d), _strokes(s, d))
+    after, changes = L.apply_strokes(_runs(s, d), _strokes(s, d))
     return E.before_edit(L.label_inventory(after), L.change_deltas(changes))
 
 
@@ -1102,9 +1112,9 @@ def l2b(s, d):
     return E.replay_extents(ext, X.edits(s, d), ext.withColumn("seq", F.col("label"))).select("t", "label", "area", "sum_z")
 
 
-_NAMES = "['late', 'seen', 'treated']"
+_OP_NAMES = "['late', 'seen', 'treated']"
 _OPS = f"""ops AS (SELECT o.seq, CASE o.seq % 9 WHEN 0 THEN 'link' WHEN 1 THEN 'cut' WHEN 2 THEN 'track' WHEN 3 THEN 'label' WHEN 4 THEN 'unlabel' WHEN 5 THEN 'track_label' WHEN 6 THEN 'track_unlabel' WHEN 7 THEN 'remove' ELSE 'restore' END AS kind, o.id,
-CASE o.seq % 9 WHEN 0 THEN o.id + 1 + o.seq % 2 WHEN 1 THEN CASE WHEN o.seq % 2 = 0 THEN k.child ELSE o.id + 1 END ELSE o.seq % 1000 END AS other, [{_NAMES}[o.seq % 3 + 1]] AS names FROM (SELECT o_orderkey AS seq, o_custkey AS id FROM orders) o LEFT JOIN (SELECT parent, min(child) AS child FROM links GROUP BY parent) k ON k.parent = o.id),
+CASE o.seq % 9 WHEN 0 THEN o.id + 1 + o.seq % 2 WHEN 1 THEN CASE WHEN o.seq % 2 = 0 THEN k.child ELSE o.id + 1 END ELSE o.seq % 1000 END AS other, [{_OP_NAMES}[o.seq % 3 + 1]] AS names FROM (SELECT o_orderkey AS seq, o_custkey AS id FROM orders) o LEFT JOIN (SELECT parent, min(child) AS child FROM links GROUP BY parent) k ON k.parent = o.id),
 lv AS (SELECT ops.* FROM ops JOIN edits e ON e.seq = ops.seq WHERE NOT e.undone AND NOT e.pending),
 life AS (SELECT id, arg_max(kind, seq) = 'remove' AS dead, max(CASE WHEN kind = 'remove' THEN seq END) AS rm, max(CASE WHEN kind = 'restore' THEN seq END) AS rs, arg_max(CASE WHEN kind = 'restore' THEN names END, CASE WHEN kind = 'restore' THEN seq END) AS rn FROM lv WHERE kind IN ('remove', 'restore') GROUP BY id),
 tr AS (SELECT id, arg_max(other, seq) AS track FROM lv WHERE kind IN ('track', 'restore') GROUP BY id),
@@ -1272,12 +1282,12 @@ def f12(s, d):
     return s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name")).distinct().select("name", S.default_label_color(F.col("name")).alias("slot"))
 
 
-_COLORS = {"0.5 0.25 1": "8040FF", "0.5 0.25": "804000", " 1 ": "FF0000", "0.1 0.2 0.3 0.9": "1A334C", "2 -1 0.5": "FF0080", "": "000000", "0.5 red 1": None, "nan 0 0": None}
+_HEX_COLORS = {"0.5 0.25 1": "8040FF", "0.5 0.25": "804000", " 1 ": "FF0000", "0.1 0.2 0.3 0.9": "1A334C", "2 -1 0.5": "FF0080", "": "000000", "0.5 red 1": None, "nan 0 0": None}
 
 
-@query("f13_color_hex", f"SELECT c_custkey AS id, {_pick_sql(list(_COLORS.values()))} AS color FROM customer")
+@query("f13_color_hex", f"SELECT c_custkey AS id, {_pick_sql(list(_HEX_COLORS.values()))} AS color FROM customer")
 def f13(s, d):
-    return _customer(s, d).select("id", S.color_hex(_pick(list(_COLORS))).alias("color"))
+    return _customer(s, d).select("id", S.color_hex(_pick(list(_HEX_COLORS))).alias("color"))
 
 
 _STAMPS_TEXT = {

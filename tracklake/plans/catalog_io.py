@@ -199,16 +199,16 @@ def t1(s, d):
 
 
 def _version_events(events):
-    return events.select(F.col("event_type").alias("session"), F.concat(F.lit("c"), F.col("user_id") % 4).alias("counter"), ((F.col("event_id") * 7919) % 1009).alias("version"), F.col("event_id").alias("seq"))
+    return events.select(F.col("event_type").alias("session"), F.concat(F.lit("c"), F.col("user_id")).alias("counter"), ((F.col("event_id") * 7919) % 1009).alias("version"), F.col("event_id").alias("seq"))
 
 
-@query("t2_version_counters", "SELECT event_type AS session, 'c' || user_id % 4 AS counter, max((event_id * 7919) % 1009) AS version FROM events GROUP BY ALL")
+@query("t2_version_counters", "SELECT event_type AS session, 'c' || user_id AS counter, max((event_id * 7919) % 1009) AS version FROM events GROUP BY ALL")
 def t2(s, d):
     rows = T.run_available(T.stream_versions(_version_events(_stream(s, d, "events"))), mode="update")
     return rows.groupBy("session", "counter").agg(F.max("version").alias("version"))
 
 
-@query("t3_stale_events", "WITH e AS (SELECT event_type AS session, 'c' || user_id % 4 AS counter, (event_id * 7919) % 1009 AS version, event_id AS seq FROM events WHERE event_type = 'view'), o AS (SELECT *, max(version) OVER (PARTITION BY counter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e) SELECT session, counter, version, seq FROM o WHERE top IS NULL OR version > top")
+@query("t3_stale_events", "WITH e AS (SELECT event_type AS session, 'c' || user_id AS counter, (event_id * 7919) % 1009 AS version, event_id AS seq FROM events WHERE event_type = 'view'), o AS (SELECT *, max(version) OVER (PARTITION BY counter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e) SELECT session, counter, version, seq FROM o WHERE top IS NULL OR version > top")
 def t3(s, d):
     return T.run_available(T.drop_stale(_version_events(_stream(s, d, "events")), "view"))
 

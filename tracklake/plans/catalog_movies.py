@@ -41,7 +41,7 @@ def me12(s, d):
 @query("m_j11_overlap_costs", """WITH ov AS (SELECT a.dataset, a.t AS t1, b.t AS t2, a.label AS label1, b.label AS label2, count(*) AS overlap FROM mvoxels a JOIN mvoxels b ON a.dataset = b.dataset AND b.t = a.t + 1 AND a.z = b.z AND a.y = b.y AND a.x = b.x GROUP BY ALL)
 SELECT ov.dataset, t1, t2, label1, label2, overlap, overlap / p.area AS ratio_1, overlap / q.area AS ratio_2 FROM ov JOIN minventory p ON p.dataset = ov.dataset AND p.label = label1 JOIN minventory q ON q.dataset = ov.dataset AND q.label = label2 WHERE 1.0 + (-1.0) * (overlap / q.area) <= 0.9""")
 def mj11(s, d):
-    return K.overlap_costs(X.movie_runs(s, d)).select("dataset", "t1", "t2", "label1", "label2", "overlap", "ratio_1", "ratio_2")
+    return K.overlap_costs(staged(X.movie_runs(s, d), "runs")).select("dataset", "t1", "t2", "label1", "label2", "overlap", "ratio_1", "ratio_2")
 
 
 @query("m_j12_distance_candidates", """WITH near AS (SELECT a.dataset, a.id AS id1, b.id AS id2, (a.z-b.z)*(a.z-b.z) + (a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x) AS d2 FROM mcells a JOIN mcells b ON a.dataset = b.dataset AND b.t = a.t + 1 WHERE a.z IS NOT NULL AND b.z IS NOT NULL)
@@ -123,7 +123,7 @@ ends AS (SELECT DISTINCT dataset, parent, unnest([arg_min(child, path), arg_max(
 reach AS (SELECT dataset, id, id AS down, 1.0::DOUBLE AS weight FROM paths UNION ALL SELECT r.dataset, r.id, e.child, r.weight * e.share FROM reach r JOIN ends e ON e.dataset = r.dataset AND e.parent = r.down)
 SELECT p.dataset, p.root, p.id, w.col, p.t - p.top AS row FROM paths p JOIN (SELECT r.dataset, r.id, sum(r.weight * v.col) AS col FROM reach r JOIN leaves v ON v.dataset = r.dataset AND v.id = r.down GROUP BY r.dataset, r.id) w ON w.dataset = p.dataset AND w.id = p.id""")
 def mg12(s, d):
-    c, lk = X.movie_cells(s, d).select("dataset", "id", "t"), X.movie_links(s, d)
+    c, lk = staged(X.movie_cells(s, d).select("dataset", "id", "t"), "cells"), staged(X.movie_links(s, d), "links")
     return G.lineage_layout(c.join(G.tree_roots(c, lk), ["dataset", "id"]), lk)
 
 
@@ -136,7 +136,7 @@ def mv7(s, d):
 @query("m_v11_apply_strokes", "SELECT dataset, t, z, y, x, CASE WHEN label % 3 = 0 AND y % 2 = 0 THEN label + 500000 ELSE label END AS label FROM mvoxels WHERE NOT (label % 3 = 1 AND y % 2 = 0)")
 def mv11(s, d):
     """The even rows of each third label are painted with another, those of the next third erased by strokes that take their own label only."""
-    runs = X.movie_runs(s, d)
+    runs = staged(X.movie_runs(s, d), "runs")
     own = runs.where("y % 2 = 0 AND label % 3 < 2")
     paint = F.col("label") % 3 == 0
     strokes = own.select("dataset", "t", "z", "y", "x0", "x1", F.col("label").alias("seq"), F.when(paint, "paint").otherwise("scoped").alias("mode"), (F.col("label") + 500000).alias("label"), F.col("label").alias("only"))
@@ -147,7 +147,7 @@ def mv11(s, d):
 o AS (SELECT n.*, q.label FROM n LEFT JOIN mvoxels q ON q.dataset = n.dataset AND q.t = n.t AND q.z = n.z AND q.y = n.y AND q.x = n.x WHERE q.label IS NULL OR q.label <> owner)
 SELECT dataset, t, z, y, x, min(owner) AS owner FROM (SELECT dataset, t, z, oy AS y, ox AS x, owner FROM o UNION ALL SELECT dataset, t, z, y, x, owner FROM o WHERE label IS NULL) GROUP BY dataset, t, z, y, x""")
 def mv17(s, d):
-    return L.label_outline(X.movie_runs(s, d), (512, 512))
+    return L.label_outline(staged(X.movie_runs(s, d), "runs"), (512, 512))
 
 
 @query("m_e1_fold_extents", "SELECT dataset, t, label, CASE WHEN label % 3 = 1 THEN 0 ELSE area END AS area, CASE WHEN label % 3 = 1 THEN 0 ELSE sum_x END AS sum_x, x0, x1 FROM minventory")

@@ -114,7 +114,7 @@ def cells(spark: SparkSession, sf_dir: str, tracked: bool = True) -> DataFrame:
     frame = frame.withColumns(columns).drop("kids", "value")
     if not tracked:
         return frame
-    heads = graph.chains(b.select("id"), lk).select("id", "head")
+    heads = graph.chain_heads(b.select("id"), lk).select("id", "head")
     return frame.join(heads, "id").withColumn("track_id", F.when(F.col("id") % 17 != 0, F.col("head"))).drop("head")
 
 
@@ -149,7 +149,7 @@ def stg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, lk = base(spark, sf_dir), links(spark, sf_dir)
-    heads = graph.chains(b.select("id"), lk).select("id", F.col("head").alias("track"))
+    heads = graph.chain_heads(b.select("id"), lk).select("id", F.col("head").alias("track"))
     parents = lk.select(F.col("child").alias("id"), "parent").join(heads.select(F.col("id").alias("parent"), F.col("track").alias("parent_track")), "parent", "left")
     frame = b.join(heads, "id").join(parents, "id", "left")
     return frame.select((F.col("id") * 10 + 3).alias("src"), "track", "t", *[F.col(c).cast("double").alias(c) for c in "zyx"], (F.col("parent") * 10 + 3).alias("parent_src"), "parent_track")
