@@ -120,6 +120,56 @@ def test_extent_rules(spark):
     assert (out[1].area, out[1].sum_z, out[1].z1, out[1].error) == (0, 0, 1, False)
     assert (out[2].area, out[2].z1, out[2].error) == (-2, 6, True)
     assert E.fold_extents(have, E.negate(delta)).where("label = 1").first().z1 == 1
+    erased = delta.where("label = 2").withColumn("label", F.lit(0).cast("long"))
+    assert sorted(r.label for r in E.fold_extents(have, delta.unionByName(erased)).collect()) == [1, 2]
+
+
+def test_offenders_are_children_and_stand_once(spark):
+    cells = spark.createDataFrame([(1, 5, 0.5, 1, None), (2, 5, 0.5, 1, None)], "id long, t long, confidence double, track_id long, seg_id long")
+    links = spark.createDataFrame([(1, 2, 0.5, "children"), (1, 2, 0.5, "children"), (1, 2, 0.25, "parent"), (1, 9, 0.5, "children"), (1, 9, 0.5, "children"), (8, 2, 0.5, "parent"), (8, 2, 0.5, "parent")], "parent long, child long, confidence double, side string")
+    found = rows(R.validate_staged(cells, links).select("rule", "cell_id"), "rule")
+    assert found == [("dangling_child", 1), ("dangling_parent", 2), ("many_parents", 2), ("not_forward", 2), ("sides_disagree", 2)]
+
+
+def test_edit_takes_away_restores_and_publishes(spark):
+    cells = spark.createDataFrame([(1, 0, 1.0, 1.0, 1.0, 4), (2, 1, 2.0, 2.0, 2.0, 4), (3, 2, 3.0, 3.0, 3.0, 4)], "id long, t long, z double, y double, x double, area long")
+    links = spark.createDataFrame([(1, 2, 0.5, False), (2, 3, 0.5, False)], "parent long, child long, confidence double, reviewed boolean")
+    mask = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (7, 2)], "t long, label long")
+    touched = spark.createDataFrame([(1, 2, 0, 0, 0, 0), (2, 3, 2, 2, 4, 6), (4, 5, 1, 7, 8, 9), (0, 0, 3, 0, 0, 0)], "t long, label long, area long, sum_z long, sum_y long, sum_x long")
+    out = E.apply_extents(cells, links, mask, touched)
+    assert rows(out["cells"].select("id", "t", "x", "area"), "id") == [(1, 0, 1.0, 4), (3, 2, 3.0, 2), (5, 4, 9.0, 1)]
+    assert out["links"].count() == 0 and rows(out["mask_labels"], "t") == [(0, 1), (2, 3), (4, 5), (7, 2)]  # label 2 of another frame stays
+    again = spark.createDataFrame([(1, 2, 0.75, True)], links.schema)  # made anew since: not overwritten
+    both = out["lost_links"].unionByName(out["lost_links"])
+    back, kept, marks = E.restore_cells(out["cells"], again, out["mask_labels"], out["lost_cells"], both)
+    assert rows(kept, "parent") == [(1, 2, 0.75, True), (2, 3, 0.5, False)]
+    assert rows(back.where("id = 2"), "id") == [(2, 1, 2.0, 2.0, 2.0, 4)] and (1, 2) in rows(marks, "t")
+    journal = spark.createDataFrame([(1, "mask")], "seq long, domain string")
+    blobs = spark.createDataFrame([(1, "k")], "seq long, chunk_key string")
+    twice = touched.where("label = 5").unionByName(touched.where("label = 5").withColumn("t", F.lit(3).cast("long"))).withColumns({c: F.lit(0).cast("long") for c in ("z0", "z1", "y0", "y1", "x0", "x1")})
+    new = L.publish_inventory(twice, cells, journal, blobs)
+    assert rows(new["cells"].where("id = 5").select("id", "t"), "id") == [(5, 3)] and new["mask_labels"].count() == 2
+
+
+def test_new_links_are_not_reviewed_and_states_cover_the_vocabulary(spark):
+    cells = spark.createDataFrame([(1, 0, None, ["a"], ["b"]), (2, 1, None, None, ["b"]), (3, 2, None, None, None)], "id long, t long, track_id long, labels array<string>, track_labels array<string>")
+    none = spark.createDataFrame([], "parent long, child long, confidence double, reviewed boolean")
+    after, _ = G.graph_link(cells, none, spark.createDataFrame([(1, 1, 2)], "seq long, parent long, child long"), 1)
+    assert rows(after, "parent") == [(1, 2, None, False)]
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    states = G.label_states(cells, G.chains(cells, after), cells.where("id <> 2"), names)
+    assert rows(states, "id", "name") == [(1, "a", True, "none"), (1, "b", False, "all"), (1, "c", False, "none"), (3, "a", False, "none"), (3, "b", False, "none"), (3, "c", False, "none")]
+
+
+def test_import_replaces_features_and_history_has_pending_edits(spark):
+    schema = "id long, t long, z double, y double, x double, detection_confidence double, state string, track_id long, src_id long, seg_id long, labels array<string>, track_labels array<string>, features string, reviewed boolean, area long"
+    have = spark.createDataFrame([(1, 0, 1.0, 1.0, 1.0, None, "normal", None, None, None, None, None, "old", True, 9)], schema)
+    file = spark.createDataFrame([(1, 2, None, None, None, 0.5, "dead", 4, None, None, ["a"], None, "new", None, None)], schema)
+    r = E.materialize(file, have).first()
+    assert (r.t, r.z, r.features, r.reviewed, r.area, r.src_id, r.labels) == (2, 1.0, "new", True, 9, 1, ["a"])
+    edits = spark.createDataFrame([(1, "x", "mask", '{"kind": "stroke"}', False, False), (2, "y", "mask", '{"kind": "clear", "scope": "cell"}', False, True)], "seq long, ts string, domain string, op string, undone boolean, pending boolean")
+    blobs = spark.createDataFrame([(2, "k")], "seq long, chunk_key string")
+    assert [tuple(h) for h in R.edit_history(edits, blobs).orderBy("seq").collect()] == [(1, "x", "mask", "stroke", False, False), (2, "y", "mask", "cell", False, True)]
 
 
 def test_mutual_best_and_split(spark):
@@ -141,7 +191,7 @@ def test_documents_are_read_and_bad_ones_named(spark, tmp_path):
     (tmp_path / "good" / "a.json.gz").write_bytes(gzip.compress(json.dumps(good).encode()))
     cells, links, report = tracking.stage(tracking.read_tracking(spark, str(tmp_path / "good"))[1])
     assert rows(links, "side") == [(1, 2, 0.5, "children"), (1, 2, 0.25, "parent")]
-    assert rows(R.validate_staged(cells, links).select("rule", "cell_id"), "rule") == [("sides_disagree", 1)]
+    assert rows(R.validate_staged(cells, links).select("rule", "cell_id"), "rule") == [("sides_disagree", 2)]
     assert tuple(report.first()) == (2, 2, 2, 2)
     for name, fault, change in (("f", "wrong format", {"format": "x"}), ("v", "wrong version", {"version": 2}), ("m", "no metadata", {"metadata": None}), ("c", "cells are no array", {"cells": None})):
         (tmp_path / name).mkdir()

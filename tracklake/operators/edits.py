@@ -20,10 +20,11 @@ def _box(sides: tuple[str, ...] = BOX) -> list[Column]:
 def fold_extents(extent: DataFrame, deltas: DataFrame) -> DataFrame:
     """Extent plus deltas (t, label, area, sums, box or null): areas and sums add, sums are 0 at area 0, boxes only grow.
 
+    Deltas of label 0 are passed over: an erasure writes it, and it is no object.
     ``error`` marks rows whose area would be negative.
     """
     key = [*by(extent, deltas), *KEY]
-    both = extent.select(*key, "area", *SUMS, *BOX).unionByName(deltas.select(*key, "area", *SUMS, *BOX))
+    both = extent.select(*key, "area", *SUMS, *BOX).unionByName(deltas.where("label <> 0").select(*key, "area", *SUMS, *BOX))
     out = both.groupBy(*key).agg(F.sum("area").alias("area"), *[F.sum(c).alias(c) for c in SUMS], *_box())
     return out.withColumns({c: F.when(F.col("area") == 0, F.lit(0)).otherwise(F.col(c)) for c in SUMS} | {"error": F.col("area") < 0})
 
@@ -53,30 +54,55 @@ def upsert_cells(cells: DataFrame, extent: DataFrame) -> DataFrame:
     return out.withColumns(new).select(cells.columns)
 
 
+def put_mask_labels(mask_labels: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, label): the mask's labels and those of ``labels`` that it has not yet."""
+    key = [*by(mask_labels, labels), *KEY]
+    return mask_labels.select(*key).unionByName(labels.select(*key).distinct().join(mask_labels.select(*key), key, "left_anti"))
+
+
+def apply_extents(cells: DataFrame, links: DataFrame, mask_labels: DataFrame, touched: DataFrame) -> dict[str, DataFrame]:
+    """Tables after an edit whose labels have the folded extents ``touched``, as :func:`remove_cells` returns them.
+
+    Labels without an area lose their cell with its links and mask label; the others
+    get centroid and area of their extent, a cell where they had none, and their mask label.
+    """
+    own = by(cells, links, mask_labels, touched)
+    seen = touched.where("label <> 0")
+    out = remove_cells(cells, links, mask_labels, seen.where("area = 0").select(*own, F.col("label").alias("id"), "t"))
+    return out | {"cells": upsert_cells(out["cells"], seen), "mask_labels": put_mask_labels(out["mask_labels"], seen.where("area > 0"))}
+
+
 def remove_cells(cells: DataFrame, links: DataFrame, mask_labels: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """Cells, links and mask labels without ``ids``, and the snapshots that restore them."""
+    """Cells, links and mask labels without ``ids``, and the snapshots that restore them.
+
+    Where ``ids`` has t, mask labels go on that frame only.
+    """
     own = by(cells, links, mask_labels, ids)
+    marks = [*own, *(["t"] if "t" in ids.columns else []), "label"]
     gone = ids.select(*own, "id").distinct()
     pair = [*own, "parent", "child"]
     cut = links.join(gone.withColumnRenamed("id", "parent"), [*own, "parent"], "left_anti").join(gone.withColumnRenamed("id", "child"), [*own, "child"], "left_anti")
     lost = links.join(cut.select(pair), pair, "left_anti")
     return {
-        "cells": cells.join(gone, [*own, "id"], "left_anti"), "links": cut, "mask_labels": mask_labels.join(gone.withColumnRenamed("id", "label"), [*own, "label"], "left_anti"),
+        "cells": cells.join(gone, [*own, "id"], "left_anti"), "links": cut, "mask_labels": mask_labels.join(ids.withColumnRenamed("id", "label").select(marks).distinct(), marks, "left_anti"),
         "lost_cells": cells.join(gone, [*own, "id"], "left_semi"), "lost_links": lost,
     }
 
 
-def restore_cells(cells: DataFrame, links: DataFrame, lost_cells: DataFrame, lost_links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact rows and links back; a row that exists by now is replaced by the snapshot."""
-    own = by(cells, links, lost_cells, lost_links)
+def restore_cells(cells: DataFrame, links: DataFrame, mask_labels: DataFrame, lost_cells: DataFrame, lost_links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, links, mask labels) with exact rows back; a cell that exists by now is replaced by its snapshot, a link that exists stays as it is."""
+    own = by(cells, links, mask_labels, lost_cells, lost_links)
+    pair = [*own, "parent", "child"]
     back = cells.join(lost_cells.select(*own, "id"), [*own, "id"], "left_anti").unionByName(lost_cells)
-    return back, links.unionByName(lost_links.select(links.columns)).dropDuplicates([*own, "parent", "child"])
+    kept = links.unionByName(lost_links.select(links.columns).dropDuplicates(pair).join(links.select(pair), pair, "left_anti").select(links.columns))
+    return back, kept, put_mask_labels(mask_labels, lost_cells.select(*own, "t", F.col("id").alias("label")))
 
 
 def materialize(staged_cells: DataFrame, cells: DataFrame) -> DataFrame:
-    """Import upsert: file fields replace, centroids only where the file has them, area and reviewed stay, src_id is the id."""
+    """Import upsert: file fields (features too, where both tables have them) replace, centroids only where the file has them, area and reviewed stay, src_id is the id."""
     key = [*by(staged_cells, cells), "id"]
     fields = ["t", "detection_confidence", "state", "track_id", "seg_id", "labels", "track_labels"]
+    fields += ["features"] if "features" in staged_cells.columns and "features" in cells.columns else []
     s = staged_cells.select(*key, *[F.col(c).alias(f"s_{c}") for c in (*fields, "z", "y", "x")], F.lit(True).alias("staged"))
     out = cells.join(s, key, "full")
     new = {c: F.when(F.col("staged"), F.col(f"s_{c}")).otherwise(F.col(c)) for c in fields} | {a: F.coalesce(f"s_{a}", a) for a in "zyx"}
@@ -107,7 +133,7 @@ def import_blocker(links: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delta_affected(deltas: DataFrame) -> DataFrame:
     """(seq, tracks, cells): distinct sorted tracks and cells of graph deltas (seq, id, old, new)."""
-    tracks = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("old", "new"))))))
+    tracks = F.array_sort(F.array_union(F.collect_set("old"), F.collect_set("new")))
     return deltas.groupBy(*by(deltas), "seq").agg(tracks.alias("tracks"), F.array_sort(F.collect_set("id")).alias("cells"))
 
 
@@ -163,7 +189,7 @@ def replay_graph(cells: DataFrame, links: DataFrame, edits: DataFrame, ops: Data
 
     ``ops``, one row for each step of an edit (seq, step, kind, id, other, value, names):
 
-    * ``link`` (parent id, child other, confidence value) and ``cut`` (id, other);
+    * ``link`` (parent id, child other, confidence value; not reviewed) and ``cut`` (id, other);
     * ``track`` (id, track other or null);
     * ``label`` and ``unlabel`` (id, names), ``track_label`` and ``track_unlabel``;
     * ``remove`` (id): the cell goes, with all its links;
@@ -187,7 +213,7 @@ def replay_graph(cells: DataFrame, links: DataFrame, edits: DataFrame, ops: Data
     wiped = F.greatest("parent_removed", "child_removed")
     written = F.col("w").isNotNull()
     there = F.when(written, (F.col("w.kind") == "link") & (wiped.isNull() | (wiped < F.col("w.at")))).otherwise(F.col("had") & wiped.isNull())
-    links_after = every.where(there).select(*own, "parent", "child", F.when(written, F.col("w.value")).otherwise(F.col("was")).alias("confidence"), F.when(written, F.lit(True)).otherwise(F.col("was_reviewed")).alias("reviewed"))
+    links_after = every.where(there).select(*own, "parent", "child", F.when(written, F.col("w.value")).otherwise(F.col("was")).alias("confidence"), F.when(written, F.lit(False)).otherwise(F.col("was_reviewed")).alias("reviewed"))
     # tracks: the last of track and restore
     track = live.where("kind IN ('track', 'restore')").groupBy(*own, "id").agg(F.max(F.struct("at", F.col("other").alias("track"))).alias("w")).select(*own, "id", F.col("w.track").alias("new_track"), F.lit(True).alias("moved"))
     restored = live.where("kind = 'restore'").groupBy(*own, "id").agg(F.max(F.struct("at", "names")).alias("r")).select(*own, "id", F.col("r.at").alias("restored"), F.col("r.names").alias("restored_names"))

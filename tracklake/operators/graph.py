@@ -191,9 +191,9 @@ def next_track_id(cells: DataFrame, stored: int | DataFrame = 0) -> int | DataFr
 
 
 def graph_link(cells: DataFrame, links: DataFrame, proposals: DataFrame, next_id: int | DataFrame, max_gap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links after, assignments): valid proposals are inserted and identities re-derived."""
+    """(links after, assignments): valid proposals are inserted, without confidence and not reviewed, and identities re-derived."""
     good = validate_links(proposals, cells, links, max_gap).where("reason IS NULL")
-    after = staged(links.unionByName(good.select(*by(links), "parent", "child", F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("reviewed"))), "linked")
+    after = staged(links.unionByName(good.select(*by(links), "parent", "child", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reviewed"))), "linked")
     return after, rematerialize(cells, links, after, next_id)
 
 
@@ -261,9 +261,12 @@ def carries(name: str) -> Column:
     return F.coalesce(F.array_contains("labels", name), F.lit(False)) | F.coalesce(F.array_contains("track_labels", name), F.lit(False))
 
 
-def label_states(cells: DataFrame, chain: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, name, on_cell, on_track): for each focus cell and each name on its chain, whether the cell has it and if all or some of the chain do."""
-    own = by(cells, chain, ids)
+def label_states(cells: DataFrame, chain: DataFrame, ids: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """(id, name, on_cell, on_track): for each focus cell and each name on its chain, whether the cell has it and if all, some or none of the chain do.
+
+    With ``definitions`` (name), the vocabulary of a movie, each of its names has a row for each focus cell.
+    """
+    own = by(cells, chain, ids) if definitions is None else by(cells, chain, ids, definitions)
     empty = F.array().cast("array<string>")
     member = cells.select(*own, "id", F.coalesce("labels", empty).alias("labels"), F.coalesce("track_labels", empty).alias("track_labels")).join(chain.select(*own, "id", "head"), [*own, "id"])
     focus = member.join(ids.select(*own, "id"), [*own, "id"], "left_semi")
@@ -273,7 +276,14 @@ def label_states(cells: DataFrame, chain: DataFrame, ids: DataFrame) -> DataFram
     cover = names.groupBy(*own, "head", "name").agg(F.sum(F.array_contains("own", F.col("name")).cast("long")).alias("covered"))
     out = focus.join(cover, [*own, "head"]).join(size, [*own, "head"])
     state = F.when(F.col("covered") == F.col("n"), "all").when(F.col("covered") > 0, "some").otherwise("none")
-    return out.select(*own, "id", "name", F.array_contains("labels", F.col("name")).alias("on_cell"), state.alias("on_track"))
+    out = out.select(*own, "id", "name", F.array_contains("labels", F.col("name")).alias("on_cell"), state.alias("on_track"))
+    if definitions is None:
+        return out
+    vocabulary = definitions.groupBy(*own).agg(F.collect_set("name").alias("all"))
+    known = focus.select(*own, "id", "head").join(cover.groupBy(*own, "head").agg(F.collect_set("name").alias("near")), [*own, "head"], "left")
+    known = known.join(vocabulary, own) if own else known.join(F.broadcast(vocabulary))  # one row
+    other = known.select(*own, "id", F.explode(F.array_except("all", F.coalesce("near", empty))).alias("name"))
+    return out.unionByName(other.select(*own, "id", "name", F.lit(False).alias("on_cell"), F.lit("none").alias("on_track")))
 
 
 def apply_delta(links: DataFrame, assignments: DataFrame, cells: DataFrame, change: DataFrame, undo: bool) -> tuple[DataFrame, DataFrame]:

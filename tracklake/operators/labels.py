@@ -101,12 +101,13 @@ def publish_inventory(inventory: DataFrame, cells: DataFrame, edits: DataFrame,
     """The tables after a finished scan, to be swapped in together: mask_labels, mask_extent, cells, edits, blobs, next_id.
 
     mask_labels and mask_extent are rewritten whole from the scan; labels of positive
-    area without a cell get one, others stay as they are; mask edits and their
+    area without a cell get one (on their first frame, if they are on several), others stay as they are; mask edits and their
     snapshots go, since they hold bytes of the store before; the next free id is past
     every label and never below ``floor`` (one number, or (dataset, floor)).
     """
     own = by(inventory, cells, edits, blobs)
-    found = inventory.where("area > 0").select(*own, F.col("label").alias("id"), "t", *[(F.col(f"sum_{a}") / F.col("area")).alias(a) for a in "zyx"], "area")
+    first = inventory.where("area > 0").groupBy(*own, F.col("label").alias("id")).agg(F.min_by(F.struct("t", "area", "sum_z", "sum_y", "sum_x"), "t").alias("f")).select(*own, "id", "f.*")
+    found = first.select(*own, "id", "t", *[(F.col(f"sum_{a}") / F.col("area")).alias(a) for a in "zyx"], "area")
     new = found.join(cells.select(*own, "id"), [*own, "id"], "left_anti")
     top = inventory.groupBy(*own).agg((F.coalesce(F.max("label"), F.lit(0)) + 1).alias("next_id"))
     if isinstance(floor, int):

@@ -67,23 +67,23 @@ def check_dangling(links: DataFrame, cells: DataFrame, side: str) -> DataFrame:
     """Links declared on ``side`` (children or parent) whose other end has no record."""
     own = by(links, cells)
     end, near = ("child", "parent") if side == "children" else ("parent", "child")
-    lost = links.where(F.col("side") == side).join(cells.select(*own, F.col("id").alias(end)), [*own, end], "left_anti")
+    lost = links.where(F.col("side") == side).select(*own, "parent", "child").distinct().join(cells.select(*own, F.col("id").alias(end)), [*own, end], "left_anti")
     return _fault(lost, f"dangling_{end}", near, F.concat(F.lit("names missing cell "), F.col(end)))
 
 
 def check_forward(links: DataFrame, cells: DataFrame) -> DataFrame:
-    """Links whose child is not strictly later; ends without a record are another rule's matter."""
+    """Links whose child, the offender, is not strictly later; ends without a record are another rule's matter."""
     own = by(links, cells)
     pairs = links.select(*own, "parent", "child").distinct().join(cells.select(*own, F.col("id").alias("parent"), F.col("t").alias("pt")), [*own, "parent"]).join(cells.select(*own, F.col("id").alias("child"), F.col("t").alias("ct")), [*own, "child"])
-    return _fault(pairs.where("ct <= pt"), "not_forward", "parent", F.concat_ws(" ", F.lit("child"), "child", F.lit("on frame"), "ct", F.lit("parent on"), "pt"))
+    return _fault(pairs.where("ct <= pt"), "not_forward", "child", F.concat_ws(" ", F.lit("on frame"), "ct", F.lit("its parent"), "parent", F.lit("on"), "pt"))
 
 
 def check_sides_agree(links: DataFrame) -> DataFrame:
-    """Links declared on both sides with different confidences (null-safe)."""
+    """Links declared on both sides with different confidences (null-safe); the child is the offender, once for each link."""
     key = [*by(links), "parent", "child"]
     a = links.where("side = 'children'").select(*key, F.col("confidence").alias("a"))
     b = links.where("side = 'parent'").select(*key, F.col("confidence").alias("b"))
-    return _fault(a.join(b, key).where("NOT (a <=> b)"), "sides_disagree", "parent", F.concat(F.lit("with child "), F.col("child")))
+    return _fault(a.join(b, key).where("NOT (a <=> b)").select(*key).distinct(), "sides_disagree", "child", F.concat(F.lit("with parent "), F.col("parent")))
 
 
 def check_mask_resolution(cells: DataFrame, mask_labels: DataFrame) -> DataFrame:
@@ -204,11 +204,11 @@ def review_queue(links: DataFrame, limit: int) -> DataFrame:
 
 
 def edit_history(edits: DataFrame, blobs: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest first: seq, domain, scope, undone, undoable (not a mask edit, or its snapshots are kept)."""
+    """Newest first, pending ones too: seq, ts (if edits have it), domain, scope, undone, undoable (not a mask edit, or its snapshots are kept)."""
     key = [*by(edits, blobs), "seq"]
-    newest = _first(edits.where("NOT pending"), [F.col("seq").desc()], limit)
+    newest = _first(edits, [F.col("seq").desc()], limit)
     kept = blobs.select(*key, F.lit(True).alias("kept")).distinct()
-    return newest.join(kept, key, "left").select(*key, "domain", scalars.op_scope(F.col("op")).alias("scope"), "undone", ((F.col("domain") != "mask") | F.coalesce("kept", F.lit(False))).alias("undoable"))
+    return newest.join(kept, key, "left").select(*key, *(["ts"] if "ts" in edits.columns else []), "domain", scalars.op_scope(F.col("op")).alias("scope"), "undone", ((F.col("domain") != "mask") | F.coalesce("kept", F.lit(False))).alias("undoable"))
 
 
 def undo_redo(edits: DataFrame) -> DataFrame:

@@ -118,22 +118,22 @@ def j1(s, d):
     return G.with_parent(X.base(s, d), X.links(s, d)).select("id", "parent_id")
 
 
-@query("j2_dangling_child", "SELECT 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM stg_links WHERE side = 'children' AND child NOT IN (SELECT id FROM stg_cells)")
+@query("j2_dangling_child", "SELECT DISTINCT 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM stg_links WHERE side = 'children' AND child NOT IN (SELECT id FROM stg_cells)")
 def j2(s, d):
     return R.check_dangling(X.stg_links(s, d), X.stg_cells(s, d), "children")
 
 
-@query("j3_dangling_parent", "SELECT 'dangling_parent' AS rule, child AS cell_id, 'names missing cell ' || parent AS message FROM stg_links WHERE side = 'parent' AND parent NOT IN (SELECT id FROM stg_cells)")
+@query("j3_dangling_parent", "SELECT DISTINCT 'dangling_parent' AS rule, child AS cell_id, 'names missing cell ' || parent AS message FROM stg_links WHERE side = 'parent' AND parent NOT IN (SELECT id FROM stg_cells)")
 def j3(s, d):
     return R.check_dangling(X.stg_links(s, d), X.stg_cells(s, d), "parent")
 
 
-@query("j4_forward", "SELECT DISTINCT 'not_forward' AS rule, l.parent AS cell_id, 'child ' || l.child || ' on frame ' || c.t || ' parent on ' || p.t AS message FROM stg_links l JOIN stg_cells p ON p.id = l.parent JOIN stg_cells c ON c.id = l.child WHERE c.t <= p.t")
+@query("j4_forward", "SELECT DISTINCT 'not_forward' AS rule, l.child AS cell_id, 'on frame ' || c.t || ' its parent ' || l.parent || ' on ' || p.t AS message FROM stg_links l JOIN stg_cells p ON p.id = l.parent JOIN stg_cells c ON c.id = l.child WHERE c.t <= p.t")
 def j4(s, d):
     return R.check_forward(X.stg_links(s, d), X.stg_cells(s, d))
 
 
-@query("j5_sides_agree", "SELECT 'sides_disagree' AS rule, a.parent AS cell_id, 'with child ' || a.child AS message FROM stg_links a JOIN stg_links b ON a.parent = b.parent AND a.child = b.child WHERE a.side = 'children' AND b.side = 'parent' AND a.confidence IS DISTINCT FROM b.confidence")
+@query("j5_sides_agree", "SELECT DISTINCT 'sides_disagree' AS rule, a.child AS cell_id, 'with parent ' || a.parent AS message FROM stg_links a JOIN stg_links b ON a.parent = b.parent AND a.child = b.child WHERE a.side = 'children' AND b.side = 'parent' AND a.confidence IS DISTINCT FROM b.confidence")
 def j5(s, d):
     return R.check_sides_agree(X.stg_links(s, d))
 
@@ -240,15 +240,17 @@ def a3(s, d):
     return L.inventory_flags(i.unionByName(i.where("label % 40 = 0").withColumn("t", F.col("t") + 1)), 3000)
 
 
-@query("a4_publish_inventory", """SELECT 'cell' AS kind, id, t, x, area FROM cells WHERE id % 3 <> 0 UNION ALL SELECT 'cell', label, t, sum_x / area, area FROM inventory WHERE label % 3 = 0 UNION ALL SELECT 'label', label, t, NULL, NULL FROM inventory
-UNION ALL SELECT 'extent', label, t, CAST(sum_x AS DOUBLE), area FROM inventory UNION ALL SELECT 'next', greatest(max(label) + 1, 5000), NULL, NULL, NULL FROM inventory UNION ALL SELECT 'edit', seq, NULL, NULL, NULL FROM edits WHERE domain <> 'mask'""")
+@query("a4_publish_inventory", """WITH iv AS (SELECT t, label, area, sum_x FROM inventory UNION ALL SELECT t + 1, label, area, sum_x FROM inventory WHERE label % 40 = 0) SELECT 'cell' AS kind, id, t, x, area FROM cells WHERE id % 3 <> 0 UNION ALL SELECT 'cell', label, t, sum_x / area, area FROM inventory WHERE label % 3 = 0 UNION ALL SELECT 'label', label, t, NULL, NULL FROM iv
+UNION ALL SELECT 'extent', label, t, CAST(sum_x AS DOUBLE), area FROM iv UNION ALL SELECT 'next', greatest(max(label) + 1, 5000), NULL, NULL, NULL FROM inventory UNION ALL SELECT 'edit', seq, NULL, NULL, NULL FROM edits WHERE domain <> 'mask'""")
 def a4(s, d):
-    """Published as one table set and read back; the set of the scan before is gone, and a second publication of it does nothing."""
+    """Published as one table set and read back; the set of the scan before is gone, and a second publication of it does nothing.  Every fortieth label is on two frames."""
     folder = fresh_folder(s, "inventory")
     cells = X.cells(s, d, False).where("id % 3 <> 0").select("id", "t", "z", "y", "x", "area")
     old = {"mask_labels": s.createDataFrame([(0, 7)], "t long, label long"), "mask_extent": s.createDataFrame([(0, 7)], "t long, label long")}
     manifest.publish(s, folder, old, "scan", 0, store="old store")
-    tables = L.publish_inventory(L.label_inventory(X.runs(s, d)), cells, X.edits(s, d), X.blobs(s, d), 5000)
+    inv = L.label_inventory(X.runs(s, d))
+    inv = inv.unionByName(inv.where("label % 40 = 0").withColumn("t", F.col("t") + 1))
+    tables = L.publish_inventory(inv, cells, X.edits(s, d), X.blobs(s, d), 5000)
     assert manifest.publish(s, folder, tables, "scan", 1, store="new store") and not manifest.publish(s, folder, old, "scan", 1)
 
     def rows(kind, name, *columns):
@@ -305,6 +307,17 @@ def a12(s, d):
     return G.label_states(c, G.chains(X.base(s, d), X.links(s, d)), c.where("id % 10 = 0"))
 
 
+@query("a12_label_states_of_vocabulary", """WITH m AS (SELECT c.id, CASE WHEN c.id % 3 = 0 THEN [] ELSE coalesce(c.labels, []) END AS labels, CASE WHEN c.id % 5 <> 0 OR c.user_id % 2 = 0 THEN [] ELSE coalesce(c.track_labels, []) END AS own, h.head FROM cells c JOIN chains h ON h.id = c.id), v AS (SELECT unnest(labels) AS name FROM m UNION SELECT unnest(own) FROM m UNION SELECT unnest(['never', 'seen'])),
+x AS (SELECT head, unnest(list_distinct(list_concat(labels, own))) AS name, own FROM m), cv AS (SELECT head, name, sum(CASE WHEN list_contains(own, name) THEN 1 ELSE 0 END) AS covered FROM x GROUP BY ALL), sz AS (SELECT head, count(*) AS n FROM m GROUP BY head)
+SELECT f.id, v.name, list_contains(f.labels, v.name) AS on_cell, CASE WHEN covered = sz.n THEN 'all' WHEN covered > 0 THEN 'some' ELSE 'none' END AS on_track FROM m f CROSS JOIN v LEFT JOIN cv ON cv.head = f.head AND cv.name = v.name JOIN sz ON sz.head = f.head""")
+def a12b(s, d):
+    """Every cell against the whole vocabulary, in which two names are defined that may be on no cell."""
+    own = F.when((F.col("id") % 5 == 0) & (F.col("user_id") % 2 != 0), F.col("track_labels"))
+    c = X.cells(s, d, False).withColumns({"labels": F.when(F.col("id") % 3 != 0, F.col("labels")), "track_labels": own})
+    names = R.label_definitions(s.createDataFrame([("never", None), ("seen", None)], "name string, color string"), c)
+    return G.label_states(c, G.chains(X.base(s, d), X.links(s, d)), c, names)
+
+
 @query("a13_histogram", "WITH h AS (SELECT t, c, CAST(value * 256 // 65536 AS BIGINT) AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM image GROUP BY ALL) SELECT t, c, bin, n, CAST(min(lo) OVER w AS BIGINT) AS least, CAST(max(hi) OVER w AS BIGINT) AS most, CAST(sum(n) OVER w AS BIGINT) AS samples FROM h WINDOW w AS (PARTITION BY t, c)")
 def a13(s, d):
     return A.histogram(X.image(s, d))
@@ -471,7 +484,7 @@ def k1(s, d):
     return R.review_queue(X.links(s, d), 50)
 
 
-@query("k2_edit_history", "SELECT e.seq, e.domain, coalesce(json_extract_string(op, '$.scope'), json_extract_string(op, '$.kind')) AS scope, e.undone, e.domain <> 'mask' OR e.seq IN (SELECT seq FROM blobs) AS undoable FROM (SELECT * FROM edits WHERE NOT pending ORDER BY seq DESC LIMIT 100) e")
+@query("k2_edit_history", "SELECT e.seq, e.ts, e.domain, coalesce(json_extract_string(op, '$.scope'), json_extract_string(op, '$.kind')) AS scope, e.undone, e.domain <> 'mask' OR e.seq IN (SELECT seq FROM blobs) AS undoable FROM (SELECT * FROM edits ORDER BY seq DESC LIMIT 100) e")
 def k2(s, d):
     return R.edit_history(X.edits(s, d), X.blobs(s, d))
 
@@ -481,10 +494,10 @@ def k3(s, d):
     return R.undo_redo(X.edits(s, d))
 
 
-_ALL_RULES = """f AS (SELECT 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM stg_links WHERE side = 'children' AND child NOT IN (SELECT id FROM stg_cells)
-UNION ALL SELECT 'dangling_parent', child, 'names missing cell ' || parent FROM stg_links WHERE side = 'parent' AND parent NOT IN (SELECT id FROM stg_cells)
-UNION ALL SELECT DISTINCT 'not_forward', l.parent, 'child ' || l.child || ' on frame ' || c.t || ' parent on ' || p.t FROM stg_links l JOIN stg_cells p ON p.id = l.parent JOIN stg_cells c ON c.id = l.child WHERE c.t <= p.t
-UNION ALL SELECT 'sides_disagree', a.parent, 'with child ' || a.child FROM stg_links a JOIN stg_links b ON a.parent = b.parent AND a.child = b.child WHERE a.side = 'children' AND b.side = 'parent' AND a.confidence IS DISTINCT FROM b.confidence
+_ALL_RULES = """f AS (SELECT DISTINCT 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM stg_links WHERE side = 'children' AND child NOT IN (SELECT id FROM stg_cells)
+UNION ALL SELECT DISTINCT 'dangling_parent', child, 'names missing cell ' || parent FROM stg_links WHERE side = 'parent' AND parent NOT IN (SELECT id FROM stg_cells)
+UNION ALL SELECT DISTINCT 'not_forward', l.child, 'on frame ' || c.t || ' its parent ' || l.parent || ' on ' || p.t FROM stg_links l JOIN stg_cells p ON p.id = l.parent JOIN stg_cells c ON c.id = l.child WHERE c.t <= p.t
+UNION ALL SELECT DISTINCT 'sides_disagree', a.child, 'with parent ' || a.parent FROM stg_links a JOIN stg_links b ON a.parent = b.parent AND a.child = b.child WHERE a.side = 'children' AND b.side = 'parent' AND a.confidence IS DISTINCT FROM b.confidence
 UNION ALL SELECT 'many_children', parent, count(DISTINCT child) || ' children' FROM stg_links GROUP BY parent HAVING count(DISTINCT child) > 2
 UNION ALL SELECT 'many_parents', child, count(DISTINCT parent) || ' parents' FROM stg_links GROUP BY child HAVING count(DISTINCT parent) > 1
 UNION ALL SELECT 'link_confidence', parent, 'link to ' || child FROM (SELECT DISTINCT parent, child, confidence FROM stg_links) WHERE confidence < 0 OR confidence > 1
@@ -1009,8 +1022,9 @@ _FOLDED = "fo AS (SELECT t, label, CAST(sum(area) AS BIGINT) AS area, CAST(CASE
 
 @query("e1_fold_extents", f"WITH {_EXT}, {_DLT}, {_FOLDED} SELECT * FROM fo")
 def e1(s, d):
+    """The deltas hold erasures too, whose label is 0."""
     ext = _extent(s, d)
-    return E.fold_extents(ext, _extent_deltas(ext))
+    return E.fold_extents(ext, _extent_deltas(ext).unionByName(ext.where("label % 5 = 0").withColumn("label", F.lit(0).cast("long"))))
 
 
 @query("e2_ensure_extent", f"WITH {_EXT} SELECT t, label, CASE WHEN label % 2 = 0 THEN -1 ELSE area END AS area, sum_z, sum_y, sum_x, z0, z1, y0, y1, x0, x1 FROM ext WHERE label % 2 = 0 OR label % 3 = 0")
@@ -1043,12 +1057,25 @@ def e5(s, d):
     return all_rows.toDF("kind", "a", "b")
 
 
-@query("e6_restore_cells", "SELECT 'cell' AS kind, id AS a, t AS b FROM base UNION ALL SELECT 'link', parent, child FROM links")
+@query("e5_apply_extents", f"""WITH {_EXT}, c AS (SELECT id, t, x, area FROM cells WHERE id % 4 <> 0), e AS (SELECT t, label, CASE WHEN label % 6 = 0 THEN 0 ELSE area END AS area, sum_x FROM ext WHERE label % 3 <> 1), k AS (SELECT c.id, c.t, c.x, c.area FROM c WHERE id NOT IN (SELECT label FROM e WHERE area = 0))
+SELECT 'cell' AS kind, coalesce(k.id, e.label) AS a, coalesce(k.t, e.t) AS b, coalesce(e.area, k.area) AS area, coalesce(e.sum_x / e.area, k.x) AS x FROM k FULL JOIN (FROM e WHERE area > 0) e ON e.label = k.id
+UNION ALL SELECT 'link', parent, child, NULL, NULL FROM links WHERE parent NOT IN (SELECT label FROM e WHERE area = 0) AND child NOT IN (SELECT label FROM e WHERE area = 0)
+UNION ALL SELECT 'mask', t, label, NULL, NULL FROM (SELECT t, label FROM mask_labels WHERE label % 5 <> 0 AND (t, label) NOT IN (SELECT (t, label) FROM e WHERE area = 0) UNION SELECT t, label FROM e WHERE area > 0)""")
+def e5b(s, d):
+    """An edit that wipes every sixth label and touches others, some of them without a cell or a mask label so far."""
+    touched = _extent(s, d).where("label % 3 <> 1").withColumn("area", F.when(F.col("label") % 6 == 0, 0).otherwise(F.col("area")).cast("long"))
+    out = E.apply_extents(X.cells(s, d, False).where("id % 4 <> 0").select("id", "t", "z", "y", "x", "area"), X.links(s, d), X.mask_labels(s, d).where("label % 5 <> 0"), touched)
+    none = [F.lit(None).cast("long"), F.lit(None).cast("double")]
+    cells = out["cells"].select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b"), "area", "x")
+    return cells.union(out["links"].select(F.lit("link"), "parent", "child", *none)).union(out["mask_labels"].select(F.lit("mask"), "t", "label", *none))
+
+
+@query("e6_restore_cells", "SELECT 'cell' AS kind, id AS a, t AS b FROM base UNION ALL SELECT 'link', parent, child FROM links UNION ALL SELECT 'mask', t, label FROM (SELECT t, label FROM mask_labels UNION SELECT t, id FROM base WHERE id % 9 = 0)")
 def e6(s, d):
     b, lk = X.base(s, d), X.links(s, d)
     out = E.remove_cells(b, lk, X.mask_labels(s, d), b.where("id % 9 = 0"))
-    cells, links = E.restore_cells(out["cells"], out["links"], out["lost_cells"], out["lost_links"])
-    return cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b")).union(links.select(F.lit("link"), "parent", "child"))
+    cells, links, mask = E.restore_cells(out["cells"], out["links"], out["mask_labels"], out["lost_cells"], out["lost_links"])
+    return cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b")).union(links.select(F.lit("link"), "parent", "child")).union(mask.select(F.lit("mask"), "t", "label"))
 
 
 @query("e7_import_upsert", """WITH c AS (SELECT id, t, z, y, x, area, detection_confidence, state, src_id - 1 AS src_id, reviewed FROM cells WHERE id % 3 <> 0), f AS (SELECT id, t + 1 AS t, CASE WHEN id % 4 = 0 THEN NULL ELSE z + 0.5 END AS z, state FROM cells WHERE id % 2 = 0)

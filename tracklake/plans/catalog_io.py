@@ -191,7 +191,7 @@ def _deltas(events):
     return events.select((F.col("user_id") % 30).alias("t"), F.col("user_id").alias("label"), size.alias("area"), (size * 2).alias("sum_z"), (size * 3).alias("sum_y"), (size * 4).alias("sum_x"), *[v.alias(k) for k, v in box.items()])
 
 
-@query("t1_live_extents", f"WITH g AS (SELECT user_id % 30 AS t, user_id AS label, CAST(sum({_SIZE}) AS BIGINT) AS area, min(CASE WHEN event_id % 2 = 0 THEN event_id % 4 END) AS z0, max(CASE WHEN event_id % 2 = 0 THEN event_id % 90 + 3 END) AS x1 FROM events GROUP BY user_id) SELECT t, label, area, area * 2 AS sum_z, z0, x1, CASE WHEN area < 0 THEN 'error' WHEN area = 0 THEN 'removed' ELSE 'updated' END AS change FROM g")
+@query("t1_live_extents", f"WITH g AS (SELECT user_id % 30 AS t, user_id AS label, CAST(sum({_SIZE}) AS BIGINT) AS area, min(CASE WHEN event_id % 2 = 0 THEN event_id % 4 END) AS z0, max(CASE WHEN event_id % 2 = 0 THEN event_id % 90 + 3 END) AS x1 FROM events WHERE user_id <> 0 GROUP BY user_id) SELECT t, label, area, area * 2 AS sum_z, z0, x1, CASE WHEN area < 0 THEN 'error' WHEN area = 0 THEN 'removed' ELSE 'updated' END AS change FROM g")
 def t1(s, d):
     rows = T.run_available(T.stream_extents(_deltas(_stream(s, d, "events"))), mode="update")
     last = rows.groupBy("t", "label").agg(F.max_by(F.struct("area", "sum_z", "z0", "x1", "change"), "tl_batch").alias("r"))

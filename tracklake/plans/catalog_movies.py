@@ -25,7 +25,7 @@ _BROKEN = """mst AS (SELECT dataset, CASE WHEN child % 97 = 2 THEN parent + 1000
 
 
 @query("m_e12_validate_staged", f"""WITH {_BROKEN} SELECT dataset, 'dangling_child' AS rule, parent AS cell_id, 'names missing cell ' || child AS message FROM mst WHERE (dataset, child) NOT IN (SELECT (dataset, id) FROM mcells)
-UNION ALL SELECT DISTINCT l.dataset, 'not_forward', l.parent, 'child ' || l.child || ' on frame ' || c.t || ' parent on ' || p.t FROM mst l JOIN mcells p ON p.dataset = l.dataset AND p.id = l.parent JOIN mcells c ON c.dataset = l.dataset AND c.id = l.child WHERE c.t <= p.t
+UNION ALL SELECT DISTINCT l.dataset, 'not_forward', l.child, 'on frame ' || c.t || ' its parent ' || l.parent || ' on ' || p.t FROM mst l JOIN mcells p ON p.dataset = l.dataset AND p.id = l.parent JOIN mcells c ON c.dataset = l.dataset AND c.id = l.child WHERE c.t <= p.t
 UNION ALL SELECT dataset, 'many_children', parent, count(DISTINCT child) || ' children' FROM mst GROUP BY dataset, parent HAVING count(DISTINCT child) > 2
 UNION ALL SELECT dataset, 'many_parents', child, count(DISTINCT parent) || ' parents' FROM mst GROUP BY dataset, child HAVING count(DISTINCT parent) > 1
 UNION ALL SELECT DISTINCT dataset, 'link_confidence', parent, 'link to ' || child FROM mst WHERE confidence > 1""")

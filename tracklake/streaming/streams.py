@@ -45,7 +45,7 @@ def stream_extents(deltas: DataFrame) -> DataFrame:
     """Running extents of a stream of label deltas: one row for each key and micro-batch that changed it.
 
     change is updated, removed (area 0) or error (area below 0, the state keeps the
-    value before).  Empty boxes are -1.  The batch twin is ``fold_extents``.
+    value before).  Empty boxes are -1; label 0 is passed over.  The batch twin is ``fold_extents``.
     """
     sides = ("z0", "z1", "y0", "y1", "x0", "x1")
 
@@ -67,7 +67,7 @@ def stream_extents(deltas: DataFrame) -> DataFrame:
             state.update((*sums, *box))
         yield pd.DataFrame([(*key, *sums, *box, change)], columns=["t", "label", "area", "sum_z", "sum_y", "sum_x", *sides, "change"])
 
-    return deltas.groupBy("t", "label").applyInPandasWithState(fold, _EXTENT_OUT, _EXTENT_STATE, "update", GroupStateTimeout.NoTimeout)
+    return deltas.where("label <> 0").groupBy("t", "label").applyInPandasWithState(fold, _EXTENT_OUT, _EXTENT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_versions(events: DataFrame) -> DataFrame:
