@@ -637,3 +637,34 @@ def test_bricks_span_batches_and_batches_hold_many(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert A.to_chunks(v.where("c = 0 AND z = 6 AND x = 10"), (2, 4, 4), (7, 9, 11)).select("nz", "ny", "nx").distinct().count() == 2
+
+
+def test_display_rules_where_values_are_odd(spark):
+    from tracklake.functions import scalars as S
+
+    one = spark.range(1)
+
+    def value(c):
+        return one.select(c.alias("v")).first().v
+
+    assert value(S.axis_slot(F.lit("\tTime\n"))) == 0 and value(S.unit_micrometres(F.lit("\tNM "))) == 1e-3
+    assert value(S.label_name(F.lit("\t \n"))) is None and value(S.label_name(F.lit("\u2003a\tb\n"))) == "a\tb"
+    assert value(S.label_color(F.lit(" #AbCdEf\n"))) == "#abcdef" and value(S.label_color(F.lit("#abcdef0"))) is None
+    assert [value(S.channel_color(F.lit(None).cast("string"), F.lit(i))) for i in (0, 4, 6)] == ["FF0000", "FF00FF", "FF0000"]
+    assert value(S.channel_color(F.lit("##0a0b0c"), F.lit(0))) == "0A0B0C" and value(S.channel_name(F.lit(None).cast("string"), F.lit(0))) == "Channel 1"
+    assert [value(S.palette_index(F.lit(i))) for i in (0, -5, 1, 1025, 1 << 30)] == [0, 0, 0, 0, 16777214 % 1024]
+    for name in ("", "late", "é日", "a\U0001f9ec"):
+        h = 0
+        for i in range(0, len(code := name.encode("utf-16-be")), 2):
+            h = (h * 31 + int.from_bytes(code[i : i + 2])) % (1 << 32)
+        assert value(S.default_label_color(F.lit(name))) == h % 8
+    assert value(S.label_hex(F.lit(""), F.lit(None).cast("string"))) == "#ffbf69" and value(S.label_hex(F.lit("x"), F.lit("#000000"))) == "#000000"
+    assert abs(value(S.window_gamma(F.lit(0.5), 0.0, 1.0, float("nan"))) - 0.5) < 1e-12
+
+
+def test_layout_of_small_arrays_and_of_chunks_over_frames(spark):
+    levels = spark.createDataFrame([("a", 0, 4, 100, 100, 16, 256, 64, 2, 5, 4, 2, 8), ("b", 0, 0, 10, 10, 1, 10, 10, 1, 1, 1, 1, 1)], "dataset string, level int, z long, y long, x long, cz long, cy long, cx long, item_bytes long, t long, ct long, c long, cc long")
+    got = {(r.dataset, r.view): r for r in A.analyze_layout(levels).collect()}
+    r = got["a", "xy"]  # 4 frames, 2 channels, 4 x 100 x 64 voxels of 2 bytes; two chunks
+    assert (r.bytes_needed, r.bytes_decoded, r.chunks_decoded, r.hostile) == (20000, 2 * 4 * 2 * 4 * 100 * 64 * 2, 2, True)
+    assert (got["b", "xz"].bytes_needed, got["b", "xz"].amplification) == (0, 1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,13 +14,21 @@ AXIS_SLOTS = {"t": 0, "time": 0, "c": 1, "channel": 1, "ch": 1, "z": 2, "depth":
 #: Space units that are not micrometres -> micrometres.
 UNIT_MICROMETRES = {"nanometer": 1e-3, "nanometre": 1e-3, "nm": 1e-3, "millimeter": 1e3, "millimetre": 1e3, "mm": 1e3, "centimeter": 1e4, "centimetre": 1e4, "cm": 1e4, "meter": 1e6, "metre": 1e6, "m": 1e6, "angstrom": 1e-4}
 #: Channel colours by position, and label colours by hash.
-CHANNEL_COLORS = ("00FF00", "FF00FF", "00FFFF", "FFFF00", "FF0000", "0000FF")
+CHANNEL_COLORS = ("FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF")
+LABEL_COLORS = ("#ffbf69", "#5ba7ff", "#52df83", "#ff5c73", "#d67cff", "#4be0d3", "#ffe14d", "#ff9f43")
+#: Largest value of each type of pixel.
+TYPE_MOST = {"u8": 255.0, "u16": 65535.0, "u32": 4294967295.0}
 
 
 def _lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), key)
 
 
+def _trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def is_low_confidence(confidence: Column) -> Column:
     return confidence.isNotNull() & (confidence < LOW_CONFIDENCE)
 
@@ -37,11 +47,11 @@ def trail_alpha(at: Column, t: int, trail: int, most: float = 1.0, least: float
 
 
 def axis_slot(name: Column) -> Column:
-    return _lookup(F.lower(F.trim(name)), AXIS_SLOTS)
+    return _lookup(F.lower(_trimmed(name)), AXIS_SLOTS)
 
 
 def unit_micrometres(unit: Column) -> Column:
-    return F.coalesce(_lookup(F.lower(F.trim(unit)), UNIT_MICROMETRES), F.lit(1.0))
+    return F.coalesce(_lookup(F.lower(_trimmed(unit)), UNIT_MICROMETRES), F.lit(1.0))
 
 
 def combine_scales(inner: Column, outer: Column) -> Column:
@@ -50,23 +60,35 @@ def combine_scales(inner: Column, outer: Column) -> Column:
 
 
 def channel_name(name: Column, index: Column) -> Column:
-    return F.coalesce(name, F.concat(F.lit("Channel "), index.cast("string")))
+    """The stored name, else Channel 1 for index 0 and so on."""
+    return F.coalesce(name, F.concat(F.lit("Channel "), (index + 1).cast("string")))
 
 
 def channel_color(color: Column, index: Column) -> Column:
-    """Stored colour upper-cased without #, else the cycle of six."""
+    """Stored colour upper-cased without leading #, else the cycle of six by index from 0."""
     cycle = F.element_at(F.array(*[F.lit(c) for c in CHANNEL_COLORS]), (F.pmod(index, F.lit(len(CHANNEL_COLORS))) + 1).cast("int"))
-    return F.coalesce(F.upper(F.regexp_replace(color, "^#", "")), cycle)
+    return F.coalesce(F.upper(F.regexp_replace(color, "^#+", "")), cycle)
+
+
+def channel_window(least: Column, most: Column, start: Column, stop: Column, dtype: Column) -> Column:
+    """Struct least, most, start, stop: stored numbers where they are finite, else 0 to the type's largest value, and the window as wide as the limits."""
+
+    def finite(x: Column) -> Column:
+        return F.when(F.abs(F.nanvl(x.cast("double"), F.lit(None).cast("double"))) < float("inf"), x.cast("double"))
+
+    low, high = F.coalesce(finite(least), F.lit(0.0)), F.coalesce(finite(most), _lookup(dtype, TYPE_MOST))
+    return F.struct(low.alias("least"), high.alias("most"), F.coalesce(finite(start), low).alias("start"), F.coalesce(finite(stop), high).alias("stop"))
 
 
 def label_name(name: Column) -> Column:
     """Trimmed, null when nothing is left."""
-    return F.nullif(F.trim(name), F.lit(""))
+    return F.nullif(_trimmed(name), F.lit(""))
 
 
 def label_color(color: Column) -> Column:
-    """#rrggbb in lower case, null for anything else."""
-    return F.when(color.rlike("^#[0-9a-fA-F]{6}$"), F.lower(color))
+    """#rrggbb in lower case and trimmed, null for anything else."""
+    tidy = _trimmed(color)
+    return F.when(tidy.rlike(r"^#[0-9a-fA-F]{6}\z"), F.lower(tidy))
 
 
 def labels_of_json(text: Column) -> Column:
@@ -87,13 +109,20 @@ def signed_labels(add: Column, remove: Column) -> Column:
 
 
 def palette_index(label: Column) -> Column:
-    return F.pmod(F.least(label, F.lit(16777215)) - 1, F.lit(1024))
+    """0 for the background and for what is no id."""
+    return F.when(label > 0, F.pmod(F.least(label, F.lit(16777215)) - 1, F.lit(1024))).otherwise(F.lit(0))
 
 
 def default_label_color(name: Column, colors: int = 8) -> Column:
-    """Index of the default colour: h = h * 31 + code modulo 2**32 over the characters."""
-    codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 4294967296) % colors
+    """Index of the default colour: h = h * 31 + code modulo 2**32 over the UTF-16 units of the name."""
+    units = F.encode(name, "UTF-16BE")
+    codes = F.transform(F.sequence(F.lit(1), F.floor(F.length(units) / 2).cast("int")), lambda i: F.conv(F.hex(F.substring(units, 2 * i - 1, F.lit(2))), 16, 10).cast("long"))
+    return F.when(F.length(units) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 4294967296) % colors)
+
+
+def label_hex(name: Column, color: Column) -> Column:
+    """The colour a label is drawn with: its own, or the default by its name."""
+    return F.coalesce(color, F.element_at(F.array(*[F.lit(c) for c in LABEL_COLORS]), (default_label_color(name, len(LABEL_COLORS)) + 1).cast("int")))
 
 
 def color_hex(text: Column) -> Column:
@@ -159,6 +188,6 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def window_gamma(v: Column, low: float, high: float, gamma: float) -> Column:
-    """Display intensity 0 to 1: window, then gamma clamped to 0.2 to 3."""
-    g = max(0.01, min(3.0, max(0.2, gamma)))
+    """Display intensity 0 to 1: window, then gamma clamped to 0.2 to 3 (1 if it is not finite)."""
+    g = min(3.0, max(0.2, gamma)) if math.isfinite(gamma) else 1.0
     return F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / max(5e-4, high - low))), F.lit(g))

@@ -24,19 +24,28 @@ HISTOGRAM_MAX_BYTES = 64 << 20
 
 
 def analyze_layout(levels: DataFrame) -> DataFrame:
-    """(dataset, level, view, bytes_needed, chunks_decoded, column_chunks, amplification, hostile).
+    """(dataset, level, view, bytes_needed, bytes_decoded, chunks_decoded, column_chunks, amplification, hostile).
 
-    ``levels``: dataset, level, z, y, x, cz, cy, cx, item_bytes.  xy is hostile over
-    4 times the bytes needed; xz and yz over 8 chunks along the column.
+    ``levels``: dataset, level, z, y, x, cz, cy, cx, item_bytes, and t, ct, c, cc where
+    chunks span frames or channels.  A chunk is no larger than its array.  xy is hostile
+    over 4 times the bytes needed; xz and yz over 8 chunks along the column.
     """
+
+    def within(a: str) -> Column:
+        return F.least(F.greatest(F.col(f"c{a}"), F.lit(1)), F.greatest(F.col(a), F.lit(1)))
+
     grid = levels.withColumns({f"g{a}": grid_size(F.col(a), F.col(f"c{a}")) for a in "zyx"})
-    chunk = F.col("cz") * F.col("cy") * F.col("cx") * F.col("item_bytes")
+    chunk = F.col("item_bytes")
+    for a in ("t", "c", "z", "y", "x"):
+        if f"c{a}" in levels.columns:
+            chunk = chunk * within(a)
     views = F.explode(F.array(*[
         F.struct(F.lit(v).alias("view"), (F.col(a) * F.col(b) * F.col("item_bytes")).alias("bytes_needed"), (F.col(f"g{a}") * F.col(f"g{b}")).alias("chunks_decoded"), (F.lit(1).cast("long") if v == "xy" else F.col("gz")).alias("column_chunks"))
         for v, a, b in (("xy", "y", "x"), ("xz", "z", "x"), ("yz", "z", "y"))
     ]))
     out = grid.select("dataset", "level", chunk.alias("chunk_bytes"), views.alias("v")).select("dataset", "level", "chunk_bytes", "v.*")
-    out = out.withColumn("amplification", F.when(F.col("bytes_needed") == 0, 0.0).otherwise(F.col("chunks_decoded") * F.col("chunk_bytes") / F.col("bytes_needed")))
+    out = out.withColumn("bytes_decoded", F.col("chunks_decoded") * F.col("chunk_bytes"))
+    out = out.withColumn("amplification", F.when(F.col("bytes_needed") == 0, 1.0).otherwise(F.try_divide("bytes_decoded", "bytes_needed")))
     hostile = F.when(F.col("view") == "xy", F.col("amplification") > MAX_XY_AMPLIFICATION).otherwise(F.col("column_chunks") > MAX_COLUMN_CHUNKS)
     return out.withColumn("hostile", hostile).drop("chunk_bytes")
 

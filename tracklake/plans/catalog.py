@@ -741,9 +741,9 @@ def g15(s, d):
 # --- arrays and voxels -----------------------------------------------------------------
 
 
-@query("v1_layout", f"""WITH {_LEVELS}, g AS (SELECT *, greatest(1, CAST(ceil(z / cz) AS BIGINT)) AS gz, greatest(1, CAST(ceil(y / cy) AS BIGINT)) AS gy, greatest(1, CAST(ceil(x / cx) AS BIGINT)) AS gx, cz * cy * cx * item_bytes AS cb FROM lv),
+@query("v1_layout", f"""WITH {_LEVELS}, g AS (SELECT *, greatest(1, CAST(ceil(z / cz) AS BIGINT)) AS gz, greatest(1, CAST(ceil(y / cy) AS BIGINT)) AS gy, greatest(1, CAST(ceil(x / cx) AS BIGINT)) AS gx, least(cz, greatest(z, 1)) * least(cy, greatest(y, 1)) * least(cx, greatest(x, 1)) * item_bytes AS cb FROM lv),
 v AS (SELECT dataset, level, 'xy' AS view, y * x * item_bytes AS bytes_needed, gy * gx AS chunks_decoded, 1 AS column_chunks, cb FROM g UNION ALL SELECT dataset, level, 'xz', z * x * item_bytes, gz * gx, gz, cb FROM g UNION ALL SELECT dataset, level, 'yz', z * y * item_bytes, gz * gy, gz, cb FROM g)
-SELECT dataset, level, view, bytes_needed, chunks_decoded, column_chunks, CASE WHEN bytes_needed = 0 THEN 0.0 ELSE chunks_decoded * cb / bytes_needed END AS amplification, CASE WHEN view = 'xy' THEN chunks_decoded * cb / bytes_needed > 4 ELSE column_chunks > 8 END AS hostile FROM v""")
+SELECT dataset, level, view, bytes_needed, chunks_decoded * cb AS bytes_decoded, chunks_decoded, column_chunks, CASE WHEN bytes_needed = 0 THEN 1.0 ELSE chunks_decoded * cb / bytes_needed END AS amplification, CASE WHEN view = 'xy' THEN chunks_decoded * cb / bytes_needed > 4 ELSE column_chunks > 8 END AS hostile FROM v""")
 def v1(s, d):
     return A.analyze_layout(_levels(s, d))
 
@@ -1251,11 +1251,23 @@ def f3(s, d):
     return _customer(s, d).select("id", scale[0].alias("a"), scale[1].alias("b"))
 
 
-@query("f4_channel_defaults", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'GFP' ELSE 'Channel ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'AB12CD' ELSE (['00FF00', 'FF00FF', '00FFFF', 'FFFF00', 'FF0000', '0000FF'])[c_custkey % 6 + 1] END AS color FROM customer")
+@query("f4_channel_defaults", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'GFP' ELSE 'Channel ' || (c_custkey + 1) END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'AB12CD' ELSE (['FF0000', '00FF00', '0000FF', 'FFFF00', 'FF00FF', '00FFFF'])[c_custkey % 6 + 1] END AS color FROM customer")
 def f4(s, d):
     return _customer(s, d).select("id", S.channel_name(F.when(F.col("id") % 3 == 0, "GFP"), F.col("id")).alias("name"), S.channel_color(F.when(F.col("id") % 4 == 0, "#ab12cd"), F.col("id")).alias("color"))
 
 
+_KINDS = ["u8", "u16", "u32"]
+
+
+@query("f4_channel_windows", f"""WITH w AS (SELECT c_custkey AS id, CASE {_pick_sql(_KINDS)} WHEN 'u8' THEN 255.0 WHEN 'u16' THEN 65535.0 ELSE 4294967295.0 END AS full_range FROM customer), k AS (SELECT id, CAST(CASE WHEN id % 2 = 0 THEN id ELSE 0 END AS DOUBLE) AS least, CAST(CASE WHEN id % 3 = 0 THEN id + 50 ELSE full_range END AS DOUBLE) AS most FROM w)
+SELECT id, least, most, CASE WHEN id % 5 = 0 THEN id + 1.5 ELSE least END AS start, CASE WHEN id % 7 = 0 THEN id + 9.5 ELSE most END AS stop FROM k""")
+def f4b(s, d):
+    """Limits and windows of which some are stored, and some of those are not finite."""
+    k, none = F.col("id"), F.lit(None).cast("double")
+    w = S.channel_window(F.when(k % 2 == 0, k), F.when(k % 3 == 0, k + 50), F.when(k % 5 == 0, k + 1.5).otherwise(float("nan")), F.when(k % 7 == 0, k + 9.5).when(k % 11 == 0, float("inf")).otherwise(none), _pick(_KINDS))
+    return _customer(s, d).select("id", w.alias("w")).select("id", "w.*")
+
+
 _NAMES = [" a ", "", "  ", "ESI", "cell type 1 "]
 
 
@@ -1264,10 +1276,10 @@ def f5(s, d):
     return _customer(s, d).select("id", S.label_name(_pick(_NAMES)).alias("name"))
 
 
-_COLORS = ["#AABBCC", "#abc", "red", "#00ff7F", "#12345g"]
+_COLORS = ["#AABBCC", " #aaBBdd ", "#abc", "red", "#00ff7F", "#12345g"]
 
 
-@query("f6_label_color", f"SELECT c_custkey AS id, CASE WHEN regexp_full_match({_pick_sql(_COLORS)}, '#[0-9a-fA-F]{{6}}') THEN lower({_pick_sql(_COLORS)}) END AS color FROM customer")
+@query("f6_label_color", f"SELECT c_custkey AS id, CASE WHEN regexp_full_match(trim({_pick_sql(_COLORS)}), '#[0-9a-fA-F]{{6}}') THEN lower(trim({_pick_sql(_COLORS)})) END AS color FROM customer")
 def f6(s, d):
     return _customer(s, d).select("id", S.label_color(_pick(_COLORS)).alias("color"))
 
@@ -1299,9 +1311,9 @@ def f10(s, d):
     return out.withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", "k")).alias("name"))
 
 
-@query("f11_palette_index", "SELECT id, (least(id * 5000, 16777215) - 1) % 1024 AS slot FROM base")
+@query("f11_palette_index", "SELECT id, CASE WHEN id % 7 = 0 THEN 0 ELSE (least(id * 5000, 16777215) - 1) % 1024 END AS slot FROM base")
 def f11(s, d):
-    return X.base(s, d).select("id", S.palette_index(F.col("id") * 5000).alias("slot"))
+    return X.base(s, d).select("id", S.palette_index(F.when(F.col("id") % 7 == 0, 0).otherwise(F.col("id") * 5000)).alias("slot"))
 
 
 @query("f12_default_color", "SELECT DISTINCT event_type AS name, list_reduce(list_concat([0::BIGINT], list_transform(string_split(event_type, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS slot FROM events")
