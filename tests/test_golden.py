@@ -503,7 +503,7 @@ def test_broken_documents_name_the_record():
 
 def test_documents_come_back_as_they_went(spark, tmp_path, seeded):
     cells, links = seeded
-    extra = {"seg_id": F.when(F.col("id") == 2, 5).cast("long"), "detection_confidence": F.col("id") / 10.0, "state": F.when(F.col("id") == 3, "dividing").otherwise("normal"), "labels": F.when(F.col("id") == 1, F.array(F.lit("a,b"))), "track_labels": F.lit(None).cast("array<string>")}
+    extra = {"seg_id": F.when(F.col("id") == 2, 5).cast("long"), "detection_confidence": F.col("id") / 10.0, "state": F.when(F.col("id") == 3, "dividing").otherwise("normal"), "labels": F.when(F.col("id") == 1, F.array(F.lit("a,b"))), "track_labels": F.lit(None).cast("array<string>"), "features": F.when(F.col("id") == 2, '{"note":"x","size":{"um":[1.5,2]}}').when(F.col("id") == 4, "{}")}
     cells = cells.withColumns(extra)
     both = cells.withColumn("dataset", F.lit("a/b")).unionByName(cells.where("id < 4").withColumn("dataset", F.lit("c")))
     lk = links.withColumn("dataset", F.lit("a/b")).unionByName(links.where("child < 4").withColumn("dataset", F.lit("c")))
@@ -516,6 +516,10 @@ def test_documents_come_back_as_they_went(spark, tmp_path, seeded):
     want = tracking.tracking_records(both, lk).drop("dataset")
     assert tracking.round_trip_differences(want, records.select(want.columns)).count() == 0
     first = [json.loads(x)["id"] for x in tracking.document_records(gzip.open(next((tmp_path / "out").glob("a*/tracking.json.gz"))))]
+    full = {r["id"]: r for r in map(json.loads, tracking.document_records(gzip.open(next((tmp_path / "out").glob("a*/tracking.json.gz")))))}
+    assert full[1]["state"] == "normal" and full[2]["features"] == {"note": "x", "size": {"um": [1.5, 2]}} and "features" not in full[4]
+    back = tracking.stage(records.drop("file").where("id < 5").dropDuplicates(["id"]))[0]
+    assert {r.id: r.features for r in back.collect()} == {1: None, 2: '{"note":"x","size":{"um":[1.5,2]}}', 3: None, 4: None}
     assert first == [1, 2, 3, 4, 5, 6, 7] and not list((tmp_path / "out").rglob("0*-*"))
 
 

@@ -115,7 +115,7 @@ OPERATORS = {
     "V7": lambda m: A.rechunk(bricks(m), (3, 3, 2), (3, 4, 5)), "V8": lambda m: A.build_proxy(bricks(m), (3, 4, 5), 3), "V9": lambda m: L.stamp_runs(m["stamps"], (8, 16, 16)), "V10": lambda m: L.rasterize_strokes(m["stamps"], (8, 16, 16)), "V11": lambda m: L.apply_strokes(m["runs"], m["strokes"]), "V11 deltas": lambda m: L.change_deltas(L.apply_strokes(m["runs"], m["strokes"])[1]),
     "V12": lambda m: L.clear_label(m["runs"], 3, 2, (0, 5, 0, 5, 10, 90)), "V13": lambda m: L.affected_chunks(m["runs"], (1, 4, 32)), "V14": lambda m: L.regenerate_coarse(m["runs"], (1, 2, 2)), "V15": lambda m: L.label_pyramid(m["runs"], (3, 6, 150), (3, 4, 70)), "V17": lambda m: L.label_outline(m["runs"], (6, 150)), "V18": lambda m: A.build_pyramid(m["voxels"], 4, 5, 2), "V20": lambda m: A.to_world(m["cells"], (2.0, 1.0, 1.0)),
     "V23": lambda m: L.set_digest(L.stamp_runs(m["stamps"], (8, 16, 16)), ("stroke",)), "V24": lambda m: A.segment(bricks(m), lambda a: a > 30000), "V25": lambda m: L.thin_stamps(m["points"], "stroke", 9.0, limit=4), "V26": lambda m: L.plane_spans(m["runs"], "y", 2, (1, 1, 2)), "S11": lambda m: L.narrow_dtype(m["runs"]), "S3": lambda m: R.staging_duplicates(m["cells"].unionByName(m["cells"].where("id = 3")), m["both"]),
-    "S2": lambda m: tracking.stage(tracking.tracking_records(m["cells"], m["links"]).withColumns({"parent": F.lit(None).cast("struct<id:bigint,confidence:double>"), "features": F.lit(None).cast("map<string,double>")})), "E1": lambda m: E.fold_extents(inventory(m), m["old"]), "E2": lambda m: E.ensure_extent(m["old"], m["runs"], inventory(m)), "E3": lambda m: E.before_edit(inventory(m), m["old"]),
+    "S2": lambda m: tracking.stage(tracking.tracking_records(m["cells"], m["links"]).withColumns({"parent": F.lit(None).cast("struct<id:bigint,confidence:double>"), "features": F.lit(None).cast("variant")})), "E1": lambda m: E.fold_extents(inventory(m), m["old"]), "E2": lambda m: E.ensure_extent(m["old"], m["runs"], inventory(m)), "E3": lambda m: E.before_edit(inventory(m), m["old"]),
     "E4": lambda m: E.upsert_cells(m["cells"], inventory(m)), "E5": lambda m: tuple(v for _, v in sorted(E.remove_cells(m["cells"], m["links"], m["mask"], m["ids"]).items())), "E6": lambda m: E.restore_cells(m["cells"].where("id > 2"), m["links"].where("parent > 2"), m["mask"], m["cells"].where("id < 4"), m["links"].where("parent < 4")), "E7": lambda m: E.materialize(m["cells"].where("id > 4"), m["cells"].where("id < 9")),
     "E8": lambda m: E.negate(m["old"]), "E9": lambda m: E.check_frame(m["cells"], m["old"]), "E10": lambda m: R.reserve_ids(m["cells"], m["mask"], 4, 9), "E11": lambda m: E.import_blocker(m["links"], m["edits"]), "L1": lambda m: E.record(m["edits"], m["blobs"], m["op"]), "L2 extents": lambda m: E.replay_extents(m["old"], m["edits"], m["old"].withColumn("seq", F.col("label"))), "L2": lambda m: E.replay_last(m["edits"], m["writes"], "id", "track_id"),
     "L2 graph": lambda m: E.replay_graph(m["cells"], m["links"], m["edits"], m["ops"]), "L3": lambda m: E.recover(m["edits"], m["chunks"], m["blobs"]), "L4": lambda m: E.mark_undone(m["edits"], m["blobs"], True), "L4 delete": lambda m: E.delete_edits(m["edits"], m["blobs"], m["op"]), "L5": lambda m: E.versions(m["edits"]),

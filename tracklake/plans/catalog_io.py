@@ -23,7 +23,7 @@ def _records(s, d):
     return tracking.tracking_records(c.withColumn("detection_confidence", F.when(F.col("id") % 19 != 0, F.col("detection_confidence"))), X.links(s, d))
 
 
-_RECORD_SQL = "SELECT id, t, nullif(seg_id, id) AS seg_id, track_id, z, coalesce((SELECT string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) FROM links l WHERE l.parent = c.id), '') AS children, CASE WHEN id % 19 <> 0 THEN detection_confidence END AS confidence, nullif(state, 'normal') AS state, coalesce(array_to_string(labels, ','), '') AS labels FROM cells c"
+_RECORD_SQL = "SELECT id, t, nullif(seg_id, id) AS seg_id, track_id, z, coalesce((SELECT string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) FROM links l WHERE l.parent = c.id), '') AS children, CASE WHEN id % 19 <> 0 THEN detection_confidence END AS confidence, state, coalesce(array_to_string(labels, ','), '') AS labels FROM cells c"
 
 
 def _flat(records):
@@ -43,7 +43,7 @@ def s1(s, d):
 
 @query("s2_staging", "SELECT 'cell' AS kind, id AS a, t AS b, CASE WHEN id % 19 <> 0 THEN detection_confidence END AS confidence FROM cells UNION ALL SELECT 'children', parent, child, confidence FROM links UNION ALL SELECT 'report', (SELECT count(*) FROM cells), (SELECT max(id) FROM cells), (SELECT CAST(count(*) AS DOUBLE) FROM links)")
 def s2(s, d):
-    cells, links, report = tracking.stage(_records(s, d).withColumns({"parent": F.lit(None).cast("struct<id:bigint,confidence:double>"), "features": F.lit(None).cast("map<string,double>")}))
+    cells, links, report = tracking.stage(_records(s, d).withColumns({"parent": F.lit(None).cast("struct<id:bigint,confidence:double>"), "features": F.try_parse_json(F.format_string('{"size":%d}', "id"))}))
     rows = cells.select(F.lit("cell").alias("kind"), F.col("id").alias("a"), F.col("t").alias("b"), "confidence")
     rows = rows.union(links.select("side", "parent", "child", "confidence"))
     return rows.union(report.select(F.lit("report"), "cells", "max_id", F.col("links").cast("double")))

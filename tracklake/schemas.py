@@ -15,8 +15,8 @@ RUNS = "t BIGINT, z BIGINT, y BIGINT, x0 BIGINT, x1 BIGINT, label BIGINT"
 CHUNKS = "layer STRING, level INT, t BIGINT, c BIGINT, gz BIGINT, gy BIGINT, gx BIGINT, oz BIGINT, oy BIGINT, ox BIGINT, nz BIGINT, ny BIGINT, nx BIGINT, dtype STRING, data BINARY"
 EDITS = "seq BIGINT, ts TIMESTAMP, domain STRING, op STRING, inverse STRING, undone BOOLEAN, pending BOOLEAN"
 EDIT_BLOBS = "seq BIGINT, chunk_key STRING, existed BOOLEAN, before BINARY"
-#: one cell of a tracking document
+#: one cell of a tracking document; features are a JSON object of any values
 RECORD = (
     "id BIGINT, t BIGINT, seg_id BIGINT, track_id BIGINT, centroid ARRAY<DOUBLE>, children ARRAY<STRUCT<id: BIGINT, confidence: DOUBLE>>, parent STRUCT<id: BIGINT, confidence: DOUBLE>, "
-    "confidence DOUBLE, state STRING, labels ARRAY<STRING>, track_labels ARRAY<STRING>, features MAP<STRING, DOUBLE>"
+    "confidence DOUBLE, state STRING, labels ARRAY<STRING>, track_labels ARRAY<STRING>, features VARIANT"
 )

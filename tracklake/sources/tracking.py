@@ -175,7 +175,7 @@ def stage(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = by(records)
     cells = records.select(
         *own, "id", "t", "seg_id", "track_id", *[F.get("centroid", i).alias(a) for i, a in enumerate("zyx")], F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence"), "state",
-        F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), F.when(F.size("track_labels") > 0, F.col("track_labels")).alias("track_labels"), F.to_json("features").alias("features"),
+        F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), F.when(F.size("track_labels") > 0, F.col("track_labels")).alias("track_labels"), F.when(~F.to_json("features").isin("{}", "null"), F.to_json("features")).alias("features"),
     )
     down = records.select(*own, F.col("id").alias("parent"), F.explode("children").alias("c")).select(*own, "parent", F.col("c.id").alias("child"), F.col("c.confidence").alias("confidence"), F.lit("children").alias("side"))
     up = records.where("parent IS NOT NULL").select(*own, F.col("parent.id").alias("parent"), F.col("id").alias("child"), F.col("parent.confidence").alias("confidence"), F.lit("parent").alias("side"))
@@ -186,14 +186,21 @@ def stage(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def tracking_records(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Records of a graph: links on the children side only, by child; empty fields null, so they are left out on writing."""
+    """Records of a graph: links on the children side only, by child; empty fields null, so they are left out on writing.
+
+    Features are the JSON object that ``cells`` hold as text, if they have that column.
+    """
     own = by(cells, links)
     kids = links.groupBy(*own, F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("child").alias("id"), "confidence"))).alias("children"))
     placed = F.when(F.col("z").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull(), F.array("z", "y", "x"))
+    features = F.lit(None).cast("variant")
+    if "features" in cells.columns:
+        features = F.when(F.col("features") != "{}", F.try_parse_json("features"))
     out = R.export_record(cells).join(kids, [*own, "id"], "left")
     return out.select(
-        *own, "id", "t", F.col("stored_seg").alias("seg_id"), "track_id", placed.alias("centroid"), "children", F.col("detection_confidence").alias("confidence"), F.nullif("state", F.lit("normal")).alias("state"),
+        *own, "id", "t", F.col("stored_seg").alias("seg_id"), "track_id", placed.alias("centroid"), "children", F.col("detection_confidence").alias("confidence"), "state",
         F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), F.when(F.size("track_labels") > 0, F.col("track_labels")).alias("track_labels"),
+        features.alias("features"),
     )
 
 
