@@ -110,11 +110,15 @@ def volume(voxels: DataFrame, levels: DataFrame, t: int, c: int, limit: int = MA
 
 
 def sample_points(voxels: DataFrame, points: DataFrame, dims: dict[str, int]) -> DataFrame:
-    """``points`` (id, t, c, z, y, x) with value and, out of bounds, the name of the first bad axis."""
+    """``points`` (id, t, c, z, y, x) with value and, out of bounds, the name of the first bad axis.
+
+    The two meet by a merge join: Spark takes voxels made by ``explode`` for as few as
+    the rows they came from, and would send a whole image to every task.
+    """
     own = by(voxels, points)
     bad = F.coalesce(*[F.when(~F.col(a).between(0, dims[a] - 1), F.lit(a)) for a in "tczyx"], F.lit(None).cast("string"))
     marked = points.withColumn("bad_axis", bad)
-    return marked.join(voxels, [*own, *"tczyx"], "left").select(*own, "id", F.when(F.col("bad_axis").isNull(), F.coalesce("value", F.lit(0))).alias("value"), "bad_axis")
+    return marked.join(voxels.hint("merge"), [*own, *"tczyx"], "left").select(*own, "id", F.when(F.col("bad_axis").isNull(), F.coalesce("value", F.lit(0))).alias("value"), "bad_axis")
 
 
 def histogram(voxels: DataFrame, ceiling: int = 65535, brick: tuple[int, int, int] | None = None, max_samples: int = HISTOGRAM_MAX_SAMPLES) -> DataFrame:
