@@ -10,3 +10,9 @@ def _plan(frame) -> str:
 def test_samples_do_not_send_the_image_to_every_task(spark, sf_dir):
     plan = _plan(entry.queries()["v6_samples"](spark, sf_dir))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_small_tables_are_dealt_over_all_partitions(spark, sf_dir):
+    from tracklake.plans import fixtures
+
+    assert fixtures.base(spark, sf_dir).rdd.getNumPartitions() == 4
