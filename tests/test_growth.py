@@ -16,3 +16,20 @@ def test_small_tables_are_dealt_over_all_partitions(spark, sf_dir):
     from tracklake.plans import fixtures
 
     assert fixtures.base(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_dense_frames_give_the_same_candidates(spark):
+    import random
+
+    from tracklake.operators import linking as K
+
+    r = random.Random(5)
+    cells = [(i, i % 2, r.choice([1.0, 1.0, 1.25]), *([3.0, 3.0] if i % 5 == 0 else [r.random() * 4, r.random() * 4] if i % 3 else [r.random() * 60, r.random() * 60])) for i in range(1200)]
+    want = []
+    for j, t, *b in cells:
+        near = sorted((d, i) for i, s, *a in cells if s == t - 1 and (d := sum((v - u) * (v - u) for u, v in zip(a, b, strict=True))) <= 225)
+        want += [(t - 1, t, i, j) for _, i in near[:5]]
+    frame = K.distance_candidates(spark.createDataFrame(cells, "id long, t long, z double, y double, x double"), 15.0, 5)
+    assert sorted(tuple(x)[:4] for x in frame.collect()) == sorted(want)
+    pairs = frame._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert pairs >= 2  # the search for a bound, then the search within it
