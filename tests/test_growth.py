@@ -33,3 +33,29 @@ def test_dense_frames_give_the_same_candidates(spark):
     assert sorted(tuple(x)[:4] for x in frame.collect()) == sorted(want)
     pairs = frame._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
     assert pairs >= 2  # the search for a bound, then the search within it
+
+
+def test_outline_adds_masks_not_lists_and_meets_only_what_overlaps(spark):
+    """Runs that fill a tile, cross tiles and share rows, against the rule pixel by pixel."""
+    import random
+
+    from tracklake.operators import labels as L
+
+    r = random.Random(3)
+    spans = []
+    for y in range(6):
+        x = r.randrange(9)
+        while x < 200:
+            n = 130 if y == 3 else r.choice([1, 2, 5, 64])
+            spans.append((0, y, x, min(x + n - 1, 199), r.randrange(1, 4)))
+            x += n + r.choice([0, 0, 1, 4])
+    value = {(y, x): label for _, y, x0, x1, label in spans for x in range(x0, x1 + 1)}
+    want = {}
+    for (y, x), own in value.items():
+        for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if 0 <= v < 6 and 0 <= u < 200 and value.get((v, u)) != own:
+                for p in ((y, x), *(() if (v, u) in value else ((v, u),))):
+                    want[p] = min(want.get(p, own), own)
+    out = L.label_outline(spark.createDataFrame(spans, "t long, y long, x0 long, x1 long, label long"), (6, 200))
+    assert {(r.y, r.x): r.owner for r in out.collect()} == want
+    assert "collect_list" not in _plan(out)

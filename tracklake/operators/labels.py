@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracklake.operators.keys import by
 from tracklake.schemas import MAX_LABEL_ID
 
-#: Voxels of a tile: spans are cut at tile borders before they meet, so a key holds no more than a tile's width of spans that do not overlap.
+#: Voxels of a tile, as many as a long has bits: spans are cut at tile borders before they meet, so a key holds no more than a tile's width of spans that do not overlap.
 TILE = 64
 
 
@@ -345,11 +345,21 @@ def label_outline(runs: DataFrame, size: tuple[int, int]) -> DataFrame:
     near = cut.select(*plane, "tile", F.col("y").alias("own_y"), "x0", "x1", F.col("label").alias("owner"), F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y")).where(F.col("y").between(0, height - 1))
     other = cut.select(*plane, "y", "tile", F.col("x0").alias("u0"), F.col("x1").alias("u1"), "label")
     mine = [*plane, "tile", "own_y", "y", "x0", "x1", "owner"]
-    span = F.when(F.col("u0").isNotNull() & (F.col("u0") <= F.col("x1")) & (F.col("u1") >= F.col("x0")), F.sequence(F.greatest("x0", "u0"), F.least("x1", "u1")))
-    over = near.join(other, [*plane, "y", "tile"], "left").groupBy(*mine).agg(F.flatten(F.collect_list(F.when(F.col("label") == F.col("owner"), span))).alias("same"), F.flatten(F.collect_list(span)).alias("any"))
-    whole = F.sequence("x0", "x1")
-    inner = over.select(*plane, F.col("own_y").alias("y"), F.explode(F.array_except(whole, "same")).alias("x"), "owner")
-    outer = over.select(*plane, "y", F.explode(F.array_except(whole, "any")).alias("x"), "owner")
+    # a tile is as wide as a long: what lies over a piece of a run is a mask of its pixels, and masks add up without lists
+    same_row = [F.col(c).alias(f"k_{c}") for c in (*plane, "y", "tile")]
+    meets = (F.col("u0") <= F.col("x1")) & (F.col("u1") >= F.col("x0"))
+    for c in (*plane, "y", "tile"):
+        meets = meets & (F.col(f"k_{c}") == F.col(c))
+    low, high = F.greatest("x0", "u0"), F.least("x1", "u1")
+    bits = near.join(other.select(*same_row, "u0", "u1", "label"), meets, "left").select(*mine, "label", (low - F.col("tile") * TILE).cast("int").alias("at"), F.when(F.col("u0").isNotNull(), high - low + 1).cast("int").alias("n"))
+    bits = bits.withColumn("mask", F.expr(f"if(n IS NULL, 0L, shiftleft(shiftrightunsigned(-1L, {TILE} - n), at))"))
+    over = bits.groupBy(*mine).agg(F.bit_or(F.when(F.col("label") == F.col("owner"), F.col("mask")).otherwise(0)).alias("same"), F.bit_or("mask").alias("any"))
+
+    def left_of(mask: str) -> Column:
+        return F.explode(F.expr(f"filter(sequence(x0, x1), x -> (shiftright({mask}, CAST(x - tile * {TILE} AS INT)) & 1L) = 0)")).alias("x")
+
+    inner = over.select(*plane, F.col("own_y").alias("y"), left_of("same"), "owner")
+    outer = over.select(*plane, "y", left_of("any"), "owner")
     return ends.unionByName(inner).unionByName(outer).groupBy(*plane, "y", "x").agg(F.min("owner").alias("owner"))
 
 
