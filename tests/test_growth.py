@@ -59,3 +59,16 @@ def test_outline_adds_masks_not_lists_and_meets_only_what_overlaps(spark):
     out = L.label_outline(spark.createDataFrame(spans, "t long, y long, x0 long, x1 long, label long"), (6, 200))
     assert {(r.y, r.x): r.owner for r in out.collect()} == want
     assert "collect_list" not in _plan(out)
+
+
+def test_chunk_table_has_a_folder_for_many_frames(spark, tmp_path):
+    from tracklake.sources import stores
+
+    row = "'image' AS layer, 0 AS level, id AS t, 0L AS c, 0L AS gz, 0L AS gy, 0L AS gx, 0L AS oz, 0L AS oy, 0L AS ox, 1L AS nz, 1L AS ny, 1L AS nx, 'u8' AS dtype, X'07' AS data"
+    chunks = spark.range(300).selectExpr(*row.split(", "))
+    stores.write_chunks(chunks, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out/chunks").rglob("*.parquet"))) <= 10  # 300 frames, 64 to a folder
+    again = stores.read_written_chunks(spark, str(tmp_path / "out"))
+    assert again.columns == chunks.columns and again.exceptAll(chunks).isEmpty() and again.count() == 300
+    assert [r.t for r in again.where("t = 77").collect()] == [77]
+    assert spark.read.json(str(tmp_path / "out/levels")).count() == 1

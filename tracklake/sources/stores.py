@@ -265,14 +265,27 @@ def write_files(files: DataFrame) -> int:
     return files.select("path", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+#: Frames of one folder of a chunk table.
+FRAMES = 64
+
+
 def write_chunks(chunks: DataFrame, path: str, scale: tuple[float, float, float] | None = None) -> None:
-    """Parquet by movie (where there are many), layer, level and t, so a plane or a time point prunes to its files; one row of metadata for each level beside it."""
+    """Parquet by movie (where there are many), layer, level and :data:`FRAMES` frames, sorted by t; one row of metadata for each level beside it.
+
+    A plane or a time point prunes by layer and level to folders, and by t to files
+    and pages through their statistics.  Folders and files grow with the bytes and with
+    every 64 frames; the levels are read off what was written, so chunks are made once.
+    """
     own = by(chunks)
-    chunks.write.mode("overwrite").partitionBy(*own, "layer", "level", "t").parquet(f"{path}/chunks")
-    levels = chunks.groupBy(*own, "layer", "level").agg(F.max(F.col("oz") + F.col("nz")).alias("z"), F.max(F.col("oy") + F.col("ny")).alias("y"), F.max(F.col("ox") + F.col("nx")).alias("x"), F.max("nz").alias("cz"), F.max("ny").alias("cy"), F.max("nx").alias("cx"), F.first("dtype").alias("dtype"))
+    folder = [*own, "layer", "level", "frames"]
+    placed = chunks.withColumn("frames", F.expr(f"t div {FRAMES}")).hint("rebalance", *[F.col(c) for c in folder])
+    placed.sortWithinPartitions(*folder, "t").write.mode("overwrite").partitionBy(*folder).parquet(f"{path}/chunks")
+    written = read_written_chunks(chunks.sparkSession, path, chunks.schema["dataset"].dataType.simpleString() if own else None)
+    levels = written.groupBy(*own, "layer", "level").agg(F.max(F.col("oz") + F.col("nz")).alias("z"), F.max(F.col("oy") + F.col("ny")).alias("y"), F.max(F.col("ox") + F.col("nx")).alias("x"), F.max("nz").alias("cz"), F.max("ny").alias("cy"), F.max("nx").alias("cx"), F.first("dtype").alias("dtype"))
     levels.withColumn("scale", F.lit(json.dumps(scale))).coalesce(1).write.mode("overwrite").json(f"{path}/levels")
 
 
 def read_written_chunks(spark: SparkSession, path: str, movies: str | None = None) -> DataFrame:
     """Chunks of :func:`write_chunks`; ``movies`` is the type of the dataset column, where they have one."""
-    return spark.read.schema(CHUNKS + (f", dataset {movies}" if movies else "")).parquet(f"{path}/chunks")
+    schema = CHUNKS + (f", dataset {movies}" if movies else "")
+    return spark.read.schema(f"{schema}, frames BIGINT").parquet(f"{path}/chunks").select([c.split()[0] for c in schema.split(", ")])
