@@ -422,7 +422,9 @@ def _fold_bricks(pieces: DataFrame, key: list[str], brick: tuple[int, int, int],
 
         return gathered(rows(), target)
 
-    return pieces.select(*head, *extra).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    # an explicit number: partitions that are small as voxels are not merged, since what is made of them is large
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.select(*head, *extra).repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 def to_chunks(voxels: DataFrame, brick: tuple[int, int, int], dims: tuple[int, int, int] | DataFrame, dtype: str = "u16", layer: str = "image", level: int = 0) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tracklake.operators import graph, labels
 
+#: Events of one partition, some 2 million voxels of images.
+PART = 50_000
+
 DIMS = {"t": 30, "z": 8, "y": 512, "x": 512}
 
 CTES: dict[str, str] = {
@@ -79,11 +82,12 @@ def oracle(body: str) -> str:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events are dealt by user once, over all shuffle partitions: what later steps make of a detection (voxels, stamps, images) is
+    """Events are dealt by user once, over all shuffle partitions and no more than :data:`PART` to each: what later steps make of a detection (voxels, stamps, images) is
     many times its size, so partitions that Spark merges for being small would become too large there."""
     day = F.to_date("ts")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("id"), "user_id", "event_type", "value", "ts", day.alias("day"))
-    events = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // PART))
+    events = events.repartition(parts, "user_id")
     first = events.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "id"))).where("k = 1")
     return first.select("id", "user_id", "event_type", "value", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("t"), F.row_number().over(Window.partitionBy("user_id").orderBy("day")).alias("n"))
 
