@@ -72,3 +72,22 @@ def test_chunk_table_has_a_folder_for_many_frames(spark, tmp_path):
     assert again.columns == chunks.columns and again.exceptAll(chunks).isEmpty() and again.count() == 300
     assert [r.t for r in again.where("t = 77").collect()] == [77]
     assert spark.read.json(str(tmp_path / "out/levels")).count() == 1
+
+
+def test_stores_are_walked_by_tasks(spark, tmp_path, monkeypatch):
+    """No Spark reader lists the store, and what lies below an array is left alone."""
+    import json
+
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from tracklake.sources import stores
+
+    image = tmp_path / "deep" / "image 1.zarr"
+    (image / "0" / "0" / "junk").mkdir(parents=True)
+    (image / ".zattrs").write_text(json.dumps({"multiscales": [{"axes": [{"name": a} for a in "zyx"], "datasets": [{"path": "0"}]}]}))
+    (image / "0" / ".zarray").write_text(json.dumps({"shape": [1, 2, 2], "chunks": [1, 2, 2], "dtype": "|u1"}))
+    (image / "0" / "0" / "junk" / "zarr.json").write_text(json.dumps({"node_type": "array", "shape": [9, 9]}))
+    (tmp_path / "deep" / "zarr.json").write_text("no document")
+    monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: 1 / 0)
+    levels, _ = stores.catalog(spark, str(tmp_path))
+    assert [(r.array.rsplit("/", 2)[1:], r.shape, r.separator) for r in levels.collect()] == [(["image 1.zarr", "0"], [1, 2, 2], ".")]

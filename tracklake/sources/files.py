@@ -24,6 +24,14 @@ def open_file(path: str, compression: str | None = None):
     return system.open_input_stream(where, compression=compression)
 
 
+def folders_of(path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    from pyarrow import fs
+
+    system, where = _at(path)
+    return [x.base_name for x in system.get_file_info(fs.FileSelector(where)) if x.type == fs.FileType.Directory]
+
+
 def create_file(path: str):
     system, where = _at(path)
     system.create_dir(where.rsplit("/", 1)[0])

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tracklake.operators.arrays import arrow_schema, crosses, gathered, resolve_axes, with_movie
 from tracklake.operators.graph import number_rows
 from tracklake.operators.keys import by
+from tracklake.plans.staging import staged_count
 from tracklake.schemas import CHUNKS
-from tracklake.sources.files import create_file, move_file, open_file
+from tracklake.sources.files import create_file, folders_of, move_file, open_file
 
 _ARRAY_META = (
     "shape ARRAY<BIGINT>, chunks ARRAY<BIGINT>, dtype STRING, data_type STRING, chunk_grid STRUCT<configuration: STRUCT<chunk_shape: ARRAY<BIGINT>>>, dimension_names ARRAY<STRING>, node_type STRING, "
@@ -29,40 +30,52 @@ _OMERO = "STRUCT<channels: ARRAY<STRUCT<label: STRING, color: STRING, window: ST
 DTYPES = {"|u1": "u8", "<u2": "u16", "<u4": "u32", "uint8": "u8", "uint16": "u16", "uint32": "u32"}
 
 
-def _hidden_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """(value, path) of .zattrs and .zarray, which Spark's readers skip as hidden files.
-
-    The walk visits groups and arrays, never the chunks below an array: a few small
-    files for each image.
-    """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, open_folders = [], [top]
-    while open_folders:
-        here = list(system.listStatus(open_folders.pop()))
-        names = {x.getPath().getName() for x in here}
-        for x in here:
-            name = x.getPath().getName()
-            if name in (".zattrs", ".zarray"):
-                stream = system.open(x.getPath())
-                found.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), x.getPath().toString()))
-                stream.close()
-            elif x.isDirectory() and ".zarray" not in names and name != "c":
-                open_folders.append(x.getPath())
-    return spark.createDataFrame(found, "value string, path string")
-
-
 def _one_form(path):
     """``file:/x`` and ``file:///x`` are one path; Spark's readers give either."""
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _metadata(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "zarr.json").text(root)
-    both = files.select("value", F.col("_metadata.file_path").alias("path")).unionByName(_hidden_metadata(spark, root))
-    path = _one_form("path")
-    return both.select("value", F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"))
+    """(value, folder, file) of every zarr.json, .zattrs and .zarray of groups and arrays below ``root``.
+
+    Tasks walk the folders, one level of them in a round, and stop at arrays: their
+    chunks are never listed, and neither folders nor documents pass the driver.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    start = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.string()) for c in ("folder", "file", "value", "child")])
+        for batch in batches:
+            rows = []
+            for folder in batch.column("folder").to_pylist():
+                found = {}
+                for name in ("zarr.json", ".zattrs", ".zarray"):
+                    try:
+                        with open_file(f"{folder}/{name}") as file:
+                            found[name] = file.read().decode()
+                    except FileNotFoundError:
+                        continue
+                rows += [{"folder": folder, "file": name, "value": value} for name, value in found.items()]
+                if ".zarray" not in found and not _is_array(found.get("zarr.json")):
+                    rows += [{"child": f"{folder}/{name}"} for name in folders_of(folder) if name != "c"]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    out, here, left = None, spark.createDataFrame([(start,)], "folder string"), 1
+    while left:
+        seen, left = staged_count(here.repartition(parts, "folder").mapInArrow(look, "folder string, file string, value string, child string"), "walk", F.col("child").isNotNull())
+        found = seen.where("file IS NOT NULL").select("value", _one_form("folder").alias("folder"), "file")
+        out = found if out is None else out.unionByName(found)
+        here = seen.where("child IS NOT NULL").select(F.col("child").alias("folder"))
+    return out
+
+
+def _is_array(document: str | None) -> bool:
+    try:
+        return json.loads(document or "{}").get("node_type") == "array"
+    except (ValueError, AttributeError):
+        return False
 
 
 def _attribute(name: str):
