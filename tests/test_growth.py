@@ -91,3 +91,28 @@ def test_stores_are_walked_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: 1 / 0)
     levels, _ = stores.catalog(spark, str(tmp_path))
     assert [(r.array.rsplit("/", 2)[1:], r.shape, r.separator) for r in levels.collect()] == [(["image 1.zarr", "0"], [1, 2, 2], ".")]
+
+
+def test_no_movie_is_numbered_in_one_task(spark, sf_dir):
+    from tracklake.plans import fixtures
+
+    ids = fixtures.movie_ids(spark, sf_dir)
+    assert ids.select("dataset").distinct().count() == 7
+    windows = [line for line in _plan(ids).splitlines() if "row_number" in line and "Window" in line]
+    assert windows and all("tl_part" in line for line in windows)
+
+
+def test_identities_sort_few_tables_in_a_stage(spark):
+    """A stage holds all its sorts at once, so what is joined last comes from stored tables."""
+    from tracklake.operators import graph as G
+
+    cells = spark.range(1, 9).selectExpr("'m' AS dataset", "id", "id AS track_id")
+    links = spark.range(1, 8).selectExpr("'m' AS dataset", "id AS parent", "id + 1 AS child")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = G.rematerialize(cells, links, links.where("child <> 5"), 20)
+        sorts = _plan(out).count("Sort [")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorts <= 8
+    assert sorted((r.id, r.old, r.new) for r in out.collect()) == [(i, i, 1 if i < 5 else 20) for i in range(1, 9)]
