@@ -116,3 +116,14 @@ def test_identities_sort_few_tables_in_a_stage(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorts <= 8
     assert sorted((r.id, r.old, r.new) for r in out.collect()) == [(i, i, 1 if i < 5 else 20) for i in range(1, 9)]
+
+
+def test_link_edits_derive_their_detections_once(spark, sf_dir, monkeypatch):
+    from tracklake.plans import fixtures
+
+    seen, members = [], fixtures.members
+    monkeypatch.setattr(fixtures, "members", lambda *a: seen.append(1) or members(*a))
+    for name in ("g4_rematerialize", "g5_link", "g6_cut", "g7_unlink", "m_g6_cut"):
+        seen.clear()
+        plan = _plan(entry.queries()[name](spark, sf_dir))
+        assert len(seen) == 1 and "events.parquet" not in plan, name

@@ -584,8 +584,7 @@ def u5(s, d):
 _AFTER = "aft AS (SELECT parent, child, confidence, reviewed FROM links WHERE child % 8 <> 0 UNION ALL SELECT a.id, b.id, NULL, true FROM base a JOIN base b ON b.id = a.id + 700 AND b.t > a.t WHERE b.id NOT IN (SELECT child FROM links) AND a.id NOT IN (SELECT parent FROM links))"
 
 
-def _after(s, d):
-    b, lk = X.base(s, d), X.links(s, d)
+def _after(b, lk):
     free_parent = b.select("id", "t").join(lk.select(F.col("parent").alias("id")), "id", "left_anti")
     free_child = b.select(F.col("id").alias("child"), F.col("t").alias("ct")).join(lk.select("child"), "child", "left_anti")
     new = free_parent.withColumn("child", F.col("id") + 700).join(free_child, "child").where("ct > t")
@@ -594,7 +593,8 @@ def _after(s, d):
 
 @query("u6_link_delta", f"WITH {_AFTER} SELECT parent, child, confidence, 'added' AS change FROM aft WHERE (parent, child) NOT IN (SELECT (parent, child) FROM links) UNION ALL SELECT parent, child, confidence, 'removed' FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM aft)")
 def u6(s, d):
-    return G.diff_links(X.links(s, d), _after(s, d)).select("parent", "child", "confidence", "change")
+    b, lk = X.forest(s, d)
+    return G.diff_links(lk, _after(b, lk)).select("parent", "child", "confidence", "change")
 
 
 @query("u7_incident_links", "SELECT parent, child FROM links WHERE parent IN (SELECT id FROM base WHERE user_id % 3 = 0 AND n < 5) OR child IN (SELECT id FROM base WHERE user_id % 3 = 0 AND n < 5)")
@@ -651,8 +651,8 @@ _SEEDS = f"WITH ch AS ({_CHANGED}) SELECT parent AS id FROM ch UNION SELECT chil
 
 @query("g4_rematerialize", "WITH " + _remat(_AFTER, _SEEDS))
 def g4(s, d):
-    c = staged(X.cells(s, d), "cells")
-    return G.rematerialize(c, staged(X.links(s, d), "links"), staged(_after(s, d), "after"), 20000)
+    b, lk = X.forest(s, d)
+    return G.rematerialize(staged(X.cells_of(b, lk), "cells"), lk, staged(_after(b, lk), "after"), 20000)
 
 
 _LINKED = """pr AS (SELECT arg_max(a.id, a.t) AS parent, b.id AS child FROM base b JOIN base a ON a.user_id = b.user_id - 1 AND a.t < b.t WHERE b.id NOT IN (SELECT child FROM links) GROUP BY b.id),
@@ -661,24 +661,25 @@ aft AS (SELECT parent, child FROM links UNION ALL SELECT parent, child FROM pr W
 
 @query("g5_link", "WITH " + _remat(_LINKED, _SEEDS))
 def g5(s, d):
-    b, lk = X.base(s, d), X.links(s, d)
+    b, lk = X.forest(s, d)
     roots = b.select(F.col("id").alias("child"), (F.col("user_id") - 1).alias("user_id"), F.col("t").alias("ct")).join(lk.select("child"), "child", "left_anti")
     near = b.join(roots, "user_id").where("t < ct").groupBy("child").agg(F.max_by("id", "t").alias("parent"))
     single = lk.groupBy("parent").count().where("count = 1").select("parent")
     new = near.join(single, "parent", "left_semi").select(F.col("child").alias("seq"), "parent", "child")
-    return G.graph_link(staged(X.cells(s, d), "cells"), lk, new, 20000)[1]
+    return G.graph_link(staged(X.cells_of(b, lk), "cells"), lk, new, 20000)[1]
 
 
 @query("g6_cut", "WITH " + _remat("aft AS (SELECT parent, child FROM links WHERE child % 8 <> 0)", _SEEDS))
 def g6(s, d):
-    lk = X.links(s, d)
-    return G.graph_cut(staged(X.cells(s, d), "cells"), lk, lk.where("child % 8 = 0"), 20000)[1]
+    b, lk = X.forest(s, d)
+    return G.graph_cut(staged(X.cells_of(b, lk), "cells"), lk, lk.where("child % 8 = 0"), 20000)[1]
 
 
 @query("g7_unlink", "WITH " + _remat("mine AS (SELECT id FROM chains WHERE head IN (SELECT head FROM chains WHERE id % 30 = 0)), gone AS (SELECT parent, child FROM links WHERE parent IN (SELECT id FROM mine) OR child IN (SELECT id FROM mine)), aft AS (SELECT parent, child FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM gone))", "SELECT parent AS id FROM gone UNION SELECT child FROM gone UNION SELECT child FROM aft WHERE parent IN (SELECT parent FROM gone) UNION SELECT id FROM mine"))
 def g7(s, d):
-    c = staged(X.cells(s, d), "cells")
-    return G.graph_unlink(c, X.links(s, d), c.where("id % 30 = 0"), 20000)[1]
+    b, lk = X.forest(s, d)
+    c = staged(X.cells_of(b, lk), "cells")
+    return G.graph_unlink(c, lk, c.where("id % 30 = 0"), 20000)[1]
 
 
 @query("g8_set_labels", "WITH m AS (SELECT c.id, list_sort(coalesce(track_labels, [])) AS before FROM cells c JOIN chains h ON h.id = c.id WHERE h.head IN (SELECT head FROM chains WHERE id % 12 = 0)), a AS (SELECT id, before, list_sort(list_distinct(list_filter(list_concat(before, ['late']), lambda x: x <> 'cell type 1'))) AS after FROM m) SELECT id, array_to_string(before, ',') AS before, array_to_string(after, ',') AS after FROM a WHERE before <> after")
@@ -695,8 +696,9 @@ def g9(s, d):
 
 @query("g10_apply_delta", f"WITH {_AFTER} SELECT parent, child, 0 AS track_id FROM aft UNION ALL SELECT id, -1, CASE WHEN id % 10 = 0 THEN user_id ELSE track_id END FROM cells WHERE track_id IS NOT NULL OR id % 10 = 0")
 def g10(s, d):
-    c, lk = staged(X.cells(s, d), "cells"), X.links(s, d)
-    change = G.diff_links(lk, _after(s, d))
+    b, lk = X.forest(s, d)
+    c = staged(X.cells_of(b, lk), "cells")
+    change = G.diff_links(lk, _after(b, lk))
     moves = c.where("id % 10 = 0").select("id", F.col("track_id").alias("old"), F.col("user_id").alias("new"))
     once = G.apply_delta(lk, moves, c, change, False)
     back = G.apply_delta(staged(once[0], "links"), moves, staged(once[1], "cells"), change, True)

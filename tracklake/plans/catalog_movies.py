@@ -112,7 +112,7 @@ ids AS (SELECT hd.dataset, head, coalesce(kept, top + row_number() OVER (PARTITI
 SELECT a.dataset, a.id, c.track_id AS old, i.new FROM ach a JOIN ids i ON i.dataset = a.dataset AND i.head = a.head JOIN mcells c ON c.dataset = a.dataset AND c.id = a.id""")
 def mg6(s, d):
     """Every movie draws fresh ids from a counter of its own."""
-    c, lk = staged(X.movie_cells(s, d), "cells"), staged(X.movie_links(s, d), "links")
+    c, lk = X.movie_forest(s, d)
     return G.graph_cut(c, lk, lk.where("child % 8 = 0").select("dataset", "parent", "child"), G.next_track_id(c))[1]
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import graph, labels
+from tracklake.plans.staging import staged
 
 #: Events of one partition, some 2 million voxels of images.
 PART = 50_000
@@ -92,23 +93,43 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("id", "user_id", "event_type", "value", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("t"), F.row_number().over(Window.partitionBy("user_id").orderBy("day")).alias("n"))
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(m: DataFrame, *more: str) -> DataFrame:
     u = F.col("user_id")
-    return members(spark, sf_dir).select("id", "user_id", "t", "n", "event_type", "value", (2 + u % 5).alias("z"), (4 + (u * 37) % 499 + F.col("t") % 3).alias("y"), (4 + (u * 101) % 503 + F.col("n") % 2).alias("x"))
+    return m.select("id", "user_id", "t", "n", "event_type", "value", (2 + u % 5).alias("z"), (4 + (u * 37) % 499 + F.col("t") % 3).alias("y"), (4 + (u * 101) % 503 + F.col("n") % 2).alias("x"), *more)
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(members(spark, sf_dir))
+
+
+def _parent() -> Column:
     """A link reaches one or two members back, so ``lag`` over the user's members replaces a self join."""
     w = Window.partitionBy("user_id").orderBy("n")
-    m = members(spark, sf_dir)
-    parent = F.when(F.col("n") % 7 == 0, F.lag("id", 2).over(w)).otherwise(F.lag("id", 1).over(w))
+    return F.when(F.col("n") % 7 == 0, F.lag("id", 2).over(w)).otherwise(F.lag("id", 1).over(w))
+
+
+def _linked(m: DataFrame) -> DataFrame:
     confidence = F.when(F.col("child") % 11 != 0, ((F.col("parent") * 31 + F.col("child") * 17) % 200) / F.lit(200.0))
-    return m.select(parent.alias("parent"), F.col("id").alias("child")).where("parent IS NOT NULL").select("parent", "child", confidence.alias("confidence"), (F.col("child") % 5 == 0).alias("reviewed"))
+    return m.select("parent", F.col("id").alias("child")).where("parent IS NOT NULL").select("parent", "child", confidence.alias("confidence"), (F.col("child") % 5 == 0).alias("reviewed"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(members(spark, sf_dir).select("id", _parent().alias("parent")))
+
+
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`base` and :func:`links` from one stored table, for queries that read them many times: events are dealt and sorted once."""
+    found = staged(_placed(members(spark, sf_dir).withColumn("parent", _parent()), "parent"), "forest")
+    return found.drop("parent"), _linked(found)
 
 
 def cells(spark: SparkSession, sf_dir: str, tracked: bool = True) -> DataFrame:
     """``tracked=False`` leaves out track_id, which needs the chains."""
-    b, lk = base(spark, sf_dir), links(spark, sf_dir)
+    return cells_of(*(forest if tracked else lambda *a: (base(*a), links(*a)))(spark, sf_dir), tracked)
+
+
+def cells_of(b: DataFrame, lk: DataFrame, tracked: bool = True) -> DataFrame:
+    """:func:`cells` from its base and links."""
     kids = lk.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
     frame = b.join(kids, "id", "left")
     placed = F.col("id") % 53 != 0
@@ -189,21 +210,40 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def movie_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, dataset, id, t, z, y, x): the id that a detection has in its movie; no movie is numbered in one task."""
-    found = base(spark, sf_dir).select(F.col("id").alias("gid"), F.concat(F.lit("m"), F.col("user_id") % 7).alias("dataset"), "t", "z", "y", "x")
+    return _movie_ids(base(spark, sf_dir))
+
+
+def _movie_ids(b: DataFrame) -> DataFrame:
+    found = b.select(F.col("id").alias("gid"), F.concat(F.lit("m"), F.col("user_id") % 7).alias("dataset"), "t", "z", "y", "x")
     return graph.number_rows(found, ["gid"], "id").select("gid", "dataset", "id", "t", "z", "y", "x")
 
 
 def movie_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = movie_ids(spark, sf_dir)
+    b, lk = forest(spark, sf_dir)
+    return _movie_cells(b, lk, _movie_ids(b))
+
+
+def _movie_cells(b: DataFrame, lk: DataFrame, ids: DataFrame) -> DataFrame:
     own, track = ids.select(F.col("gid").alias("c_id"), "dataset", F.col("id").alias("m_id")), ids.select(F.col("gid").alias("track_id"), F.col("id").alias("m_track"))
-    out = cells(spark, sf_dir).withColumnRenamed("id", "c_id").join(own, "c_id").join(track, "track_id", "left")
+    out = cells_of(b, lk).withColumnRenamed("id", "c_id").join(own, "c_id").join(track, "track_id", "left")
     return out.select("dataset", F.col("m_id").alias("id"), "t", "z", "y", "x", "area", "detection_confidence", "state", F.col("m_track").alias("track_id"), "labels", "track_labels")
 
 
 def movie_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = movie_ids(spark, sf_dir)
+    b, lk = forest(spark, sf_dir)
+    return _movie_links(lk, _movie_ids(b))
+
+
+def movie_forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`movie_cells` and :func:`movie_links`, stored, from one forest and one numbering."""
+    b, lk = forest(spark, sf_dir)
+    ids = _movie_ids(b)
+    return staged(_movie_cells(b, lk, ids), "cells"), staged(_movie_links(lk, ids), "links")
+
+
+def _movie_links(lk: DataFrame, ids: DataFrame) -> DataFrame:
     a, b = (ids.select(F.col("gid").alias(end), *(["dataset"] if end == "parent" else []), F.col("id").alias(f"m_{end}")) for end in ("parent", "child"))
-    return links(spark, sf_dir).join(a, "parent").join(b, "child").select("dataset", F.col("m_parent").alias("parent"), F.col("m_child").alias("child"), "confidence", "reviewed")
+    return lk.join(a, "parent").join(b, "child").select("dataset", F.col("m_parent").alias("parent"), F.col("m_child").alias("child"), "confidence", "reviewed")
 
 
 def movie_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
