@@ -127,3 +127,22 @@ def test_link_edits_derive_their_detections_once(spark, sf_dir, monkeypatch):
         seen.clear()
         plan = _plan(entry.queries()[name](spark, sf_dir))
         assert len(seen) == 1 and "events.parquet" not in plan, name
+
+
+def test_publishing_scans_the_volume_once(spark):
+    from tracklake.operators import labels as L
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def scan(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    columns = "t long, label long, area long, sum_z long, sum_y long, sum_x long, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long"
+    inventory = spark.createDataFrame(spark.sparkContext.parallelize([(0, 7, 2, 2, 4, 6, 1, 1, 2, 2, 3, 3), (1, 9, 1, 1, 2, 3, 1, 1, 2, 2, 3, 3)], 1).mapPartitions(scan), columns)
+    cells = spark.createDataFrame([(9, 1, 1.0, 2.0, 3.0, 1)], "id long, t long, z double, y double, x double, area long")
+    tables = L.publish_inventory(inventory, cells, spark.createDataFrame([(1, "mask"), (2, "graph")], "seq long, domain string"), spark.createDataFrame([(1,), (2,)], "seq long"))
+    assert {name: table.count() for name, table in tables.items()} == {"mask_labels": 2, "mask_extent": 2, "cells": 2, "edits": 1, "blobs": 1, "next_id": 1}
+    assert [tuple(r) for r in tables["cells"].where("id = 7").collect()] == [(7, 0, 1.0, 2.0, 3.0, 2)] and tables["next_id"].first()[0] == 10
+    assert seen.value == 2

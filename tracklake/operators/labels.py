@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators.keys import by
+from tracklake.plans.staging import staged
 from tracklake.schemas import MAX_LABEL_ID
 
 #: Voxels of a tile, as many as a long has bits: spans are cut at tile borders before they meet, so a key holds no more than a tile's width of spans that do not overlap.
@@ -103,9 +104,12 @@ def publish_inventory(inventory: DataFrame, cells: DataFrame, edits: DataFrame,
     mask_labels and mask_extent are rewritten whole from the scan; labels of positive
     area without a cell get one (on their first frame, if they are on several), others stay as they are; mask edits and their
     snapshots go, since they hold bytes of the store before; the next free id is past
-    every label and never below ``floor`` (one number, or (dataset, floor)).
+    every label and never below ``floor`` (one number, or (dataset, floor)).  The
+    inventory goes into four of the tables and is written first, so the volume is
+    scanned once.
     """
     own = by(inventory, cells, edits, blobs)
+    inventory = staged(inventory, "inventory")
     first = inventory.where("area > 0").groupBy(*own, F.col("label").alias("id")).agg(F.min_by(F.struct("t", "area", "sum_z", "sum_y", "sum_x"), "t").alias("f")).select(*own, "id", "f.*")
     found = first.select(*own, "id", "t", *[(F.col(f"sum_{a}") / F.col("area")).alias(a) for a in "zyx"], "area")
     new = found.join(cells.select(*own, "id"), [*own, "id"], "left_anti")
